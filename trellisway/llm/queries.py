@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellisway.llm.common import read
+from trellisway.llm.decontamination import overlaps
+from trellisway.llm.licenses import BETWEEN, LINES, SPELLINGS, canonical_here, known_texts, license_scan
+from trellisway.llm.sharding import with_shards, with_slots
 from trellisway.llm.substring_dedup import substring_dedup
+from trellisway.llm.url_filters import host_of, url_filter
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +38,149 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ks), 0)::BIGINT AS n_re
 FROM d LEFT JOIN lost USING (doc_id)
 """
 
+
+def op2_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    body = F.coalesce(F.col("text"), F.lit(""))
+    records = docs.select("doc_id", (F.octet_length(body) + F.lit(16)).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
+    placed = with_shards(records, "doc_id", {s: 1.0 for s in range(40)}, grown={s: 1.0 for s in range(41)})
+    return with_slots(placed, "doc_id", "shard", ties=["text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+
+
+def _crc_table() -> str:
+    """The CRC-32 table of the reflected polynomial, by its rule."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [(x >> 1) ^ (0xEDB88320 if x & 1 else 0) for x in table]
+    return f"[{', '.join(map(str, table))}]"
+
+
+OP2_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, '') AS k, encode(coalesce(text, '')) AS b FROM documents
+), crc AS (
+  SELECT r, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(b)), lambda i: ('0x' || hex(b[i + 1 : i + 1]))::BIGINT)),
+         lambda c, x: xor(c >> 8, {_crc_table()}[xor(c & 255, x) + 1]))) AS crc FROM d
+), score AS (
+  SELECT r, s, ('0x' || substr(md5(k || ':' || s), 1, 12))::BIGINT AS h FROM d, range(41) t(s)
+), best AS (
+  SELECT r, max(CASE WHEN s < 40 THEN h * 64 + s END) % 64 AS shard, max(h * 64 + s) % 64 AS grown_shard FROM score GROUP BY r
+)
+SELECT doc_id, octet_length(b) + 16 AS size, crc AS text_crc32, 'key' AS law, shard::INT AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5(k || ':slot'), crc, octet_length(b)) - 1 AS slot, grown_shard::INT AS grown_shard
+FROM d JOIN crc USING (r) JOIN best USING (r)
+"""
+
+
+def _hex(digest: Column, at: int) -> Column:
+    return F.conv(F.substring(digest, at, 4), 16, 10).cast("int")
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have no fetch day and no block list, so both are derived: the day from page_id, entries from the
+    digests of the hosts (lists 'ads' and 'malware') and of their last two labels (list 'parked')."""
+    start = F.lit("2023-01-01").cast("date")
+    captures = read(spark, sf_dir, "pages").select("page_id", "url", F.date_add(start, F.pmod(F.col("page_id") * 7919, F.lit(730)).cast("int")).alias("fetched_on"))
+    hosts = captures.select(host_of(F.col("url")).alias("domain")).where("domain IS NOT NULL")
+    listed = hosts.distinct().withColumn("h", F.md5("domain")).withColumn("list", F.expr("CASE WHEN substr(h, 9, 1) < '4' THEN 'ads' WHEN substr(h, 9, 1) < '6' THEN 'malware' END"))
+    parked = hosts.select(F.substring_index("domain", ".", -2).alias("domain")).distinct().withColumn("h", F.md5(F.concat("domain", F.lit("/parked")))).withColumn("list", F.expr("CASE WHEN substr(h, 9, 1) < '8' THEN 'parked' END"))
+    dated = listed.unionByName(parked).where("list IS NOT NULL").select("list", "domain", _hex(F.col("h"), 1).alias("a"), _hex(F.col("h"), 5).alias("b"))
+    entries = dated.select(
+        "list", "domain", F.explode(F.array(F.struct(F.pmod("a", F.lit(730)).alias("n"), F.lit("add").alias("action")), F.struct(F.pmod("b", F.lit(730)).alias("n"), F.lit("remove").alias("action")))).alias("e")
+    ).select("list", "domain", F.date_add(start, F.col("e.n")).alias("day"), "e.action")
+    out = url_filter(captures, entries, "page_id", "url", "fetched_on")
+    return out.select(F.col("id").alias("page_id"), "host", F.col("fetched").alias("fetched_on"), "blocked", F.concat_ws(",", "reasons").alias("reasons"))
+
+
+OP4_SQL = r"""
+WITH c AS (
+  SELECT page_id, nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.$', ''), '') AS host,
+         DATE '2023-01-01' + ((page_id * 7919) % 730)::INT AS fetched_on
+  FROM pages
+), listed AS (
+  SELECT CASE WHEN substr(md5(host), 9, 1) < '4' THEN 'ads' WHEN substr(md5(host), 9, 1) < '6' THEN 'malware' END AS list, host AS domain, md5(host) AS h
+  FROM (SELECT DISTINCT host FROM c WHERE host IS NOT NULL)
+  UNION ALL
+  SELECT CASE WHEN substr(md5(domain || '/parked'), 9, 1) < '8' THEN 'parked' END, domain, md5(domain || '/parked')
+  FROM (SELECT DISTINCT array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM c WHERE host IS NOT NULL)
+), entries AS (
+  SELECT list, domain, DATE '2023-01-01' + (('0x' || substr(h, 1, 4))::INT % 730) AS day, 'add' AS action FROM listed WHERE list IS NOT NULL
+  UNION ALL
+  SELECT list, domain, DATE '2023-01-01' + (('0x' || substr(h, 5, 4))::INT % 730), 'remove' FROM listed WHERE list IS NOT NULL
+), daily AS (
+  SELECT list, domain, day, max(action) AS action FROM entries GROUP BY ALL
+), met AS (
+  SELECT c.page_id, e.list || ':' || e.domain AS reason
+  FROM c JOIN daily e ON (c.host = e.domain OR ends_with(c.host, '.' || e.domain)) AND e.day <= c.fetched_on
+  GROUP BY c.page_id, e.list, e.domain
+  HAVING arg_max(e.action, e.day) = 'add'
+)
+SELECT page_id, host, fetched_on, count(reason) > 0 AS blocked, coalesce(string_agg(reason, ',' ORDER BY reason), '') AS reasons
+FROM c LEFT JOIN met USING (page_id) GROUP BY page_id, host, fetched_on
+"""
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "scope", "license_id", "n_units")
+
+
+def _op9_sql() -> str:
+    known = ", ".join(f"('{k}', '{d}')" for k, d in sorted({(k, hashlib.sha256(canonical_here(t).encode()).hexdigest()) for k, t in known_texts()}))
+    spellings = ", ".join(f"'{a}': '{b}'" for a, b in SPELLINGS.items())
+    return rf"""
+WITH known(license_id, digest) AS (VALUES {known}), units AS (
+  SELECT doc_id, 'text' AS scope, text AS unit FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, 'line', unnest(string_split(text, chr(10))) FROM documents WHERE text IS NOT NULL
+), plain AS (
+  SELECT doc_id, scope, trim(regexp_replace(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '(?m){LINES}', '', 'g'), '{BETWEEN}', ' ', 'g'), ' ') AS p FROM units
+), spelled AS (
+  SELECT doc_id, scope, sha256(array_to_string(list_transform(string_split(p, ' '), lambda w: coalesce(MAP {{{spellings}}}[w], w)), ' ')) AS digest FROM plain WHERE p <> ''
+)
+SELECT doc_id, scope, license_id, count(*) AS n_units FROM spelled JOIN known USING (digest) GROUP BY ALL
+"""
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "first_word", "end_word")
+
+
+#: Of 13 words of which 11 stay, some 4 that stay are neighbours: an index of runs of 4 misses nothing either.
+OP10_SQL = r"""
+WITH item AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS v FROM benchmark
+), doc AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), runs AS (
+  SELECT item_id, v, j, array_to_string(v[j + 1 : j + 4], ' ') AS run FROM (SELECT item_id, v, unnest(range(0, len(v) - 3)) AS j FROM item WHERE len(v) >= 13)
+), diagonals AS (
+  SELECT DISTINCT doc_id, item_id, i - j AS diagonal
+  FROM (SELECT doc_id, i, array_to_string(w[i + 1 : i + 4], ' ') AS run FROM (SELECT doc_id, w, unnest(range(0, len(w) - 3)) AS i FROM doc WHERE len(w) >= 13)) JOIN runs USING (run)
+), places AS (
+  SELECT doc_id, item_id, v, w, diagonal, unnest(range(greatest(0, -diagonal), least(len(v), len(w) - diagonal) - 12)) AS a
+  FROM diagonals JOIN item USING (item_id) JOIN doc USING (doc_id)
+)
+SELECT doc_id, item_id, min(a + diagonal)::BIGINT AS first_word, max(a + diagonal + 13)::BIGINT AS end_word
+FROM places
+WHERE list_sum(list_transform(range(13), lambda k: (v[a + k + 1] = w[a + diagonal + k + 1])::INT)) >= 11
+GROUP BY doc_id, item_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_rendezvous_shards": op2_rendezvous_shards,
+    "op4_url_filters": op4_url_filters,
+    "op9_license_scan": op9_license_scan,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
+    "op2_rendezvous_shards": OP2_SQL,
+    "op4_url_filters": OP4_SQL,
+    "op9_license_scan": _op9_sql(),
+    "op10_decontamination": OP10_SQL,
 }
