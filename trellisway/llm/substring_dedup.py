@@ -172,7 +172,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError(f"columns {sorted(clash)} are there already; choose another prefix")
     block = (window + 1) // 2
     width = shuffle_width(docs.sparkSession)
-    batches = buckets = 2 * width
+    batches, buckets = 2 * width, max(1, width // 2)  # their product is the number of messages
     rows = docs.select(
         batch_of(F.col(id_col), F.col(text_col), batches=batches).alias("batch"), F.col(text_col).alias("body"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
     )
