@@ -170,3 +170,18 @@ def member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
         return np.zeros(len(values), bool)
     at = np.minimum(np.searchsorted(among, values), len(among) - 1)
     return among[at] == values
+
+
+def slices(batches, column: str | int, most_bytes: int = 1 << 22):
+    """Record batches cut so that `column`, of strings or bytes, has about `most_bytes` in each; no memory follows a batch's size."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(batch):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, side="right")))
+            yield batch.slice(at, end - at)
+            at = end

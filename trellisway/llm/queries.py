@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 
 from trellisway.llm.common import read
 from trellisway.llm.decontamination import overlaps
+from trellisway.llm.jaccard_join import near_duplicates
 from trellisway.llm.licenses import BETWEEN, LINES, SPELLINGS, canonical_here, known_texts, license_scan
+from trellisway.llm.neighbours import nearest
+from trellisway.llm.packing import packed, token_pieces
 from trellisway.llm.sharding import with_shards, with_slots
 from trellisway.llm.substring_dedup import substring_dedup
+from trellisway.llm.toxicity import score, train
 from trellisway.llm.url_filters import host_of, url_filter
+from trellisway.llm.warc import archive_folder, read_archives, revisit_types, write_archives
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,10 +174,90 @@ GROUP BY doc_id, item_id
 """
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.other = e.a
+)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = token_pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+    return packed(pieces, 2048).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    typed = revisit_types(pages).select(F.col("page_id").cast("string").alias("key"), "url", F.col("html").alias("payload"), "record_type", F.col("refers_to").cast("string").alias("refers_to"))
+    path = archive_folder(spark)
+    write_archives(typed, path)
+    back = read_archives(spark, path)
+    return back.select(
+        F.col("key").cast("long").alias("page_id"), F.coalesce("payload_bytes", "stated_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "stated_digest").alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to")
+    )
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT page_id, h, digest, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+SELECT page_id, octet_length(encode(h)) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN octet_length(encode(h)) >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN octet_length(encode(h)) >= 100 AND page_id > first THEN first END AS refers_to
+FROM f
+"""
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, train(docs, read(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), d AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id))::INT AS rank, vec_id, score FROM d
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_rendezvous_shards": op2_rendezvous_shards,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_url_filters": op4_url_filters,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_warc": op6_warc,
+    "op7_toxicity": op7_toxicity,
+    "op8_nearest": op8_nearest,
     "op9_license_scan": op9_license_scan,
     "op10_decontamination": op10_decontamination,
 }
@@ -180,7 +265,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
     "op2_rendezvous_shards": OP2_SQL,
+    "op3_jaccard_join": OP3_SQL,
     "op4_url_filters": OP4_SQL,
+    "op6_warc": OP6_SQL,
+    "op8_nearest": OP8_SQL,
     "op9_license_scan": _op9_sql(),
     "op10_decontamination": OP10_SQL,
 }
