@@ -76,15 +76,17 @@ def set_digests(doc: np.ndarray, token: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, batches: int) -> DataFrame:
-    """(id, batch, n_shingles, digest) of every row."""
+    """(id, batch, key, n_shingles, digest) of every row; key is a hash of id and text."""
 
     def sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(parts, 2):
-            sizes, digests = set_digests(*shingle_sets(text_bytes(part.column(2)), size))
-            yield pa.record_batch([part.column(0), part.column(1), pa.array(sizes), pa.array(digests, pa.binary())], names=["id", "batch", "n_shingles", "digest"])
+        for part in slices(parts, 3):
+            sizes, digests = set_digests(*shingle_sets(text_bytes(part.column(3)), size))
+            yield pa.record_batch([*part.columns[:3], pa.array(sizes), pa.array(digests, pa.binary())], names=schema.names)
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("batch", T.IntegerType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType())])
-    return docs.select(F.col(id_col).alias("id"), batch_of(F.col(id_col), F.col(text_col), batches=batches).alias("batch"), F.col(text_col).alias("body")).mapInArrow(sketch, schema)
+    kinds = [docs.schema[id_col].dataType, T.IntegerType(), T.LongType(), T.LongType(), T.BinaryType()]
+    schema = T.StructType([T.StructField(n, k) for n, k in zip(("id", "batch", "key", "n_shingles", "digest"), kinds, strict=True)])
+    keys = (F.col(id_col), F.col(text_col))
+    return docs.select(keys[0].alias("id"), batch_of(*keys, batches=batches).alias("batch"), F.xxhash64(*keys).alias("key"), keys[1].alias("body")).mapInArrow(sketch, schema)
 
 
 # ---------------------------------------------------------------- frequencies and prefixes
@@ -256,7 +258,8 @@ def class_components(classes: DataFrame, percent: int, all_at_once: int = 16, he
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, salts: int = 16) -> DataFrame:
-    """A row for each document: id, n_shingles, component_id (smallest id of its near-duplicate class), and digest of its set."""
+    """A row for each document: id, key (a hash of id and text), n_shingles, component_id (smallest id of its
+    near-duplicate class), component (a name of the class; null without shingles), and digest of its set."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be in 1 to 100")
     width = shuffle_width(docs.sparkSession)
@@ -268,8 +271,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = class_components(indexed, percent)
     named = classes.select("digest", "least").join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = named.select("digest", "component").join(names, "component").select("digest", "component_id")
+    known = named.select("digest", "component").join(names, "component").select("digest", "component", "component_id")
     copies = known.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt_out = every.withColumn("salt", F.pmod(F.xxhash64("id", "batch"), F.lit(salts)).cast("int"))
     back = dealt_out.join(copies, (dealt_out["digest"] == copies["digest"]) & (F.col("salt") == F.col("copy")), "left")
-    return back.select("id", "n_shingles", F.when(dealt_out["digest"].isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), dealt_out["digest"].alias("digest"))
+    digest = dealt_out["digest"]
+    return back.select("id", "key", "n_shingles", F.when(digest.isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "component", digest.alias("digest"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` with one row of each near-duplicate class, that with the smallest id; rows without words stay.
+
+    Rows that are equal in id and text count as one and leave one row."""
+    near = near_duplicates(docs, id_col, text_col, size, percent)
+    firsts = near.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")).select(F.col("first.key").alias("_kept_key"))
+    kept = firsts.unionByName(near.where("component IS NULL").select(F.col("key").alias("_kept_key"))).distinct()
+    keyed = docs.withColumn("_row_key", F.xxhash64(id_col, text_col))
+    return keyed.join(kept, F.col("_row_key") == F.col("_kept_key"), "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
