@@ -35,45 +35,51 @@ def word_hashes(text: Column) -> Column:
 
 
 def _seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each place and mask: `keep`, place, mask, seed."""
-    span = max(m[-1] for m in MASKS) + 1
-    # the last places have room for the shorter mask only; there the longer one reads past the end and is null
-    shortest = min(m[-1] for m in MASKS) + 1
-    placed = rows.where(F.size("words") >= WINDOW).withColumn("place", F.explode(F.sequence(F.lit(0), F.size("words") - F.lit(shortest))))
+    """A row for each place and mask: `keep`, place, seed."""
+    long, short = max(m[-1] for m in MASKS) + 1, min(m[-1] for m in MASKS) + 1
+    # null, and so no row, under `window` words; the last places have room for the shorter mask only
+    places = F.when(F.size("words") >= WINDOW, F.sequence(F.lit(0), F.size("words") - F.lit(short)))
+    placed = rows.withColumn("place", F.explode(places))
     seeds = []
     for k, mask in enumerate(MASKS):
         seed = F.xxhash64(F.lit(k), *[F.get("words", F.col("place") + F.lit(o)) for o in mask])
-        fits = F.col("place") + F.lit(mask[-1]) < F.size("words")
-        seeds.append(F.struct(F.lit(k).alias("mask"), seed.alias("seed")) if mask[-1] + 1 < span else F.when(fits, F.struct(F.lit(k).alias("mask"), seed.alias("seed"))))
-    return placed.select(*keep, "place", F.explode(F.array(*seeds)).alias("s")).where("s IS NOT NULL").select(*keep, "place", "s.mask", "s.seed")
+        seeds.append(seed if mask[-1] + 1 < long else F.when(F.col("place") + F.lit(mask[-1]) < F.size("words"), seed))
+    return placed.select(*keep, "place", F.explode(F.array(*seeds)).alias("seed")).where("seed IS NOT NULL")
 
 
-def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
+def _chunks(rows: DataFrame, step: int) -> DataFrame:
+    """Words in chunks that overlap by a window less one, so that every window lies in one: base and words."""
+    cut = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("words") - F.lit(WINDOW), F.lit(0)), F.lit(step)),
+        lambda b: F.struct(b.alias("base"), F.slice("words", b + F.lit(1), F.lit(step + WINDOW - 1)).alias("words")),
+    )
+    return rows.withColumn("chunk", F.explode(cut)).select("id", "text_key", "chunk.base", "chunk.words")
+
+
+def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = 200_000, chunk_words: int = 512) -> DataFrame:
     """(id, text_key, item, first_word, end_word): documents that hold a verified window of an item, and the
     words from its first to past its last; text_key tells rows with the same id apart."""
-    known = items.select(F.col(item_col).alias("item"), word_hashes(F.col(item_text_col)).alias("words")).where(F.size("words") >= WINDOW)
-    around = WINDOW - 1
-    reach = max(m[-1] for m in MASKS) + 1
+    known = items.select(F.col(item_col).alias("item"), word_hashes(F.col(item_text_col)).alias("words"))
+    around, reach = WINDOW - 1, max(m[-1] for m in MASKS) + 1
     # what verification reads of an item: the words up to a window's length on either side of the seed
     index = _seeds(known, ["item", "words"]).select(
-        "item", "seed", F.col("place").alias("item_place"), F.slice("words", F.greatest(F.col("place") - F.lit(around - 1), F.lit(1)), F.lit(2 * around + reach)).alias("near"), F.least("place", F.lit(around)).alias("before")
+        "item", "seed", F.slice("words", F.greatest(F.col("place") - F.lit(around - 1), F.lit(1)), F.lit(2 * around + reach)).alias("near"), F.least("place", F.lit(around)).alias("before")
     )
     small = index.limit(broadcast_rows + 1).count() <= broadcast_rows
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), word_hashes(F.col(text_col)).alias("words"))
-    hits = _seeds(rows, ["id", "text_key", "words"]).join(F.broadcast(index) if small else index, "seed")
-    start = F.col("place") - F.col("before")  # the document's word that faces near[0]; may lie before the text
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), word_hashes(F.col(text_col)).alias("words"))
+    hits = _seeds(_chunks(rows, chunk_words), ["id", "text_key", "base", "words"]).join(F.broadcast(index) if small else index, "seed")
+    start = F.col("place") - F.col("before")  # the chunk's word that faces near[0]; may lie before the chunk
     facing = F.transform(F.sequence(F.lit(0), F.size("near") - F.lit(1)), lambda i: F.coalesce((F.get("near", i) == F.when(start + i >= 0, F.get("words", start + i))).cast("int"), F.lit(0)))
-    last = F.size("near") - F.lit(WINDOW)
     good = F.filter(
-        F.sequence(F.lit(0), last),
-        lambda a: (start + a >= 0)
-        & (start + a + F.lit(WINDOW) <= F.size("words"))
-        & (F.aggregate(F.slice("equal", a + F.lit(1), F.lit(WINDOW)), F.lit(0), lambda x, y: x + y) >= F.lit(WINDOW - CHANGES)),
+        F.sequence(F.lit(0), F.size("near") - F.lit(WINDOW)),
+        lambda a: (F.aggregate(F.slice("equal", a + F.lit(1), F.lit(WINDOW)), F.lit(0), lambda x, y: x + y) >= F.lit(WINDOW - CHANGES)) & (start + a >= 0) & (start + a + F.lit(WINDOW) <= F.size("words")),
     )
-    verified = hits.withColumn("equal", facing).withColumn("good", good).where(F.size("good") > 0)
-    return verified.groupBy("id", "text_key", "item").agg(
-        F.min(start + F.array_min("good")).cast("long").alias("first_word"), F.max(start + F.array_max("good") + F.lit(WINDOW)).cast("long").alias("end_word")
+    seen = hits.withColumn("equal", facing).withColumn("good", good)
+    # hits without a good window have null ends and leave after the grouping: before it, the test would move into the join
+    ends = seen.groupBy("id", "text_key", "item").agg(
+        F.min(F.col("base") + start + F.array_min("good")).cast("long").alias("first_word"), F.max(F.col("base") + start + F.array_max("good") + F.lit(WINDOW)).cast("long").alias("end_word")
     )
+    return ends.where("first_word IS NOT NULL")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names: object) -> DataFrame:
