@@ -1,0 +1,120 @@
+"""Structured Streaming forms: edges come in order of arrival; late rows are dropped by a watermark where one is set."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from trellisway.operators.prepare import WindowSpec, checkpoints
+from trellisway.operators.sampling import SampleSpec, assign_slots, bernoulli_edges, slice_start_sql
+from trellisway.operators.triangles import triangle_count
+from trellisway.operators.window import edge_frequencies, window_edges
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: beside the checkpoints if the session names a place, else in the warehouse."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written_in_order(edges: DataFrame, folder: str, files: int) -> None:
+    """Edges as files of equal spans of time, in order of arrival, to stand for a stream."""
+    low, high = edges.agg(F.min("t"), F.max("t")).first()
+    for k in range(files if low is not None else 0):
+        at = [low + (high + 1 - low) * i // files for i in (k, k + 1)]
+        edges.where((F.col("t") >= at[0]) & (F.col("t") < at[1])).coalesce(1).write.mode("append").parquet(folder)
+
+
+def read_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def run_through(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
+    """All rows that a stream gives for what its source holds now, through files."""
+    folder = shared_folder(spark, "stream")
+    query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def stream_bernoulli(stream: DataFrame, p: float, seed: int) -> DataFrame:
+    """The fixed-probability sample of a stream: a filter without state."""
+    return bernoulli_edges(stream.withColumn("seed", F.lit(seed)), p)
+
+
+def stream_window_stats(stream: DataFrame, window: str, step: str, late: str) -> DataFrame:
+    """Instances in windows of event time that Spark aligns and leaves open at the end; so not the window of a checkpoint.
+    Needs the time as a column `ts`; rows later than `late` are dropped."""
+    return stream.withWatermark("ts", late).groupBy(F.window("ts", window, step).alias("w")).agg(F.count(F.lit(1)).alias("instances")).select(F.col("w.start").alias("from_ts"), F.col("w.end").alias("to_ts"), "instances")
+
+
+_EDGE = ["priority", "t", "eid", "s", "d"]
+
+
+def stream_priority_sample(stream: DataFrame, spec: SampleSpec, seed: int) -> DataFrame:
+    """The bounded sample as a stream's state: a place keeps the tops of two slices. Gives a place's state after each
+    batch that changes it: (grp, slot, slice, a_*, b_*, last_t, last_eid)."""
+    columns = [f"{x}_{c}" for x in ("a", "b") for c in _EDGE]
+    state = "slice long, " + ", ".join(f"{c} long" for c in columns)
+    slotted = assign_slots(stream.withColumn("seed", F.lit(seed)), spec)
+
+    def keep(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        slice_, *rest = held.get if held.exists else (None, *[None] * len(columns))
+        a, b = rest[: len(_EDGE)], rest[len(_EDGE) :]
+        rows = pd.concat(list(batches)).sort_values(["t", "eid"])
+        for now, *edge in rows[["slice", *_EDGE]].itertuples(index=False, name=None):
+            if slice_ is None or now > slice_:
+                a = b if slice_ is not None and now == slice_ + 1 else [None] * len(_EDGE)
+                slice_, b = int(now), [None] * len(_EDGE)
+            if b[0] is None or edge[0] >= b[0]:
+                b = [int(x) for x in edge]
+        held.update((slice_, *a, *b))
+        last = rows.iloc[-1]
+        values: list[Any] = [key[0], key[1], slice_, *a, *b, int(last["t"]), int(last["eid"])]
+        yield pd.DataFrame([values], columns=["grp", "slot", "slice", *columns, "last_t", "last_eid"]).astype("Int64")
+
+    out = "grp long, slot long, " + state + ", last_t long, last_eid long"
+    return slotted.groupBy("grp", "slot").applyInPandasWithState(keep, out, state, "append", GroupStateTimeout.NoTimeout)
+
+
+def sample_from_states(states: DataFrame, now: int, spec: SampleSpec) -> DataFrame:
+    """(grp, slot, t, eid, s, d): the valid edges at time `now`, from each place's last state."""
+    latest = states.groupBy("grp", "slot").agg(F.max(F.struct("last_t", "last_eid", *[c for c in states.columns if c not in ("grp", "slot", "last_t", "last_eid")])).alias("x")).select("grp", "slot", "x.*")
+    current = F.expr(f"({now} - {slice_start_sql('grp', spec)}) div {spec.window}")
+    edge = lambda x: F.when(F.col(f"{x}_t").isNotNull(), F.struct(*[F.col(f"{x}_{c}").alias(c) for c in _EDGE]))
+    a = F.when(current == F.col("slice"), edge("a")).when(current == F.col("slice") + 1, edge("b"))
+    b = F.when(current == F.col("slice"), edge("b"))
+    tops = latest.select("grp", "slot", a.alias("a"), b.alias("b"))
+    valid = F.when(F.col("a").isNull() | (F.col("b")["priority"] >= F.col("a")["priority"]), F.col("b")).when(F.col("a")["t"] >= now - spec.window, F.col("a"))
+    return tops.withColumn("edge", valid).where("edge IS NOT NULL").select("grp", "slot", "edge.t", "edge.eid", "edge.s", "edge.d")
+
+
+def stream_exact_counts(stream: DataFrame, spec: WindowSpec, folder: str):
+    """Starts a query that keeps the window's edges as a table and gives the weighted count at each checkpoint that a batch
+    reaches, to `folder`/counts as (bucket, cp_t, cp_eid, triangles). A batch reads the table that the one before wrote and
+    overwrites only what is its own, so it may run again."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        edges = batch.select("eid", "t", "s", "d")
+        old, last = None, -1
+        if number:
+            old = spark.read.schema(edges.schema).parquet(f"{folder}/window/{number - 1}")
+            held = old.agg(F.max(F.expr(f"t div {spec.step}"))).first()[0]
+            last = -1 if held is None else held
+            edges = old.unionByName(edges)
+        newest = edges.agg(F.max("t")).first()[0]
+        points = checkpoints(edges, spec.step).where(F.col("bucket") > last)
+        counts = triangle_count(edge_frequencies(window_edges(edges, spec).join(points.select("cp"), "cp", "left_semi"), ["cp"]), ["cp"], weighted=True)
+        out = points.join(counts, "cp", "left").select("bucket", "cp_t", "cp_eid", F.coalesce("triangles", F.lit(0).cast("long")).alias("triangles"))
+        out.write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
+        live = edges if newest is None else edges.where(F.col("t") >= newest - spec.window)
+        live.write.mode("overwrite").parquet(f"{folder}/window/{number}")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
