@@ -10,10 +10,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellisway.functions.materialize import stored
 from trellisway.functions.mix import rho_sql
 from trellisway.operators.directed import directed_triangle_count
 from trellisway.operators.prepare import WindowSpec, checkpoints
-from trellisway.operators.sampling import SampleSpec, bernoulli_edges, edge_cardinality_estimate, first_arrivals, group_estimate_sql, priority_sample_at, sample_lifetimes, slice_of, slice_start_sql, slot_states
+from trellisway.operators.sampling import SampleSpec, assign_slots, bernoulli_edges, edge_cardinality_estimate, first_arrivals, group_estimate_sql, priority_sample_at, sample_lifetimes, slice_of, slice_start_sql, slot_states
 from trellisway.operators.triangles import local_triangle_count, triangle_count
 from trellisway.operators.window import edge_frequencies, window_edges
 
@@ -161,15 +162,13 @@ def _life_events(edges: DataFrame, lives: DataFrame, spec: SampleSpec) -> DataFr
 def _occupancy_events(edges: DataFrame, spec: SampleSpec) -> DataFrame:
     """(seed, at, kind, grp, q, occ): changes of a place's part of q (1 while empty, else 2^-rho of its highest priority)
     and of its being occupied."""
-    from trellisway.operators.sampling import assign_slots
-
     place = ["seed", "grp", "slot"]
-    slotted = assign_slots(edges, spec)
+    slotted = stored(assign_slots(edges, spec).select(*place, "slice", "priority", "t", "eid"))
     tops = slotted.groupBy(*place, "slice").agg(F.max("priority").alias("top"))
     times = edges.groupBy("t").agg(F.min("eid").alias("eid"))
     begin = lambda n: F.expr(f"{slice_start_sql('grp', spec)} + {spec.window} * (slice + {n})")
     rows = tops.withColumns({"x1": begin(1), "x2": begin(2)})
-    found = first_arrivals(times, rows.select(F.col("x1").alias("x")).unionByName(rows.select(F.col("x2").alias("x"))), spec.window)
+    found = stored(first_arrivals(times, rows.select(F.col("x1").alias("x")).unionByName(rows.select(F.col("x2").alias("x"))), spec.window))
     rows = rows.join(found.select(F.col("x").alias("x1"), F.col("at").alias("at1")), "x1").join(found.select(F.col("x").alias("x2"), F.col("at").alias("at2")), "x2")
     after = tops.select(*place, (F.col("slice") - 1).alias("slice"), F.lit(True).alias("followed"))
     rows = rows.join(after, [*place, "slice"], "left")
@@ -200,7 +199,7 @@ def pair_probability(edges: DataFrame, lives: DataFrame, spec: SampleSpec) -> Da
     numbers = [(g, c) for g in range(spec.groups) for c in ("valid", "q", "occ")]
     per = {f"{c}_{g}": F.coalesce(F.sum(F.when(F.col("grp") == g, F.col(c))), F.lit(0)) for g, c in numbers}
     # rows of one place in the order change together, so they are added up before the running sums
-    steps = log.groupBy("seed", "chunk", "at", "kind", "by").agg(*[v.alias(k) for k, v in per.items()])
+    steps = stored(log.groupBy("seed", "chunk", "at", "kind", "by").agg(*[v.alias(k) for k, v in per.items()]))
     inside = Window.partitionBy("seed", "chunk").orderBy("at", "kind", "by").rowsBetween(Window.unboundedPreceding, 0)
     summed = steps.select("seed", "chunk", "at", "kind", "by", *[F.sum(k).over(inside).alias(k) for k in per])
     totals = steps.groupBy("seed", "chunk").agg(*[F.sum(k).alias(k) for k in per])
@@ -245,8 +244,9 @@ def cbs_directed_estimate(edges: DataFrame, wspec: WindowSpec, spec: SampleSpec,
     1 / exp for triangles of the current slice's expiries, unless `correct` is off."""
     types = types or (list(CLOSINGS) if directed else [-1])
     length = wspec.window // slices
-    lives = sample_lifetimes(edges, spec, ["s", "d", *["bi"] * directed])
-    chances = pair_probability(edges, lives, spec)
+    edges = stored(edges)
+    lives = stored(sample_lifetimes(edges, spec, ["s", "d", *["bi"] * directed]))
+    chances = stored(pair_probability(edges, lives, spec))
     come = arrival_triangles(edges, lives, wspec.window, directed).where(F.col("type").isin(types)).groupBy("seed", "at", "type", "oldest").agg(F.count(F.lit(1)).alias("k"))
     added = come.join(chances.where("kind = 3").select("seed", "at", "inc"), ["seed", "at"]).withColumn("w", F.coalesce(F.col("k") / F.col("inc"), F.lit(0.0)))
     taken = None
@@ -254,7 +254,7 @@ def cbs_directed_estimate(edges: DataFrame, wspec: WindowSpec, spec: SampleSpec,
         boundary = _now_index("at.t", length) * length
         gone = expired_triangles(lives, wspec.window, directed).where(F.col("type").isin(types)).where(F.col("t") > boundary - wspec.window).groupBy("seed", "at", "t", "eid", "type").agg(F.count(F.lit(1)).alias("k"))
         taken = gone.join(chances.where("kind = 0").select("seed", "at", "t", "eid", "exp"), ["seed", "at", "t", "eid"]).withColumn("w", F.coalesce(F.col("k") / F.col("exp"), F.lit(0.0)))
-    return _sliced(added, taken, edges, wspec, length, slices, types)
+    return _sliced(stored(added), taken if taken is None else stored(taken), edges, wspec, length, slices, types)
 
 
 def cbs_estimate(edges: DataFrame, wspec: WindowSpec, spec: SampleSpec, slices: int = 10, correct: bool = True) -> DataFrame:

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellisway.functions.materialize import stored
 from trellisway.functions.mix import MODULUS, draw, rho_sql
 from trellisway.operators.prepare import WindowSpec, checkpoints
 
@@ -81,7 +82,7 @@ def slot_states(edges: DataFrame, wspec: WindowSpec, spec: SampleSpec, keep: lis
     """(seed, cp, cp_t, grp, slot, edge, top): the valid edge of each occupied place, null if it has none, and the
     highest priority in it."""
     keep = ["s", "d"] if keep is None else keep
-    points = checkpoints(edges.where(F.col("seed") == edges.agg(F.min("seed")).first()[0]) if "seed" in edges.columns else edges, wspec.step)
+    points = checkpoints(edges.select("t", "eid").distinct(), wspec.step)
     both = slots_at(assign_slots(edges, spec), points, spec, wspec.step, keep)
     a, b = F.col("a"), F.col("b")
     edge = F.when(a.isNull() | (b["priority"] >= a["priority"]), b).when(a["t"] >= F.col("cp_t") - spec.window, a)
@@ -136,7 +137,7 @@ def sample_lifetimes(edges: DataFrame, spec: SampleSpec, keep: list[str] | None
     here = ["seed", "grp", "slot", "slice"]
     order = Window.partitionBy(*here).orderBy("t", "eid")
     records = slotted.withColumn("before", F.max("priority").over(order.rowsBetween(Window.unboundedPreceding, -1))).where("before IS NULL OR priority >= before")
-    records = records.withColumn("next_record", F.lead("arrival").over(order)).select(*here, "priority", "t", "eid", *keep, "arrival", "next_record")
+    records = stored(records.withColumn("next_record", F.lead("arrival").over(order)).select(*here, "priority", "t", "eid", *keep, "arrival", "next_record"))
     tops = records.where("next_record IS NULL").select("seed", "grp", "slot", (F.col("slice") + 1).alias("slice"), F.col("priority").alias("top_before"))
     # records of the next slice are what can replace: of them, the first with at least the own priority
     following = records.select("seed", "grp", "slot", (F.col("slice") - 1).alias("slice"), F.col("priority").alias("next_priority"), F.col("arrival").alias("next_arrival"))
@@ -144,8 +145,8 @@ def sample_lifetimes(edges: DataFrame, spec: SampleSpec, keep: list[str] | None
     times = edges.groupBy("t").agg(F.min("eid").alias("eid"))
     switch_at = F.expr(f"{slice_start_sql('grp', spec)} + {spec.window} * (slice + 1)")
     rows = records.join(tops, here, "left").join(beaten, [*here, "arrival"], "left").withColumns({"switch_x": switch_at, "expire_x": F.col("t") + spec.window + 1})
-    asked = rows.select(F.col("switch_x").alias("x")).unionByName(rows.select(F.col("expire_x").alias("x")))
-    found = first_arrivals(times, asked, spec.window)
+    asked = records.select(switch_at.alias("x")).unionByName(records.select((F.col("t") + spec.window + 1).alias("x")))
+    found = stored(first_arrivals(times, asked, spec.window))
     rows = rows.join(found.select(F.col("x").alias("switch_x"), F.col("at").alias("switch")), "switch_x").join(found.select(F.col("x").alias("expire_x"), F.col("at").alias("expiry")), "expire_x")
     own = F.col("top_before").isNull() | (F.col("priority") >= F.col("top_before"))
     promoted = F.col("next_record").isNull() & F.col("switch").isNotNull() & (F.col("t") >= F.col("switch")["t"] - spec.window)

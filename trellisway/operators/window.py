@@ -64,12 +64,11 @@ def window_deltas(edges: DataFrame, spec: WindowSpec) -> DataFrame:
     once, counted in at its first checkpoint and out after its last; then changes are summed along the checkpoints."""
     w = spec.window
     near = edges.select("t", "eid", "s", "d", F.explode(F.sequence(F.expr(f"t div {w}"), F.expr(f"t div {w} + 1"))).alias("chunk"))
-    side = lambda k: near.select(*[F.col(c).alias(f"{c}{k}") for c in ("t", "eid", "s", "d")], "chunk")
-    a, b, c = side(1), side(2), side(3)
-    # all three lie in the two chunks that begin with the oldest one's; it is counted in the chunk after its own
-    wedges = a.join(b, (a["chunk"] == b["chunk"]) & (F.col("d1") == F.col("s2")) & (F.abs(F.col("t1") - F.col("t2")) <= w)).drop(b["chunk"])
-    found = wedges.join(c, (wedges["chunk"] == c["chunk"]) & (F.col("s1") == F.col("s3")) & (F.col("d2") == F.col("d3")), "inner").drop(c["chunk"])
-    arrivals = F.array(*[F.struct(F.col(f"t{k}").alias("t"), F.col(f"eid{k}").alias("eid")) for k in (1, 2, 3)])
+    side = lambda s, d, k: near.select("chunk", F.col("s").alias(s), F.col("d").alias(d), F.struct("t", "eid").alias(f"e{k}"))
+    # all three lie in the chunk after the oldest one's own, and are counted there
+    wedges = side("x", "y", 1).join(side("y", "z", 2), ["chunk", "y"]).where(F.abs(F.col("e1.t") - F.col("e2.t")) <= w)
+    found = wedges.join(side("x", "z", 3), ["chunk", "x", "z"])
+    arrivals = F.array("e1", "e2", "e3")
     spans = found.select("chunk", F.array_max(arrivals).alias("last"), F.array_min(arrivals)["t"].alias("first")).where((F.col("last.t") - F.col("first") <= w) & (F.col("chunk") == F.expr(f"first div {w} + 1")))
     points = checkpoints(edges, spec.step)
     alive = seen_from(spans, points, spec, "last", "first")

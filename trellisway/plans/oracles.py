@@ -97,7 +97,7 @@ def _states(base: str, wspec, spec) -> str:
   SELECT seed, cp, grp, count(edge) AS valid, count(*) AS occ, {m} - count(*) + sum(pow(2.0::DOUBLE, -{rho_sql("top")})) AS q FROM st GROUP BY ALL
 ), sz AS (
   SELECT seed, cp, sum(valid)::BIGINT AS n,
-         sum((CASE WHEN {alpha!r} * {m * m} / q < {2.5 * m} AND occ < {m} THEN -ln(1 - occ::DOUBLE / {m}) * {m} ELSE {alpha!r}::DOUBLE * {m * m} / q END) * valid / occ) AS edges
+         sum((CASE WHEN {alpha!r}::DOUBLE * {m * m} / q < {2.5 * m} AND occ < {m} THEN -ln(1 - occ::DOUBLE / {m}) * {m} ELSE {alpha!r}::DOUBLE * {m * m} / q END) * valid / occ) AS edges
   FROM gr GROUP BY ALL
 ), pz AS (
   SELECT *, CASE WHEN n > 3 AND edges > 3 THEN n / edges * (n - 1) / (edges - 1) * (n - 2) / (edges - 2) END AS p FROM sz
@@ -179,17 +179,70 @@ def _fixed_sliced() -> str:
   SELECT k.*, [k.t, k.eid] AS begun, CASE WHEN at_t IS NOT NULL THEN [at_t, at_eid] END AS ended, at_t IS NOT NULL AS expired
   FROM (SELECT *, t + {w + 1} AS x FROM se WHERE {draw_sql("eid", "seed", 1)} < {int(P * MODULUS)}) k ASOF LEFT JOIN tm ON k.x <= tm.at_t
 ), {_ENDS}, arr AS (
-  SELECT a.seed, [a.t, a.eid] AS at, ceil(least(f.t, g.t) / {_SL}.0)::BIGINT - 1 AS slice
+  SELECT a.seed, [a.t, a.eid] AS happened, ceil(least(f.t, g.t) / {_SL}.0)::BIGINT - 1 AS slice
   FROM se a JOIN en f ON f.seed = a.seed AND f.node = a.s AND f.begun < [a.t, a.eid] AND (f.ended IS NULL OR f.ended > [a.t, a.eid])
             JOIN en g ON g.seed = a.seed AND g.node = a.d AND g.other = f.other AND g.begun < [a.t, a.eid] AND (g.ended IS NULL OR g.ended > [a.t, a.eid])
 ), {_GONE}, runs AS (SELECT seed, cp, cp_t, cp_eid, {now} AS now FROM c CROSS JOIN (SELECT DISTINCT seed FROM se)), plus AS (
-  SELECT r.seed, cp, count(*) AS n FROM runs r JOIN arr ON arr.seed = r.seed AND at <= [cp_t, cp_eid] AND slice BETWEEN now - {SLICES} AND now GROUP BY ALL
+  SELECT r.seed, cp, count(*) AS n FROM runs r JOIN arr ON arr.seed = r.seed AND happened <= [cp_t, cp_eid] AND slice BETWEEN now - {SLICES} AND now GROUP BY ALL
 ), minus AS (
   SELECT r.seed, cp, count(*) AS n FROM runs r JOIN gone ON gone.seed = r.seed AND ended <= [cp_t, cp_eid] AND greatest(ceil(ended[1] / {_SL}.0)::BIGINT - 1, 0) = now GROUP BY ALL
 )
 SELECT seed, cp, round(greatest(coalesce(plus.n, 0) / {P**2} - coalesce(minus.n, 0) / {P**3}, 0), 6) AS estimate FROM runs LEFT JOIN plus USING (seed, cp) LEFT JOIN minus USING (seed, cp)"""
 
 
+def _chances(asked: str, name: str, spec) -> str:
+    """n and the estimate by definition at each asked moment (seed, t, eid, life: SQL for what counts as valid then)."""
+    m, alpha, w = spec.slots, spec.alpha, spec.window
+    return f"""{name}_ab AS (
+  SELECT q.seed, q.t, q.eid, q.x_t, q.x_eid, sl.grp, sl.slot,
+         max(sl.priority) FILTER (sl.slice = (q.now - (grp - {spec.groups}) * {w // spec.groups}) // {w} - 1) AS a, max(sl.priority) FILTER (sl.slice = (q.now - (grp - {spec.groups}) * {w // spec.groups}) // {w}) AS b
+  FROM {asked} q JOIN sl ON sl.seed = q.seed AND sl.t >= q.now - {2 * w} AND [sl.t, sl.eid] <= q.upto AND sl.slice >= (q.now - (grp - {spec.groups}) * {w // spec.groups}) // {w} - 1
+  GROUP BY ALL
+), {name}_occ AS (
+  SELECT seed, t, eid, x_t, x_eid, grp, count(*) AS occ, {m} - count(*) + sum(pow(2.0::DOUBLE, -{rho_sql("greatest(a, b)")})) AS q FROM {name}_ab WHERE a IS NOT NULL OR b IS NOT NULL GROUP BY ALL
+), {name}_valid AS (
+  SELECT q.seed, q.t, q.eid, q.x_t, q.x_eid, l.grp, count(*) AS valid FROM {asked} q JOIN life l ON l.seed = q.seed AND l.t >= q.now - {2 * w} AND {{still}} GROUP BY ALL
+), {name} AS (
+  SELECT seed, t, eid, x_t, x_eid, coalesce(n, 0)::BIGINT AS n, coalesce(edges, 0) AS edges,
+         CASE WHEN n > 1 AND edges > 1 THEN n / edges * (n - 1) / (edges - 1) END AS inc,
+         CASE WHEN n > 2 AND edges > 2 THEN n / edges * (n - 1) / (edges - 1) * (n - 2) / (edges - 2) END AS exp
+  FROM {asked} LEFT JOIN (
+    SELECT seed, t, eid, x_t, x_eid, sum(coalesce(valid, 0)) AS n,
+           sum((CASE WHEN {alpha!r}::DOUBLE * {m * m} / q < {2.5 * m} AND occ < {m} THEN -ln(1 - occ::DOUBLE / {m}) * {m} ELSE {alpha!r}::DOUBLE * {m * m} / q END) * coalesce(valid, 0) / occ) AS edges
+    FROM {name}_occ LEFT JOIN {name}_valid USING (seed, t, eid, x_t, x_eid, grp) GROUP BY ALL
+  ) USING (seed, t, eid, x_t, x_eid)
+)"""
+
+
+_MOMENTS = "am AS (SELECT seed, t, eid, -1 AS x_t, -1 AS x_eid, t AS now, [t, eid] AS upto FROM se)"
+_CHANCES = f"""WITH {_lives(_HAND_PLAIN, HAND_SAMPLE)}, {_MOMENTS}, {_chances("am", "chance", HAND_SAMPLE).format(still="l.begun <= q.upto AND (l.ended IS NULL OR l.ended > q.upto)")}"""
+
+
+def _cbs(correct: bool) -> str:
+    """Arrivals by definition; the uncorrected sum needs no chances of expiries. Those are taken before the arrival's own
+    slices and insertion, so the state is that of the arrival before it."""
+    lost = f"""moved AS (
+  SELECT DISTINCT g.seed, g.ended[1] AS t, g.ended[2] AS eid, g.t AS x_t, g.eid AS x_eid FROM gone g
+), before AS (
+  SELECT [t, eid] AS arrival, lag([t, eid]) OVER (ORDER BY t, eid) AS previous FROM e
+), xm AS (
+  SELECT seed, t, eid, x_t, x_eid, previous[1] AS now, previous AS upto FROM moved JOIN before ON arrival = [t, eid]
+), {_chances("xm", "fate", HAND_SAMPLE).format(still="l.begun <= q.upto AND (l.ended IS NULL OR l.ended > [q.t, q.eid] OR (l.ended = [q.t, q.eid] AND (NOT l.expired OR [l.t, l.eid] > [q.x_t, q.x_eid])))")}, minus AS (
+  SELECT r.seed, cp, sum(coalesce(1 / exp, 0)) AS n
+  FROM runs r JOIN gone g ON g.seed = r.seed AND g.ended <= [cp_t, cp_eid] AND greatest(ceil(g.ended[1] / {_SL}.0)::BIGINT - 1, 0) = now AND g.t > now * {_SL} - {HAND.window}
+       JOIN fate f ON f.seed = g.seed AND f.t = g.ended[1] AND f.eid = g.ended[2] AND f.x_t = g.t AND f.x_eid = g.eid GROUP BY ALL
+)"""
+    parts = f"""{_CHANCES}, {_ARRIVAL}, {_GONE}, runs AS (
+  SELECT seed, cp, cp_t, cp_eid, greatest(ceil(cp_t / {_SL}.0)::BIGINT - 1, 0) AS now FROM c CROSS JOIN (SELECT DISTINCT seed FROM se)
+), plus AS (
+  SELECT r.seed, cp, sum(coalesce(1 / inc, 0)) AS n FROM runs r JOIN arr a ON a.seed = r.seed AND [a.t, a.eid] <= [cp_t, cp_eid] AND ceil(oldest / {_SL}.0)::BIGINT - 1 BETWEEN now - {SLICES} AND now
+       JOIN chance k ON k.seed = a.seed AND k.t = a.t AND k.eid = a.eid GROUP BY ALL
+)""".replace("WITH ", f"WITH {_HAND_PLAIN}, {_points(HAND.step)}, ", 1).replace(f"{_HAND_PLAIN}, {_points(HAND.step)}, {_HAND_PLAIN}", f"{_HAND_PLAIN}, {_points(HAND.step)}")
+    if not correct:
+        return f"{parts} SELECT seed, cp, round(coalesce(plus.n, 0), 6) AS estimate FROM runs LEFT JOIN plus USING (seed, cp)"
+    return f"{parts}, {lost} SELECT seed, cp, round(coalesce(plus.n, 0) - coalesce(minus.n, 0), 6) AS estimate FROM runs LEFT JOIN plus USING (seed, cp) LEFT JOIN minus USING (seed, cp)"
+
+
 ORACLES: dict[str, str] = {
     "read_edges": f"WITH {_CO_RAW} SELECT s, d, t, count(*) AS n FROM co_raw GROUP BY ALL",
     "read_edges_directed": f"WITH {_HAND_RAW} SELECT s, d, t, bi, count(*) AS n FROM hand_raw GROUP BY ALL",
@@ -256,6 +309,9 @@ FROM c CROSS JOIN (SELECT DISTINCT seed FROM se) LEFT JOIN pz USING (seed, cp) L
     "sample_lifetimes": f"""WITH {_lives(_HAND_PLAIN, HAND_SAMPLE)} SELECT seed, grp, slot, priority, t, eid, begun[1] AS start_t, begun[2] AS start_eid, ended[1] AS end_t, ended[2] AS end_eid, expired FROM life""",
     "arrival_triangles": f"WITH {_lives(_HAND_PLAIN, HAND_SAMPLE)}, {_ARRIVAL} SELECT seed, t, eid, oldest, count(*) AS triangles FROM arr GROUP BY ALL",
     "expired_triangles": f"WITH {_lives(_HAND_PLAIN, HAND_SAMPLE)}, {_ENDS}, {_GONE} SELECT seed, t, eid, ended[1] AS at_t, ended[2] AS at_eid, count(*) AS triangles FROM gone GROUP BY ALL",
+    "pair_probability": f"{_CHANCES} SELECT seed, t, eid, n, round(edges, 6) AS edges, round(inc, 6) AS inc FROM chance",
+    "cbs_estimate": _cbs(True),
+    "cbs_estimate_uncorrected": _cbs(False),
     "replicate": f"WITH {_seeded(_CO, 10)} SELECT seed, count(*) AS edges FROM se GROUP BY seed",
     "relative_error": f"{_ERRORS} SELECT seed, cp, round(error, 6) AS error FROM err",
     "error_by_run": f"{_ERRORS}, {_RUNS} SELECT seed, round(avg_error, 6) AS avg_error, round(max_error, 6) AS max_error, undefined FROM runs",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trellisway.functions.materialize import stored
 from trellisway.operators import directed as dg
 from trellisway.operators import estimators as es
 from trellisway.operators import prepare as pr
@@ -109,8 +110,8 @@ def co_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hand_lives(spark: SparkSession, d: str, directed: bool = False) -> tuple[DataFrame, DataFrame]:
-    edges = hand_seeds(spark, d, directed)
-    return edges, sm.sample_lifetimes(edges, HAND_SAMPLE, ["s", "d", *["bi"] * directed])
+    edges = stored(hand_seeds(spark, d, directed))
+    return edges, stored(sm.sample_lifetimes(edges, HAND_SAMPLE, ["s", "d", *["bi"] * directed]))
 
 
 def sample_lifetimes(spark: SparkSession, d: str) -> DataFrame:
