@@ -3,8 +3,8 @@
 A document's set is its distinct `size`-word shingles; documents link when the Jaccard
 similarity of their sets is at least `percent` hundredths. The steps:
 
-1. sets: documents with equal sets are one class, found by a digest of the set. From here
-   on a class is one document, so thousands of copies cost what one does.
+1. classes: documents with equal word sequences have equal sets and are one class, found by
+   a digest. From here on a class is one document, so thousands of copies cost what one does.
 2. rare-first order: document frequencies of all shingles of the classes, counted in hash
    buckets; a batch sends each distinct shingle once and hears of those in two documents or
    more. Shingles of one document come first in the order and need no index.
@@ -36,14 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trellisway.llm.common import Words, batch_of, checkpointed, dealt, member, mix64, shuffle_width, slices, text_bytes, unique_counts
+from trellisway.llm.common import WORD_BASES, Words, batch_of, checkpointed, dealt, inverse, member, mix64, powers, shuffle_width, slices, text_bytes, unique_counts
 
 _RANGES = 32
 _MOST_DF = 65_535
 
 
-def shingle_sets(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(text numbers, shingle hashes) of distinct shingles, by text and hash; and how many texts. Texts of fewer words have all words as one."""
+def shingle_sets(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray, Words]:
+    """(text numbers, shingle hashes) of distinct shingles, text by text; and the words. Texts of fewer words have all words as one."""
     words = Words(texts, lower=True)
     at, hashes = words.windows(size)
     doc, token = [words.doc[at]], [hashes]
@@ -55,36 +55,39 @@ def shingle_sets(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.n
             doc.append(words.doc[at[short]])
             token.append(mix64(hashes[short], k))
     doc, token = np.concatenate(doc), np.concatenate(token)
-    order = np.lexsort((token, doc))
+    # by text, then by the upper bits of the hash: one sort of single numbers; a piece holds far fewer than 2^20 texts
+    order = np.argsort((doc.astype(np.uint64) << np.uint64(44)) | (token >> np.uint64(20)))
     doc, token = doc[order], token[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (token[1:] != token[:-1])
-    return doc[new], token[new], len(texts)
+    return doc[new], token[new], words
 
 
-def set_digests(doc: np.ndarray, token: np.ndarray, n: int) -> tuple[np.ndarray, list[bytes | None]]:
-    """(set sizes, 16-byte digests; null for empty sets)."""
-    sizes = np.bincount(doc, minlength=n).astype(np.int64)
-    full = np.flatnonzero(sizes)
-    starts = (np.cumsum(sizes) - sizes)[full]
-    sums = [np.add.reduceat(mix64(token, salt), starts) if len(full) else np.zeros(0, np.uint64) for salt in (21, 22)]
-    pair = np.stack([mix64(s + sizes[full].astype(np.uint64), 23) for s in sums], axis=1)
-    out: list[bytes | None] = [None] * n
-    for k, row in zip(full, pair, strict=True):
-        out[k] = row.tobytes()
-    return sizes, out
+def sequence_digests(words: Words) -> list[bytes | None]:
+    """16 bytes of each text's whole word sequence; null without words. Texts of equal sequences have equal sets."""
+    n, lo, hi = len(words.hash), words.first[:-1], words.first[1:]
+    out: list[bytes | None] = [None] * len(lo)
+    halves = []
+    for base in WORD_BASES:
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(words.hash * powers(base, n), out=sums[1:])
+        halves.append(mix64((sums[hi] - sums[lo]) * powers(inverse(base), n + 1)[lo] + (hi - lo).astype(np.uint64)))
+    pair = np.stack(halves, axis=1)
+    for k in np.flatnonzero(hi > lo):
+        out[k] = pair[k].tobytes()
+    return out
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, batches: int) -> DataFrame:
-    """(id, batch, key, n_shingles, digest) of every row; key is a hash of id and text."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, batches: int) -> DataFrame:
+    """(id, batch, key, digest) of every row; key is a hash of id and text."""
 
     def sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(parts, 3):
-            sizes, digests = set_digests(*shingle_sets(text_bytes(part.column(3)), size))
-            yield pa.record_batch([*part.columns[:3], pa.array(sizes), pa.array(digests, pa.binary())], names=schema.names)
+            digests = sequence_digests(Words(text_bytes(part.column(3)), lower=True))
+            yield pa.record_batch([*part.columns[:3], pa.array(digests, pa.binary())], names=schema.names)
 
-    kinds = [docs.schema[id_col].dataType, T.IntegerType(), T.LongType(), T.LongType(), T.BinaryType()]
-    schema = T.StructType([T.StructField(n, k) for n, k in zip(("id", "batch", "key", "n_shingles", "digest"), kinds, strict=True)])
+    kinds = [docs.schema[id_col].dataType, T.IntegerType(), T.LongType(), T.BinaryType()]
+    schema = T.StructType([T.StructField(n, k) for n, k in zip(("id", "batch", "key", "digest"), kinds, strict=True)])
     keys = (F.col(id_col), F.col(text_col))
     return docs.select(keys[0].alias("id"), batch_of(*keys, batches=batches).alias("batch"), F.xxhash64(*keys).alias("key"), keys[1].alias("body")).mapInArrow(sketch, schema)
 
@@ -97,32 +100,34 @@ _MESSAGE_ARROW = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("has
 
 def _representatives(mine: pa.Table, homes: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """(text numbers from 0, shingles, set sizes, digests) of the classes whose home is this batch."""
-    doc, token, n = shingle_sets(text_bytes(mine["body"]) if len(mine) else [], size)
-    sizes, digests = set_digests(doc, token, n)
-    wanted, chosen = set(homes["digest"].to_pylist()) if len(homes) else set(), []
-    for k, d in enumerate(digests):
+    bodies = text_bytes(mine["body"]) if len(mine) else []
+    wanted, chosen, names = set(homes["digest"].to_pylist()) if len(homes) else set(), [], []
+    for k, d in enumerate(sequence_digests(Words(bodies, lower=True))):
         if d in wanted:
             wanted.discard(d)
-            chosen.append(k)
-    number = np.full(n, -1)
-    number[chosen] = np.arange(len(chosen))
-    take = number[doc] >= 0 if n else np.zeros(0, bool)
-    return number[doc[take]], token[take], sizes[chosen], [digests[k] for k in chosen]
+            chosen.append(bodies[k])
+            names.append(d)
+    doc, token, _ = shingle_sets(chosen, size)
+    return doc, token, np.bincount(doc, minlength=len(chosen)).astype(np.int64), names
 
 
 def _frequencies(table: pa.Table) -> pa.Table:
     """In a bucket: the document frequency of each hash; batches hear of those of two and more."""
     sent = [np.frombuffer(x, np.uint32) for x in table["hashes"].to_pylist()]
-    times = [np.frombuffer(x, np.uint16).astype(np.int64) for x in table["times"].to_pylist()]
-    distinct = np.unique(np.concatenate(sent))
-    total = np.zeros(len(distinct), np.int64)
-    for s, t in zip(sent, times, strict=True):
-        total[np.searchsorted(distinct, s)] += t
-    out = []
+    every = np.concatenate(sent)
+    times = np.concatenate([np.frombuffer(x, np.uint16) for x in table["times"].to_pylist()]).astype(np.int64)
+    order = np.argsort(every)
+    ordered = every[order]
+    at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    total = np.minimum(np.add.reduceat(times[order], at), _MOST_DF).astype(np.uint16)
+    df = np.empty(len(every), np.uint16)
+    df[order] = np.repeat(total, np.diff(np.concatenate([at, [len(every)]])))
+    out, done = [], 0
     for batch, s in zip(table["batch"].to_pylist(), sent, strict=True):
-        df = total[np.searchsorted(distinct, s)]
-        if (df > 1).any():
-            out.append((table["bucket"][0].as_py(), batch, s[df > 1].tobytes(), np.minimum(df[df > 1], _MOST_DF).astype(np.uint16).tobytes()))
+        own = df[done : done + len(s)]
+        done += len(s)
+        if (own > 1).any():
+            out.append((table["bucket"][0].as_py(), batch, s[own > 1].tobytes(), own[own > 1].tobytes()))
     return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * 4, _MESSAGE_ARROW, strict=True)], schema=_MESSAGE_ARROW)
 
 
@@ -130,7 +135,8 @@ _INDEXED = "cid binary, n int, tokens binary, prefix array<struct<token:bigint,p
 
 
 def indexed_classes(rows: DataFrame, homes: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
-    """Classes that share a prefix shingle with another: cid, set size n, shared shingles, prefix, and counts in ranges."""
+    """Every class with its set size n; those whose prefix has a shingle of another class also with their shared
+    shingles (by hash), the shared part of the prefix with places, and the set's counts in ranges of hashes."""
 
     def send(mine: pa.Table, home: pa.Table) -> pa.Table:
         if not len(mine) or not len(home):
@@ -142,33 +148,39 @@ def indexed_classes(rows: DataFrame, homes: DataFrame, size: int, percent: int,
         cut = [slice(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)] if len(distinct) else []
         return pa.table([pa.array(bucket.astype(np.int32)), pa.array(np.full(len(cut), mine["batch"][0].as_py(), np.int32)), pa.array([low[s].tobytes() for s in cut], pa.binary()), pa.array([times[s].tobytes() for s in cut], pa.binary())], schema=_MESSAGE_ARROW)
 
+    names = ["cid", "n", "tokens", "prefix", "ranges"]
+    kinds = [pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())])), pa.list_(pa.int32())]
+
     def index(mine: pa.Table, told: pa.Table) -> pa.Table:
         home = told.filter(pc.is_valid(told["digest"])) if len(told) else told
         said = told.filter(pc.is_null(told["digest"])) if len(told) else told
-        out = []
-        if len(mine) and len(home) and len(said):
-            doc, token, sizes, digests = _representatives(mine, home, size)
+        if not len(mine) or not len(home):
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        doc, token, sizes, digests = _representatives(mine, home, size)
+        out: list[tuple] = [(d, n, None, None, None) for d, n in zip(digests, sizes.tolist(), strict=True)]
+        if len(said):
             key = ((token >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (token & np.uint64(0xFFFFFFFF))
             known = np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(h, np.uint32).astype(np.uint64) for b, h in zip(said["bucket"].to_pylist(), said["hashes"].to_pylist(), strict=True)])
             freq = np.concatenate([np.frombuffer(t, np.uint16) for t in said["times"].to_pylist()])
             order = np.argsort(known)
             known, freq = known[order], freq[order]
             at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            df = np.where(known[at] == key, freq[at], 1)
+            shared = np.flatnonzero(known[at] == key)
+            df = freq[at[shared]]
+            # shingles of one document come first in the order, so the prefix of most documents has no other
+            many = np.bincount(doc[shared], minlength=len(sizes))
+            alone, lead = sizes - many, sizes - (-(-percent * sizes // 100)) + 1
+            open_ = (alone < lead)[doc[shared]]
+            shared, df = shared[open_], df[open_]
+            s_doc, s_token = doc[shared], token[shared]
             ranges = np.bincount(doc * _RANGES + (token >> np.uint64(59)).astype(np.int64), minlength=len(sizes) * _RANGES).reshape(-1, _RANGES)
-            order = np.lexsort((token, df, doc))
-            doc_, token_, df_ = doc[order], token[order], df[order]
-            first = np.cumsum(sizes) - sizes
-            pos = np.arange(len(doc_)) - first[doc_]
-            lead = sizes - (-(-percent * sizes // 100)) + 1
-            pick = np.flatnonzero((pos < lead[doc_]) & (df_ > 1))
-            bounds = np.searchsorted(doc_[pick], np.arange(len(sizes) + 1))
+            by_hash, by_df = np.lexsort((s_token, s_doc)), np.lexsort((s_token, df, s_doc))
+            bounds = np.searchsorted(s_doc, np.arange(len(sizes) + 1))
             for k in np.flatnonzero(np.diff(bounds)):
-                p = pick[bounds[k] : bounds[k + 1]]
-                own = slice(first[k], first[k] + sizes[k])  # by text and hash before the new order
-                out.append((digests[k], int(sizes[k]), token[own][df[own] > 1].tobytes(), [{"token": t, "pos": i} for t, i in zip(token_[p].view(np.int64).tolist(), pos[p].tolist(), strict=True)], ranges[k].tolist()))
-        kinds = [pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())])), pa.list_(pa.int32())]
-        return pa.table([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=["cid", "n", "tokens", "prefix", "ranges"])
+                own = slice(bounds[k], bounds[k + 1])
+                first = s_token[by_df[own]][: lead[k] - alone[k]].view(np.int64).tolist()
+                out[k] = (digests[k], int(sizes[k]), s_token[by_hash[own]].tobytes(), [{"token": t, "pos": int(alone[k]) + i} for i, t in enumerate(first)], ranges[k].tolist())
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=names)
 
     by_batch = rows.groupBy("batch")
     messages = by_batch.cogroup(homes.groupBy("batch")).applyInArrow(send, _MESSAGE)
@@ -181,22 +193,33 @@ def indexed_classes(rows: DataFrame, homes: DataFrame, size: int, percent: int,
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """(node, component) of the nodes of links (a, b): the smallest node reachable. Alternates connecting larger
-    neighbours and smaller ones to the smallest, until nothing moves; every round is written to the checkpoint folder."""
+    """(node, component) of the nodes of links (a, b), where component is one node of each.
+
+    Rounds: each node hangs on its smallest smaller neighbour; paths are halved until all hang on roots; links between
+    roots are the next round's graph. Every round at least halves the nodes, and each step is written to the checkpoint folder."""
     edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    labels = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(smallest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(smallest.select("a", F.col("m").alias("b")))
-        edges = checkpointed(small.distinct())
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state == seen:
+        hung = checkpointed(edges.groupBy("a").agg(F.min("b").alias("b")))
+        while True:
+            above = hung.select(F.col("a").alias("b"), F.col("b").alias("c"))
+            raised = checkpointed(hung.join(above, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")))
+            hung = raised.select("a", "b")
+            if not raised.where("moved").limit(1).count():
+                break
+        roots = hung.select(F.col("a").alias("x"), F.col("b").alias("root"))
+        if labels is None:
+            labels = hung.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        else:
+            moved = labels.join(roots, labels["component"] == roots["x"], "left").select("node", F.coalesce("root", "component").alias("component"))
+            labels = checkpointed(moved.unionByName(roots.select(F.col("x").alias("node"), F.col("root").alias("component"))))
+        one = edges.join(roots, F.col("a") == F.col("x"), "left").select(F.coalesce("root", "a").alias("a"), "b")
+        two = one.join(roots, F.col("b") == F.col("x"), "left").select("a", F.coalesce("root", "b").alias("b")).where("a <> b")
+        edges = checkpointed(two.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        if not edges.limit(1).count():
             break
-        seen = state
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    # a root of one round that hung on another later is there with both; only the last names count
+    return checkpointed(labels.unionByName(labels.select(F.col("component").alias("node"), "component")).distinct())
 
 
 def _passes(n: str, i: str, m: str, j: str, percent: int):
@@ -259,24 +282,24 @@ def class_components(classes: DataFrame, percent: int, all_at_once: int = 16, he
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, salts: int = 16) -> DataFrame:
     """A row for each document: id, key (a hash of id and text), n_shingles, component_id (smallest id of its
-    near-duplicate class), component (a name of the class; null without shingles), and digest of its set."""
+    near-duplicate class), and component (a name of the class; null without shingles)."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be in 1 to 100")
     width = shuffle_width(docs.sparkSession)
     batches, buckets = 2 * width, max(1, width // 2)
-    every = checkpointed(sketches(docs, id_col, text_col, size, batches))
+    every = checkpointed(sketches(docs, id_col, text_col, batches))
     classes = every.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least"), F.min("batch").alias("batch"))
     rows = docs.select(batch_of(F.col(id_col), F.col(text_col), batches=batches).alias("batch"), F.col(text_col).alias("body"))
     indexed = checkpointed(indexed_classes(rows, classes.select("batch", "digest"), size, percent, buckets))
-    found = class_components(indexed, percent)
-    named = classes.select("digest", "least").join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    found = class_components(indexed.where("tokens IS NOT NULL"), percent)
+    sized = classes.select("digest", "least").join(indexed.select(F.col("cid").alias("digest"), "n"), "digest")
+    named = sized.join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = named.select("digest", "component").join(names, "component").select("digest", "component", "component_id")
-    copies = known.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = named.select("digest", "n", "component").join(names, "component").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt_out = every.withColumn("salt", F.pmod(F.xxhash64("id", "batch"), F.lit(salts)).cast("int"))
     back = dealt_out.join(copies, (dealt_out["digest"] == copies["digest"]) & (F.col("salt") == F.col("copy")), "left")
-    digest = dealt_out["digest"]
-    return back.select("id", "key", "n_shingles", F.when(digest.isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "component", digest.alias("digest"))
+    alone = dealt_out["digest"].isNull()
+    return back.select("id", "key", F.coalesce(F.col("n").cast("long"), F.lit(0).cast("long")).alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:

@@ -64,7 +64,7 @@ class Encoder:
         self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = pa.array([x or "" for x in texts.to_pylist()], pa.large_string())  # not a slice: some string kernels misread their offsets
         whole = np.flatnonzero(pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False))
         # a comma or full stop after a letter is a token of its own either way; apart, there are fewer distinct words
         plain = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z0-9à-öø-ÿ])([.,;:!?])(\s|$)", r"\1 \2\3")
