@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from trellisway.functions.mix import MODULUS, draw_sql, rho_sql
+from trellisway.operators.estimators import CLOSINGS
 from trellisway.plans.queries import CO, CO_SAMPLE, HAND, HAND_SAMPLE, SEEDS, SLICES, P
 
 # ---------------------------------------------------------------- parts
@@ -243,6 +244,44 @@ def _cbs(correct: bool) -> str:
     return f"{parts}, {lost} SELECT seed, cp, round(coalesce(plus.n, 0) - coalesce(minus.n, 0), 6) AS estimate FROM runs LEFT JOIN plus USING (seed, cp) LEFT JOIN minus USING (seed, cp)"
 
 
+def _cbs_typed() -> str:
+    """As _cbs, with the neighbours' directions and the pairs of directions that close each type."""
+    rules = ", ".join(f"({bi}, '{f}', '{g}', {k})" for k, rows in CLOSINGS.items() for bi, f, g in rows)
+    still = _STILL.format(f="f"), _STILL.format(f="g")
+    return f"""WITH {_lives(_HAND, HAND_SAMPLE, ", bi")}, {_points(HAND.step)}, {_MOMENTS},
+{_chances("am", "chance", HAND_SAMPLE).format(still="l.begun <= q.upto AND (l.ended IS NULL OR l.ended > q.upto)")}, rules(bi, f_dir, g_dir, type) AS (VALUES {rules}), en AS (
+  SELECT seed, s AS node, d AS other, CASE WHEN bi THEN 'bi' ELSE 'out' END AS dir, t, eid, begun, ended, expired FROM life
+  UNION ALL SELECT seed, d, s, CASE WHEN bi THEN 'bi' ELSE 'in' END, t, eid, begun, ended, expired FROM life
+), arr AS (
+  SELECT a.seed, a.t, a.eid, type, least(a.t, f.t, g.t) AS oldest
+  FROM se a JOIN en f ON f.seed = a.seed AND f.node = a.s AND f.begun <= [a.t, a.eid] AND (f.ended IS NULL OR f.ended > [a.t, a.eid])
+            JOIN en g ON g.seed = a.seed AND g.node = a.d AND g.other = f.other AND g.begun <= [a.t, a.eid] AND (g.ended IS NULL OR g.ended > [a.t, a.eid])
+            JOIN rules r ON r.bi = a.bi AND r.f_dir = f.dir AND r.g_dir = g.dir
+), gone AS (
+  SELECT x.seed, x.t, x.eid, x.ended, type FROM life x JOIN en f ON f.seed = x.seed AND f.node = x.s AND {still[0]}
+         JOIN en g ON g.seed = x.seed AND g.node = x.d AND g.other = f.other AND {still[1]}
+         JOIN rules r ON r.bi = x.bi AND r.f_dir = f.dir AND r.g_dir = g.dir
+  WHERE x.expired
+), runs AS (
+  SELECT seed, cp, cp_t, cp_eid, greatest(ceil(cp_t / {_SL}.0)::BIGINT - 1, 0) AS now FROM c CROSS JOIN (SELECT DISTINCT seed FROM se)
+), plus AS (
+  SELECT r.seed, cp, type, sum(coalesce(1 / inc, 0)) AS n FROM runs r JOIN arr a ON a.seed = r.seed AND [a.t, a.eid] <= [cp_t, cp_eid] AND ceil(oldest / {_SL}.0)::BIGINT - 1 BETWEEN now - {SLICES} AND now
+       JOIN chance k ON k.seed = a.seed AND k.t = a.t AND k.eid = a.eid GROUP BY ALL
+), moved AS (
+  SELECT DISTINCT g.seed, g.ended[1] AS t, g.ended[2] AS eid, g.t AS x_t, g.eid AS x_eid FROM gone g
+), before AS (
+  SELECT [t, eid] AS arrival, lag([t, eid]) OVER (ORDER BY t, eid) AS previous FROM e
+), xm AS (
+  SELECT seed, t, eid, x_t, x_eid, previous[1] AS now, previous AS upto FROM moved JOIN before ON arrival = [t, eid]
+), {_chances("xm", "fate", HAND_SAMPLE).format(still="l.begun <= q.upto AND (l.ended IS NULL OR l.ended > [q.t, q.eid] OR (l.ended = [q.t, q.eid] AND (NOT l.expired OR [l.t, l.eid] > [q.x_t, q.x_eid])))")}, minus AS (
+  SELECT r.seed, cp, type, sum(coalesce(1 / exp, 0)) AS n
+  FROM runs r JOIN gone g ON g.seed = r.seed AND g.ended <= [cp_t, cp_eid] AND greatest(ceil(g.ended[1] / {_SL}.0)::BIGINT - 1, 0) = now AND g.t > now * {_SL} - {HAND.window}
+       JOIN fate f ON f.seed = g.seed AND f.t = g.ended[1] AND f.eid = g.ended[2] AND f.x_t = g.t AND f.x_eid = g.eid GROUP BY ALL
+)
+SELECT seed, cp, type::INT AS type, round(coalesce(plus.n, 0) - coalesce(minus.n, 0), 6) AS estimate
+FROM runs CROSS JOIN range(7) x(type) LEFT JOIN plus USING (seed, cp, type) LEFT JOIN minus USING (seed, cp, type)"""
+
+
 ORACLES: dict[str, str] = {
     "read_edges": f"WITH {_CO_RAW} SELECT s, d, t, count(*) AS n FROM co_raw GROUP BY ALL",
     "read_edges_directed": f"WITH {_HAND_RAW} SELECT s, d, t, bi, count(*) AS n FROM hand_raw GROUP BY ALL",
@@ -312,6 +351,7 @@ FROM c CROSS JOIN (SELECT DISTINCT seed FROM se) LEFT JOIN pz USING (seed, cp) L
     "pair_probability": f"{_CHANCES} SELECT seed, t, eid, n, round(edges, 6) AS edges, round(inc, 6) AS inc FROM chance",
     "cbs_estimate": _cbs(True),
     "cbs_estimate_uncorrected": _cbs(False),
+    "cbs_directed_estimate": _cbs_typed(),
     "replicate": f"WITH {_seeded(_CO, 10)} SELECT seed, count(*) AS edges FROM se GROUP BY seed",
     "relative_error": f"{_ERRORS} SELECT seed, cp, round(error, 6) AS error FROM err",
     "error_by_run": f"{_ERRORS}, {_RUNS} SELECT seed, round(avg_error, 6) AS avg_error, round(max_error, 6) AS max_error, undefined FROM runs",
