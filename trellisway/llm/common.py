@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,9 +26,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of `df`, written once to the shared checkpoint folder; the lineage ends there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows of `df`, written once as a table in the shared checkpoint folder; lineage and plan end there.
+
+    A table and not checkpoint(): that hands its plan's constraints on, and loops make these grow without end."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -93,6 +99,21 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def spellings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of each word data[start:end]: polynomials of coded bytes, by prefix sums over pieces of bounded length."""
+    out = np.empty(len(start), np.uint64)
+    step, i = 1 << 20, 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + step, side="right")))
+        lo, hi = start[i], end[j - 1]
+        n = int(hi - lo)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE_CODES[data[lo:hi]] * powers(_BYTE_BASE, n), out=sums[1:])
+        out[i:j] = (sums[end[i:j] - lo] - sums[start[i:j] - lo]) * powers(inverse(_BYTE_BASE), n + 1)[start[i:j] - lo]
+        i = j
+    return mix64(out + (end - start).astype(np.uint64) * _PRIME)
+
+
 class Words:
     """The words of a run of texts: `doc` is each word's text, `start` and `end` its bytes, `hash` 64 bits of its spelling."""
 
@@ -109,22 +130,7 @@ class Words:
         self.end = np.flatnonzero(edge == 1)
         self.doc = np.searchsorted(self.text_start, self.start, side="right") - 1
         self.first = np.searchsorted(self.doc, np.arange(len(parts) + 1))  # each text's first word, and one end more
-        self.hash = self._spellings()
-
-    def _spellings(self) -> np.ndarray:
-        """Polynomials of coded bytes, by prefix sums over pieces of bounded length, so that powers stay few."""
-        out = np.empty(len(self.start), np.uint64)
-        step = 1 << 20
-        i = 0
-        while i < len(self.start):
-            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + step, side="right")))
-            lo, hi = self.start[i], self.end[j - 1]
-            n = int(hi - lo)
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE_CODES[self.data[lo:hi]] * powers(_BYTE_BASE, n), out=sums[1:])
-            out[i:j] = (sums[self.end[i:j] - lo] - sums[self.start[i:j] - lo]) * powers(inverse(_BYTE_BASE), n)[self.start[i:j] - lo]
-            i = j
-        return mix64(out + (self.end - self.start).astype(np.uint64) * _PRIME)
+        self.hash = spellings(data, self.start, self.end)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

@@ -32,11 +32,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trellisway.llm.common import checkpointed, shuffle_width, slices
+from trellisway.llm.common import checkpointed, member, shuffle_width, slices, spellings
 
 #: Texts with these are encoded whole: combining marks may join over a change of case, and "<|" may begin a special token.
 _WHOLE = r"<\||[\x{0300}-\x{036F}]"
-_MOST_CACHED = 300_000
+#: Words that a worker process keeps the ids of, from task to task; beyond it the table starts anew.
+_MOST_CACHED = 1_500_000
 
 
 class Encoder:
@@ -52,16 +53,34 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def _learn(self, words: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        starts = np.cumsum(lengths) - lengths + len(self.ids)
-        self.place.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))])
-        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+        """Known words, by the hash of their spelling: where their ids are, and how many."""
+        self.keys, self.starts, self.lengths, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        blocks, lengths = [], []
+        for at in range(0, len(words), 5000):
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(words[at : at + 5000], add_special_tokens=False)]
+            lengths += map(len, found)
+            blocks.append(np.fromiter((i for x in found for i in x), np.uint32))
+        count = np.array(lengths, np.int32)
+        starts = np.cumsum(count, dtype=np.int64) - count + len(self.ids)
+        self.ids = np.concatenate([self.ids, *blocks])
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.starts, self.lengths = np.insert(self.keys, at, keys[order]), np.insert(self.starts, at, starts[order]), np.insert(self.lengths, at, count[order])
+
+    def _find(self, distinct: pa.Array) -> np.ndarray:
+        """Places of the distinct words among the known ones, after learning the new."""
+        distinct = distinct.cast(pa.large_binary())
+        bounds = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
+        data = np.frombuffer(distinct.buffers()[2], np.uint8) if distinct.buffers()[2] else np.zeros(0, np.uint8)
+        keys = spellings(data, bounds[:-1], bounds[1:])
+        if len(self.keys) + len(keys) > _MOST_CACHED:
+            self._clear()
+        new = np.flatnonzero(~member(keys, self.keys))
+        if len(new):
+            self._learn(keys[new], [x.decode() for x in distinct.take(pa.array(new)).to_pylist()])
+        return np.searchsorted(self.keys, keys)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         texts = pa.array([x or "" for x in texts.to_pylist()], pa.large_string())  # not a slice: some string kernels misread their offsets
@@ -70,13 +89,8 @@ class Encoder:
         plain = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z0-9à-öø-ÿ])([.,;:!?])(\s|$)", r"\1 \2\3")
         split = pc.ascii_split_whitespace(plain)
         words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        if len(self.place) + len(distinct) > _MOST_CACHED:
-            self._clear()
-        if new := [w for w in distinct if w not in self.place]:
-            self._learn(new)
-        at = np.fromiter((self.place[w] for w in distinct), np.int64, len(distinct))[words.indices.to_numpy()]
-        lengths = self.lengths[at]
+        at = self._find(words.dictionary)[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        lengths = self.lengths[at].astype(np.int64)
         ends = np.cumsum(lengths)
         ids = self.ids[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
@@ -86,6 +100,16 @@ class Encoder:
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this worker process."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]): each text's ids and the end id, cut into pieces of `capacity`."""
     if capacity < 1:
@@ -94,8 +118,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     schema = T.StructType([*kinds, *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
-        for batch in slices(batches, 1):
+        encoder = encoder_of(tokenizer)
+        for batch in slices(batches, 1, 1 << 21):
             rows = []
             for k, ids in enumerate(encoder.encode(batch.column(1))):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trellisway.llm.common import Words, mix64, slices
+from trellisway.llm.common import Words, mix64, slices, spellings
 
 # The letters of the model, after the boundary, which is 0.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâäçèéêëíîïñóôöùúûüœæ"
@@ -190,9 +190,7 @@ class Restored:
         docs.append(np.fromiter((extra[k][0] for k in more.doc), np.int64, len(more.doc)))
         hashes = []
         for words, (a, b) in ((plain, spans), (more, (more.start, more.end))):
-            part = Words.__new__(Words)
-            part.data, part.start, part.end = words.data, a, b
-            hashes.append(np.stack([mix64(part._spellings(), 1), _first_bytes(words, a, b, 4), _first_bytes(words, a, b, 5)]))
+            hashes.append(np.stack([mix64(spellings(words.data, a, b), 1), _first_bytes(words, a, b, 4), _first_bytes(words, a, b, 5)]))
         self.doc, self.hashes, self.n = np.concatenate(docs), np.concatenate(hashes, axis=1), len(texts)
         order = np.argsort(self.doc, kind="stable")
         self.doc, self.hashes = self.doc[order], self.hashes[:, order]
