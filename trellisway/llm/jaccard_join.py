@@ -13,8 +13,9 @@ similarity of their sets is at least `percent` hundredths. The steps:
    filters (the last on counts of the hash-ordered set in ranges), and each is verified once.
 4. classes: each shingle's list first meets its smallest member only. Lists whose members
    are in one component by then are done. In the others, members outside the list's largest
-   component meet the whole list: all at once if these pairs are few, else some members a
-   round until none is left. So pairs inside a component that is known are skipped and all
+   component meet the whole list: all at once if these pairs are few. Else they meet some of
+   the largest component, while that helps; then some of them a round meet the whole list
+   and leave it. So pairs inside a component that is known are skipped and all
    others are looked at; the components are exact, without a group's square of pairs.
 
 No group is gathered: lists exist as rows only, their sums are made before the shuffle, and
@@ -246,38 +247,43 @@ def verified_links(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
     return full.select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b").mapInArrow(compare, "a binary, b binary")
 
 
-def class_components(classes: DataFrame, percent: int, all_at_once: int = 16, heads: int = 8) -> DataFrame | None:
+def class_components(classes: DataFrame, percent: int, all_at_once: int = 24, heads: int = 32) -> DataFrame | None:
     """(node, component) of classes that link with another, exactly; null if none does."""
     lists = classes.select("cid", "n", F.explode("prefix").alias("p")).select("cid", "n", "p.token", "p.pos")
     first = lists.groupBy("token").agg(F.min(F.struct("cid", "n", "pos")).alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", F.col("h.cid").alias("head"), F.col("h.n").alias("head_n"), F.col("h.pos").alias("head_pos"))
     met = lists.join(first, "token").where(F.col("cid") != F.col("head")).where(_passes("n", "pos", "head_n", "head_pos", percent))
-    tried = checkpointed(met.select(F.col("cid").alias("a"), F.col("head").alias("b")).distinct())
+    tried = checkpointed(met.select(F.greatest("cid", "head").alias("a"), F.least("cid", "head").alias("b")).distinct())
     links = checkpointed(verified_links(tried, classes, percent))
     # a head has met its whole list, whatever came of it
     left = lists.join(first.select("token", F.col("head").alias("cid")), ["token", "cid"], "left_anti")
+    before = None
     while True:
         found = connected_components(links)
         labelled = checkpointed(left.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))
         sizes = labelled.groupBy("token", "component").agg(F.count(F.lit(1)).alias("s"))
         state = sizes.groupBy("token").agg(F.sum("s").alias("m"), F.max(F.struct("s", "component")).alias("top")).where("m > top.s").select("token", "m", F.col("top.s").alias("s"), F.col("top.component").alias("largest"))
         state = checkpointed(state)
-        cost, rows = state.agg(F.sum(F.expr("(m - s) * m")), F.sum("m")).first()
+        cost, rows, outside_rows = state.agg(F.sum(F.expr("(m - s) * m")), F.sum("m"), F.sum(F.expr("m - s"))).first()
         if not rows:
             return found
         active = labelled.join(state.select("token", "largest"), "token")
-        outside = active.where("component <> largest").select("token", F.col("cid").alias("x"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"), F.col("component").alias("x_component"))
         whole = cost <= all_at_once * rows
+        # some of the largest component meet all others first, as most others link with one of a few; once that helps
+        # little, some of the others meet their whole list and leave it
+        probe = not whole and (before is None or outside_rows <= 0.75 * before)
+        before = outside_rows
+        side = active.where("component = largest" if probe else "component <> largest").select("token", F.col("cid").alias("x"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"), F.col("component").alias("x_component"))
         if not whole:
             salt = F.pmod(F.xxhash64("x"), F.lit(heads))
-            outside = outside.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("x", "x_n", "x_pos", "x_component")).alias("h")).select("token", "h.*")
-            outside = checkpointed(outside)
-        met = active.join(outside, "token").where("component <> x_component").where(_passes("n", "pos", "x_n", "x_pos", percent))
-        pairs = met.select(F.greatest("cid", "x").alias("a"), F.least("cid", "x").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
+            side = checkpointed(side.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("x", "x_n", "x_pos", "x_component")).alias("h")).select("token", "h.*"))
+        met = active.join(side, "token").where("component <> x_component").where(_passes("n", "pos", "x_n", "x_pos", percent))
+        pairs = checkpointed(met.select(F.greatest("cid", "x").alias("a"), F.least("cid", "x").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
         tried, links = tried.unionByName(pairs), links.unionByName(checkpointed(verified_links(pairs, classes, percent)))
         if whole:
             return connected_components(links)
-        left = labelled.select("cid", "n", "token", "pos").join(outside.select("token", F.col("x").alias("cid")), ["token", "cid"], "left_anti")
+        left = labelled.select("cid", "n", "token", "pos")
+        if not probe:
+            left = left.join(side.select("token", F.col("x").alias("cid")), ["token", "cid"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, salts: int = 16) -> DataFrame:
