@@ -131,6 +131,31 @@ def test_restoring_obfuscated_words():
     assert set(spaced.hashes[0][spaced.doc == 4]) & set(spaced.hashes[0][spaced.doc == 0])
 
 
+def test_every_sign_of_the_channel_makes_a_token_suspicious():
+    clean = "you are a stupid idiot and a loser with an ass the worthless scum is trash él es añññejo " * 40
+    codes = np.array([tx._ID.get(c, 0) for c in clean])
+    counts = np.zeros((tx.K,) * 3)
+    np.add.at(counts, (codes[:-2], codes[1:-1], codes[2:]), 1)
+    lm = tx.language_model(counts)
+
+    def words(text):
+        return set(tx.Restored([text], lm, {}).hashes[0].tolist())
+
+    hidden = {
+        "idi07": "idiot", "1053r": "loser", "a$$": "ass", "5(um": "scum", '"$tupid"': "stupid", "idio7.": "idiot", "idi07!!": "idiot", "(idio7)": "idiot", "!diot,": "idiot", "idio*": "idiot",
+        "id\u200biot": "idiot", "stu\u00adpid": "stupid", "los€r": "loser", "s¢um": "scum", "a§s": "ass", "a§§": "ass", "st\u00b5pid": "stupid", "£oser": "loser",
+        "“idio7”": "idiot", "ééél": "él", "£ o s € r": "loser",
+    }
+    for token, word in hidden.items():
+        assert words(word) <= words(f"so {token} yes"), token
+    for token in ("“idiot”", "idiot!", "'idiot',", "¿idiot?", "idiot…", "\u200bidiot"):
+        assert words(token) == words("idiot"), token
+    for token in ("мир", "naïve", "não"):
+        known: dict = {}
+        tx.Restored([token], lm, known)
+        assert not known, token
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     words = ["".join(rng.choices("aeioulmnrst", k=rng.randrange(3, 8))) for _ in range(300)]

@@ -26,6 +26,7 @@ if there are none; extra columns are carried along.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,11 +51,38 @@ WILD = "*#"
 SEPARATORS = ".-_~*'`,:;=^​­"
 SUBSTITUTED, DELETED, COLLAPSED, ANY = -1.0, -0.7, -0.5, -3.5
 
-_EDGE_LEET = np.zeros(256, bool)
-_EDGE_LEET[[ord(c) for c in "0123456789@$|+("]] = True
-_LETTER_BYTE = np.zeros(256, bool)
-_LETTER_BYTE[97:123] = True
-_LETTER_BYTE[128:] = True
+_CHANNEL = frozenset("".join(LEET) + WILD + SEPARATORS)
+
+# Kinds of characters for the choice of suspicious tokens: letters of plain words, plain at the start or end of a token
+# (sentence punctuation, quotes, separators), plain at its end alone, and what may stand for a letter.
+_LETTER, _PLAIN, _FINAL, _SIGN = range(4)
+
+
+def _kind(c: str) -> int:
+    """Letters and marks of other alphabets belong to plain words; a wild sign may be a letter also at an edge."""
+    if c in _CHANNEL:
+        return _FINAL if c == "!" else _PLAIN if c in SEPARATORS and c not in WILD else _SIGN
+    return _LETTER if c in _ID or unicodedata.category(c)[0] in "LM" else _PLAIN
+
+
+_KINDS = np.array([_kind(chr(b)) if b < 128 else _PLAIN for b in range(256)], np.int8)
+
+
+def byte_kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of the character that each byte of valid UTF-8 belongs to."""
+    out = _KINDS[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return out
+    more = 1 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+    key = np.zeros(len(lead), np.uint32)
+    for i in range(4):
+        key = (key << np.uint32(8)) | np.where(i <= more, data[np.minimum(lead + i, len(data) - 1)], 0).astype(np.uint32)
+    distinct, inverse = np.unique(key, return_inverse=True)
+    kind = np.array([_kind(int(k).to_bytes(4, "big").rstrip(b"\0").decode()) for k in distinct], np.int8)[inverse]
+    for i in range(4):
+        out[lead[i <= more] + i] = kind[i <= more]
+    return out
 
 
 # ---------------------------------------------------------------- language model
@@ -111,22 +139,92 @@ def choices(token: str, k: int) -> list[tuple[str, float]]:
     return out
 
 
+_Paths = list[tuple[float, str]]
+
+
+class Lattice:
+    """Viterbi search under one language model. Beginnings of tokens and runs of one wild sign at their ends are kept, as
+    many tokens have them in common."""
+
+    def __init__(self, lm: np.ndarray, best: int):
+        self.lm, self.best = lm, best
+        self.begun: dict[str, dict[tuple[int, int], _Paths]] = {}
+        self.ended: dict[tuple[str, int, int, int], _Paths] = {}
+        scores = np.full((K, K, best), -np.inf)
+        scores[:, :, 0] = lm[:, :, 0]
+        self.any = [(scores, np.zeros((K, K, best), np.int64))]  # scores and (letter, rank after it) of the best m letters and the end
+
+    def paths(self, token: str, keep: bool) -> dict[tuple[int, int], _Paths]:
+        """The best strings for each state after a token; `keep` also for tokens that begin alike."""
+        known = max((k for k in (len(token), 2, 3, 4, 5, 6) if token[:k] in self.begun and k <= len(token)), default=0)
+        states: dict[tuple[int, int], _Paths] = self.begun[token[:known]] if known else {(0, 0): [(0.0, "")]}
+        lm, best = self.lm, self.best
+        if len(self.begun) > 20_000:
+            self.begun.clear()
+        for k in range(known, len(token)):
+            after: dict[tuple[int, int], _Paths] = {}
+            for (a, b), paths in states.items():
+                for x, cost in choices(token, k):
+                    key = (b, _ID[x]) if x else (a, b)
+                    step = cost + (float(lm[a, b, _ID[x]]) if x else 0.0)
+                    after.setdefault(key, []).extend((s + step, text + x) for s, text in paths)
+            states = {key: [(s, t) for t, s in sorted(dict((t, s) for s, t in sorted(paths)).items(), key=lambda p: (-p[1], p[0]))[:best]] if len(paths) > 1 else paths for key, paths in after.items()}
+            if k < 6 and token[0] in WILD:
+                self.begun[token[: k + 1]] = states
+        if keep:
+            self.begun[token] = states
+        return states
+
+    def letters(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.any) <= m:
+            after = self.lm[:, :, 1:27, None].astype(float) + self.any[-1][0][None, :, 1:27, :]
+            after = after.reshape(K, K, -1)
+            at = np.argsort(-after, axis=-1, kind="stable")[:, :, : self.best]
+            self.any.append((np.take_along_axis(after, at, axis=-1), at))
+        return self.any[m]
+
+    def ends(self, sign: str, n: int, a: int, b: int) -> _Paths:
+        """What n wild signs at a token's end may be after the letters a and b, with the end's own cost."""
+        if (sign, n, a, b) not in self.ended:
+            nothing = DELETED if sign in SEPARATORS else COLLAPSED
+            found: list[tuple[float, int, int]] = []
+            for m in range(0 if sign in SEPARATORS else 1, n + 1):
+                cost = m * ANY + (n - m) * nothing
+                if len(found) >= self.best and found[self.best - 1][0] >= cost:  # more letters cost more than that
+                    break
+                scores = self.letters(m)[0][a, b]
+                found = sorted([*found, *((cost + float(s), m, r) for r, s in enumerate(scores) if np.isfinite(s))], key=lambda p: -p[0])[: self.best]
+            out = []
+            for score, m, r in found:
+                text, i, j = "", a, b
+                for left in range(m, 0, -1):
+                    x, r = divmod(int(self.letters(left)[1][i, j, r]), self.best)
+                    text, i, j = text + LETTERS[x], j, x + 1
+                out.append((score, text))
+            self.ended[sign, n, a, b] = out
+        return self.ended[sign, n, a, b]
+
+    def restore(self, token: str) -> list[str]:
+        head = token.rstrip(token[-1]) if token[-1] in WILD else token
+        states = self.paths(head, head != token)
+        if head != token:
+            ends = [(s + e, t + x) for (a, b), paths in states.items() for e, x in self.ends(token[-1], len(token) - len(head), a, b) for s, t in paths]
+        else:
+            ends = [(s + float(self.lm[a, b, 0]), t) for (a, b), paths in states.items() for s, t in paths]
+        return list(dict.fromkeys(t for _, t in sorted(ends, key=lambda p: (-p[0], p[1])) if t))[: self.best]
+
+
+_LATTICES: list[Lattice] = []
+
+
 def restore(token: str, lm: np.ndarray, best: int = 3) -> list[str]:
     """The likeliest spellings of an obfuscated token, best first."""
-    states: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
-    for k in range(len(token)):
-        after: dict[tuple[int, int], list[tuple[float, str]]] = {}
-        for (a, b), paths in states.items():
-            for x, cost in choices(token, k):
-                key = (b, _ID[x]) if x else (a, b)
-                step = cost + (float(lm[a, b, _ID[x]]) if x else 0.0)
-                after.setdefault(key, []).extend((s + step, text + x) for s, text in paths)
-        states = {key: sorted(dict((t, s) for s, t in sorted(paths)).items(), key=lambda p: (-p[1], p[0]))[:best] for key, paths in after.items()}
-        states = {key: [(s, t) for t, s in paths] for key, paths in states.items()}
-    ends = sorted(((s + float(lm[a, b, 0]), t) for (a, b), paths in states.items() for s, t in paths), key=lambda p: (-p[0], p[1]))
-    return [t for _, t in dict.fromkeys((0, t) for _, t in ends if t)][:best]
+    if not _LATTICES or _LATTICES[0].lm is not lm or _LATTICES[0].best != best:
+        _LATTICES[:] = [Lattice(lm, best)]
+    return _LATTICES[0].restore(token)
 
 
+_STRIPPED = "".join(c for c in SEPARATORS if c not in WILD)
 _PIECES = re.compile(rf"[{LETTERS}]+")
 _HARD = re.compile(rf"[^{LETTERS}{re.escape(''.join(LEET) + WILD + SEPARATORS)}]+")
 
@@ -135,11 +233,10 @@ def readings(token: str, lm: np.ndarray) -> list[str]:
     """Words that a suspicious token may hold: restored spellings, and its plain pieces."""
     out = [p for p in _PIECES.findall(token) if len(p) > 2]
     for part in _HARD.split(token):
-        part = part.strip(SEPARATORS)
+        part = part.strip(_STRIPPED)
         if _PIECES.search(part):
-            out += restore(part, lm)
-            if part[-1] not in _ID:
-                out += restore(part[:-1], lm)
+            for spelling in dict.fromkeys((part, part if part[-1] in _ID else part[:-1], part.rstrip(_STRIPPED + "!"), part.strip(_STRIPPED + "!(|"))):  # signs that may be punctuation
+                out += restore(spelling, lm)
     return list(dict.fromkeys(out))
 
 
@@ -161,24 +258,24 @@ class Restored:
     def __init__(self, texts: list[str | None], lm: np.ndarray, known: dict[str, list[str]]):
         plain = Words([(t or "").lower().encode("utf-8", "replace") for t in texts])
         data, start, end = plain.data, plain.start, plain.end
-        letter = _LETTER_BYTE[data]
-        place = np.arange(len(data))
-        last = np.maximum.accumulate(np.where(letter, place, -1)) if len(data) else place
-        following = np.minimum.accumulate(np.where(letter, place, len(data))[::-1])[::-1] if len(data) else place
-        lo, hi = (following[start], last[end - 1] + 1) if len(start) else (start, end)
-        has = (lo < end) & (hi > start)
-        inside = np.concatenate([[0], np.cumsum(~letter)])
+        kind = byte_kinds(data)
+        letter, place = kind == _LETTER, np.arange(len(data))
+        first = np.minimum.accumulate(np.where(kind != _PLAIN, place, len(data))[::-1])[::-1]
+        last = np.maximum.accumulate(np.where((kind != _PLAIN) & (kind != _FINAL), place, -1))
+        lo, hi = first[start], np.minimum(last[end - 1] + 1, end)
+        inside = np.concatenate([[0], np.cumsum(letter)])
         same = np.zeros(len(data), bool)
-        if len(data) > 2:
-            same[2:] = letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & (data[2:] < 128)
+        for n in (1, 2):  # bytes of a letter
+            long = letter & ((data < 128) if n == 1 else (data >= 0xC0))
+            back = [np.concatenate([np.zeros(n * k, np.uint8), data])[: len(data)] for k in (1, 2)]
+            equal = (data == back[0]) & (data == back[1])
+            same |= long & equal & (np.concatenate([equal[1:], [False]]) if n == 2 else True)
         runs = np.concatenate([[0], np.cumsum(same)])
-        lo_, hi_ = np.where(has, lo, start), np.where(has, hi, start)
-        odd = has & ((inside[hi_] > inside[lo_]) | (runs[hi_] > runs[np.minimum(lo_ + 2, hi_)]))
-        if len(start):
-            odd |= has & (lo_ == start + 1) & _EDGE_LEET[data[start]]
-            odd |= has & (hi_ == end - 1) & _EDGE_LEET[data[end - 1]]
+        low, high = np.minimum(lo, end), np.maximum(hi, start)
+        has = (low < high) & (inside[np.maximum(low, high)] > inside[low])
+        odd = has & ((inside[np.maximum(low, high)] - inside[low] < high - low) | (runs[np.maximum(low, high)] > runs[low]))
         clean = has & ~odd
-        docs, spans = [plain.doc[clean]], (lo_[clean], hi_[clean])
+        docs, spans = [plain.doc[clean]], (lo[clean], hi[clean])
         extra: list[tuple[int, str]] = []
         for w in np.flatnonzero(odd):
             token = data[start[w] : end[w]].tobytes().decode("utf-8", "replace")
@@ -198,7 +295,8 @@ class Restored:
     @staticmethod
     def _spaced(words: Words, lm: np.ndarray, known: dict[str, list[str]]) -> list[tuple[int, str]]:
         """Readings of runs of three and more one-character words."""
-        one = (words.end - words.start) == 1
+        characters = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
+        one = characters[words.end] - characters[words.start] == 1
         edge = np.diff(np.concatenate([[False], one, [False]]).astype(np.int8))
         out = []
         for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
@@ -206,7 +304,7 @@ class Restored:
                 lo, hi = max(a, words.first[d]), min(b, words.first[d + 1])
                 if hi - lo < 3:
                     continue
-                run = words.data[words.start[lo:hi]].tobytes().decode("ascii", "replace")
+                run = b"".join(words.data[i:j].tobytes() for i, j in zip(words.start[lo:hi], words.end[lo:hi], strict=True)).decode()
                 for token in dict.fromkeys((run, run[1:], run[:-1])):
                     if token not in known:
                         known[token] = restore(token, lm) if _PIECES.search(token) else []
