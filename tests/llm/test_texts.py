@@ -187,6 +187,19 @@ def test_toxicity(spark):
     assert tx.score(docs.limit(0).drop("score"), none).count() == 0
 
 
+def test_a_bounded_sample_keeps_the_odds_of_all_labels(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "a plain text") for k in range(600)], "doc_id long, text string")
+    labels = [(k, int(k % 10 == 0)) for k in range(600)]
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    used = [t for k, t in labels if zlib.crc32(str(k).encode()) % 5]
+    monkeypatch.setattr(tx, "_logistic", lambda x, y: np.zeros(3))
+    whole, cut = tx.train(docs, marks), tx.train(docs, marks, most_toxic=30, most_clean=45)
+    assert whole["prior"] == cut["prior"] == sum(used) / len(used)
+    assert np.allclose(whole["fit"], 0)
+    toxic, clean = sum(used), len(used) - sum(used)
+    assert np.allclose(cut["fit"], [0, 0, np.log(toxic / min(30, toxic)) - np.log(clean / 45)])
+
+
 TOKENIZER = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 
 

@@ -10,7 +10,8 @@ Rounds, each a scan of the texts without a shuffle of them:
 2. document frequencies of words and beginnings in a labelled sample of at most
    `most_toxic` + `most_clean` rows (documented bound, drawn by a hash of the id);
    a weight is the lower confidence bound of a feature's log odds;
-3. a logistic fit of two statistics of a text on a part of that sample held apart;
+3. a logistic fit of two statistics of a text on a part of that sample held apart, its
+   constant moved from the sample's odds to those of all labels (counted whole);
 4. the scores of every whole text.
 
 Only ids of the sample, the kept weights (fewer than the sample's features) and the
@@ -341,10 +342,14 @@ def fold(id_col: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(5)).cast("int")
 
 
-def _sample(labels: DataFrame, id_col: str, label_col: str, most_toxic: int, most_clean: int) -> DataFrame:
-    """(sample_id, toxic, fold): at most so many labelled rows of either kind, none held out; an id with both labels is toxic."""
+def _labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(sample_id, toxic, fold): labelled rows that are not held out; an id with both labels is toxic."""
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("sample_id")).agg(F.max(label_col).cast("int").alias("toxic"))
-    rows = rows.withColumn("fold", fold(F.col("sample_id"))).where("fold <> 0")
+    return rows.withColumn("fold", fold(F.col("sample_id"))).where("fold <> 0")
+
+
+def _sample(rows: DataFrame, most_toxic: int, most_clean: int) -> DataFrame:
+    """At most so many labelled rows of either kind."""
     pick = [rows.where(F.col("toxic") == t).orderBy(F.xxhash64("sample_id"), "sample_id").limit(n) for t, n in ((1, most_toxic), (0, most_clean))]
     return pick[0].unionByName(pick[1])
 
@@ -365,8 +370,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 4_000, most_clean: int = 8_000, least_weight: float = 1.0) -> dict:
     """The model: log probabilities, features, their weights, and the fit."""
     lm = language_model(trigram_counts(docs, text_col))
-    sample = _sample(labels, id_col, label_col, most_toxic, most_clean).collect()  # at most most_toxic + most_clean narrow rows
-    prior = float(np.mean([r["toxic"] for r in sample])) if sample else 0.0
+    labelled = _labelled(labels, id_col, label_col)
+    sample = _sample(labelled, most_toxic, most_clean).collect()  # at most most_toxic + most_clean narrow rows
+    all_of = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    prior = all_of.get(1, 0) / sum(all_of.values()) if all_of else 0.0
     if prior in (0.0, 1.0):
         return {"lm": lm, "features": np.zeros(0, np.uint64), "weights": np.zeros(0), "fit": None, "prior": prior}
     rows = docs.sparkSession.createDataFrame([(r["sample_id"], r["toxic"], r["fold"]) for r in sample], T.StructType([T.StructField("sample_id", docs.schema[id_col].dataType), T.StructField("toxic", T.IntegerType()), T.StructField("fold", T.IntegerType())]))
@@ -399,6 +406,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     held = texts.where("fold = 4").mapInArrow(measured, "x0 double, x1 double, toxic int").collect()  # a part of the sample
     fit = _logistic(np.array([[r["x0"], r["x1"]] for r in held]), np.array([r["toxic"] for r in held], float)) if len({r["toxic"] for r in held}) == 2 else None
+    if fit is not None:  # from the sample's odds to those of all labels, as the caps bind at different sizes
+        drawn = [sum(r["toxic"] == t for r in sample) for t in (0, 1)]
+        fit[-1] += np.log(all_of[1] / drawn[1]) - np.log(all_of[0] / drawn[0])
     return {"lm": lm, "features": features, "weights": weights, "fit": fit, "prior": prior}
 
 
