@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import zlib
+from importlib import resources
 from datetime import date
 
 import pytest
@@ -70,6 +71,17 @@ def test_licences(spark):
     assert lc.license_scan(docs.limit(0)).count() == 0
 
 
+def test_entire_licence_texts(spark):
+    full = {k: (resources.files("trellisway.llm") / "license_texts" / f"{k}.txt").read_text() for k in ("Apache-2.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0")}
+    rows = [(k, t) for k, t in full.items()]
+    rows += [("Apache-2.0", full["Apache-2.0"].split("APPENDIX:")[0].replace("http://", "https://")), ("GPL-3.0", full["GPL-3.0"].split("How to Apply")[0].upper())]
+    rows += [("MIT", lc.TEXTS["MIT"].replace("MIT License", title)) for title in ("", "The MIT License (MIT)")]
+    rows += [(k, t.split("\n", 1)[1]) for k, t in lc.TEXTS.items() if k != "Unlicense"] + [("Unlicense", "The Unlicense\n\n" + lc.TEXTS["Unlicense"])]
+    docs = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {(r.id, r.license_id) for r in lc.license_scan(docs).where("scope = 'text'").collect()}
+    assert got == {(n, k) for n, (k, _) in enumerate(rows)}
+
+
 def test_the_masks_miss_nothing():
     for changed in itertools.combinations(range(dc.WINDOW), dc.CHANGES):
         assert any(not {at + o for o in mask} & set(changed) for mask in dc.MASKS for at in range(dc.WINDOW - mask[-1]))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,29 @@ TEXTS = {
     "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\n" + _AS_IS + "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org>",
 }
 
+# Title lines that the texts above also have; none is one of them.
+TITLES = {
+    "MIT": ["", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "0BSD": ["", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero-Clause License (0BSD)"],
+    "BSD-2-Clause": ["", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD-2-Clause"],
+    "BSD-3-Clause": ["", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "BSD-3-Clause"],
+    "Zlib": ["", "The zlib License", "zlib License (Zlib)"],
+    "BSL-1.0": ["", "Boost Software License 1.0", "Boost Software License, Version 1.0"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+
+# Titles that the texts in files may lack, the last line of terms, and addresses inside them.
+FULL_TITLES = {
+    "Apache-2.0": r"\s*Apache License\s+Version 2\.0, January 2004\s+https?://www\.apache\.org/licenses/\s*",
+    "GPL-2.0": r"\s*GNU GENERAL PUBLIC LICENSE\s+Version 2, June 1991\s*", "GPL-3.0": r"\s*GNU GENERAL PUBLIC LICENSE\s+Version 3, 29 June 2007\s*",
+    "LGPL-3.0": r"\s*GNU LESSER GENERAL PUBLIC LICENSE\s+Version 3, 29 June 2007\s*",
+    "MPL-2.0": r"\s*Mozilla Public License,? [Vv]ersion 2\.0\s+=*\s*", "CC0-1.0": r"\s*Creative Commons Legal Code\s*",
+}
+TERMS_END = r"END OF TERMS AND CONDITIONS"
+LATER_ADDRESS = "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+EARLIER_ADDRESSES = ["59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "59 Temple Place - Suite 330, Boston, MA 02111-1307, USA"]
+
 # The names under which notices speak of a licence.
 NAMES = {
     "MIT": ["MIT License", "MIT"],
@@ -90,10 +114,32 @@ def canonical_here(text: str) -> str:
     return " ".join(SPELLINGS.get(w, w) for w in _squeezed_here(text).split(" "))
 
 
+def _resource_texts() -> dict[str, str]:
+    """The full texts that are shipped as files beside this module."""
+    folder = resources.files(__package__) / "license_texts"
+    return {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+
+
+def text_variants() -> list[tuple[str, str]]:
+    """(licence, text): every full text with its usual titles and none, addresses, and with or without what follows its terms."""
+    out = []
+    for k, text in TEXTS.items():
+        title, rest = text.split("\n", 1)
+        out += [(k, text), *((k, f"{t}\n{text if k == 'Unlicense' else rest}") for t in TITLES[k])]
+    out += [(k, t.replace("and/or distribute", "and distribute")) for k, t in out if k == "ISC"]
+    for k, text in _resource_texts().items():
+        end = re.search(TERMS_END, text)
+        forms = [text, text[: end.end()], text[: end.start()]] if end else [text]
+        forms += [t[m.end() :] for t in forms for m in [re.match(FULL_TITLES.get(k, r"(?!)"), t)] if m]
+        forms += [t.replace(LATER_ADDRESS, a) for t in forms if LATER_ADDRESS in t for a in EARLIER_ADDRESSES]
+        out += [(k, re.sub("https?://", scheme, t)) for t in forms for scheme in ("http://", "https://")] + [(k, t) for t in forms]
+    return list(dict.fromkeys(out))
+
+
 def known_texts() -> list[tuple[str, str]]:
     """(licence, text) of the catalogue: full texts and notices."""
     notices = [(k, f"{start} {the}{name}") for k, names in NAMES.items() for name in names for start in STARTS for the in ("", "the ")]
-    return [*TEXTS.items(), *notices]
+    return [*text_variants(), *notices]
 
 
 def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
