@@ -3,6 +3,7 @@
 import math
 import random
 from collections import defaultdict
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from trellisway.operators import sampling as sm
 from trellisway.operators import scoring as sc
 from trellisway.operators import triangles as tr
 from trellisway.operators import window as wd
+from trellisway.sources import edges as src
 from trellisway.streaming import jobs
 
 W, STEP = 40, 10
@@ -193,3 +195,13 @@ def test_stream_equals_batch(spark, stream):
     points = pr.checkpoints(edges, STEP)
     exact = points.join(tr.triangle_count(wd.edge_frequencies(wd.window_edges(edges, WSPEC), ["cp"]), ["cp"], True, points), "cp")
     assert {(r.bucket, r.triangles) for r in spark.read.parquet(f"{out}/counts").collect()} == {(r.bucket, r.triangles) for r in exact.collect()}
+
+
+def test_arrival_ids_differ_at_any_number_of_copies(spark, tmp_path):
+    lines = [(ok, line, 10 * line + k, date(1995, 1, 2)) for ok in (1, 2, 9000) for line, n in ((1, 1), (2, 40), (3, 1), (9, 2), (10, 1)) for k in range(n)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = [r.eid for r in src.copurchase_edges(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) == 3 * (40 + 1 + 2 + 1 + 40 + 80 + 40 + 2 + 1 + 2)
+    dense = sorted(e for e in got if e >= 1 << 62)
+    assert dense == list(range((1 << 62) + 1, (1 << 62) + 1 + 3 * (8 + 8 + 2 + 1 + 80 + 40 + 2 + 1 + 2)))
+    assert {((1 * 8 + 1) * 8 + 2) * 32 + k for k in range(1, 33)} <= set(got)

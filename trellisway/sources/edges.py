@@ -53,8 +53,16 @@ def copurchase_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("a.l_partkey").alias("s"), F.col("b.l_partkey").alias("d"), F.datediff(F.col("a.l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("long").alias("t"),
     )
     # line numbers repeat inside an order, so equal places are told apart by their own count
-    copy = F.row_number().over(Window.partitionBy("ok", "la", "lb").orderBy("t", "s", "d"))
-    return pairs.select((((F.col("ok") * 8 + F.col("la")) * 8 + F.col("lb")) * 32 + copy).alias("eid"), "t", "s", "d")
+    numbered = pairs.withColumn("copy", F.row_number().over(Window.partitionBy("ok", "la", "lb").orderBy("t", "s", "d")))
+    # ids have digits for 32 copies and lines up to 7 (a copy 0 is never there); other edges get dense numbers from 2^62 on
+    digits = ((F.col("ok") * 8 + F.col("la")) * 8 + F.col("lb")) * 32 + F.col("copy")
+    skipped = F.when(F.col("lb") < 8, 32).otherwise(0)
+    wide = pairs.groupBy("ok", "la", "lb").agg((F.count(F.lit(1)) - skipped).alias("n")).where("n > 0").withColumn("chunk", F.floor(F.col("ok") / 4096))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chunks = wide.groupBy("chunk").agg(F.sum("n").alias("n")).select("chunk", before(Window.orderBy("chunk")).alias("chunk_base"))
+    bases = wide.withColumn("base", before(Window.partitionBy("chunk").orderBy("ok", "la", "lb"))).join(chunks, "chunk").select("ok", "la", "lb", (F.col("base") + F.col("chunk_base")).alias("base"))
+    eid = F.when((F.col("copy") <= 32) & (F.col("lb") < 8), digits).otherwise(F.lit(1 << 62) + F.col("base") + F.col("copy") - skipped)
+    return numbered.join(bases, ["ok", "la", "lb"], "left").select(eid.alias("eid"), "t", "s", "d")
 
 
 def handoff_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
