@@ -105,6 +105,12 @@ def test_jaccard_components(spark, seed, monkeypatch):
     assert got == plain_components(rows)
 
 
+def test_shingles_of_more_texts_than_fit_the_packed_sort():
+    n = (1 << 20) + 5
+    doc, _, _ = jj.shingle_sets([b"a"] * (n - 3) + [b"a b a b a b"] * 3, 2)
+    assert np.array_equal(doc, np.concatenate([np.arange(n - 3), np.repeat(np.arange(n - 3, n), 2)]))
+
+
 def test_one_of_each(spark):
     rows = near_copies(random.Random(4))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_kept_", F.lit(1))

@@ -56,8 +56,8 @@ def shingle_sets(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.n
             doc.append(words.doc[at[short]])
             token.append(mix64(hashes[short], k))
     doc, token = np.concatenate(doc), np.concatenate(token)
-    # by text, then by the upper bits of the hash: one sort of single numbers; a piece holds far fewer than 2^20 texts
-    order = np.argsort((doc.astype(np.uint64) << np.uint64(44)) | (token >> np.uint64(20)))
+    # by text, then by the hash; for up to 2^20 texts one sort of single numbers with its upper bits
+    order = np.argsort((doc.astype(np.uint64) << np.uint64(44)) | (token >> np.uint64(20))) if len(texts) <= 1 << 20 else np.lexsort((token, doc))
     doc, token = doc[order], token[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (token[1:] != token[:-1])
