@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from trellisway.llm import neighbours as nn
 from trellisway.llm import warc
+from trellisway.llm.queries import read_back
 
 
 @pytest.mark.parametrize("segment, chunk", [(1 << 18, 1 << 13), (97, 10), (1000, 3)])
@@ -54,6 +55,16 @@ def test_broken_archives(spark, tmp_path):
     assert warc.dechunked(b"3\r\nabc\r\n") is None and warc.dechunked(b"q\r\n") is None
 
 
+def test_a_lost_record_is_not_reported_as_read(spark):
+    schema = "key string, record_type string, refers_to string, stated_bytes long, stated_digest string, payload_bytes long, payload_digest string, complete boolean"
+    rows = [("1", "response", None, 9, "x", 3, "d", True), ("2", "revisit", "1", 3, "d", None, None, None)]
+    got = read_back(spark.createDataFrame(rows, schema)).collect()
+    assert [(r.page_id, r.payload_bytes, r.payload_digest, r.refers_to) for r in got] == [(1, 3, "d", None), (2, 3, "d", 1)]
+    for complete in (False, None):
+        with pytest.raises(Exception, match="not read back whole: 3"):
+            read_back(spark.createDataFrame([("3", "response", None, 9, "x", None, None, complete)], schema)).collect()
+
+
 @pytest.mark.parametrize("groups, block", [(16_384, 1_024), (40, 3)])
 def test_neighbours_are_those_of_brute_force(spark, groups, block):
     rng = np.random.default_rng(4)

@@ -205,15 +205,23 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(pieces, 2048).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def read_back(records: DataFrame) -> DataFrame:
+    """What was decoded of each record; a revisit has only what its header states. Fails if a record did not come back whole."""
+    stated = F.col("record_type") == "revisit"
+    lost = ~stated & ~F.coalesce("complete", F.lit(False))
+    whole = lambda c: F.when(lost, F.raise_error(F.concat(F.lit("record not read back whole: "), F.coalesce("key", F.lit(""))))).otherwise(F.col(c))
+    return records.select(
+        F.col("key").cast("long").alias("page_id"), F.when(stated, F.col("stated_bytes")).otherwise(whole("payload_bytes")).alias("payload_bytes"), F.when(stated, F.col("stated_digest")).otherwise(whole("payload_digest")).alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to")
+    )
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     typed = revisit_types(pages).select(F.col("page_id").cast("string").alias("key"), "url", F.col("html").alias("payload"), "record_type", F.col("refers_to").cast("string").alias("refers_to"))
     path = archive_folder(spark)
     write_archives(typed, path)
     back = read_archives(spark, path)
-    return back.select(
-        F.col("key").cast("long").alias("page_id"), F.coalesce("payload_bytes", "stated_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "stated_digest").alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to")
-    )
+    return read_back(back)
 
 
 OP6_SQL = """
