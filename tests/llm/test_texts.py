@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -95,16 +96,43 @@ def near_copies(rng):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_components(spark, seed, monkeypatch):
+def test_jaccard_components(spark, seed):
     rows = near_copies(random.Random(seed))
+    if seed == 2:  # one group of which many pairs are about the threshold, and a chain
+        rng = random.Random(7)
+        base = [f"{rng.randrange(400)}" for _ in range(120)]
+        for k in range(600, 660):
+            w = list(base)
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(len(w))] = f"y{rng.randrange(9)}"
+            rows.append((k, " ".join(w)))
+            base = w if k % 9 == 0 else base
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit(1), "batch": F.lit(2), "digest": F.lit("d")})
-    if seed == 2:  # some members a round, as for lists that are too long to meet all at once
-        whole = jj.class_components
-        monkeypatch.setattr(jj, "class_components", lambda c, p: whole(c, p, all_at_once=0, heads=1))
     got = Counter((r.id, r.n_shingles, r.component_id) for r in jj.near_duplicates(df).collect())
     assert got == plain_components(rows)
 
 
+def test_components_of_chains(spark):
+    rng = random.Random(5)
+    links = [(a, a + 1) for a in range(0, 40) if a != 17] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(45)]
+    rng.shuffle(links)
+    df = spark.createDataFrame([(str(a).encode(), str(b).encode()) for a, b in links], "a binary, b binary")
+    root = {x: x for link in links for x in link}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    groups, sought = defaultdict(set), defaultdict(set)
+    for r in jj.connected_components(df).collect():
+        groups[bytes(r.component)].add(int(r.node))
+    for x in root:
+        sought[find(x)].add(x)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, (v for v in sought.values() if len(v) > 1)))
+    assert jj.connected_components(df.limit(0)) is None
+
+
 def test_shingles_of_more_texts_than_fit_the_packed_sort():
     n = (1 << 20) + 5
     doc, _, _ = jj.shingle_sets([b"a"] * (n - 3) + [b"a b a b a b"] * 3, 2)

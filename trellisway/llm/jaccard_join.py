@@ -9,17 +9,20 @@ similarity of their sets is at least `percent` hundredths. The steps:
    buckets; a batch sends each distinct shingle once and hears of those in two documents or
    more. Shingles of one document come first in the order and need no index.
 3. candidates: the first n - ceil(percent n) + 1 shingles of each class are its prefix. Two
-   classes that link share a prefix shingle. Pairs pass the length, positional and suffix
-   filters (the last on counts of the hash-ordered set in ranges), and each is verified once.
-4. classes: each shingle's list first meets its smallest member only. Lists whose members
-   are in one component by then are done. In the others, members outside the list's largest
-   component meet the whole list: all at once if these pairs are few. Else they meet some of
-   the largest component, while that helps; then some of them a round meet the whole list
-   and leave it. So pairs inside a component that is known are skipped and all
-   others are looked at; the components are exact, without a group's square of pairs.
-
-No group is gathered: lists exist as rows only, their sums are made before the shuffle, and
-hot classes are dealt over `salts` when results go back to documents.
+   classes that link share a prefix shingle; at the first one they share, in that order, at most
+   the shingles from there on are common to both (the length and positional filters). The suffix
+   filter bounds the rest: shingles that only one class has, and the counts of the others in
+   ranges of their hashes. Each pair that passes is verified once.
+4. stars: in each shingle's list, the member with the smallest share of shingles of its own
+   meets all others. In a group of near copies that is the one nearest to their origin.
+5. the rest: in lists that then still hold several components, the members outside the list's
+   largest component meet those of other components, by shingle and band of set sizes that may
+   link. So pairs inside a known component are skipped and all others are looked at; the
+   components are exact, without a group's square of pairs.
+
+No group is gathered: lists exist as rows only and their sums are made before the shuffle;
+where one list or class is hot, the joins on it are inner or left ones of which adaptive
+execution splits the large side.
 
 Defined results: null texts and texts without words have no shingles and are alone; ids may
 repeat (each row is a document); null ids are kept, and a component is named by its smallest
@@ -33,11 +36,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trellisway.llm.common import WORD_BASES, Words, batch_of, checkpointed, dealt, inverse, member, mix64, powers, shuffle_width, slices, text_bytes, unique_counts
+from trellisway.llm.common import WORD_BASES, Words, batch_of, checkpointed, dealt, discard, inverse, member, mix64, powers, shuffle_width, slices, text_bytes, unique_counts
 
 _RANGES = 32
 _MOST_DF = 65_535
@@ -132,12 +135,12 @@ def _frequencies(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * 4, _MESSAGE_ARROW, strict=True)], schema=_MESSAGE_ARROW)
 
 
-_INDEXED = "cid binary, n int, tokens binary, prefix array<struct<token:bigint,pos:int>>, ranges array<int>"
+_INDEXED = "cid binary, n int, alone int, tokens binary, prefix array<struct<token:bigint,pos:int>>, ranges array<int>"
 
 
 def indexed_classes(rows: DataFrame, homes: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
-    """Every class with its set size n; those whose prefix has a shingle of another class also with their shared
-    shingles (by hash), the shared part of the prefix with places, and the set's counts in ranges of hashes."""
+    """Every class with its set size n; those whose prefix has a shingle of another class also with the number of shingles
+    that they have alone, the others (by hash), their part of the prefix with places, and their counts in ranges of hashes."""
 
     def send(mine: pa.Table, home: pa.Table) -> pa.Table:
         if not len(mine) or not len(home):
@@ -149,8 +152,8 @@ def indexed_classes(rows: DataFrame, homes: DataFrame, size: int, percent: int,
         cut = [slice(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)] if len(distinct) else []
         return pa.table([pa.array(bucket.astype(np.int32)), pa.array(np.full(len(cut), mine["batch"][0].as_py(), np.int32)), pa.array([low[s].tobytes() for s in cut], pa.binary()), pa.array([times[s].tobytes() for s in cut], pa.binary())], schema=_MESSAGE_ARROW)
 
-    names = ["cid", "n", "tokens", "prefix", "ranges"]
-    kinds = [pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())])), pa.list_(pa.int32())]
+    names = ["cid", "n", "alone", "tokens", "prefix", "ranges"]
+    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())])), pa.list_(pa.int32())]
 
     def index(mine: pa.Table, told: pa.Table) -> pa.Table:
         home = told.filter(pc.is_valid(told["digest"])) if len(told) else told
@@ -158,7 +161,7 @@ def indexed_classes(rows: DataFrame, homes: DataFrame, size: int, percent: int,
         if not len(mine) or not len(home):
             return pa.table([pa.array([], k) for k in kinds], names=names)
         doc, token, sizes, digests = _representatives(mine, home, size)
-        out: list[tuple] = [(d, n, None, None, None) for d, n in zip(digests, sizes.tolist(), strict=True)]
+        out: list[tuple] = [(d, n, None, None, None, None) for d, n in zip(digests, sizes.tolist(), strict=True)]
         if len(said):
             key = ((token >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (token & np.uint64(0xFFFFFFFF))
             known = np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(h, np.uint32).astype(np.uint64) for b, h in zip(said["bucket"].to_pylist(), said["hashes"].to_pylist(), strict=True)])
@@ -174,14 +177,14 @@ def indexed_classes(rows: DataFrame, homes: DataFrame, size: int, percent: int,
             open_ = (alone < lead)[doc[shared]]
             shared, df = shared[open_], df[open_]
             s_doc, s_token = doc[shared], token[shared]
-            ranges = np.bincount(doc * _RANGES + (token >> np.uint64(59)).astype(np.int64), minlength=len(sizes) * _RANGES).reshape(-1, _RANGES)
+            ranges = np.bincount(s_doc * _RANGES + (s_token >> np.uint64(59)).astype(np.int64), minlength=len(sizes) * _RANGES).reshape(-1, _RANGES)
             by_hash, by_df = np.lexsort((s_token, s_doc)), np.lexsort((s_token, df, s_doc))
             bounds = np.searchsorted(s_doc, np.arange(len(sizes) + 1))
             for k in np.flatnonzero(np.diff(bounds)):
                 own = slice(bounds[k], bounds[k + 1])
                 first = s_token[by_df[own]][: lead[k] - alone[k]].view(np.int64).tolist()
-                out[k] = (digests[k], int(sizes[k]), s_token[by_hash[own]].tobytes(), [{"token": t, "pos": int(alone[k]) + i} for i, t in enumerate(first)], ranges[k].tolist())
-        return pa.table([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=names)
+                out[k] = (digests[k], int(sizes[k]), int(alone[k]), s_token[by_hash[own]].tobytes(), [{"token": t, "pos": int(alone[k]) + i} for i, t in enumerate(first)], ranges[k].tolist())
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=names)
 
     by_batch = rows.groupBy("batch")
     messages = by_batch.cogroup(homes.groupBy("batch")).applyInArrow(send, _MESSAGE)
@@ -194,47 +197,60 @@ def indexed_classes(rows: DataFrame, homes: DataFrame, size: int, percent: int,
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """(node, component) of the nodes of links (a, b), where component is one node of each.
+    """(node, component) of the nodes of links (a, b), where component is one node of each; null for no links.
 
     Rounds: each node hangs on its smallest smaller neighbour; paths are halved until all hang on roots; links between
-    roots are the next round's graph. Every round at least halves the nodes, and each step is written to the checkpoint folder."""
+    roots are the next round's graph. Every round at least halves the nodes. Each step is a table in the checkpoint
+    folder, dropped when the next is there."""
     edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     labels = None
-    while True:
+    while edges.limit(1).count():
         hung = checkpointed(edges.groupBy("a").agg(F.min("b").alias("b")))
-        while True:
+        moved = 1
+        while moved:
             above = hung.select(F.col("a").alias("b"), F.col("b").alias("c"))
-            raised = checkpointed(hung.join(above, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")))
-            hung = raised.select("a", "b")
-            if not raised.where("moved").limit(1).count():
-                break
+            once = hung.join(above, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().cast("int").alias("moved"))
+            seen = Observation()
+            last, hung = hung, checkpointed(once.observe(seen, F.sum("moved").alias("moved")).select("a", "b"))
+            moved = seen.get["moved"]
+            discard(last)
         roots = hung.select(F.col("a").alias("x"), F.col("b").alias("root"))
         if labels is None:
-            labels = hung.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            next_labels = hung.select(F.col("a").alias("node"), F.col("b").alias("component"))
         else:
-            moved = labels.join(roots, labels["component"] == roots["x"], "left").select("node", F.coalesce("root", "component").alias("component"))
-            labels = checkpointed(moved.unionByName(roots.select(F.col("x").alias("node"), F.col("root").alias("component"))))
+            raised = labels.join(roots, labels["component"] == roots["x"], "left").select("node", F.coalesce("root", "component").alias("component"))
+            next_labels = raised.unionByName(roots.select(F.col("x").alias("node"), F.col("root").alias("component")))
         one = edges.join(roots, F.col("a") == F.col("x"), "left").select(F.coalesce("root", "a").alias("a"), "b")
         two = one.join(roots, F.col("b") == F.col("x"), "left").select("a", F.coalesce("root", "b").alias("b")).where("a <> b")
-        edges = checkpointed(two.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        if not edges.limit(1).count():
-            break
+        last, edges = (edges, labels), checkpointed(two.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        labels = checkpointed(next_labels)
+        discard(hung, *last)
+    discard(edges)
     # a root of one round that hung on another later is there with both; only the last names count
-    return checkpointed(labels.unionByName(labels.select(F.col("component").alias("node"), "component")).distinct())
+    return None if labels is None else labels.unionByName(labels.select(F.col("component").alias("node"), "component")).distinct()
 
 
-def _passes(n: str, i: str, m: str, j: str, percent: int):
-    """Length and positional filters for sets of n and m that share a shingle at places i and j, in SQL."""
-    needed = f"ceil({percent} * ({n} + {m}) / {100 + percent}D)"
-    return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) AND least({i}, {j}) + least({n} - {i}, {m} - {j}) >= {needed}")
+def _needed(n: str, m: str, percent: int) -> str:
+    """The common shingles that sets of n and m need to link, in SQL."""
+    return f"(({percent}L * ({n} + {m}) + {99 + percent}) div {100 + percent})"
+
+
+def _passes(n: str, i: str, m: str, j: str, percent: int) -> str:
+    """Length and positional filters for sets of n and m whose first common shingle has places i and j, in SQL."""
+    return f"100L * least({n}, {m}) >= {percent}L * greatest({n}, {m}) AND least({n} - {i}, {m} - {j}) >= {_needed(n, m, percent)}"
+
+
+def _suffix_passes(x: str, y: str, percent: int) -> str:
+    """Suffix filter, in SQL: shingles in one set only number the sets' own ones and the differences of the ranges at least."""
+    apart = f"{x}alone + {y}alone + aggregate(zip_with({x}ranges, {y}ranges, (p, q) -> abs(p - q)), 0, (s, p) -> s + p)"
+    return f"{apart} <= {x}n + {y}n - 2 * {_needed(f'{x}n', f'{y}n', percent)}"
 
 
 def verified_links(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link: the suffix filter on narrow rows, then each pair's sets are compared once."""
-    side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("ranges").alias(f"ranges_{c}"))
-    apart = F.expr("aggregate(zip_with(ranges_a, ranges_b, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)")
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= F.expr(f"n_a + n_b - 2 * ceil({percent} * (n_a + n_b) / {100 + percent}D)")).select("a", "b", "n_a", "n_b")
-    sets = lambda c: classes.select(F.col("cid").alias(c), F.col("tokens").alias(f"tokens_{c}"))
+    side = lambda c: classes.select(F.col("cid").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in ("n", "alone", "ranges")])
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_suffix_passes("a_", "b_", percent)).select("a", "b", "a_n", "b_n")
+    sets = lambda c: classes.select(F.col("cid").alias(c), F.col("tokens").alias(f"{c}_tokens"))
     full = near.join(sets("a"), "a").join(sets("b"), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,49 +260,42 @@ def verified_links(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
             links = 100 * common >= percent * (np.array(n, np.int64) + np.array(m, np.int64) - common)
             yield batch.select(["a", "b"]).filter(pa.array(links))
 
-    return full.select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b").mapInArrow(compare, "a binary, b binary")
+    return full.select("a", "b", "a_n", "b_n", "a_tokens", "b_tokens").mapInArrow(compare, "a binary, b binary")
+
+
+def _pairs(met: DataFrame, x: str, y: str) -> DataFrame:
+    return met.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
 
 
-def class_components(classes: DataFrame, percent: int, all_at_once: int = 24, heads: int = 32) -> DataFrame | None:
+def class_components(classes: DataFrame, percent: int) -> DataFrame | None:
     """(node, component) of classes that link with another, exactly; null if none does."""
-    lists = classes.select("cid", "n", F.explode("prefix").alias("p")).select("cid", "n", "p.token", "p.pos")
-    first = lists.groupBy("token").agg(F.min(F.struct("cid", "n", "pos")).alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", F.col("h.cid").alias("head"), F.col("h.n").alias("head_n"), F.col("h.pos").alias("head_pos"))
-    met = lists.join(first, "token").where(F.col("cid") != F.col("head")).where(_passes("n", "pos", "head_n", "head_pos", percent))
-    tried = checkpointed(met.select(F.greatest("cid", "head").alias("a"), F.least("cid", "head").alias("b")).distinct())
-    links = checkpointed(verified_links(tried, classes, percent))
-    # a head has met its whole list, whatever came of it
-    left = lists.join(first.select("token", F.col("head").alias("cid")), ["token", "cid"], "left_anti")
-    before = None
-    while True:
-        found = connected_components(links)
-        labelled = checkpointed(left.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))
-        sizes = labelled.groupBy("token", "component").agg(F.count(F.lit(1)).alias("s"))
-        state = sizes.groupBy("token").agg(F.sum("s").alias("m"), F.max(F.struct("s", "component")).alias("top")).where("m > top.s").select("token", "m", F.col("top.s").alias("s"), F.col("top.component").alias("largest"))
-        state = checkpointed(state)
-        cost, rows, outside_rows = state.agg(F.sum(F.expr("(m - s) * m")), F.sum("m"), F.sum(F.expr("m - s"))).first()
-        if not rows:
-            return found
-        active = labelled.join(state.select("token", "largest"), "token")
-        whole = cost <= all_at_once * rows
-        # some of the largest component meet all others first, as most others link with one of a few; once that helps
-        # little, some of the others meet their whole list and leave it
-        probe = not whole and (before is None or outside_rows <= 0.75 * before)
-        before = outside_rows
-        side = active.where("component = largest" if probe else "component <> largest").select("token", F.col("cid").alias("x"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"), F.col("component").alias("x_component"))
-        if not whole:
-            salt = F.pmod(F.xxhash64("x"), F.lit(heads))
-            side = checkpointed(side.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("x", "x_n", "x_pos", "x_component")).alias("h")).select("token", "h.*"))
-        met = active.join(side, "token").where("component <> x_component").where(_passes("n", "pos", "x_n", "x_pos", percent))
-        pairs = checkpointed(met.select(F.greatest("cid", "x").alias("a"), F.least("cid", "x").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-        tried, links = tried.unionByName(pairs), links.unionByName(checkpointed(verified_links(pairs, classes, percent)))
-        if whole:
-            return connected_components(links)
-        left = labelled.select("cid", "n", "token", "pos")
-        if not probe:
-            left = left.join(side.select("token", F.col("x").alias("cid")), ["token", "cid"], "left_anti")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, salts: int = 16) -> DataFrame:
+    lists = classes.select("cid", "n", "alone", F.explode("prefix").alias("p")).select("cid", "n", "alone", "p.token", "p.pos")
+    own_share = (F.col("alone") / F.col("n")).alias("share")
+    heads = lists.groupBy("token").agg(F.min(F.struct(own_share, "cid", "n", "pos")).alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", F.col("h.cid").alias("head"), F.col("h.n").alias("head_n"), F.col("h.pos").alias("head_pos"))
+    listed = checkpointed(lists.join(heads, "token").where("cid <> head"))
+    stars = checkpointed(verified_links(_pairs(listed.where(_passes("n", "pos", "head_n", "head_pos", percent)), "cid", "head"), classes, percent))
+    found = connected_components(stars)
+    # a head has met its whole list, whatever came of it; the others are left
+    left = listed.select("token", "cid", "n", "pos")
+    named = left.withColumn("component", F.col("cid")) if found is None else left.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    named = checkpointed(named)
+    each = named.groupBy("token", "component").agg(F.count(F.lit(1)).alias("s"))
+    state = each.groupBy("token").agg(F.sum("s").alias("m"), F.max(F.struct("s", "component")).alias("top")).where("m > top.s").select("token", F.col("top.component").alias("largest"))
+    active = named.join(state, "token").join(classes.select("cid", "alone", "ranges"), "cid").withColumn("out", F.col("component") != F.col("largest"))
+    active = checkpointed(active.select("token", "cid", "n", "pos", "alone", "ranges", "component", "out"))
+    # set sizes that may link with x whose first common shingle is this one, in bands of some six percent
+    band = lambda size: f"cast(floor(16 * ln({size})) AS int)"
+    sizes = active.where("out").withColumns({"low": F.expr(f"({percent}L * n + 99) div 100"), "high": F.expr(f"least({100 + percent}L * (n - pos) div {percent} - n, 100L * n div {percent})")}).where("low <= high")
+    x = sizes.select("token", F.explode(F.expr(f"sequence({band('low')}, {band('high')})")).alias("band"), *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "pos", "alone", "ranges", "component")])
+    y = active.select("token", F.expr(band("n")).alias("band"), *[F.col(c).alias(f"y_{c}") for c in ("cid", "n", "pos", "alone", "ranges", "component", "out")])
+    apart = F.expr(f"x_component <> y_component AND (NOT y_out OR x_cid < y_cid) AND {_passes('x_n', 'x_pos', 'y_n', 'y_pos', percent)} AND {_suffix_passes('x_', 'y_', percent)}")
+    met = x.join(y, (x["token"] == y["token"]) & (x["band"] == y["band"]) & apart)
+    more = checkpointed(verified_links(_pairs(met, "x_cid", "y_cid"), classes, percent))
+    discard(listed, named, active)
+    return connected_components(stars.unionByName(more)) if more.limit(1).count() else found
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """A row for each document: id, key (a hash of id and text), n_shingles, component_id (smallest id of its
     near-duplicate class), and component (a name of the class; null without shingles)."""
     if not 0 < percent <= 100:
@@ -298,14 +307,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(batch_of(F.col(id_col), F.col(text_col), batches=batches).alias("batch"), F.col(text_col).alias("body"))
     indexed = checkpointed(indexed_classes(rows, classes.select("batch", "digest"), size, percent, buckets))
     found = class_components(indexed.where("tokens IS NOT NULL"), percent)
-    sized = classes.select("digest", "least").join(indexed.select(F.col("cid").alias("digest"), "n"), "digest")
-    named = sized.join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    copies = named.select("digest", "n", "component").join(names, "component").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt_out = every.withColumn("salt", F.pmod(F.xxhash64("id", "batch"), F.lit(salts)).cast("int"))
-    back = dealt_out.join(copies, (dealt_out["digest"] == copies["digest"]) & (F.col("salt") == F.col("copy")), "left")
-    alone = dealt_out["digest"].isNull()
-    return back.select("id", "key", F.coalesce(F.col("n").cast("long"), F.lit(0).cast("long")).alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "component")
+    # classes alone are named by their own least id; others by that of their component
+    sized = indexed.select(F.col("cid").alias("digest"), "n").join(classes.select("digest", "least"), "digest")
+    if found is None:
+        named = sized.select("digest", "n", F.col("digest").alias("component"), F.col("least").alias("component_id"))
+    else:
+        linked = checkpointed(found.withColumnRenamed("node", "digest").join(classes.select("digest", "least"), "digest"))
+        names = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+        named = sized.join(linked.join(names, "component").select("digest", "component", "component_id"), "digest", "left")
+        named = named.select("digest", "n", F.coalesce("component", "digest").alias("component"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    back = every.join(named, "digest", "left")
+    return back.select("id", "key", F.coalesce(F.col("n").cast("long"), F.lit(0).cast("long")).alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
