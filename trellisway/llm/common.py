@@ -46,6 +46,12 @@ def discard(*tables: DataFrame | None) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def no_clash(df: DataFrame, added: list[str]) -> None:
+    """Raises if columns to be added are there already, in any case."""
+    if clash := {x.lower() for x in added} & {x.lower() for x in df.columns}:
+        raise ValueError(f"columns {sorted(clash)} are there already; rename them or choose another prefix")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The number of partitions the session deals a shuffle of this input into."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

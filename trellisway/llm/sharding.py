@@ -10,7 +10,8 @@ that digest: ranges are counted, their offsets summed over splits x shards rows,
 rows of each range numbered by themselves.
 
 Defined results: a null key counts as the empty string and a null text as empty; repeated
-rows get slots of their own; an empty table gives an empty result.
+rows get slots of their own; an empty table gives an empty result; a column of an added
+name raises.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellisway.llm.common import shuffle_width
+from trellisway.llm.common import no_clash, shuffle_width
 
 _DIGITS = 12
 
@@ -42,6 +43,7 @@ def rendezvous(key: Column, weights: dict[int, float]) -> Column:
 
 def with_shards(records: DataFrame, key_col: str, weights: dict[int, float], grown: dict[int, float] | None = None, prefix: str = "") -> DataFrame:
     """Adds {prefix}shard, and with `grown` (other weights) {prefix}grown_shard."""
+    no_clash(records, [f"{prefix}shard", *[f"{prefix}grown_shard"] * bool(grown)])
     key = F.coalesce(F.col(key_col).cast("string"), F.lit(""))
     out = records.withColumn(f"{prefix}shard", rendezvous(key, weights))
     return out.withColumn(f"{prefix}grown_shard", rendezvous(key, grown)) if grown else out
@@ -49,6 +51,7 @@ def with_shards(records: DataFrame, key_col: str, weights: dict[int, float], gro
 
 def with_slots(records: DataFrame, key_col: str, shard_col: str, ties: list[str], splits: int | None = None, slot_col: str = "slot") -> DataFrame:
     """Adds `slot_col`: 0, 1, ... in each shard, the same for any number of splits."""
+    no_clash(records, [slot_col, "_place", "_split", "_shard_at", "_split_at", "_before", "_rank", "_n"])
     splits = splits or 2 * shuffle_width(records.sparkSession)
     place = F.md5(F.concat(F.coalesce(F.col(key_col).cast("string"), F.lit("")), F.lit(":slot")))
     split = F.floor(F.conv(F.substring(place, 1, 8), 16, 10).cast("long") * F.lit(splits) / F.lit(float(16**8))).cast("int")
