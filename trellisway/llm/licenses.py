@@ -7,7 +7,8 @@ digests of the known licences. Units are a document's entire text and each entir
 it (licence notices stand on lines of their own).
 
 The catalogue has a fixed size, so it is broadcast. Word counts survive the spelling step
-(one word for one word), so units whose count no licence has are dropped before it.
+(one word for one word) and phrases change them by what a licence has of them, so units
+whose count no licence can have are dropped before these steps.
 
 Defined results: a null or empty text has no unit that matches; repeated rows are counted
 once each in `n_units`; rows with a null id are reported under the null id.
@@ -32,6 +33,9 @@ SPELLINGS = {
     "signalling": "signaling", "utilisation": "utilization", "whilst": "while", "wilful": "willful", "https": "http",
 }
 
+# Phrases that count as another, after the spellings.
+PHRASES = {"sub license": "sublicense", "sub licenses": "sublicenses", "sub licensed": "sublicensed", "sub licensing": "sublicensing", "non commercial": "noncommercial", "per cent": "percent", "copyright owner": "copyright holder", "copyright owners": "copyright holders"}
+
 # Permissive licences, by their public identifiers.
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND '
 _BSD_START = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
@@ -101,7 +105,16 @@ def squeezed(text: Column) -> Column:
 
 def respelled(canonical: Column, spellings: dict[str, str] | None = None) -> Column:
     table = F.create_map(*[F.lit(x) for pair in (spellings or SPELLINGS).items() for x in pair])
-    return F.array_join(F.transform(F.split(canonical, " "), lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
+    words = F.array_join(F.transform(F.split(canonical, " "), lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
+    # every word gets spaces of its own, so that phrases may follow one another
+    apart = F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
+    for a, b in PHRASES.items():
+        apart = F.replace(apart, F.lit(_apart(a)), F.lit(_apart(b)))
+    return F.trim(F.replace(apart, F.lit("  "), F.lit(" ")))
+
+
+def _apart(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
 
 
 def _squeezed_here(text: str) -> str:
@@ -111,7 +124,17 @@ def _squeezed_here(text: str) -> str:
 
 def canonical_here(text: str) -> str:
     """The canonical form of one known licence, for the catalogue."""
-    return " ".join(SPELLINGS.get(w, w) for w in _squeezed_here(text).split(" "))
+    out = _apart(" ".join(SPELLINGS.get(w, w) for w in _squeezed_here(text).split(" ")))
+    for a, b in PHRASES.items():
+        out = out.replace(_apart(a), _apart(b))
+    return out.replace("  ", " ").strip(" ")
+
+
+def _word_counts(canonical: str) -> set[int]:
+    """The numbers of words that units of this canonical form may have before phrases are replaced."""
+    words = canonical.split(" ")
+    longer = [b for a, b in PHRASES.items() if a.count(" ") > b.count(" ")]
+    return {len(words) + k for k in range(sum(w in longer for w in words) + 1)}
 
 
 def _resource_texts() -> dict[str, str]:
@@ -151,7 +174,7 @@ def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = Non
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """(id, scope, license_id, n_units): the entire texts (scope 'text') and entire lines ('line') that are a known licence."""
     known = known_digests(docs.sparkSession, texts)
-    lengths = sorted({len(canonical_here(t).split(" ")) for _, t in texts or known_texts()})
+    lengths = sorted({n for _, t in texts or known_texts() for n in _word_counts(canonical_here(t))})
     body = F.col(text_col)
     units = docs.where(body.isNotNull()).select(
         F.col(id_col).alias("id"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from trellisway.llm.common import read
 from trellisway.llm.decontamination import overlaps
 from trellisway.llm.jaccard_join import near_duplicates
-from trellisway.llm.licenses import BETWEEN, LINES, SPELLINGS, canonical_here, known_texts, license_scan
+from trellisway.llm.licenses import known_texts, license_scan
 from trellisway.llm.neighbours import nearest
 from trellisway.llm.packing import packed, token_pieces
 from trellisway.llm.sharding import with_shards, with_slots
@@ -99,7 +100,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH c AS (
-  SELECT page_id, nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.$', ''), '') AS host,
+  SELECT page_id, nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^/?#@\]]*\]|[^/?#:@]+)', 1)), '\.$', ''), '') AS host,
          DATE '2023-01-01' + ((page_id * 7919) % 730)::INT AS fetched_on
   FROM pages
 ), listed AS (
@@ -129,9 +130,34 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "scope", "license_id", "n_units")
 
 
+#: Written out here and not taken from the operator, so that the SQL tells if one of its patterns is changed.
+OP9_LINES = r"^[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*(?:\(c\)|©|<|\[|[0-9]{4}|by )|\(c\)|©|all rights reserved)[^\n]*$"
+OP9_WORDS = """acknowledgement acknowledgment analogue analog analyse analyze artefact artifact authorisation authorization authorised authorized calibre caliber
+cancelled canceled catalogue catalog categorise categorize centre center emphasised emphasized favour favor favourite favorite fulfil fulfill fulfilment fulfillment
+initialise initialize judgement judgment labelling labeling labour labor licence license licenced licensed maximise maximize modelled modeled modelling modeling
+offence offense optimise optimize organisation organization organise organize practise practice programme program realise realize recognise recognize
+signalling signaling utilisation utilization whilst while wilful willful https http""".split()
+OP9_PHRASES = [x.split("=") for x in "sub license=sublicense, sub licenses=sublicenses, sub licensed=sublicensed, sub licensing=sublicensing, non commercial=noncommercial, per cent=percent, copyright owner=copyright holder, copyright owners=copyright holders".split(", ")]
+
+
+def _op9_digest(text: str) -> str:
+    """The digest of a known text, word by word."""
+    lines = [x for x in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).split("\n") if not re.search(OP9_LINES, x)]
+    words = "".join(c if c >= "\x80" or c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in "\n".join(lines)).split(" ")
+    same = dict(zip(OP9_WORDS[::2], OP9_WORDS[1::2], strict=True))
+    plain = " ".join(same.get(w, w) for w in words if w)
+    for a, b in OP9_PHRASES:
+        plain = re.sub(rf"(?<![^ ]){a}(?![^ ])", b, plain)
+    return hashlib.sha256(plain.encode()).hexdigest()
+
+
 def _op9_sql() -> str:
-    known = ", ".join(f"('{k}', '{d}')" for k, d in sorted({(k, hashlib.sha256(canonical_here(t).encode()).hexdigest()) for k, t in known_texts()}))
-    spellings = ", ".join(f"'{a}': '{b}'" for a, b in SPELLINGS.items())
+    known = ", ".join(f"('{k}', '{d}')" for k, d in sorted({(k, _op9_digest(t)) for k, t in known_texts()}))
+    spellings = ", ".join(f"'{a}': '{b}'" for a, b in zip(OP9_WORDS[::2], OP9_WORDS[1::2], strict=True))
+    apart = "' ' || replace(array_to_string(list_transform(string_split(p, ' '), lambda w: coalesce(MAP {" + spellings + "}[w], w)), ' '), ' ', '  ') || ' '"
+    for phrase in OP9_PHRASES:
+        a, b = (f" {x.replace(' ', '  ')} " for x in phrase)
+        apart = f"replace({apart}, '{a}', '{b}')"
     return rf"""
 WITH known(license_id, digest) AS (VALUES {known}), units AS (
   SELECT doc_id, 'text' AS scope, text AS unit FROM documents WHERE text IS NOT NULL
@@ -139,9 +165,9 @@ WITH known(license_id, digest) AS (VALUES {known}), units AS (
   SELECT doc_id, 'line', unnest(string_split(text, chr(10))) FROM documents WHERE text IS NOT NULL
 ), plain AS (
   SELECT doc_id, scope, trim(regexp_replace(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '(?m){LINES}', '', 'g'), '{BETWEEN}', ' ', 'g'), ' ') AS p FROM units
+    '(?m){OP9_LINES}', '', 'g'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ') AS p FROM units
 ), spelled AS (
-  SELECT doc_id, scope, sha256(array_to_string(list_transform(string_split(p, ' '), lambda w: coalesce(MAP {{{spellings}}}[w], w)), ' ')) AS digest FROM plain WHERE p <> ''
+  SELECT doc_id, scope, sha256(trim(replace({apart}, '  ', ' '), ' ')) AS digest FROM plain WHERE p <> ''
 )
 SELECT doc_id, scope, license_id, count(*) AS n_units FROM spelled JOIN known USING (digest) GROUP BY ALL
 """

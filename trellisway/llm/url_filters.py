@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from trellisway.llm.common import checkpointed
 
-#: Scheme, optional user, host; ports, paths, queries and fragments end the host.
-HOST_PATTERN = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+#: Scheme, optional user, host, which may be an address in brackets; ports, paths, queries and fragments end the host.
+HOST_PATTERN = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^/?#@\]]*\]|[^/?#:@]+)"
 
 
 def host_of(url: Column) -> Column:
