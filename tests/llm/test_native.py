@@ -49,6 +49,7 @@ def test_url_filter_is_as_of(spark, bound):
         [("ads", "example.com", d(5), "add"), ("ads", "example.com", d(10), "remove"), ("ads", "example.com", d(20), "add"), ("ads", "example.com", d(20), "add"), ("bad", "x.example.com", d(1), "add"),
          ("bad", "tie.org", d(3), "add"), ("bad", "tie.org", d(3), "remove"), (None, None, None, None)], "list string, domain string, day date, action string",
     )
+    assert [r[0] for r in spark.createDataFrame([("http://[2001:DB8::1]:80/x",), ("http://u@[::1]",), ("http://a.b:1/[c]",)], "u string").select(uf.host_of(F.col("u"))).collect()] == ["[2001:db8::1]", "[::1]", "a.b"]
     urls = {1: "http://example.com/a", 2: "https://User@x.Example.com:80/?q", 3: "ftp://notexample.com/", 4: None, 5: "no url", 6: "http://tie.org", 7: ""}
     captures = spark.createDataFrame([(k, u, d(n) if n else None) for k, u in urls.items() for n in (4, 5, 9, 10, 21, 0)], "page long, url string, day date")
     got = {(r.id, r.fetched): r.reasons for r in uf.url_filter(captures, entries, "page", "url", "day", broadcast_rows=bound).collect()}
@@ -77,6 +78,7 @@ def test_entire_licence_texts(spark):
     rows += [("Apache-2.0", full["Apache-2.0"].split("APPENDIX:")[0].replace("http://", "https://")), ("GPL-3.0", full["GPL-3.0"].split("How to Apply")[0].upper())]
     rows += [("MIT", lc.TEXTS["MIT"].replace("MIT License", title)) for title in ("", "The MIT License (MIT)")]
     rows += [(k, t.split("\n", 1)[1]) for k, t in lc.TEXTS.items() if k != "Unlicense"] + [("Unlicense", "The Unlicense\n\n" + lc.TEXTS["Unlicense"])]
+    rows += [("MIT", lc.TEXTS["MIT"].replace("sublicense", "sub-licence").replace("COPYRIGHT HOLDERS", "COPYRIGHT OWNERS")), ("GPL-3.0", full["GPL-3.0"].replace("sublicens", "sub-licens"))]
     docs = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(rows)], "doc_id long, text string")
     got = {(r.id, r.license_id) for r in lc.license_scan(docs).where("scope = 'text'").collect()}
     assert got == {(n, k) for n, (k, _) in enumerate(rows)}
@@ -125,10 +127,25 @@ def test_decontamination_is_that_of_brute_force(spark, bound):
     assert dc.overlaps(d.limit(0), b).count() == 0 and dc.decontaminated(d, b.limit(0)).count() == len(docs)
 
 
+def test_seeds_are_shuffled_without_words(spark, capsys):
+    text = " ".join(f"t{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, text)], "item_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dc.overlaps(docs, b, broadcast_rows=0).explain("formatted")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    nodes = capsys.readouterr().out.split("\n\n")
+    dealt = [n for n in nodes if "Exchange" in n and "hashpartitioning(seed" in n]
+    assert len(dealt) >= 2 and not any("words" in n or "near" in n or "body" in n for n in dealt)
+
+
 def test_contamination_is_told_by_row(spark):
     text = " ".join(f"t{k}" for k in range(20))
     docs = spark.createDataFrame([(1, text), (1, "clean"), (None, text), (None, "clean")], "doc_id long, text string")
     b = spark.createDataFrame([(1, text)], "item_id long, text string")
+    assert sorted((str(r.id), r.first_word, r.end_word) for r in dc.overlaps(docs, b, broadcast_rows=0).collect()) == [("1", 0, 20), ("None", 0, 20)]
     assert sorted((str(r.doc_id), r.text) for r in dc.decontaminated(docs, b).collect()) == [("1", "clean"), ("None", "clean")]
 
 

@@ -10,9 +10,9 @@ The two masks were found by search to be complete: whichever 2 of 13 words are c
 one mask still fits somewhere in the window. So the result doesn't depend on the masks.
 
 Only DataFrame expressions. Seeds of the items are broadcast only if they number at most
-`broadcast_rows`; otherwise the seeds are joined by a shuffle on their hash, where both a
-hot seed and its document rows are narrow. A document's words are not shuffled: hits are
-verified where they are found.
+`broadcast_rows`; then hits are verified where they are found and no words of documents are
+shuffled. Otherwise places meet by a shuffle on seed and salt, in rows of keys and numbers
+alone; only documents with a hit are shuffled with their words, once, to be verified.
 
 Defined results: words are runs of other bytes than ASCII space, ASCII lower case; items of
 fewer than `window` words and null texts match nothing; rows that are equal in id and text
@@ -56,18 +56,31 @@ def _chunks(rows: DataFrame, step: int) -> DataFrame:
     return rows.withColumn("chunk", F.explode(cut)).select("id", "text_key", "chunk.base", "chunk.words")
 
 
-def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = 200_000, chunk_words: int = 512) -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = 200_000, chunk_words: int = 512, salts: int = 8) -> DataFrame:
     """(id, text_key, item, first_word, end_word): documents that hold a verified window of an item, and the
     words from its first to past its last; text_key tells rows with the same id apart."""
     known = items.select(F.col(item_col).alias("item"), word_hashes(F.col(item_text_col)).alias("words"))
     around, reach = WINDOW - 1, max(m[-1] for m in MASKS) + 1
     # what verification reads of an item: the words up to a window's length on either side of the seed
-    index = _seeds(known, ["item", "words"]).select(
-        "item", "seed", F.slice("words", F.greatest(F.col("place") - F.lit(around - 1), F.lit(1)), F.lit(2 * around + reach)).alias("near"), F.least("place", F.lit(around)).alias("before")
-    )
+    near = F.slice("words", F.greatest(F.col("place") - F.lit(around - 1), F.lit(1)), F.lit(2 * around + reach))
+    before = F.least("place", F.lit(around))
+    index = _seeds(known, ["item", "words"])
     small = index.limit(broadcast_rows + 1).count() <= broadcast_rows
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), word_hashes(F.col(text_col)).alias("words"))
-    hits = _seeds(_chunks(rows, chunk_words), ["id", "text_key", "base", "words"]).join(F.broadcast(index) if small else index, "seed")
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("body"))
+    chunks = lambda rows: _chunks(rows.select("id", "text_key", word_hashes(F.col("body")).alias("words")), chunk_words)
+    if small:
+        hits = _seeds(chunks(texts), ["id", "text_key", "base", "words"]).join(F.broadcast(index.select("item", "seed", near.alias("near"), before.alias("before"))), "seed")
+    else:
+        salted = F.sequence(F.lit(0), F.lit(salts - 1))
+        # items may repeat under one id, so each row is told by its words too
+        sought = index.select("seed", F.struct("item", F.xxhash64("words").alias("item_key"), F.col("place").alias("item_place")).alias("at"), F.explode(salted).alias("salt"))
+        places = _seeds(chunks(texts), ["id", "text_key", "base"]).withColumn("salt", F.pmod(F.xxhash64("id", "base", "place"), F.lit(salts)).cast("int"))
+        met = places.join(sought, ["seed", "salt"]).select("id", "text_key", "base", "place", "at.*").distinct()
+        held = met.select(F.col("id").alias("held_id"), F.col("text_key").alias("held_key")).distinct()
+        whole = chunks(texts.join(held, F.col("id").eqNullSafe(F.col("held_id")) & (F.col("text_key") == F.col("held_key")), "left_semi").dropDuplicates(["id", "text_key"]))
+        sliced = met.join(known.select(F.col("item").alias("known_item"), "words").distinct(), F.col("item").eqNullSafe(F.col("known_item")) & (F.col("item_key") == F.xxhash64("words")))
+        ready = sliced.select("id", "text_key", "base", F.col("place").alias("own"), "item", "words", F.col("item_place").alias("place")).select(F.col("id").alias("hit_id"), F.col("text_key").alias("hit_key"), F.col("base").alias("hit_base"), "own", "item", near.alias("near"), before.alias("before"))
+        hits = whole.join(ready, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")) & (F.col("base") == F.col("hit_base"))).withColumn("place", F.col("own"))
     start = F.col("place") - F.col("before")  # the chunk's word that faces near[0]; may lie before the chunk
     facing = F.transform(F.sequence(F.lit(0), F.size("near") - F.lit(1)), lambda i: F.coalesce((F.get("near", i) == F.when(start + i >= 0, F.get("words", start + i))).cast("int"), F.lit(0)))
     good = F.filter(
