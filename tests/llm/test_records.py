@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -22,9 +23,12 @@ def test_warc_round_trip(spark, segment, chunk):
     tricky = "WARC/1.1\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n0\r\n\r\n" * 3
     rows = [(5, "http://a/", long), (3, "http://b/\r\nX: y", long), (9, None, long), (1, "u", "short"), (2, "u", "short"), (4, "u", None), (6, "u", ""), (7, "u", tricky), (None, "n", long), (8, "u", tricky), (8, "u", tricky)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"record_type": F.lit("x"), "digest": F.lit("y")})
-    typed = warc.revisit_types(pages.drop("record_type"))
+    with pytest.raises(ValueError):
+        warc.revisit_types(pages)
+    typed = warc.revisit_types(pages, prefix="w_")
+    assert typed.where("record_type = 'x' AND digest = 'y'").count() == len(rows)
     path = warc.archive_folder(spark)
-    warc.write_archives(typed.select(F.col("page_id").cast("string").alias("key"), "url", F.col("html").alias("payload"), "record_type", F.col("refers_to").cast("string").alias("refers_to")), path, segment, chunk, records_per_file=4)
+    warc.write_archives(typed.select(F.col("page_id").cast("string").alias("key"), "url", F.col("html").alias("payload"), F.col("w_record_type").alias("record_type"), F.col("w_refers_to").cast("string").alias("refers_to")), path, segment, chunk, records_per_file=4)
     got = warc.read_archives(spark, path, with_payload=True).collect()
     assert len(got) == len(rows) and all(r.complete for r in got)
     body = {(None if i is None else str(i)): (h or "").encode() for i, _, h in rows}
@@ -38,6 +42,22 @@ def test_warc_round_trip(spark, segment, chunk):
             assert r.payload is None and r.payload_digest is None
     assert Counter(r.key for r in got)["8"] == 2
     assert any("%0D%0A" in (r.url or "") for r in got) and any(r.url is None for r in got)
+    # each record, and each end mark, is a gzip member
+    for r in spark.read.format("binaryFile").load(path).collect():
+        data, members = bytes(r.content), []
+        while data:
+            one = zlib.decompressobj(31)
+            members.append(one.decompress(data))
+            assert one.eof
+            data = one.unused_data
+        assert all(m.startswith(warc.VERSION) for m in members[::2]) and set(members[1::2]) <= {warc.END}
+
+
+def test_records_without_ids(spark, tmp_path):
+    make = lambda n: next(warc.records(str(n), "u", b"p%d" % n, "response", None, "<id>", 1000, 16, "d")).replace(b"WARC-Record-ID: <id>\r\n", b"")
+    (tmp_path / "a.warc").write_bytes(b"".join(make(n) + warc.END for n in range(3)))
+    got = warc.read_archives(spark, str(tmp_path), with_payload=True).collect()
+    assert sorted((r.key, bytes(r.payload), r.complete) for r in got) == [(str(n), b"p%d" % n, True) for n in range(3)]
 
 
 def test_broken_archives(spark, tmp_path):

@@ -4,7 +4,9 @@ Writing: each row is a record (version 1.1) with an HTTP response whose body is
 chunks. Blocks over `segment_bytes` are cut: the first part is segment 1, the others are
 continuation records that name its id, the last one with the total length. Spark's text
 writer puts the records out, so archives land on any file system that Spark writes to;
-files are gzip streams of at most `records_per_file` records.
+each record is a gzip member of its own, for readers that seek by record, and the writer's
+line separator is the member of the end mark. Files hold at most `records_per_file` records
+and have the names that Spark gives them.
 
 Reading: files are read whole by Spark and parsed by their content lengths, record after
 record. Parts of a segmented record are grouped by the origin's id, ordered by segment
@@ -12,11 +14,12 @@ number, checked (numbers without gaps, total length), joined, and the chunk fram
 decoded. Whole records send no payload through the shuffle.
 
 Bounds: a file holds at most `records_per_file` * `segment_bytes` bytes of blocks, and one
-record's payload is in one row, as on the way in.
+record's payload is in one row, as on the way in. Files of others may be up to 2 GB, as
+Spark reads each whole.
 
 Defined results: a null payload is empty; null keys and urls have no header and read back
 as null; control characters of urls are percent-encoded; repeated rows are records of
-their own; a record with a missing part, a wrong total or a broken frame has a null payload
+their own, and so are records without an id; a record with a missing part, a wrong total or a broken frame has a null payload
 and `complete` false.
 """
 
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellisway.llm.common import checkpointed, ensure_checkpoint_dir
+from trellisway.llm.common import checkpointed, ensure_checkpoint_dir, no_clash
 
 VERSION = b"WARC/1.1"
 END = b"\r\n\r\n"
@@ -90,6 +93,12 @@ def records(key: str | None, url: str | None, payload: bytes, kind: str, refers_
         yield _header([*fields, ("Content-Length", len(part))]) + part
 
 
+def member(data: bytes) -> bytes:
+    """A gzip member without a time, so that equal data are equal bytes."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
+
+
 def write_archives(rows: DataFrame, path: str, segment_bytes: int = 1 << 18, chunk_bytes: int = 1 << 13, records_per_file: int = 2048, date: str = "2024-01-01T00:00:00Z") -> None:
     """Writes `rows` (key string, url string, payload binary, record_type string, refers_to string) to archives under `path`."""
 
@@ -98,8 +107,8 @@ def write_archives(rows: DataFrame, path: str, segment_bytes: int = 1 << 18, chu
         for batch in batches:
             for key, url, payload, kind, refers in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 for record in records(key, url, payload or b"", kind, refers, f"<urn:uuid:{uuid.uuid4()}>", segment_bytes, chunk_bytes, date):
-                    out.append(record)
-                    size += len(record)
+                    out.append(member(record))
+                    size += len(out[-1])
                 if size > 1 << 22:
                     yield pa.record_batch([pa.array(out, pa.binary())], names=["record"])
                     out, size = [], 0
@@ -107,7 +116,9 @@ def write_archives(rows: DataFrame, path: str, segment_bytes: int = 1 << 18, chu
             yield pa.record_batch([pa.array(out, pa.binary())], names=["record"])
 
     built = rows.select("key", "url", F.col("payload").cast("binary").alias("payload"), "record_type", "refers_to").mapInArrow(build, "record binary")
-    built.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    # the cast leaves the bytes as they are; the separator's are given as characters of one byte
+    lines = built.select(F.col("record").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", member(END).decode("latin-1"))
+    lines.option("compression", "none").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def _inflated(data: bytes) -> Iterator[bytes]:
@@ -184,12 +195,13 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
         for batch in batches:
             for k in range(len(batch)):
                 out, size = [], 0
-                for fields, block in parse(batch.column(0)[k].as_py()):
+                for place, (fields, block) in enumerate(parse(batch.column(1)[k].as_py())):
                     kind, number = fields.get("warc-type"), _number(fields, "warc-segment-number")
                     n, digest, whole, body = decoded(kind, block) if number is None else (None, None, None, None)
                     kept = block if number is not None else body if with_payload else None
                     first = kind != "continuation"
-                    out.append((fields.get("warc-record-id" if first else "warc-segment-origin-id"), number, _number(fields, "warc-segment-total-length"), kind if first else None, fields.get("x-record-key"), fields.get("warc-target-uri"), fields.get("x-refers-to-key"), fields.get("warc-payload-digest", "").removeprefix("sha256:") or None, _number(fields, "x-payload-length"), n, digest, whole, kept))
+                    origin = fields.get("warc-record-id" if first else "warc-segment-origin-id") or f"{batch.column(0)[k].as_py()}#{place}"
+                    out.append((origin, number, _number(fields, "warc-segment-total-length"), kind if first else None, fields.get("x-record-key"), fields.get("warc-target-uri"), fields.get("x-refers-to-key"), fields.get("warc-payload-digest", "").removeprefix("sha256:") or None, _number(fields, "x-payload-length"), n, digest, whole, kept))
                     size += len(kept or b"") + 500
                     if size > 1 << 22:
                         yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -197,7 +209,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
                 if out:
                     yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    parsed = spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows_of, _PARSED)
+    parsed = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows_of, _PARSED)
     names = ["record_type", "key", "url", "refers_to", "stated_digest", "stated_bytes", "payload_bytes", "payload_digest", "complete"]
     # a whole record is a group of its own; its row is narrow unless payloads are asked for
     grouped = parsed.groupBy("origin").agg(
@@ -224,18 +236,21 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
     return grouped.mapInArrow(join_parts, kinds + ", payload binary" * with_payload)
 
 
-def revisit_types(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least_bytes: int = 100, salts: int = 16) -> DataFrame:
-    """Columns of `pages` with digest, record_type and refers_to: of equal payloads of at least `least_bytes`, the one
-    with the smallest id is the response, others revisit it. Rows with a null id are responses. A payload may be on a
-    large part of all rows, so the firsts are copied to `salts` and rows are dealt over them."""
+def revisit_types(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least_bytes: int = 100, salts: int = 16, prefix: str = "") -> DataFrame:
+    """Columns of `pages` with {prefix}digest, {prefix}record_type and {prefix}refers_to: of equal payloads of at least
+    `least_bytes`, the one with the smallest id is the response, others revisit it. Rows with a null id are responses. A
+    payload may be on a large part of all rows, so the firsts are copied to `salts` and rows are dealt over them. A column
+    of an added name raises."""
+    digest, kind, refers = (f"{prefix}{c}" for c in ("digest", "record_type", "refers_to"))
+    no_clash(pages, [digest, kind, refers, "_long", "_of", "_first", "_copy", "_salt"])
     body = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
-    rows = pages.withColumn("digest", F.sha2(body, 256)).withColumn("_long", F.length(body) >= least_bytes)
-    firsts = rows.where("_long").groupBy(F.col("digest").alias("_of")).agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    rows = pages.withColumn(digest, F.sha2(body, 256)).withColumn("_long", F.length(body) >= least_bytes)
+    firsts = rows.where("_long").groupBy(F.col(digest).alias("_of")).agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     copies = checkpointed(firsts).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(id_col, "digest"), F.lit(salts)).cast("int"))
-    met = salted.join(copies, (F.col("digest") == F.col("_of")) & (F.col("_salt") == F.col("_copy")) & F.col("_long"), "left")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(id_col, digest), F.lit(salts)).cast("int"))
+    met = salted.join(copies, (F.col(digest) == F.col("_of")) & (F.col("_salt") == F.col("_copy")) & F.col("_long"), "left")
     again = F.col("_first").isNotNull() & (F.col(id_col) > F.col("_first"))
-    return met.withColumns({"record_type": F.when(again, F.lit("revisit")).otherwise(F.lit("response")), "refers_to": F.when(again, F.col("_first"))}).drop("_long", "_of", "_first", "_copy", "_salt")
+    return met.withColumns({kind: F.when(again, F.lit("revisit")).otherwise(F.lit("response")), refers: F.when(again, F.col("_first"))}).drop("_long", "_of", "_first", "_copy", "_salt")
 
 
 def archive_folder(spark: SparkSession) -> str:
