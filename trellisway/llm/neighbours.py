@@ -8,9 +8,13 @@ sqrt((1 - f^2) / f^2 / (D - 1)) but with a small probability. All candidates who
 bound of the distance is not beyond the k-th exact distance found are reranked with the
 original vectors in double precision, so ties at the border are all compared.
 
-Work: rows are dealt into groups of about `group_rows`, queries into blocks of about
+Work: rows are dealt into groups of at most about `group_rows`, queries into blocks of about
 `block_queries`; each pair of group and block is a task of bounded memory that gives k rows
 a query at most. This compares all rows with a stated query set; every row is indexed.
+Vectors go along with their codes: with bounds wide enough to miss next to nothing, some
+half of all rows are reranked for a query of 64 dimensions (with the k-th bound in place of
+the k-th distance, nine tenths), so fetching survivors by id would move far more than a
+copy of each vector to each block of queries.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite parts, and
 rows with a null id, take no part; vectors of other dimension than a query are no
@@ -28,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellisway.llm.common import shuffle_width
 
 
 def usable(vector: Column) -> Column:
@@ -119,11 +124,13 @@ def _search(ids, x, code, length, fit, query_ids, q, centre, k: int, error_facto
             yield query_ids[at + j], ids[near][order], d[order]
 
 
-def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, group_rows: int = 16_384, block_queries: int = 1_024, error_factor: float = 4.0) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, group_rows: int = 65_536, block_queries: int = 16_384, error_factor: float = 4.0) -> DataFrame:
     """(query_id, rank, id, score): the k nearest of each row for which `queries` holds, by Euclidean distance."""
     rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.size(vector_col).alias("dim"), F.col(vector_col).alias("vector"), queries.alias("asks"))
     n, asked = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
-    groups, blocks = max(1, math.ceil(n / group_rows)), max(1, math.ceil(asked / block_queries))
+    # groups for every task slot where that leaves them some thousand rows
+    groups = max(1, math.ceil(n / group_rows), min(shuffle_width(vectors.sparkSession), n // 2048))
+    blocks = max(1, math.ceil(asked / block_queries))
     centre = means(rows) if n else {}
     index = build_index(rows, centre).withColumn("row_group", F.pmod(F.xxhash64("id", "vector"), F.lit(groups)).cast("int"))
     asking = rows.where("asks").groupBy("id", "dim").agg(F.min("vector").alias("vector")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
