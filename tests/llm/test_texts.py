@@ -150,6 +150,49 @@ def test_one_of_each(spark):
     assert jj.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_search_equals_all_paths():
+    rng, gen = random.Random(9), np.random.default_rng(9)
+    lm = tx.language_model(gen.integers(0, 50, (tx.K,) * 3) * (gen.random((tx.K,) * 3) < 0.1))
+    for _ in range(120):
+        token = "".join(rng.choice("abl1!3@.*#-|z") for _ in range(rng.randrange(1, 4)))
+        token += rng.choice(["", "*", "aa", "*a", "##"])
+        paths = {"": [((0, 0), 0.0)]}  # text -> its states with scores
+        every = [("", 0, 0, 0.0)]
+        for k in range(len(token)):
+            step = []
+            for text, a, b, s in every:
+                for x, cost in tx.choices(token, k):
+                    i = tx._ID[x] if x else 0
+                    step.append((text + x, b, i, s + cost + float(lm[a, b, i])) if x else (text, a, b, s + cost))
+            every = step
+        paths = defaultdict(lambda: -np.inf)
+        for text, a, b, s in every:
+            paths[text] = max(paths[text], s + float(lm[a, b, 0]))
+        best = sorted(((s, t) for t, s in paths.items()), key=lambda p: -p[0])
+        got = tx.restore(token, lm)
+        sought = [t for _, t in best if t][:3]
+        assert np.allclose([paths[t] for t in got], [paths[t] for t in sought]), (token, got, sought)
+
+
+def test_long_tokens_are_read_in_bounded_time():
+    lm = tx.language_model(np.ones((tx.K,) * 3))
+    began = time.perf_counter()
+    for token in ("a" + "*" * 40 + "b", "a" + "#*" * 300 + "b", "a" + "#" * 5000 + "b", "1d10t" * 20_000, "x1" * 50_000):
+        tx.readings(token, lm)
+    tx.Restored(["i " * 30_000, "a" + "*" * 30_000 + "b"], lm, {})
+    assert time.perf_counter() - began < 60
+
+
+def test_words_inside_long_tokens():
+    clean = "you are a stupid idiot and a pathetic moron the worthless scum is trash " * 40
+    codes = np.array([tx._ID.get(c, 0) for c in clean])
+    counts = np.zeros((tx.K,) * 3)
+    np.add.at(counts, (codes[:-2], codes[1:-1], codes[2:]), 1)
+    lm = tx.language_model(counts)
+    for lead in (1, 40, 70, 101):
+        assert any("1d10t" not in x and "idiot" in x for x in tx.readings("m" * lead + "1d10t" + "m" * 90, lm)), lead
+
+
 def test_restoring_obfuscated_words():
     clean = "you are a stupid idiot and a pathetic moron the worthless scum is trash " * 40
     codes = np.array([tx._ID.get(c, 0) for c in clean])

@@ -2,8 +2,8 @@
 
 A character language model (trigrams, counted over every document) and a channel of
 leetspeak, separators and repeated letters give each suspicious token a lattice of
-spellings; Viterbi search with a few best strings for each state restores it. The restored
-text's words and word beginnings are scored with weights learned from labels.
+spellings; Viterbi search with a few best strings for each state restores it, in overlapping
+pieces where a token is longer than any word. The restored text's words and word beginnings are scored with weights learned from labels.
 
 Rounds, each a scan of the texts without a shuffle of them:
 1. trigram counts of all texts (a table bounded by the alphabet cubed);
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trellisway.llm.common import Words, mix64, slices, spellings
+from trellisway.llm.common import Words, mix64, no_clash, slices, spellings
 
 # The letters of the model, after the boundary, which is 0.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâäçèéêëíîïñóôöùúûüœæ"
@@ -163,9 +163,11 @@ class Lattice:
         if len(self.begun) > 20_000:
             self.begun.clear()
         for k in range(known, len(token)):
-            after: dict[tuple[int, int], _Paths] = {}
+            after: dict[tuple[int, int], _Paths] = self.any_letter(states) if token[k] in WILD else {}
             for (a, b), paths in states.items():
                 for x, cost in choices(token, k):
+                    if cost == ANY:
+                        continue
                     key = (b, _ID[x]) if x else (a, b)
                     step = cost + (float(lm[a, b, _ID[x]]) if x else 0.0)
                     after.setdefault(key, []).extend((s + step, text + x) for s, text in paths)
@@ -176,6 +178,21 @@ class Lattice:
             self.begun[token] = states
         return states
 
+    def any_letter(self, states: dict[tuple[int, int], _Paths]) -> dict[tuple[int, int], _Paths]:
+        """The best strings for each state after one letter more, whichever it is. Strings of different states differ in
+        their last two letters, so those that a new state takes its best from are all distinct."""
+        by_last: dict[int, list[tuple[float, str, int]]] = {}
+        for (a, b), paths in states.items():
+            by_last.setdefault(b, []).extend((s, text, a) for s, text in paths)
+        out: dict[tuple[int, int], _Paths] = {}
+        for b, paths in by_last.items():
+            paths.sort(key=lambda p: p[1])
+            scores = np.array([p[0] for p in paths])[:, None] + ANY + self.lm[[p[2] for p in paths], b, 1:27].astype(float)
+            top = np.argsort(-scores, axis=0, kind="stable")[: self.best]
+            for x in range(26):
+                out[b, x + 1] = [(float(scores[i, x]), paths[i][1] + LETTERS[x]) for i in top[:, x]]
+        return out
+
     def letters(self, m: int) -> tuple[np.ndarray, np.ndarray]:
         while len(self.any) <= m:
             after = self.lm[:, :, 1:27, None].astype(float) + self.any[-1][0][None, :, 1:27, :]
@@ -191,10 +208,10 @@ class Lattice:
             found: list[tuple[float, int, int]] = []
             for m in range(0 if sign in SEPARATORS else 1, n + 1):
                 cost = m * ANY + (n - m) * nothing
-                if len(found) >= self.best and found[self.best - 1][0] >= cost:  # more letters cost more than that
+                if len(found) > self.best and found[self.best][0] >= cost:  # more letters cost more than that
                     break
                 scores = self.letters(m)[0][a, b]
-                found = sorted([*found, *((cost + float(s), m, r) for r, s in enumerate(scores) if np.isfinite(s))], key=lambda p: -p[0])[: self.best]
+                found = sorted([*found, *((cost + float(s), m, r) for r, s in enumerate(scores) if np.isfinite(s))], key=lambda p: -p[0])[: self.best + 1]  # one may be empty
             out = []
             for score, m, r in found:
                 text, i, j = "", a, b
@@ -230,10 +247,20 @@ _PIECES = re.compile(rf"[{LETTERS}]+")
 _HARD = re.compile(rf"[^{LETTERS}{re.escape(''.join(LEET) + WILD + SEPARATORS)}]+")
 
 
+def pieces(token: str, most: int = 64) -> Iterator[str]:
+    """A token of over `most` characters in pieces that overlap by half, as it holds words and is none: every stretch of
+    half that length lies in one of them, and the search's work is in proportion to the token."""
+    if len(token) <= most:
+        yield token
+    else:
+        for at in range(0, len(token) - most // 2, most // 2):
+            yield token[at : at + most]
+
+
 def readings(token: str, lm: np.ndarray) -> list[str]:
     """Words that a suspicious token may hold: restored spellings, and its plain pieces."""
     out = [p for p in _PIECES.findall(token) if len(p) > 2]
-    for part in _HARD.split(token):
+    for part in dict.fromkeys(x for whole in _HARD.split(token) for x in pieces(whole.strip(_STRIPPED))):
         part = part.strip(_STRIPPED)
         if _PIECES.search(part):
             for spelling in dict.fromkeys((part, part if part[-1] in _ID else part[:-1], part.rstrip(_STRIPPED + "!"), part.strip(_STRIPPED + "!(|"))):  # signs that may be punctuation
@@ -306,7 +333,7 @@ class Restored:
                 if hi - lo < 3:
                     continue
                 run = b"".join(words.data[i:j].tobytes() for i, j in zip(words.start[lo:hi], words.end[lo:hi], strict=True)).decode()
-                for token in dict.fromkeys((run, run[1:], run[:-1])):
+                for token in dict.fromkeys(x for whole in (run, run[1:], run[:-1]) for x in pieces(whole)):
                     if token not in known:
                         known[token] = restore(token, lm) if _PIECES.search(token) else []
                     out += [(d, x) for x in known[token]]
@@ -415,8 +442,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", prefix: str = "") -> DataFrame:
     """All columns of `docs`, and {prefix}held_out, {prefix}score, {prefix}predicted."""
     added = [f"{prefix}held_out", f"{prefix}score", f"{prefix}predicted"]
-    if clash := {x.lower() for x in added} & {x.lower() for x in docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} are there already; choose another prefix")
+    no_clash(docs, added)
     rows = docs.withColumn(added[0], fold(F.col(id_col)) == 0)
     schema = T.StructType([*rows.schema.fields, T.StructField(added[1], T.DoubleType()), T.StructField(added[2], T.IntegerType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # the alphabet cubed, and weights of a bounded sample
