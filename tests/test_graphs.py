@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from trellisway.operators import changes as ch
 from trellisway.operators import directed as dg
 from trellisway.operators import prepare as pr
 from trellisway.operators import triangles as tr
@@ -91,7 +92,9 @@ def test_empty_streams(spark):
     none = edges(spark, [(1, 2)]).limit(0)
     w = pr.WindowSpec(10, 5)
     assert wd.window_edges(none, w).count() == 0
-    assert wd.window_deltas(none, w).count() == 0
+    assert ch.window_deltas(none, w).count() == 0
+    assert ch.local_triangle_count(none, w).count() == 0
+    assert ch.triangle_census(none, w).count() == 0
     assert tr.triangle_count(wd.edge_frequencies(wd.window_edges(none, w), ["cp"]), ["cp"]).count() == 0
 
 
@@ -107,8 +110,22 @@ def test_sums_and_other_routes(spark):
     assert by_cp(tr.local_triangle_count(freq, ["cp"])) == {k: 3 * v for k, v in plain.items()}
     assert by_cp(tr.local_triangle_count(freq, ["cp"], True)) == {k: 3 * v for k, v in weighted.items()}
     assert by_cp(tr.edge_triangle_count(freq, ["cp"])) == {k: 3 * v for k, v in plain.items()}
-    assert by_cp(wd.window_deltas(stream, w)) == weighted
+    rows_of = lambda df: sorted(map(tuple, df.select(*sorted(df.columns)).collect()))
+    assert by_cp(ch.window_deltas(stream, w)) == by_cp(ch.triangle_count(stream, w, weighted=True)) == weighted
+    assert by_cp(ch.triangle_count(stream, w)) == plain
+    for k in (False, True):
+        assert rows_of(ch.local_triangle_count(stream, w, k)) == rows_of(tr.local_triangle_count(freq, ["cp"], k))
+    assert rows_of(ch.edge_triangle_count(stream, w)) == rows_of(tr.edge_triangle_count(freq, ["cp"]))
     assert all(weighted[k] >= plain[k] for k in plain)
-    typed = wd.edge_frequencies(wd.window_edges(pr.prepared(edges(spark, rows), True), w), ["cp"], True)
+    arrows = pr.prepared(edges(spark, rows), True)
+    typed = wd.edge_frequencies(wd.window_edges(arrows, w), ["cp"], True)
+    for k in (False, True):
+        assert rows_of(ch.directed_triangle_count(arrows, w, k)) == rows_of(dg.directed_triangle_count(typed, ["cp"], k, every=points))
+        assert rows_of(ch.directed_local_count(arrows, w, k)) == rows_of(dg.directed_local_count(typed, ["cp"], k))
+    assert rows_of(ch.edge_frequencies(stream, w)) == rows_of(freq) and rows_of(ch.edge_frequencies(arrows, w, directed=True)) == rows_of(typed)
+    for sizes, f, e in ((ch.window_sizes(stream, w), freq, stream), (ch.window_sizes(arrows, w, directed=True), typed, arrows)):
+        assert rows_of(sizes.select("cp", "distinct_edges")) == rows_of(wd.distinct_edge_count(f, ["cp"]))
+        assert rows_of(sizes.select("cp", "instances")) == rows_of(wd.edge_instance_count(wd.window_edges(e, w), ["cp"]))
+        assert rows_of(sizes.select("cp", "nodes")) == rows_of(wd.node_count(f, ["cp"]))
     every = {(r.cp, r.type, r.node): r.triangles for r in dg.directed_local_count(typed, ["cp"]).collect()}
     assert {(r.cp, 0, r.node): r.triangles for r in dg.local_count_a(typed, ["cp"]).collect()} == {k: v for k, v in every.items() if k[1] == 0}

@@ -3,16 +3,39 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows of `df`, computed now and kept in the checkpoint folder; what builds on them doesn't compute them again.
-
-    The folder is the one that the session names; only where none is named (local runs) a new one is made."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one that the session names in spark.checkpoint.dir. Where none is named, a new one in
+    local mode, and an error on a cluster, whose executors share no folder that could be guessed."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of `df`, computed now and kept as a table in the shared folder; lineage and plan end there.
+
+    A table and not checkpoint(): that hands its plan's constraints on, and loops make these grow without end."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that stored() wrote and that no later step reads."""
+    for df in tables:
+        if df is not None and (files := df.inputFiles()):
+            drop_folder(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

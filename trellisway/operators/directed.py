@@ -66,33 +66,31 @@ def _matches(type_: int, weighted: bool) -> Column:
     return out
 
 
-def _typed(frequencies: DataFrame, by: list[str], weighted: bool, types: list[int]) -> DataFrame:
-    """(by..., nodes, type, n) for each candidate and type with n > 0."""
-    found = triangles(relation_pairs(frequencies, by), by, ["down", "up", "two"]).select(*by, F.array("a", "b", "c").alias("nodes"), F.sort_array(F.array("ab", "ac", "bc"), asc=False).alias("p"))
-    each = F.array(*[F.struct(F.lit(k).alias("type"), _matches(k, weighted).alias("n")) for k in types])
-    return found.select(*by, "nodes", F.explode(each).alias("m")).select(*by, "nodes", "m.type", "m.n").where("n > 0")
+def typed(found: DataFrame, types: list[int], keep: list[str]) -> DataFrame:
+    """(keep..., nodes, type, n, weighted) for each candidate and type that it has: distinct pairs, and choices of instances."""
+    pairs = found.select(*keep, F.array("a", "b", "c").alias("nodes"), F.sort_array(F.array("ab", "ac", "bc"), asc=False).alias("p"))
+    each = F.array(*[F.struct(F.lit(k).alias("type"), _matches(k, False).alias("n"), _matches(k, True).alias("weighted")) for k in types])
+    return pairs.select(*keep, "nodes", F.explode(each).alias("m")).select(*keep, "nodes", "m.*").where("n > 0")
+
+
+def _candidates(frequencies: DataFrame, by: list[str]) -> DataFrame:
+    return triangles(relation_pairs(frequencies, by), by, ["down", "up", "two"])
 
 
 def directed_triangle_count(frequencies: DataFrame, by: list[str], weighted: bool = False, types: list[int] | None = None, every: DataFrame | None = None) -> DataFrame:
     """(by..., type, triangles) of the asked types, all seven by default, in one pass."""
     types = list(TYPES) if types is None else types
-    found = _typed(frequencies, by, weighted, types).groupBy(*by, "type").agg(F.sum("n").alias("triangles"))
+    found = typed(_candidates(frequencies, by), types, by).groupBy(*by, "type").agg(F.sum("weighted" if weighted else "n").alias("triangles"))
     if every is None:
         return found
     rows = every.select(*by, F.explode(F.array(*[F.lit(k) for k in types])).alias("type"))
     return rows.join(found, [*by, "type"], "left").withColumn("triangles", F.coalesce("triangles", F.lit(0).cast("long")))
 
 
-def triangle_census(frequencies: DataFrame, by: list[str], every: DataFrame | None = None) -> DataFrame:
-    """(by..., type, triangles, weighted): both counts of all seven types."""
-    plain = directed_triangle_count(frequencies, by, every=every)
-    return plain.join(directed_triangle_count(frequencies, by, weighted=True, every=every).withColumnRenamed("triangles", "weighted"), [*by, "type"])
-
-
 def directed_local_count(frequencies: DataFrame, by: list[str], weighted: bool = False, types: list[int] | None = None) -> DataFrame:
     """(by..., type, node, triangles) for every node and asked type."""
     types = list(TYPES) if types is None else types
-    found = _typed(frequencies, by, weighted, types).select(*by, "type", "n", F.explode("nodes").alias("node"))
+    found = typed(_candidates(frequencies, by), types, by).select(*by, "type", F.col("weighted" if weighted else "n").alias("n"), F.explode("nodes").alias("node"))
     nodes = frequencies.select(*by, F.explode(F.array("s", "d")).alias("node")).distinct()
     none = nodes.select(*by, F.explode(F.array(*[F.lit(k) for k in types])).alias("type"), F.lit(0).cast("long").alias("n"), "node")
     return found.unionByName(none).groupBy(*by, "type", "node").agg(F.sum("n").alias("triangles"))

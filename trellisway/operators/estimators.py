@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from trellisway.functions.materialize import stored
 from trellisway.functions.mix import rho_sql
+from trellisway.operators.changes import triangle_count as triangle_count_by_changes
 from trellisway.operators.directed import directed_triangle_count
 from trellisway.operators.prepare import WindowSpec, checkpoints
-from trellisway.operators.sampling import SampleSpec, assign_slots, bernoulli_edges, edge_cardinality_estimate, first_arrivals, group_estimate_sql, priority_sample_at, sample_lifetimes, slice_of, slice_start_sql, slot_states
+from trellisway.operators.sampling import SampleSpec, assign_slots, bernoulli_edges, chunk_length, edge_cardinality_estimate, first_arrivals, group_estimate_sql, priority_sample_at, sample_lifetimes, slice_of, slice_start_sql, slot_states
 from trellisway.operators.triangles import local_triangle_count, triangle_count
-from trellisway.operators.window import edge_frequencies, window_edges
+from trellisway.operators.window import edge_frequencies
 
 _BY = ["seed", "cp"]
 
@@ -32,11 +33,7 @@ def _graphs(edges: DataFrame, step: int) -> DataFrame:
 
 def fixed_p_estimate(edges: DataFrame, wspec: WindowSpec, p: float) -> DataFrame:
     """(seed, cp, estimate): weighted triangles among sampled edges / p^3. Needs `seed`."""
-    graphs = _graphs(edges, wspec.step).select(*_BY, "bucket", "cp_t", "cp_eid")
-    kept = bernoulli_edges(edges, p)
-    steps = F.sequence(F.expr(f"t div {wspec.step}"), F.expr(f"(t + {wspec.window}) div {wspec.step}"))
-    seen = kept.withColumn("bucket", F.explode(steps)).join(graphs, ["seed", "bucket"]).where(F.expr(f"(t < cp_t OR (t = cp_t AND eid <= cp_eid)) AND t >= cp_t - {wspec.window}"))
-    counts = triangle_count(edge_frequencies(seen, _BY), _BY, weighted=True, every=graphs)
+    counts = triangle_count_by_changes(bernoulli_edges(edges, p), wspec, weighted=True, by=["seed"], times=edges.select("t", "eid").distinct())
     return counts.select(*_BY, (F.col("triangles") / p**3).alias("estimate"))
 
 
@@ -56,8 +53,12 @@ def _scaled(counts: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
 
 def swtc_estimate(edges: DataFrame, wspec: WindowSpec, spec: SampleSpec) -> DataFrame:
     """(seed, cp, estimate): weighted triangles in the sample over the triple's probability."""
-    states = slot_states(edges, wspec, spec)
-    counts = triangle_count(edge_frequencies(priority_sample_at(states), _BY), _BY, weighted=True, every=_graphs(edges, wspec.step))
+    return swtc_from_states(slot_states(edges, wspec, spec), _graphs(edges, wspec.step), spec)
+
+
+def swtc_from_states(states: DataFrame, every: DataFrame, spec: SampleSpec) -> DataFrame:
+    """As swtc_estimate, from the sample's places; `every` lists the (seed, cp) to give."""
+    counts = triangle_count(edge_frequencies(priority_sample_at(states), _BY), _BY, weighted=True, every=every)
     return _scaled(counts, edge_cardinality_estimate(states, spec), _BY)
 
 
@@ -116,10 +117,17 @@ def _closed(points: DataFrame, lives: DataFrame, window: int, directed: bool, va
     """Pairs of neighbours of both ends of a point (seed, s, d, bi, at, ...) with the same other end, both valid at the
     point by the SQL condition `valid` on {f}: as f_* and g_* columns, and the type that they close."""
     ends = _neighbour_lives(lives, window, directed)
-    side = lambda x, c: ends.select("seed", "chunk", F.col("node").alias(c), F.col("other"), *[F.col(n).alias(f"{x}_{n}") for n in ("dir", "life_t", "life_eid", "start", "end", "expired")])
-    asked = points.withColumn("chunk", F.expr(f"at.t div {window}"))
-    one = asked.join(side("f", "s"), ["seed", "chunk", "s"]).where(F.expr(valid.format(f="f")))
-    two = one.join(side("g", "d"), ["seed", "chunk", "d", "other"]).where(F.expr(valid.format(f="g")))
+    kept = ("dir", "life_t", "life_eid", "start", "end", "expired")
+    side = lambda x, c: ends.select("seed", "chunk", F.col("node").alias(c), F.col("other"), *[F.col(n).alias(f"{x}_{n}") for n in kept])
+    degree = ends.groupBy("seed", "chunk", "node").agg(F.count(F.lit(1)).alias("degree"))
+    at = lambda c: degree.select("seed", "chunk", F.col("node").alias(c), F.col("degree").alias(f"degree_{c}"))
+    # both ends have neighbours or nothing is closed; those of the end with fewer are tried, so a hub costs what its partners have
+    asked = points.withColumn("chunk", F.expr(f"at.t div {window}")).join(at("s"), ["seed", "chunk", "s"]).join(at("d"), ["seed", "chunk", "d"])
+    turned = F.col("degree_d") < F.col("degree_s")
+    asked = asked.withColumns({"near": F.when(turned, F.col("d")).otherwise(F.col("s")), "far": F.when(turned, F.col("s")).otherwise(F.col("d")), "turned": turned})
+    one = asked.join(side("p", "near"), ["seed", "chunk", "near"]).where(F.expr(valid.format(f="p")))
+    two = one.join(side("q", "far"), ["seed", "chunk", "far", "other"]).where(F.expr(valid.format(f="q")))
+    two = two.withColumns({f"{x}_{n}": F.when(F.col("turned"), F.col(f"{no}_{n}")).otherwise(F.col(f"{yes}_{n}")) for x, yes, no in (("f", "p", "q"), ("g", "q", "p")) for n in kept})
     if not directed:
         return two.withColumn("type", F.lit(-1))
     rules = points.sparkSession.createDataFrame([(bi, a, b, k) for k, rows in CLOSINGS.items() for bi, a, b in rows], "bi boolean, f_dir string, g_dir string, type int")
@@ -168,7 +176,7 @@ def _occupancy_events(edges: DataFrame, spec: SampleSpec) -> DataFrame:
     times = edges.groupBy("t").agg(F.min("eid").alias("eid"))
     begin = lambda n: F.expr(f"{slice_start_sql('grp', spec)} + {spec.window} * (slice + {n})")
     rows = tops.withColumns({"x1": begin(1), "x2": begin(2)})
-    found = stored(first_arrivals(times, rows.select(F.col("x1").alias("x")).unionByName(rows.select(F.col("x2").alias("x"))), spec.window))
+    found = stored(first_arrivals(times, rows.select(F.col("x1").alias("x")).unionByName(rows.select(F.col("x2").alias("x"))), chunk_length(spec.window)))
     rows = rows.join(found.select(F.col("x").alias("x1"), F.col("at").alias("at1")), "x1").join(found.select(F.col("x").alias("x2"), F.col("at").alias("at2")), "x2")
     after = tops.select(*place, (F.col("slice") - 1).alias("slice"), F.lit(True).alias("followed"))
     rows = rows.join(after, [*place, "slice"], "left")
@@ -191,11 +199,11 @@ def pair_probability(edges: DataFrame, lives: DataFrame, spec: SampleSpec) -> Da
     """(seed, at, kind, t, eid, n, edges, inc, exp): after each arrival's insertion (kind 3) and each expiry of a sampled
     edge (kind 0; t and eid are the edge's), the sample's size, the estimated edges, and the chances of a pair and a triple.
 
-    Changes are summed inside chunks of a window's length and then carried over chunk totals, so nothing is
+    Changes are summed inside chunks of a part of a window's length and then carried over chunk totals, so nothing is
     ordered over the whole stream at once."""
     events = _life_events(edges, lives, spec)
     asked = edges.select("seed", F.struct("t", "eid").alias("at"), F.lit(3).alias("kind"), F.struct(F.lit(-1).cast("long").alias("t"), F.lit(-1).cast("long").alias("eid")).alias("by"))
-    log = events.unionByName(asked, allowMissingColumns=True).withColumn("chunk", F.expr(f"at.t div {spec.window}"))
+    log = events.unionByName(asked, allowMissingColumns=True).withColumn("chunk", F.expr(f"at.t div {chunk_length(spec.window)}"))
     numbers = [(g, c) for g in range(spec.groups) for c in ("valid", "q", "occ")]
     per = {f"{c}_{g}": F.coalesce(F.sum(F.when(F.col("grp") == g, F.col(c))), F.lit(0)) for g, c in numbers}
     # rows of one place in the order change together, so they are added up before the running sums
@@ -269,7 +277,7 @@ def fixed_p_sliced_estimate(edges: DataFrame, wspec: WindowSpec, p: float, slice
     kept = bernoulli_edges(edges, p)
     times = edges.groupBy("t").agg(F.min("eid").alias("eid"))
     asked = kept.select((F.col("t") + wspec.window + 1).alias("x"))
-    ends = first_arrivals(times, asked, wspec.window)
+    ends = first_arrivals(times, asked, chunk_length(wspec.window))
     lives = kept.withColumn("x", F.col("t") + wspec.window + 1).join(ends, "x").withColumns({"start": F.struct("t", "eid"), "end": F.col("at"), "expired": F.col("at").isNotNull()}).drop("x", "at")
     points = _points(edges.withColumn("at", F.struct("t", "eid")), False)
     come = _closed(points, lives, wspec.window, False, "{f}_start < at AND ({f}_end IS NULL OR {f}_end > at)")

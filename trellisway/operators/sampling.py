@@ -26,6 +26,11 @@ class SampleSpec:
     groups: int
     slots: int
 
+    @staticmethod
+    def of(length: float, rate: float, groups: int = 10, time_unit: float = 1.0) -> SampleSpec:
+        """A sample of `rate` of the edges of a window of `length` edges, where time_unit is the time between two of them."""
+        return SampleSpec(int(length * time_unit), groups, int(length * rate) // groups)
+
     @property
     def alpha(self) -> float:
         return 0.7213 / (1 + 1.079 / self.slots)
@@ -81,9 +86,13 @@ def slots_at(slotted: DataFrame, points: DataFrame, spec: SampleSpec, step: int,
 def slot_states(edges: DataFrame, wspec: WindowSpec, spec: SampleSpec, keep: list[str] | None = None) -> DataFrame:
     """(seed, cp, cp_t, grp, slot, edge, top): the valid edge of each occupied place, null if it has none, and the
     highest priority in it."""
-    keep = ["s", "d"] if keep is None else keep
     points = checkpoints(edges.select("t", "eid").distinct(), wspec.step)
-    both = slots_at(assign_slots(edges, spec), points, spec, wspec.step, keep)
+    return states_at(assign_slots(edges, spec), points, wspec, spec, ["s", "d"] if keep is None else keep)
+
+
+def states_at(slotted: DataFrame, points: DataFrame, wspec: WindowSpec, spec: SampleSpec, keep: list[str]) -> DataFrame:
+    """As slot_states, for edges that have their places and for these checkpoints."""
+    both = slots_at(slotted, points, spec, wspec.step, keep)
     a, b = F.col("a"), F.col("b")
     edge = F.when(a.isNull() | (b["priority"] >= a["priority"]), b).when(a["t"] >= F.col("cp_t") - spec.window, a)
     return both.select("seed", "cp", "cp_t", "grp", "slot", edge.alias("edge"), F.greatest(a["priority"], b["priority"]).alias("top"))
@@ -114,16 +123,22 @@ def sample_size(states: DataFrame) -> DataFrame:
     return states.groupBy("seed", "cp").agg(F.count("edge").alias("n"))
 
 
+def chunk_length(window: int) -> int:
+    """The length of the chunks of time that are sorted whole."""
+    return max(1, window // 32)
+
+
 def first_arrivals(times: DataFrame, asked: DataFrame, chunk: int) -> DataFrame:
     """(x, at): the first arrival (struct t, eid) at or after each asked time x; null if there is none. times: (t, eid), the
     first arrival of each time. Sorted inside chunks of time; only a table of one row a chunk is looked through whole."""
     from_edges = times.select(F.col("t").alias("pos"), F.lit(1).alias("kind"), F.struct("t", "eid").alias("at"))
     rows = asked.select(F.col("x").alias("pos"), F.lit(0).alias("kind")).distinct().unionByName(from_edges, allowMissingColumns=True)
     rows = rows.withColumn("chunk", F.floor(F.col("pos") / chunk))
-    ahead = Window.partitionBy("chunk").orderBy("pos", "kind").rowsBetween(0, Window.unboundedFollowing)
-    inside = rows.withColumn("near", F.first("at", ignorenulls=True).over(ahead)).where("kind = 0")
+    # latest first, so that the frame grows from row to row; one that shrinks would be read anew for each row
+    ahead = Window.partitionBy("chunk").orderBy(F.desc("pos"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumn("near", F.last("at", ignorenulls=True).over(ahead)).where("kind = 0")
     firsts = rows.groupBy("chunk").agg(F.min("at").alias("own"))
-    later = firsts.select("chunk", F.first("own", ignorenulls=True).over(Window.orderBy("chunk").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    later = firsts.select("chunk", F.last("own", ignorenulls=True).over(Window.orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
     return inside.join(later, "chunk").select(F.col("pos").alias("x"), F.coalesce("near", "later").alias("at"))
 
 
@@ -146,7 +161,7 @@ def sample_lifetimes(edges: DataFrame, spec: SampleSpec, keep: list[str] | None
     switch_at = F.expr(f"{slice_start_sql('grp', spec)} + {spec.window} * (slice + 1)")
     rows = records.join(tops, here, "left").join(beaten, [*here, "arrival"], "left").withColumns({"switch_x": switch_at, "expire_x": F.col("t") + spec.window + 1})
     asked = records.select(switch_at.alias("x")).unionByName(records.select((F.col("t") + spec.window + 1).alias("x")))
-    found = stored(first_arrivals(times, asked, spec.window))
+    found = stored(first_arrivals(times, asked, chunk_length(spec.window)))
     rows = rows.join(found.select(F.col("x").alias("switch_x"), F.col("at").alias("switch")), "switch_x").join(found.select(F.col("x").alias("expire_x"), F.col("at").alias("expiry")), "expire_x")
     own = F.col("top_before").isNull() | (F.col("priority") >= F.col("top_before"))
     promoted = F.col("next_record").isNull() & F.col("switch").isNotNull() & (F.col("t") >= F.col("switch")["t"] - spec.window)

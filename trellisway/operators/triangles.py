@@ -7,7 +7,9 @@ that both its other nodes are reached from."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,8 +18,10 @@ def degrees(pairs: DataFrame, by: list[str]) -> DataFrame:
     return pairs.select(*by, F.explode(F.array("s", "d")).alias("node")).groupBy(*by, "node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def triangles(pairs: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
-    """(by..., a, b, c, ab, ac, bc): each triangle once, and of each pair a struct of s, d and the `keep` columns."""
+def triangles(pairs: DataFrame, by: list[str], keep: list[str], meet: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """(by..., a, b, c, ab, ac, bc): each triangle once, and of each pair a struct of s, d and the `keep` columns.
+
+    `meet` is a condition on two of the structs, which all three have to fulfil; a pair may then be there more than once."""
     degree = degrees(pairs, by)
     end = lambda c: degree.select(*by, F.col("node").alias(c), F.col("degree").alias(f"degree_{c}"))
     ranked = pairs.join(end("s"), [*by, "s"]).join(end("d"), [*by, "d"])
@@ -26,7 +30,9 @@ def triangles(pairs: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
     other = turned.select(*by, "a", F.col("b").alias("c"), F.col("ab").alias("ac"))
     wedges = turned.join(other, [*by, "a"]).where("b > c")
     closing = pairs.select(*by, F.col("s").alias("b"), F.col("d").alias("c"), F.struct("s", "d", *keep).alias("bc"))
-    return wedges.join(closing, [*by, "b", "c"])
+    if meet is None:
+        return wedges.join(closing, [*by, "b", "c"])
+    return wedges.where(meet("ab", "ac")).join(closing, [*by, "b", "c"]).where(meet("ab", "bc") & meet("ac", "bc"))
 
 
 def _weight(weighted: bool):

@@ -40,38 +40,18 @@ def node_count(frequencies: DataFrame, by: list[str]) -> DataFrame:
     return ends.groupBy(*by).agg(F.count(F.lit(1)).alias("nodes"))
 
 
-def seen_from(rows: DataFrame, points: DataFrame, spec: WindowSpec, last: str, first: str) -> DataFrame:
+def seen_from(rows: DataFrame, edges: DataFrame, points: DataFrame, spec: WindowSpec, last: str, first: str) -> DataFrame:
     """The checkpoint numbers [cp_from, cp_to] at which a thing is alive: from the arrival `last` (struct t, eid) on, while
-    the time `first` is in the window. Found on tables of steps, which number as the steps of the data do."""
-    low, high = points.agg(F.min("bucket"), F.max("bucket")).first()
-    if low is None:
-        return rows.withColumns({"cp_from": F.lit(1).cast("long"), "cp_to": F.lit(0).cast("long")}).limit(0)
-    spark = rows.sparkSession
-    steps = spark.range(0, high + 2).toDF("step").join(points, F.col("step") == F.col("bucket"), "left")
-    ahead, behind = Window.orderBy("step").rowsBetween(0, Window.unboundedFollowing), Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    table = steps.select("step", "cp", "cp_t", "cp_eid", F.first("cp", ignorenulls=True).over(ahead).alias("at_or_after"), F.last("cp", ignorenulls=True).over(behind).alias("at_or_before"))
+    the time `first` is in the window. Both are arrivals of `edges`; the tables of steps have a row for each step in which
+    one of these or a checkpoint lies, and are looked through in one partition as the checkpoints are."""
+    starts, ends = (edges.select(F.expr(f"(t + {lag}) div {spec.step}").alias("step")) for lag in (0, spec.window))
+    steps = starts.unionByName(ends).distinct().join(points, F.col("step") == F.col("bucket"), "full").withColumn("step", F.coalesce("step", "bucket"))
+    after, before = (Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0) for by in (F.desc("step"), "step"))
+    table = steps.select("step", "cp", "cp_t", "cp_eid", F.last("cp", ignorenulls=True).over(after).alias("at_or_after"), F.last("cp", ignorenulls=True).over(before).alias("at_or_before"))
     f = table.select(F.col("step").alias("f_step"), F.col("cp_t").alias("f_t"), F.col("cp_eid").alias("f_eid"), F.col("at_or_after").alias("f_next"), F.col("cp").alias("f_cp"))
     g = table.select(F.col("step").alias("g_step"), F.col("cp_t").alias("g_t"), F.col("at_or_before").alias("g_last"), F.col("cp").alias("g_cp"))
-    out = rows.join(f, F.expr(f"least({last}.t div {spec.step}, {high + 1})") == F.col("f_step")).join(g, F.expr(f"least(({first} + {spec.window}) div {spec.step}, {high + 1})") == F.col("g_step"))
+    out = rows.join(f, F.expr(f"{last}.t div {spec.step}") == F.col("f_step")).join(g, F.expr(f"({first} + {spec.window}) div {spec.step}") == F.col("g_step"))
     on_it = F.expr(f"f_cp IS NULL OR {last}.t < f_t OR ({last}.t = f_t AND {last}.eid <= f_eid)")
     cp_from = F.when(on_it, F.col("f_next")).otherwise(F.col("f_next") + 1)
     cp_to = F.when(F.expr(f"g_cp IS NOT NULL AND g_t > {first} + {spec.window}"), F.col("g_last") - 1).otherwise(F.col("g_last"))
     return out.withColumns({"cp_from": cp_from, "cp_to": cp_to}).where("cp_from <= cp_to").drop("f_step", "f_t", "f_eid", "f_next", "f_cp", "g_step", "g_t", "g_last", "g_cp")
-
-
-def window_deltas(edges: DataFrame, spec: WindowSpec) -> DataFrame:
-    """(cp, triangles): weighted counts by changes. Each triangle of edge instances no more than a window apart is found
-    once, counted in at its first checkpoint and out after its last; then changes are summed along the checkpoints."""
-    w = spec.window
-    near = edges.select("t", "eid", "s", "d", F.explode(F.sequence(F.expr(f"t div {w}"), F.expr(f"t div {w} + 1"))).alias("chunk"))
-    side = lambda s, d, k: near.select("chunk", F.col("s").alias(s), F.col("d").alias(d), F.struct("t", "eid").alias(f"e{k}"))
-    # all three lie in the chunk after the oldest one's own, and are counted there
-    wedges = side("x", "y", 1).join(side("y", "z", 2), ["chunk", "y"]).where(F.abs(F.col("e1.t") - F.col("e2.t")) <= w)
-    found = wedges.join(side("x", "z", 3), ["chunk", "x", "z"])
-    arrivals = F.array("e1", "e2", "e3")
-    spans = found.select("chunk", F.array_max(arrivals).alias("last"), F.array_min(arrivals)["t"].alias("first")).where((F.col("last.t") - F.col("first") <= w) & (F.col("chunk") == F.expr(f"first div {w} + 1")))
-    points = checkpoints(edges, spec.step)
-    alive = seen_from(spans, points, spec, "last", "first")
-    changes = alive.select(F.explode(F.array(F.struct(F.col("cp_from").alias("cp"), F.lit(1).alias("by")), F.struct((F.col("cp_to") + 1).alias("cp"), F.lit(-1).alias("by")))).alias("x")).groupBy("x.cp").agg(F.sum("x.by").alias("change"))
-    every = points.select("cp").join(changes, "cp", "left")
-    return every.select("cp", F.sum(F.coalesce("change", F.lit(0))).over(Window.orderBy("cp").rowsBetween(Window.unboundedPreceding, 0)).alias("triangles"))

@@ -2,11 +2,37 @@
 
 from __future__ import annotations
 
-from trellisway.functions.mix import MODULUS, draw_sql, rho_sql
-from trellisway.operators.estimators import CLOSINGS
 from trellisway.plans.queries import CO, CO_SAMPLE, HAND, HAND_SAMPLE, SEEDS, SLICES, P
 
 # ---------------------------------------------------------------- parts
+# The draws, their ranks and the types are written out here by their definitions, not taken from the operators, so that
+# a mistake in either shows.
+
+_M = 2147483647
+#: What each kind of draw adds: the fixed sample, priorities, groups, slots.
+_OFFSETS = {"sample": 53037, "priority": 93729, "group": 134421, "slot": 175113}
+
+
+def _draw(which: str, seed: str = "seed") -> str:
+    square = lambda x, a, b: f"(({x} * {x} + {x} * {a} + {b}) % {_M})"
+    first = f"((eid % {_M} * 48271 + eid % 998244353 * 16807 + {seed} * 69621 + {_OFFSETS[which]}) % {_M})"
+    return f"({square(square(first, 25173, 13849), 39373, 7)} * 48271 % {_M})"
+
+
+def _rho(draw: str) -> str:
+    """The number of halvings of 1 that still leave what is above the draw, and one."""
+    return f"(32 - ceil(log2({_M + 1} - {draw}))::INT)"
+
+
+def _type(bi: str, f: str, g: str) -> str:
+    """The type of an edge s->d (or both ways) with z, by the ways of z's edges as s (f) and d (g) see them: by the number
+    of two-way edges; with one of them, by whether its opposite node only sends or only receives."""
+    return f"""CASE {bi}::INT + ({f} = 'bi')::INT + ({g} = 'bi')::INT
+    WHEN 3 THEN 6 WHEN 2 THEN 5 WHEN 0 THEN CASE WHEN {f} = 'in' AND {g} = 'out' THEN 1 ELSE 0 END
+    ELSE CASE WHEN {bi} AND {f} = 'in' AND {g} = 'in' THEN 3 WHEN {bi} AND {f} = 'out' AND {g} = 'out' THEN 4
+         WHEN {f} = 'bi' AND {g} = 'in' THEN 4 WHEN {g} = 'bi' AND {f} = 'out' THEN 3 ELSE 2 END END"""
+
+
 
 _CO_RAW = """co_raw AS (
   SELECT ((ok * 8 + la) * 8 + lb) * 32 + row_number() OVER (PARTITION BY ok, la, lb ORDER BY t, s, d) AS eid, t, s, d
@@ -76,10 +102,10 @@ def _seeded(base: str, n: int = SEEDS) -> str:
 
 
 def _slots(spec) -> str:
-    g = draw_sql("eid", "seed", 3)
+    g = _draw("group")
     return f"""sl AS (
   SELECT *, (t - (grp - {spec.groups}) * {spec.window // spec.groups}) // {spec.window} AS slice
-  FROM (SELECT *, {draw_sql("eid", "seed", 2)} AS priority, ({g}) % {spec.groups} AS grp, ({draw_sql("eid", "seed", 4)}) % {spec.slots} AS slot FROM se)
+  FROM (SELECT *, {_draw("priority")} AS priority, ({g}) % {spec.groups} AS grp, ({_draw("slot")}) % {spec.slots} AS slot FROM se)
 )"""
 
 
@@ -95,7 +121,7 @@ def _states(base: str, wspec, spec) -> str:
 ), st AS (
   SELECT seed, cp, grp, slot, CASE WHEN a IS NULL OR b[1] >= a[1] THEN b WHEN a[2] >= cp_t - {spec.window} THEN a END AS edge, greatest(a[1], b[1]) AS top FROM ab
 ), gr AS (
-  SELECT seed, cp, grp, count(edge) AS valid, count(*) AS occ, {m} - count(*) + sum(pow(2.0::DOUBLE, -{rho_sql("top")})) AS q FROM st GROUP BY ALL
+  SELECT seed, cp, grp, count(edge) AS valid, count(*) AS occ, {m} - count(*) + sum(pow(2.0::DOUBLE, -{_rho("top")})) AS q FROM st GROUP BY ALL
 ), sz AS (
   SELECT seed, cp, sum(valid)::BIGINT AS n,
          sum((CASE WHEN {alpha!r}::DOUBLE * {m * m} / q < {2.5 * m} AND occ < {m} THEN -ln(1 - occ::DOUBLE / {m}) * {m} ELSE {alpha!r}::DOUBLE * {m * m} / q END) * valid / occ) AS edges
@@ -153,7 +179,7 @@ _GONE = f"""gone AS (
   WHERE x.expired
 )"""
 
-_FIXED = f"""kept AS (SELECT * FROM se WHERE {draw_sql("eid", "seed", 1)} < {int(P * MODULUS)}), kw AS (
+_FIXED = f"""kept AS (SELECT * FROM se WHERE {_draw("sample")} < {int(P * _M)}), kw AS (
   SELECT seed, cp, s, d, count(*) AS f FROM kept JOIN c ON (t < cp_t OR (t = cp_t AND eid <= cp_eid)) AND t >= cp_t - {CO.window} GROUP BY ALL
 ), kt AS (
   SELECT x.seed, x.cp, sum(x.f * y.f * z.f) AS w FROM kw x JOIN kw y ON x.seed = y.seed AND x.cp = y.cp AND x.d = y.s JOIN kw z ON z.seed = x.seed AND z.cp = x.cp AND z.s = x.s AND z.d = y.d GROUP BY ALL
@@ -178,7 +204,7 @@ def _fixed_sliced() -> str:
     w, now = HAND.window, f"greatest(ceil(cp_t / {_SL}.0)::BIGINT - 1, 0)"
     return f"""WITH {_seeded(_HAND_PLAIN)}, {_points(HAND.step)}, tm AS (SELECT t AS at_t, min(eid) AS at_eid FROM e GROUP BY t), life AS (
   SELECT k.*, [k.t, k.eid] AS begun, CASE WHEN at_t IS NOT NULL THEN [at_t, at_eid] END AS ended, at_t IS NOT NULL AS expired
-  FROM (SELECT *, t + {w + 1} AS x FROM se WHERE {draw_sql("eid", "seed", 1)} < {int(P * MODULUS)}) k ASOF LEFT JOIN tm ON k.x <= tm.at_t
+  FROM (SELECT *, t + {w + 1} AS x FROM se WHERE {_draw("sample")} < {int(P * _M)}) k ASOF LEFT JOIN tm ON k.x <= tm.at_t
 ), {_ENDS}, arr AS (
   SELECT a.seed, [a.t, a.eid] AS happened, ceil(least(f.t, g.t) / {_SL}.0)::BIGINT - 1 AS slice
   FROM se a JOIN en f ON f.seed = a.seed AND f.node = a.s AND f.begun < [a.t, a.eid] AND (f.ended IS NULL OR f.ended > [a.t, a.eid])
@@ -200,7 +226,7 @@ def _chances(asked: str, name: str, spec) -> str:
   FROM {asked} q JOIN sl ON sl.seed = q.seed AND sl.t >= q.now - {2 * w} AND [sl.t, sl.eid] <= q.upto AND sl.slice >= (q.now - (grp - {spec.groups}) * {w // spec.groups}) // {w} - 1
   GROUP BY ALL
 ), {name}_occ AS (
-  SELECT seed, t, eid, x_t, x_eid, grp, count(*) AS occ, {m} - count(*) + sum(pow(2.0::DOUBLE, -{rho_sql("greatest(a, b)")})) AS q FROM {name}_ab WHERE a IS NOT NULL OR b IS NOT NULL GROUP BY ALL
+  SELECT seed, t, eid, x_t, x_eid, grp, count(*) AS occ, {m} - count(*) + sum(pow(2.0::DOUBLE, -{_rho("greatest(a, b)")})) AS q FROM {name}_ab WHERE a IS NOT NULL OR b IS NOT NULL GROUP BY ALL
 ), {name}_valid AS (
   SELECT q.seed, q.t, q.eid, q.x_t, q.x_eid, l.grp, count(*) AS valid FROM {asked} q JOIN life l ON l.seed = q.seed AND l.t >= q.now - {2 * w} AND {{still}} GROUP BY ALL
 ), {name} AS (
@@ -219,6 +245,36 @@ _MOMENTS = "am AS (SELECT seed, t, eid, -1 AS x_t, -1 AS x_eid, t AS now, [t, ei
 _CHANCES = f"""WITH {_lives(_HAND_PLAIN, HAND_SAMPLE)}, {_MOMENTS}, {_chances("am", "chance", HAND_SAMPLE).format(still="l.begun <= q.upto AND (l.ended IS NULL OR l.ended > q.upto)")}"""
 
 
+_BEFORE = "before AS (SELECT [t, eid] AS arrival, lag([t, eid]) OVER (ORDER BY t, eid) AS previous FROM e), xm AS (SELECT seed, t, eid, x_t, x_eid, previous[1] AS now, previous AS upto FROM moved JOIN before ON arrival = [t, eid])"
+_FATE = _chances("xm", "fate", HAND_SAMPLE).format(still="l.begun <= q.upto AND (l.ended IS NULL OR l.ended > [q.t, q.eid] OR (l.ended = [q.t, q.eid] AND (NOT l.expired OR [l.t, l.eid] > [q.x_t, q.x_eid])))")
+
+
+def _ten_runs(estimates: str) -> str:
+    """The errors of estimates (seed, cp, estimate) against the exact count, over ten seeds."""
+    return f"""WITH est AS (SELECT * FROM ({estimates.replace(f"range({SEEDS}) x(seed)", "range(10) x(seed)")})), gold AS (
+  SELECT cp, g FROM (WITH {_HAND_PLAIN}, {_points(HAND.step)}, {_window(HAND)}, {_FREQ}, {_TRI} SELECT cp, sum(w)::DOUBLE AS g FROM tri GROUP BY cp)
+), err AS (
+  SELECT seed, cp, CASE WHEN coalesce(g, 0) <> 0 THEN abs(estimate - g) / g END AS error FROM est LEFT JOIN gold USING (cp) WHERE cp > 10
+), {_RUNS} SELECT round(avg(avg_error), 6) AS avg_error, round(avg(max_error), 6) AS max_error, count(*) AS runs FROM runs"""
+
+
+def _late(wait: int) -> str:
+    """Counts of the edges that are not too late, at the checkpoints that are over when the stream ends."""
+    return f"""WITH {_HAND_PLAIN.replace("e AS (", "every AS (")}, filed AS (
+  SELECT *, (t // 86400 + CASE WHEN eid % 11 = 0 THEN 4 WHEN eid % 7 = 0 THEN 1 ELSE 0 END) // 5 AS file FROM every
+), marks AS (
+  SELECT file, max(max(t)) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM filed GROUP BY file
+), e AS (
+  SELECT eid, t, s, d FROM filed JOIN marks USING (file) WHERE mark IS NULL OR t >= mark - {wait}
+), {_points(HAND.step)}, {_window(HAND)}, {_FREQ}, {_TRI}
+SELECT bucket, cp_t, coalesce(n, 0)::BIGINT AS triangles FROM c LEFT JOIN (SELECT cp, sum(w) AS n FROM tri GROUP BY cp) USING (cp) WHERE cp_t < (SELECT max(t) FROM e) - {wait}"""
+
+
+_HAND_PLAIN_STATES = _states(_HAND_PLAIN, HAND, HAND_SAMPLE)
+_HAND_SWTC = f"""WITH {_HAND_PLAIN_STATES}, {_CO_SAMPLE_TRI} SELECT seed, cp, bucket, coalesce(w / p, 0) AS estimate
+FROM c CROSS JOIN (SELECT DISTINCT seed FROM se) LEFT JOIN pz USING (seed, cp) LEFT JOIN (SELECT seed, cp, sum(w)::DOUBLE AS w FROM tri GROUP BY ALL) USING (seed, cp)"""
+
+
 def _cbs(correct: bool) -> str:
     """Arrivals by definition; the uncorrected sum needs no chances of expiries. Those are taken before the arrival's own
     slices and insertion, so the state is that of the arrival before it."""
@@ -245,22 +301,19 @@ def _cbs(correct: bool) -> str:
 
 
 def _cbs_typed() -> str:
-    """As _cbs, with the neighbours' directions and the pairs of directions that close each type."""
-    rules = ", ".join(f"({bi}, '{f}', '{g}', {k})" for k, rows in CLOSINGS.items() for bi, f, g in rows)
+    """As _cbs, with the neighbours' directions and the type that they close."""
     still = _STILL.format(f="f"), _STILL.format(f="g")
     return f"""WITH {_lives(_HAND, HAND_SAMPLE, ", bi")}, {_points(HAND.step)}, {_MOMENTS},
-{_chances("am", "chance", HAND_SAMPLE).format(still="l.begun <= q.upto AND (l.ended IS NULL OR l.ended > q.upto)")}, rules(bi, f_dir, g_dir, type) AS (VALUES {rules}), en AS (
+{_chances("am", "chance", HAND_SAMPLE).format(still="l.begun <= q.upto AND (l.ended IS NULL OR l.ended > q.upto)")}, en AS (
   SELECT seed, s AS node, d AS other, CASE WHEN bi THEN 'bi' ELSE 'out' END AS dir, t, eid, begun, ended, expired FROM life
   UNION ALL SELECT seed, d, s, CASE WHEN bi THEN 'bi' ELSE 'in' END, t, eid, begun, ended, expired FROM life
 ), arr AS (
-  SELECT a.seed, a.t, a.eid, type, least(a.t, f.t, g.t) AS oldest
+  SELECT a.seed, a.t, a.eid, {_type("a.bi", "f.dir", "g.dir")} AS type, least(a.t, f.t, g.t) AS oldest
   FROM se a JOIN en f ON f.seed = a.seed AND f.node = a.s AND f.begun <= [a.t, a.eid] AND (f.ended IS NULL OR f.ended > [a.t, a.eid])
             JOIN en g ON g.seed = a.seed AND g.node = a.d AND g.other = f.other AND g.begun <= [a.t, a.eid] AND (g.ended IS NULL OR g.ended > [a.t, a.eid])
-            JOIN rules r ON r.bi = a.bi AND r.f_dir = f.dir AND r.g_dir = g.dir
 ), gone AS (
-  SELECT x.seed, x.t, x.eid, x.ended, type FROM life x JOIN en f ON f.seed = x.seed AND f.node = x.s AND {still[0]}
+  SELECT x.seed, x.t, x.eid, x.ended, {_type("x.bi", "f.dir", "g.dir")} AS type FROM life x JOIN en f ON f.seed = x.seed AND f.node = x.s AND {still[0]}
          JOIN en g ON g.seed = x.seed AND g.node = x.d AND g.other = f.other AND {still[1]}
-         JOIN rules r ON r.bi = x.bi AND r.f_dir = f.dir AND r.g_dir = g.dir
   WHERE x.expired
 ), runs AS (
   SELECT seed, cp, cp_t, cp_eid, greatest(ceil(cp_t / {_SL}.0)::BIGINT - 1, 0) AS now FROM c CROSS JOIN (SELECT DISTINCT seed FROM se)
@@ -296,6 +349,8 @@ SELECT node, dir, string_agg(nbr::VARCHAR, ',' ORDER BY nbr) AS nbrs FROM adj GR
     "with_arrival": f"WITH {_CO} SELECT t, min(eid) AS first_eid, max(eid) AS last_eid FROM e GROUP BY t",
     "window_spec": f"""WITH {_CO}, u AS (SELECT (max(t) - min(t))::DOUBLE / count(*) AS unit, count(*) AS edges FROM e)
 SELECT trunc(10000 * unit)::BIGINT AS "window", trunc(10000 * unit)::BIGINT // 10 AS step, edges FROM u""",
+    "sample_spec": f"""WITH {_CO}, u AS (SELECT (max(t) - min(t))::DOUBLE / count(*) AS unit, count(*) AS edges FROM e)
+SELECT trunc(10000 * unit)::BIGINT AS "window", 10::BIGINT AS groups, 40::BIGINT AS slots, edges FROM u""",
     "checkpoints": f"WITH {_CO}, {_points(CO.step)} SELECT * FROM c",
     "directed_adjacency": f"""WITH {_HAND} SELECT eid, s AS node, d AS nbr, CASE WHEN bi THEN 'bi' ELSE 'out' END AS dir FROM e UNION ALL SELECT eid, d, s, CASE WHEN bi THEN 'bi' ELSE 'in' END FROM e""",
     "window_edges": f"WITH {_CO_WIN} SELECT cp, eid, t, s, d FROM win",
@@ -304,6 +359,7 @@ SELECT trunc(10000 * unit)::BIGINT AS "window", trunc(10000 * unit)::BIGINT // 1
     "distinct_edge_count": f"WITH {_CO_WIN} SELECT cp, count(DISTINCT [s, d]) AS distinct_edges FROM win GROUP BY cp",
     "distinct_edge_count_directed": f"WITH {_HAND_WIN} SELECT cp, count(DISTINCT [s, d, bi::BIGINT]) AS distinct_edges FROM win GROUP BY cp",
     "edge_instance_count": f"WITH {_CO_WIN} SELECT cp, count(*) AS instances FROM win GROUP BY cp",
+    "node_count_directed": f"WITH {_HAND_WIN} SELECT cp, count(DISTINCT node) AS nodes FROM (SELECT cp, unnest([s, d]) AS node FROM win) GROUP BY cp",
     "node_count": f"WITH {_CO_WIN} SELECT cp, count(DISTINCT node) AS nodes FROM (SELECT cp, unnest([s, d]) AS node FROM win) GROUP BY cp",
     "window_deltas": f"WITH {_CO_WIN}, {_FREQ}, {_TRI} SELECT cp, coalesce(sum(w), 0)::BIGINT AS triangles FROM c LEFT JOIN tri USING (cp) GROUP BY cp",
     "triangle_count": f"WITH {_CO_WIN}, {_FREQ}, {_TRI} SELECT cp, count(w) AS triangles FROM (SELECT cp FROM c) LEFT JOIN tri USING (cp) GROUP BY cp",
@@ -324,10 +380,10 @@ FROM fr q LEFT JOIN (nb a JOIN nb b ON a.cp = b.cp AND a.z = b.z) ON a.cp = q.cp
     **{
         name: f"""WITH {_HAND_WIN}, {_FREQ_BI}, {_TYPED} SELECT cp, type, node, sum(w)::BIGINT AS triangles
 FROM (SELECT cp, type::INT AS type, unnest([a, b, c]) AS node, {w} AS w FROM tri UNION ALL SELECT cp, type::INT, unnest([s, d]), 0 FROM fr, range(7) x(type)) {where} GROUP BY ALL"""
-        for name, w, where in (("directed_local_count", "1", ""), ("directed_local_count_weighted", "w", ""), ("local_count_a", "1", "WHERE type = 0"), ("local_count_b_weighted", "w", "WHERE type = 1"))
+        for name, w, where in (("directed_local_count", "1", ""), ("directed_local_count_weighted", "w", ""), ("local_count_a", "1", "WHERE type = 0"), ("local_count_a_weighted", "w", "WHERE type = 0"), ("local_count_b", "1", "WHERE type = 1"), ("local_count_b_weighted", "w", "WHERE type = 1"))
     },
     "triangle_census": f"WITH {_HAND_WIN}, {_FREQ_BI}, {_TYPED} SELECT cp, type, count(w) AS triangles, coalesce(sum(w), 0)::BIGINT AS weighted FROM {_ALL_TYPES} LEFT JOIN tri USING (cp, type) GROUP BY ALL",
-    "bernoulli_edges": f"WITH {_seeded(_CO)} SELECT seed, eid, t, s, d FROM se WHERE {draw_sql('eid', 'seed', 1)} < {int(P * MODULUS)}",
+    "bernoulli_edges": f"WITH {_seeded(_CO)} SELECT seed, eid, t, s, d FROM se WHERE {_draw('sample')} < {int(P * _M)}",
     "fixed_p_estimate": f"WITH {_fixed(SEEDS)} SELECT seed, cp, round(estimate, 6) AS estimate FROM est",
     "fixed_p_sliced_estimate": _fixed_sliced(),
     "assign_slots": f"WITH {_seeded(_CO)}, {_slots(CO_SAMPLE)} SELECT seed, eid, priority, grp, slot, slice FROM sl",
@@ -349,6 +405,8 @@ FROM c CROSS JOIN (SELECT DISTINCT seed FROM se) LEFT JOIN pz USING (seed, cp) L
     "arrival_triangles": f"WITH {_lives(_HAND_PLAIN, HAND_SAMPLE)}, {_ARRIVAL} SELECT seed, t, eid, oldest, count(*) AS triangles FROM arr GROUP BY ALL",
     "expired_triangles": f"WITH {_lives(_HAND_PLAIN, HAND_SAMPLE)}, {_ENDS}, {_GONE} SELECT seed, t, eid, ended[1] AS at_t, ended[2] AS at_eid, count(*) AS triangles FROM gone GROUP BY ALL",
     "pair_probability": f"{_CHANCES} SELECT seed, t, eid, n, round(edges, 6) AS edges, round(inc, 6) AS inc FROM chance",
+    "expiry_probability": f"""{_CHANCES}, moved AS (SELECT seed, ended[1] AS t, ended[2] AS eid, t AS x_t, eid AS x_eid FROM life WHERE expired), {_BEFORE}, {_FATE}
+SELECT seed, t AS at_t, eid AS at_eid, x_t AS t, x_eid AS eid, n, round(edges, 6) AS edges, round(exp, 6) AS exp FROM fate""",
     "cbs_estimate": _cbs(True),
     "cbs_estimate_uncorrected": _cbs(False),
     "cbs_directed_estimate": _cbs_typed(),
@@ -366,8 +424,12 @@ FROM c CROSS JOIN (SELECT DISTINCT seed FROM se) LEFT JOIN pz USING (seed, cp) L
   FROM (SELECT seed, cp, type, CASE WHEN g <> 0 THEN abs(estimate - g) / g END AS error FROM est LEFT JOIN gold USING (cp, type)) GROUP BY ALL
 )
 SELECT type, round(avg(avg_error), 6) AS avg_error, round(avg(max_error), 6) AS max_error, count(*) AS runs FROM runs GROUP BY type""",
+    "error_summary_swtc": _ten_runs(_HAND_SWTC),
+    "error_summary_cbs": _ten_runs(_cbs(True)),
     "stream_exact_counts": f"""WITH {_HAND_PLAIN}, {_points(HAND.step)}, {_window(HAND)}, {_FREQ}, {_TRI}
 SELECT bucket, cp_t, coalesce(n, 0)::BIGINT AS triangles FROM c LEFT JOIN (SELECT cp, sum(w) AS n FROM tri GROUP BY cp) USING (cp)""",
+    "stream_late_counts": _late(2 * 86400),
+    "stream_swtc_estimate": f"SELECT seed, bucket, round(estimate, 6) AS estimate FROM ({_HAND_SWTC})",
     "stream_priority_sample": f"""WITH {_HAND_PLAIN}, se AS (SELECT *, 0 AS seed FROM e), {_slots(HAND_SAMPLE)}, now AS (SELECT max(t) AS t FROM e), ab AS (
   SELECT grp, slot, any_value(now.t) AS cp_t,
          max([priority, sl.t, eid, s, d]) FILTER (slice = (now.t - (grp - {HAND_SAMPLE.groups}) * {HAND_SAMPLE.window // HAND_SAMPLE.groups}) // {HAND_SAMPLE.window} - 1) AS a,
@@ -375,7 +437,7 @@ SELECT bucket, cp_t, coalesce(n, 0)::BIGINT AS triangles FROM c LEFT JOIN (SELEC
   FROM sl, now GROUP BY grp, slot
 ), v AS (SELECT grp, slot, CASE WHEN a IS NULL OR b[1] >= a[1] THEN b WHEN a[2] >= cp_t - {HAND_SAMPLE.window} THEN a END AS edge FROM ab)
 SELECT grp, slot, edge[2] AS t, edge[3] AS eid, edge[4] AS s, edge[5] AS d FROM v WHERE edge IS NOT NULL""",
-    "stream_bernoulli": f"WITH {_HAND_PLAIN} SELECT eid, t, s, d FROM e WHERE {draw_sql('eid', 0, 1)} < {int(P * MODULUS)}",
+    "stream_bernoulli": f"WITH {_HAND_PLAIN} SELECT eid, t, s, d FROM e WHERE {_draw('sample', '0')} < {int(P * _M)}",
     "stream_window_stats": f"""WITH {_HAND_PLAIN} SELECT from_t, from_t + {HAND.window} AS to_t, count(*) AS instances
 FROM (SELECT unnest(range((t // 43200) * 43200 - {HAND.window} + 43200, (t // 43200) * 43200 + 1, 43200)) AS from_t FROM e) GROUP BY ALL""",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellisway.functions.materialize import stored
+from trellisway.operators import changes as ch
 from trellisway.operators import directed as dg
 from trellisway.operators import estimators as es
 from trellisway.operators import prepare as pr
@@ -23,6 +24,7 @@ HAND = pr.WindowSpec(432_000, 43_200)  # seconds
 CO_SAMPLE = sm.SampleSpec(360, 10, 200)
 HAND_SAMPLE = sm.SampleSpec(432_000, 10, 200)
 SEEDS, P, SLICES = 2, 0.5, 10
+RUNS, DAY = 10, 86_400
 CP, RUN = ["cp"], ["seed", "cp"]
 
 
@@ -39,19 +41,19 @@ def hand_undirected(spark: SparkSession, d: str) -> DataFrame:
 
 
 def co_freq(spark: SparkSession, d: str) -> DataFrame:
-    return wd.edge_frequencies(wd.window_edges(co(spark, d), CO), CP)
+    return ch.edge_frequencies(co(spark, d), CO)
 
 
 def hand_freq(spark: SparkSession, d: str) -> DataFrame:
-    return wd.edge_frequencies(wd.window_edges(hand(spark, d), HAND), CP, directed=True)
+    return ch.edge_frequencies(hand(spark, d), HAND, directed=True)
 
 
 def co_seeds(spark: SparkSession, d: str, seeds: int = SEEDS) -> DataFrame:
     return sm.replicate(co(spark, d), seeds)
 
 
-def hand_seeds(spark: SparkSession, d: str, directed: bool = True) -> DataFrame:
-    return sm.replicate(hand(spark, d) if directed else hand_undirected(spark, d), SEEDS)
+def hand_seeds(spark: SparkSession, d: str, directed: bool = True, seeds: int = SEEDS) -> DataFrame:
+    return sm.replicate(hand(spark, d) if directed else hand_undirected(spark, d), seeds)
 
 
 def co_points(spark: SparkSession, d: str) -> DataFrame:
@@ -67,22 +69,22 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def read_edges(spark: SparkSession, d: str) -> DataFrame:
-    folder = jobs.shared_folder(spark, "edges")
+    folder = jobs.new_folder(spark, "edges")
     src.write_edges(src.copurchase_edges(spark, d), folder)
     return src.read_edges(spark, folder).groupBy("s", "d", "t").agg(F.count(F.lit(1)).alias("n"))
 
 
 def read_edges_directed(spark: SparkSession, d: str) -> DataFrame:
-    folder = jobs.shared_folder(spark, "edges")
+    folder = jobs.new_folder(spark, "edges")
     src.handoff_edges(spark, d).select("s", "d", "t", "bi").write.parquet(folder)
     return src.read_edges(spark, folder, directed=True, format="parquet").groupBy("s", "d", "t", "bi").agg(F.count(F.lit(1)).alias("n"))
 
 
 def count_series(spark: SparkSession, d: str) -> DataFrame:
-    folder = jobs.shared_folder(spark, "counts")
-    exact = tr.triangle_count(co_freq(spark, d), CP, weighted=True, every=co_points(spark, d))
+    folder = jobs.new_folder(spark, "counts")
+    exact = golden(spark, d)
     src.write_counts(exact.select(F.lit("golden").alias("method"), F.lit(-1).alias("type"), F.lit(0).alias("seed"), "cp", F.col("triangles").alias("count")), folder)
-    typed = dg.directed_triangle_count(hand_freq(spark, d), CP, every=hand_points(spark, d))
+    typed = ch.directed_triangle_count(hand(spark, d), HAND)
     src.write_counts(typed.select(F.lit("golden_directed").alias("method"), "type", F.lit(0).alias("seed"), "cp", F.col("triangles").alias("count")), folder)
     return src.read_counts(spark, folder, method="golden").unionByName(src.read_counts(spark, folder, method="golden_directed", type=1))
 
@@ -105,6 +107,12 @@ def window_spec(spark: SparkSession, d: str) -> DataFrame:
     return edges.agg(F.lit(made.window).cast("long").alias("window"), F.lit(made.step).cast("long").alias("step"), F.count(F.lit(1)).alias("edges"))
 
 
+def sample_spec(spark: SparkSession, d: str) -> DataFrame:
+    edges = co(spark, d)
+    made = sm.SampleSpec.of(length=10_000, rate=0.04, groups=10, time_unit=pr.mean_time_span(edges))
+    return edges.agg(*[F.lit(getattr(made, k)).cast("long").alias(k) for k in ("window", "groups", "slots")], F.count(F.lit(1)).alias("edges"))
+
+
 def co_states(spark: SparkSession, d: str) -> DataFrame:
     return sm.slot_states(co_seeds(spark, d), CO, CO_SAMPLE)
 
@@ -125,6 +133,12 @@ def pair_probability(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("seed", F.col("at.t").alias("t"), F.col("at.eid").alias("eid"), "n", "edges", "inc"), "edges", "inc")
 
 
+def expiry_probability(spark: SparkSession, d: str) -> DataFrame:
+    edges, lives = hand_lives(spark, d)
+    out = es.pair_probability(edges, lives, HAND_SAMPLE).where("kind = 0")
+    return rounded(out.select("seed", F.col("at.t").alias("at_t"), F.col("at.eid").alias("at_eid"), "t", "eid", "n", "edges", "exp"), "edges", "exp")
+
+
 def arrival_triangles(spark: SparkSession, d: str) -> DataFrame:
     edges, lives = hand_lives(spark, d)
     return es.arrival_triangles(edges, lives, HAND.window).groupBy("seed", F.col("at.t").alias("t"), F.col("at.eid").alias("eid"), "oldest").agg(F.count(F.lit(1)).alias("triangles"))
@@ -135,7 +149,7 @@ def expired_triangles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def golden(spark: SparkSession, d: str) -> DataFrame:
-    return tr.triangle_count(co_freq(spark, d), CP, weighted=True, every=co_points(spark, d))
+    return ch.triangle_count(co(spark, d), CO, weighted=True)
 
 
 def errors(spark: SparkSession, d: str) -> DataFrame:
@@ -143,22 +157,56 @@ def errors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def typed_errors(spark: SparkSession, d: str) -> DataFrame:
-    exact = dg.directed_triangle_count(hand_freq(spark, d), CP, weighted=True, every=hand_points(spark, d))
+    exact = ch.directed_triangle_count(hand(spark, d), HAND, weighted=True)
     return sc.relative_error(es.swtc_directed_estimate(hand_seeds(spark, d), HAND, HAND_SAMPLE), exact, ["cp", "type"])
 
 
+def ten_runs(spark: SparkSession, d: str, estimate: Callable[..., DataFrame]) -> DataFrame:
+    """The accuracy of a method over ten seeds, without the checkpoints of the first window."""
+    exact = ch.triangle_count(hand_undirected(spark, d), HAND, weighted=True)
+    errors = sc.relative_error(estimate(hand_seeds(spark, d, False, RUNS), HAND, HAND_SAMPLE), exact, CP, skip=10)
+    return rounded(sc.error_summary(sc.error_by_run(errors)), "avg_error", "max_error")
+
+
+def _written_in_order(files: list[DataFrame], folder: str) -> None:
+    """Files one after another, to stand for a stream."""
+    for part in files:
+        part.coalesce(1).write.mode("append").parquet(folder)
+
+
 def _stream(spark: SparkSession, edges: DataFrame, files: int = 4) -> DataFrame:
-    folder = jobs.shared_folder(spark, "source")
-    jobs.written_in_order(edges, folder, files)
+    """Edges in order of arrival, in files of equal spans of time."""
+    folder = jobs.new_folder(spark, "source")
+    low, high = edges.agg(F.min("t"), F.max("t")).first()
+    ends = [low + (high + 1 - low) * k // files for k in range(files + 1)] if low is not None else [0, 0]
+    _written_in_order([edges.where((F.col("t") >= a) & (F.col("t") < b)) for a, b in zip(ends, ends[1:], strict=False)], folder)
     return jobs.read_stream(spark, folder)
 
 
 def stream_exact_counts(spark: SparkSession, d: str) -> DataFrame:
-    folder = jobs.shared_folder(spark, "exact")
+    folder = jobs.new_folder(spark, "exact")
     jobs.stream_exact_counts(_stream(spark, hand_undirected(spark, d)), HAND, folder).awaitTermination()
     return spark.read.parquet(f"{folder}/counts").select("bucket", "cp_t", "triangles")
 
 
+def stream_late_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Every seventh edge comes a day late and every eleventh four days; two days are waited for."""
+    edges = hand_undirected(spark, d).select("eid", "t", "s", "d")
+    days = edges.withColumn("day", F.expr(f"t div {DAY} + CASE WHEN eid % 11 = 0 THEN 4 WHEN eid % 7 = 0 THEN 1 ELSE 0 END"))
+    days = stored(days.withColumn("file", F.expr("day div 5")))
+    files = [r["file"] for r in days.select("file").distinct().orderBy("file").collect()]  # some files of the stand-in
+    source, folder = jobs.new_folder(spark, "source"), jobs.new_folder(spark, "late")
+    _written_in_order([days.where(F.col("file") == k).drop("day", "file") for k in files], source)
+    jobs.stream_exact_counts(jobs.read_stream(spark, source), HAND, folder, late=2 * DAY).awaitTermination()
+    return spark.read.parquet(f"{folder}/counts").select("bucket", "cp_t", "triangles")
+
+
+def stream_swtc_estimate(spark: SparkSession, d: str) -> DataFrame:
+    folder = jobs.new_folder(spark, "swtc")
+    jobs.stream_swtc_estimate(_stream(spark, hand_undirected(spark, d)), HAND, HAND_SAMPLE, SEEDS, folder).awaitTermination()
+    return rounded(spark.read.parquet(f"{folder}/estimates").select("seed", "bucket", "estimate"), "estimate")
+
+
 def stream_priority_sample(spark: SparkSession, d: str) -> DataFrame:
     edges = hand_undirected(spark, d).select("eid", "t", "s", "d")
     states = jobs.run_through(jobs.stream_priority_sample(_stream(spark, edges), HAND_SAMPLE, 0), spark)
@@ -190,32 +238,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "canonicalize_directed": lambda s, d: hand(s, d).select("eid", "t", "s", "d", "bi"),
     "with_arrival": lambda s, d: pr.with_arrival(co(s, d)).groupBy("t").agg(F.min("arrival.eid").alias("first_eid"), F.max("arrival")["eid"].alias("last_eid")),
     "window_spec": window_spec,
+    "sample_spec": sample_spec,
     "checkpoints": lambda s, d: co_points(s, d),
     "directed_adjacency": lambda s, d: dg.directed_adjacency(hand(s, d), ["eid"]),
     # the window
     "window_edges": lambda s, d: wd.window_edges(co(s, d), CO).select("cp", "eid", "t", "s", "d"),
     "edge_frequencies": lambda s, d: co_freq(s, d),
     "edge_frequencies_directed": lambda s, d: hand_freq(s, d),
-    "distinct_edge_count": lambda s, d: wd.distinct_edge_count(co_freq(s, d), CP),
-    "distinct_edge_count_directed": lambda s, d: wd.distinct_edge_count(hand_freq(s, d), CP),
-    "edge_instance_count": lambda s, d: wd.edge_instance_count(wd.window_edges(co(s, d), CO), CP),
-    "node_count": lambda s, d: wd.node_count(co_freq(s, d), CP),
-    "window_deltas": lambda s, d: wd.window_deltas(co(s, d), CO),
+    "distinct_edge_count": lambda s, d: ch.window_sizes(co(s, d), CO).select("cp", "distinct_edges"),
+    "distinct_edge_count_directed": lambda s, d: ch.window_sizes(hand(s, d), HAND, directed=True).select("cp", "distinct_edges"),
+    "edge_instance_count": lambda s, d: ch.window_sizes(co(s, d), CO).select("cp", "instances"),
+    "node_count_directed": lambda s, d: ch.window_sizes(hand(s, d), HAND, directed=True).select("cp", "nodes"),
+    "node_count": lambda s, d: ch.window_sizes(co(s, d), CO).select("cp", "nodes"),
+    "window_deltas": lambda s, d: ch.window_deltas(co(s, d), CO).drop("change"),
     # exact counts
-    "triangle_count": lambda s, d: tr.triangle_count(co_freq(s, d), CP, every=co_points(s, d)),
+    "triangle_count": lambda s, d: ch.triangle_count(co(s, d), CO),
     "triangle_count_weighted": golden,
-    "local_triangle_count": lambda s, d: tr.local_triangle_count(co_freq(s, d), CP),
-    "local_triangle_count_weighted": lambda s, d: tr.local_triangle_count(co_freq(s, d), CP, weighted=True),
-    "edge_triangle_count": lambda s, d: tr.edge_triangle_count(co_freq(s, d), CP),
+    "local_triangle_count": lambda s, d: ch.local_triangle_count(co(s, d), CO),
+    "local_triangle_count_weighted": lambda s, d: ch.local_triangle_count(co(s, d), CO, weighted=True),
+    "edge_triangle_count": lambda s, d: ch.edge_triangle_count(co(s, d), CO),
     "wedge_count": lambda s, d: tr.wedge_count(co_freq(s, d), CP),
     "common_neighbors": common_neighbors,
-    "directed_triangle_count": lambda s, d: dg.directed_triangle_count(hand_freq(s, d), CP, every=hand_points(s, d)),
-    "directed_triangle_count_weighted": lambda s, d: dg.directed_triangle_count(hand_freq(s, d), CP, weighted=True, every=hand_points(s, d)),
-    "directed_local_count": lambda s, d: dg.directed_local_count(hand_freq(s, d), CP),
-    "directed_local_count_weighted": lambda s, d: dg.directed_local_count(hand_freq(s, d), CP, weighted=True),
+    "directed_triangle_count": lambda s, d: ch.directed_triangle_count(hand(s, d), HAND),
+    "directed_triangle_count_weighted": lambda s, d: ch.directed_triangle_count(hand(s, d), HAND, weighted=True),
+    "directed_local_count": lambda s, d: ch.directed_local_count(hand(s, d), HAND),
+    "directed_local_count_weighted": lambda s, d: ch.directed_local_count(hand(s, d), HAND, weighted=True),
     "local_count_a": lambda s, d: dg.local_count_a(hand_freq(s, d), CP),
+    "local_count_a_weighted": lambda s, d: dg.local_count_a(hand_freq(s, d), CP, weighted=True),
+    "local_count_b": lambda s, d: dg.local_count_b(hand_freq(s, d), CP),
     "local_count_b_weighted": lambda s, d: dg.local_count_b(hand_freq(s, d), CP, weighted=True),
-    "triangle_census": lambda s, d: dg.triangle_census(hand_freq(s, d), CP, every=hand_points(s, d)),
+    "triangle_census": lambda s, d: ch.triangle_census(hand(s, d), HAND),
     # samples
     "bernoulli_edges": lambda s, d: sm.bernoulli_edges(co_seeds(s, d), P).select("seed", "eid", "t", "s", "d"),
     "fixed_p_estimate": lambda s, d: rounded(es.fixed_p_estimate(co_seeds(s, d), CO, P), "estimate"),
@@ -233,6 +285,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "swtc_local_estimate_node": lambda s, d: rounded(es.swtc_local_estimate(co_seeds(s, d), CO, CO_SAMPLE, node=1), "estimate"),
     "slice_index": lambda s, d: co(s, d).select("eid", es.slice_index("t", CO.window // SLICES).alias("slice")),
     "pair_probability": pair_probability,
+    "expiry_probability": expiry_probability,
     "arrival_triangles": arrival_triangles,
     "expired_triangles": expired_triangles,
     "cbs_estimate": lambda s, d: rounded(es.cbs_estimate(hand_seeds(s, d, False), HAND, HAND_SAMPLE, SLICES), "estimate"),
@@ -244,8 +297,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "error_by_run": lambda s, d: rounded(sc.error_by_run(errors(s, d)), "avg_error", "max_error"),
     "error_summary": lambda s, d: rounded(sc.error_summary(sc.error_by_run(errors(s, d))), "avg_error", "max_error"),
     "error_summary_by_type": lambda s, d: rounded(sc.error_summary(sc.error_by_run(typed_errors(s, d), ["type"]), ["type"]), "avg_error", "max_error"),
+    "error_summary_swtc": lambda s, d: ten_runs(s, d, es.swtc_estimate),
+    "error_summary_cbs": lambda s, d: ten_runs(s, d, es.cbs_estimate),
     # streams
     "stream_exact_counts": stream_exact_counts,
+    "stream_late_counts": stream_late_counts,
+    "stream_swtc_estimate": stream_swtc_estimate,
     "stream_priority_sample": stream_priority_sample,
     "stream_bernoulli": stream_bernoulli,
     "stream_window_stats": stream_window_stats,

@@ -1,4 +1,7 @@
-"""Structured Streaming forms: edges come in order of arrival; late rows are dropped by a watermark where one is set."""
+"""Structured Streaming forms. Edges come in order of arrival, or late by up to a stated time; later ones are dropped.
+
+The counts are queries of micro-batches over a table of bounded size (the window's edges, or the sample's places), which
+each batch writes anew; a batch reads what the one before wrote and overwrites only its own, so it may run again."""
 
 from __future__ import annotations
 
@@ -11,24 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trellisway.functions.materialize import drop_folder, shared_folder
+from trellisway.operators.estimators import swtc_from_states
 from trellisway.operators.prepare import WindowSpec, checkpoints
-from trellisway.operators.sampling import SampleSpec, assign_slots, bernoulli_edges, slice_start_sql
+from trellisway.operators.sampling import SampleSpec, assign_slots, bernoulli_edges, replicate, slice_of, slice_start_sql, states_at
 from trellisway.operators.triangles import triangle_count
 from trellisway.operators.window import edge_frequencies, window_edges
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: beside the checkpoints if the session names a place, else in the warehouse."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written_in_order(edges: DataFrame, folder: str, files: int) -> None:
-    """Edges as files of equal spans of time, in order of arrival, to stand for a stream."""
-    low, high = edges.agg(F.min("t"), F.max("t")).first()
-    for k in range(files if low is not None else 0):
-        at = [low + (high + 1 - low) * i // files for i in (k, k + 1)]
-        edges.where((F.col("t") >= at[0]) & (F.col("t") < at[1])).coalesce(1).write.mode("append").parquet(folder)
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def read_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,7 +33,7 @@ def read_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def run_through(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
     """All rows that a stream gives for what its source holds now, through files."""
-    folder = shared_folder(spark, "stream")
+    folder = new_folder(spark, "stream")
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -65,18 +61,20 @@ def stream_priority_sample(stream: DataFrame, spec: SampleSpec, seed: int) -> Da
     slotted = assign_slots(stream.withColumn("seed", F.lit(seed)), spec)
 
     def keep(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        """Of each slice only the highest priority counts, the later arrival if equal; of slices the last two."""
         slice_, *rest = held.get if held.exists else (None, *[None] * len(columns))
-        a, b = rest[: len(_EDGE)], rest[len(_EDGE) :]
-        rows = pd.concat(list(batches)).sort_values(["t", "eid"])
-        for now, *edge in rows[["slice", *_EDGE]].itertuples(index=False, name=None):
-            if slice_ is None or now > slice_:
-                a = b if slice_ is not None and now == slice_ + 1 else [None] * len(_EDGE)
-                slice_, b = int(now), [None] * len(_EDGE)
-            if b[0] is None or edge[0] >= b[0]:
-                b = [int(x) for x in edge]
+        tops = {} if slice_ is None else {slice_ - 1: rest[: len(_EDGE)], slice_: rest[len(_EDGE) :]}
+        last = (-1, -1)
+        for rows in batches:
+            highest = rows.sort_values(_EDGE[:3]).drop_duplicates("slice", keep="last").nlargest(2, "slice")
+            for now, *edge in highest[["slice", *_EDGE]].astype("int64").itertuples(index=False, name=None):
+                tops[now] = max((x for x in (tops.get(now), edge) if x is not None and x[0] is not None), key=lambda x: x[:3])
+            newest = rows.nlargest(1, ["t", "eid"]).iloc[0]
+            last = max(last, (int(newest["t"]), int(newest["eid"])))
+        slice_ = max(tops)
+        a, b = tops.get(slice_ - 1, [None] * len(_EDGE)), tops[slice_]
         held.update((slice_, *a, *b))
-        last = rows.iloc[-1]
-        values: list[Any] = [key[0], key[1], slice_, *a, *b, int(last["t"]), int(last["eid"])]
+        values: list[Any] = [key[0], key[1], slice_, *a, *b, *last]
         yield pd.DataFrame([values], columns=["grp", "slot", "slice", *columns, "last_t", "last_eid"]).astype("Int64")
 
     out = "grp long, slot long, " + state + ", last_t long, last_eid long"
@@ -95,26 +93,73 @@ def sample_from_states(states: DataFrame, now: int, spec: SampleSpec) -> DataFra
     return tops.withColumn("edge", valid).where("edge IS NOT NULL").select("grp", "slot", "edge.t", "edge.eid", "edge.s", "edge.d")
 
 
-def stream_exact_counts(stream: DataFrame, spec: WindowSpec, folder: str):
+def _newest(held: DataFrame | None) -> int:
+    top = None if held is None else held.agg(F.max("t")).first()[0]
+    return -1 if top is None else top
+
+
+def _open_points(edges: DataFrame, step: int, done: int, closed: int | None) -> DataFrame:
+    """The checkpoints of buckets after `done`, of which the first arrival is before `closed` if that is given."""
+    points = checkpoints(edges, step).where(F.col("bucket") > done)
+    return points if closed is None else points.where(F.col("cp_t") < closed)
+
+
+def stream_exact_counts(stream: DataFrame, spec: WindowSpec, folder: str, late: int | None = None):
     """Starts a query that keeps the window's edges as a table and gives the weighted count at each checkpoint that a batch
-    reaches, to `folder`/counts as (bucket, cp_t, cp_eid, triangles). A batch reads the table that the one before wrote and
-    overwrites only what is its own, so it may run again."""
+    reaches, to `folder`/counts as (bucket, cp_t, cp_eid, triangles).
+
+    Without `late` the stream has to be in order. With it, edges may be late by so much time against the newest edge of
+    earlier batches; later ones are dropped, and a checkpoint is given once nothing before it can come any more."""
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         edges = batch.select("eid", "t", "s", "d")
-        old, last = None, -1
-        if number:
-            old = spark.read.schema(edges.schema).parquet(f"{folder}/window/{number - 1}")
-            held = old.agg(F.max(F.expr(f"t div {spec.step}"))).first()[0]
-            last = -1 if held is None else held
-            edges = old.unionByName(edges)
-        newest = edges.agg(F.max("t")).first()[0]
-        points = checkpoints(edges, spec.step).where(F.col("bucket") > last)
+        old = spark.read.schema(edges.schema).parquet(f"{folder}/window/{number - 1}") if number else None
+        mark = _newest(old)
+        if late is not None:
+            edges = edges.where(F.col("t") >= mark - late)
+        # buckets up to this one have been given: without `late` that of the newest edge, else the last that was closed
+        done = -1 if mark < 0 else mark // spec.step if late is None else _last_given(spark, f"{folder}/counts", number)
+        edges = edges if old is None else old.unionByName(edges)
+        newest = _newest(edges)
+        points = _open_points(edges, spec.step, done, None if late is None else newest - late)
         counts = triangle_count(edge_frequencies(window_edges(edges, spec).join(points.select("cp"), "cp", "left_semi"), ["cp"]), ["cp"], weighted=True)
         out = points.join(counts, "cp", "left").select("bucket", "cp_t", "cp_eid", F.coalesce("triangles", F.lit(0).cast("long")).alias("triangles"))
         out.write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
-        live = edges if newest is None else edges.where(F.col("t") >= newest - spec.window)
-        live.write.mode("overwrite").parquet(f"{folder}/window/{number}")
+        edges.where(F.col("t") >= newest - spec.window - spec.step - (late or 0)).write.mode("overwrite").parquet(f"{folder}/window/{number}")
+        drop_folder(spark, f"{folder}/window/{number - 2}")
+
+    return _run_batches(stream, step, folder)
 
+
+def _last_given(spark: SparkSession, path: str, number: int) -> int:
+    """The last bucket of the batches before this one; -1 for none."""
+    given = spark.read.schema("bucket long, batch int").parquet(path).where(F.col("batch") < number) if number else None
+    top = None if given is None else given.agg(F.max("bucket")).first()[0]
+    return -1 if top is None else top
+
+
+def _run_batches(stream: DataFrame, step, folder: str):
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+
+
+def stream_swtc_estimate(stream: DataFrame, wspec: WindowSpec, spec: SampleSpec, seeds: int, folder: str):
+    """Starts a query that keeps the sample alone, at most two edges for each place and seed, and gives the estimate at each
+    checkpoint that a batch reaches, to `folder`/estimates as (seed, bucket, estimate). The stream has to be in order."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        slotted = assign_slots(replicate(batch.select("eid", "t", "s", "d"), seeds), spec).select("seed", "grp", "slot", "slice", "priority", "t", "eid", "s", "d")
+        held = spark.read.schema(slotted.schema).parquet(f"{folder}/sample/{number - 1}") if number else None
+        points = _open_points(batch.select("t", "eid"), wspec.step, _last_given(spark, f"{folder}/estimates", number), None)
+        rows = slotted if held is None else held.unionByName(slotted)
+        every = points.crossJoin(F.broadcast(spark.range(seeds).select(F.col("id").cast("int").alias("seed"))))
+        found = swtc_from_states(states_at(rows, points, wspec, spec, ["s", "d"]), every, spec)
+        found.join(points.select("cp", "bucket"), "cp").select("seed", "bucket", "estimate").write.mode("overwrite").parquet(f"{folder}/estimates/batch={number}")
+        place = ["seed", "grp", "slot"]
+        tops = rows.groupBy(*place, "slice").agg(F.max(F.struct("priority", "t", "eid", "s", "d")).alias("top"))
+        current = slice_of(f"{max(_newest(batch), _newest(held))}", "grp", spec)
+        tops.where(F.col("slice") >= current - 1).select(*place, "slice", "top.*").write.mode("overwrite").parquet(f"{folder}/sample/{number}")
+        drop_folder(spark, f"{folder}/sample/{number - 2}")
+
+    return _run_batches(stream, step, folder)
