@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trellisway.functions.materialize import discard, shared_folder
+from trellisway.functions.materialize import stored as checkpointed
+
+__all__ = ["checkpointed", "discard", "shared_folder"]
+
 #: Words of the operators' contracts: runs of bytes other than space and \t \n \v \f \r.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
@@ -17,35 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the shared folder that the cluster names; one of our own only where none is set (local tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of `df`, written once as a table in the shared checkpoint folder; lineage and plan end there.
-
-    A table and not checkpoint(): that hands its plan's constraints on, and loops make these grow without end."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame | None) -> None:
-    """Delete tables that checkpointed() wrote and that no later step reads."""
-    for df in tables:
-        if df is not None and (files := df.inputFiles()):
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def no_clash(df: DataFrame, added: list[str]) -> None:
     """Raises if columns to be added are there already, in any case."""
     if clash := {x.lower() for x in added} & {x.lower() for x in df.columns}:

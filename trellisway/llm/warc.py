@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellisway.llm.common import checkpointed, ensure_checkpoint_dir, no_clash
+from trellisway.llm.common import checkpointed, no_clash, shared_folder
 
 VERSION = b"WARC/1.1"
 END = b"\r\n\r\n"
@@ -255,5 +255,4 @@ def revisit_types(pages: DataFrame, id_col: str = "page_id", payload_col: str =
 
 def archive_folder(spark: SparkSession) -> str:
     """A new folder beside the checkpoints, which all executors share."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
