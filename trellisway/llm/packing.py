@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -269,11 +269,19 @@ def packed(pieces: DataFrame, capacity: int = 2048, splits: int | None = None) -
     before = Window.partitionBy("_length_at").orderBy("_split_at").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
-    plan = spark.createDataFrame(packing_plan(counts, capacity), "_k long, _lo long, _hi long, _base long, _offset long")
+    plan = packing_plan(counts, capacity)
+    number = Counter(k for k, *_ in plan)
+    # ranks of a length in ranges as wide as its plan's rows are on average, so that a rank meets some two rows of its range
+    width = {k: max(1, counts[k] // n) for k, n in number.items()}
+    in_ranges = [(k, b, lo, hi, base, offset) for k, lo, hi, base, offset in plan for b in range(lo // width[k], (hi - 1) // width[k] + 1)]
+    places = spark.createDataFrame(in_ranges, "_k long, _range long, _lo long, _hi long, _base long, _offset long")
+    widths = spark.createDataFrame(list(width.items()), "_of long, _width long")
     ranked = (
         rows.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_split").orderBy("id", "piece", "ids_crc32")))
         .join(offsets, (F.col("length") == F.col("_length_at")) & (F.col("_split") == F.col("_split_at")))
         .withColumn("_rank", F.col("_before") + F.col("_rank") - F.lit(1))
+        .join(F.broadcast(widths), F.col("length") == F.col("_of"))
     )
-    placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("_k")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
+    here = (F.col("length") == F.col("_k")) & (F.expr("_rank div _width") == F.col("_range"))
+    placed = ranked.join(F.broadcast(places), here & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
     return placed.withColumns({"sequence_id": F.col("_base") + F.col("_rank") - F.col("_lo"), "offset": F.col("_offset")}).select(*pieces.columns, "sequence_id", "offset")
