@@ -11,6 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tests.llm.test_native import _plain_overlaps as plain_overlaps
+from tests.llm.test_texts import plain_components
 from trellisway.llm import neighbours as nn
 from trellisway.llm import warc
 from trellisway.llm.queries import read_back
@@ -107,6 +109,18 @@ def test_neighbours_are_those_of_brute_force(spark, groups, block):
     assert nn.nearest(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def plain_cut(rows, window=35):
+    """The words that stay, of each text that keeps some or had none."""
+    words = {d: (t or "").split() for d, t in rows}
+    seen = Counter(tuple(w[i : i + window]) for w in words.values() for i in range(len(w) - window + 1))
+    out = {}
+    for d, w in words.items():
+        gone = {k for i in range(len(w) - window + 1) if seen[tuple(w[i : i + window])] > 1 for k in range(i, i + window)}
+        if len(gone) < len(w) or not w:
+            out[d] = [x for k, x in enumerate(w) if k not in gone]
+    return out
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(3)
     vocabulary = ["".join(rng.choices("aeioulmnrst", k=rng.randrange(3, 8))) for _ in range(400)]
@@ -136,8 +150,18 @@ def test_pipeline_stages(spark, tmp_path):
         out = stage(spark, kept, folder)
         assert out.columns == d.columns
         out.write.parquet(f"{folder}/{name}")
+        before = [(r.doc_id, r.text) for r in kept.collect()]
         kept = spark.read.parquet(f"{folder}/{name}")
         after[name] = {r.doc_id: r.text for r in kept.collect()}
+        # what a plain version of the stage makes of the same input
+        if name == "jaccard_join":
+            classes = {c for _, n, c in plain_components(before) if n}
+            assert set(after[name]) == classes | {d for d, t in before if not (t or "").split()}
+        elif name == "substring_dedup":
+            assert after[name].keys() == plain_cut(before).keys()
+            assert all((after[name][d] or "").split() == w for d, w in plain_cut(before).items())
+        elif name == "decontamination":
+            assert set(after[name]) == {d for d, _ in before} - {d for d, _ in plain_overlaps(before, [(1, " ".join(item))])}
     text = dict(docs)
     clean = {k for k, _ in docs if k >= 300 or k % 5}
     assert set(after["toxicity"]) == clean

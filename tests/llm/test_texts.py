@@ -1,7 +1,9 @@
 """Substring dedup, the Jaccard join, toxicity and packing against plain versions."""
 
 import hashlib
+import itertools
 import random
+import re
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -233,6 +235,36 @@ def test_every_sign_of_the_channel_makes_a_token_suspicious():
         assert not known, token
 
 
+def plain_score(text, model):
+    """The score of one text, word by word: strings and their weights in place of arrays."""
+    weight = dict(zip(model["features"].tolist(), model["weights"].tolist(), strict=True))
+
+    def best(word):
+        w = tx.Words([word.encode()])
+        if not len(w.start):
+            return 0.0
+        hashes = [tx.mix64(tx.spellings(w.data, w.start, w.end), 1)[0], *(tx._first_bytes(w, w.start, w.end, n)[0] for n in (4, 5))]
+        return max(weight.get(int(h), 0.0) for h in hashes)
+
+    tokens = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    found = []
+    for token in tokens:
+        kinds = [tx._kind(c) for c in token]
+        lo = next((k for k, x in enumerate(kinds) if x != tx._PLAIN), len(kinds))
+        hi = max((k + 1 for k, x in enumerate(kinds) if x not in (tx._PLAIN, tx._FINAL)), default=0)
+        core, inner = token[lo:hi], kinds[lo:hi]
+        if tx._LETTER not in inner:
+            continue
+        thrice = any(a == b == c and x == tx._LETTER for a, b, c, x in zip(core, core[1:], core[2:], inner[2:], strict=False))
+        found += tx.readings(token, model["lm"]) if thrice or any(x != tx._LETTER for x in inner) else [core]
+    for one, run in itertools.groupby(tokens, lambda w: len(w) == 1):
+        run = "".join(run) if one else ""
+        if len(run) >= 3:
+            found += [x for part in dict.fromkeys((run, run[1:], run[:-1])) if tx._PIECES.search(part) for x in tx.restore(part, model["lm"])]
+    weights = [best(w) for w in found]
+    return 1 / (1 + np.exp(-np.clip(np.array([max(weights, default=0.0), np.log1p(sum(weights)), 1]) @ model["fit"], -30, 30)))
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     words = ["".join(rng.choices("aeioulmnrst", k=rng.randrange(3, 8))) for _ in range(300)]
@@ -249,7 +281,8 @@ def test_toxicity(spark):
     labels += [(None, 1), (12345, 1), (3, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
     marks = spark.createDataFrame(labels, "doc_id long, toxic int")
-    out = tx.score(docs, tx.train(docs, marks), prefix="t_")
+    model = tx.train(docs, marks)
+    out = tx.score(docs, model, prefix="t_")
     assert out.columns == [*docs.columns, "t_held_out", "t_score", "t_predicted"]
     got = out.collect()
     assert len(got) == len(rows) and all(0 <= r.t_score <= 1 and r.t_predicted == int(r.t_score >= 0.5) for r in got)
@@ -257,6 +290,7 @@ def test_toxicity(spark):
     held = [(r.t_predicted, r.doc_id % 4 == 0) for r in got if r.doc_id is not None and r.doc_id < 700 and r.t_held_out]
     assert sum(a == b for a, b in held) >= 0.9 * len(held)
     assert len({r.t_score for r in got if r.doc_id in (9000, 9001)}) == 1
+    assert model["fit"] is not None and all(abs(r.t_score - plain_score(r.text, model)) < 1e-9 for r in got)
     with pytest.raises(ValueError):
         tx.score(docs, {"fit": None})
     none = tx.train(docs, marks.limit(0))
