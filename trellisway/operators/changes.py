@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellisway.functions.materialize import stored
 from trellisway.operators import directed as dg
 from trellisway.operators.prepare import WindowSpec, checkpoints
 from trellisway.operators.triangles import triangles
@@ -47,7 +48,8 @@ def pair_spans(edges: DataFrame, points: DataFrame, spec: WindowSpec, by: list[s
     changed = summed.where(" OR ".join(f"{k} <> 0" for k in numbers))
     order = Window.partitionBy(*by, "s", "d").orderBy("cp")
     spans = changed.select(*by, "s", "d", F.col("cp").alias("cp_from"), (F.lead("cp").over(order) - 1).alias("cp_to"), *[F.sum(k).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(k) for k in numbers])
-    return spans.where(" + ".join(numbers) + " > 0")
+    # a join for each corner and side follows, so the spans are made once
+    return stored(spans.where(" + ".join(numbers) + " > 0"))
 
 
 def edge_frequencies(edges: DataFrame, spec: WindowSpec, directed: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellisway.functions.materialize import stored
 from trellisway.operators.prepare import WindowSpec, checkpoints
 
 
@@ -47,7 +48,7 @@ def seen_from(rows: DataFrame, edges: DataFrame, points: DataFrame, spec: Window
     starts, ends = (edges.select(F.expr(f"(t + {lag}) div {spec.step}").alias("step")) for lag in (0, spec.window))
     steps = starts.unionByName(ends).distinct().join(points, F.col("step") == F.col("bucket"), "full").withColumn("step", F.coalesce("step", "bucket"))
     after, before = (Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0) for by in (F.desc("step"), "step"))
-    table = steps.select("step", "cp", "cp_t", "cp_eid", F.last("cp", ignorenulls=True).over(after).alias("at_or_after"), F.last("cp", ignorenulls=True).over(before).alias("at_or_before"))
+    table = stored(steps.select("step", "cp", "cp_t", "cp_eid", F.last("cp", ignorenulls=True).over(after).alias("at_or_after"), F.last("cp", ignorenulls=True).over(before).alias("at_or_before")))
     f = table.select(F.col("step").alias("f_step"), F.col("cp_t").alias("f_t"), F.col("cp_eid").alias("f_eid"), F.col("at_or_after").alias("f_next"), F.col("cp").alias("f_cp"))
     g = table.select(F.col("step").alias("g_step"), F.col("cp_t").alias("g_t"), F.col("at_or_before").alias("g_last"), F.col("cp").alias("g_cp"))
     out = rows.join(f, F.expr(f"{last}.t div {spec.step}") == F.col("f_step")).join(g, F.expr(f"({first} + {spec.window}) div {spec.step}") == F.col("g_step"))

@@ -346,7 +346,7 @@ SELECT node, dir, string_agg(nbr::VARCHAR, ',' ORDER BY nbr) AS nbrs FROM adj GR
     "rebase_time": f"WITH {_CO_RAW} SELECT eid, t - min(t) OVER () AS t, s, d FROM co_raw WHERE s <> d",
     "canonicalize": f"WITH {_CO} SELECT eid, t, s, d FROM e",
     "canonicalize_directed": f"WITH {_HAND} SELECT eid, t, s, d, bi FROM e",
-    "with_arrival": f"WITH {_CO} SELECT t, min(eid) AS first_eid, max(eid) AS last_eid FROM e GROUP BY t",
+    "with_arrival": f"WITH {_CO} SELECT eid, s, d, t AS arrival_t, eid AS arrival_eid FROM e",
     "window_spec": f"""WITH {_CO}, u AS (SELECT (max(t) - min(t))::DOUBLE / count(*) AS unit, count(*) AS edges FROM e)
 SELECT trunc(10000 * unit)::BIGINT AS "window", trunc(10000 * unit)::BIGINT // 10 AS step, edges FROM u""",
     "sample_spec": f"""WITH {_CO}, u AS (SELECT (max(t) - min(t))::DOUBLE / count(*) AS unit, count(*) AS edges FROM e)
@@ -410,7 +410,7 @@ SELECT seed, t AS at_t, eid AS at_eid, x_t AS t, x_eid AS eid, n, round(edges, 6
     "cbs_estimate": _cbs(True),
     "cbs_estimate_uncorrected": _cbs(False),
     "cbs_directed_estimate": _cbs_typed(),
-    "replicate": f"WITH {_seeded(_CO, 10)} SELECT seed, count(*) AS edges FROM se GROUP BY seed",
+    "replicate": f"WITH {_seeded(_CO, 10)} SELECT seed, count(*) AS edges, sum(t)::BIGINT AS times, sum(eid % 65536)::BIGINT AS ids FROM se GROUP BY seed",
     "relative_error": f"{_ERRORS} SELECT seed, cp, round(error, 6) AS error FROM err",
     "error_by_run": f"{_ERRORS}, {_RUNS} SELECT seed, round(avg_error, 6) AS avg_error, round(max_error, 6) AS max_error, undefined FROM runs",
     "error_summary": f"{_ERRORS}, {_RUNS} SELECT round(avg(avg_error), 6) AS avg_error, round(avg(max_error), 6) AS max_error, count(*) AS runs FROM runs",

@@ -36,12 +36,17 @@ def hand(spark: SparkSession, d: str) -> DataFrame:
     return pr.prepared(src.handoff_edges(spark, d), directed=True)
 
 
+def co_kept(spark: SparkSession, d: str) -> DataFrame:
+    """For what reads the edges several times."""
+    return stored(co(spark, d))
+
+
 def hand_undirected(spark: SparkSession, d: str) -> DataFrame:
     return pr.prepared(src.handoff_edges(spark, d).drop("bi"))
 
 
 def co_freq(spark: SparkSession, d: str) -> DataFrame:
-    return ch.edge_frequencies(co(spark, d), CO)
+    return ch.edge_frequencies(co_kept(spark, d), CO)
 
 
 def hand_freq(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +54,7 @@ def hand_freq(spark: SparkSession, d: str) -> DataFrame:
 
 
 def co_seeds(spark: SparkSession, d: str, seeds: int = SEEDS) -> DataFrame:
-    return sm.replicate(co(spark, d), seeds)
+    return sm.replicate(co_kept(spark, d), seeds)
 
 
 def hand_seeds(spark: SparkSession, d: str, directed: bool = True, seeds: int = SEEDS) -> DataFrame:
@@ -149,7 +154,7 @@ def expired_triangles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def golden(spark: SparkSession, d: str) -> DataFrame:
-    return ch.triangle_count(co(spark, d), CO, weighted=True)
+    return ch.triangle_count(co_kept(spark, d), CO, weighted=True)
 
 
 def errors(spark: SparkSession, d: str) -> DataFrame:
@@ -236,7 +241,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rebase_time": lambda s, d: pr.rebase_time(pr.drop_self_loops(src.copurchase_edges(s, d))).select("eid", "t", "s", "d"),
     "canonicalize": lambda s, d: co(s, d).select("eid", "t", "s", "d"),
     "canonicalize_directed": lambda s, d: hand(s, d).select("eid", "t", "s", "d", "bi"),
-    "with_arrival": lambda s, d: pr.with_arrival(co(s, d)).groupBy("t").agg(F.min("arrival.eid").alias("first_eid"), F.max("arrival")["eid"].alias("last_eid")),
+    "with_arrival": lambda s, d: pr.with_arrival(co(s, d)).select("eid", "s", "d", F.col("arrival.t").alias("arrival_t"), F.col("arrival.eid").alias("arrival_eid")),
     "window_spec": window_spec,
     "sample_spec": sample_spec,
     "checkpoints": lambda s, d: co_points(s, d),
@@ -245,18 +250,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "window_edges": lambda s, d: wd.window_edges(co(s, d), CO).select("cp", "eid", "t", "s", "d"),
     "edge_frequencies": lambda s, d: co_freq(s, d),
     "edge_frequencies_directed": lambda s, d: hand_freq(s, d),
-    "distinct_edge_count": lambda s, d: ch.window_sizes(co(s, d), CO).select("cp", "distinct_edges"),
+    "distinct_edge_count": lambda s, d: ch.window_sizes(co_kept(s, d), CO).select("cp", "distinct_edges"),
     "distinct_edge_count_directed": lambda s, d: ch.window_sizes(hand(s, d), HAND, directed=True).select("cp", "distinct_edges"),
-    "edge_instance_count": lambda s, d: ch.window_sizes(co(s, d), CO).select("cp", "instances"),
+    "edge_instance_count": lambda s, d: ch.window_sizes(co_kept(s, d), CO).select("cp", "instances"),
     "node_count_directed": lambda s, d: ch.window_sizes(hand(s, d), HAND, directed=True).select("cp", "nodes"),
-    "node_count": lambda s, d: ch.window_sizes(co(s, d), CO).select("cp", "nodes"),
-    "window_deltas": lambda s, d: ch.window_deltas(co(s, d), CO).drop("change"),
+    "node_count": lambda s, d: ch.window_sizes(co_kept(s, d), CO).select("cp", "nodes"),
+    "window_deltas": lambda s, d: ch.window_deltas(co_kept(s, d), CO).drop("change"),
     # exact counts
-    "triangle_count": lambda s, d: ch.triangle_count(co(s, d), CO),
+    "triangle_count": lambda s, d: ch.triangle_count(co_kept(s, d), CO),
     "triangle_count_weighted": golden,
-    "local_triangle_count": lambda s, d: ch.local_triangle_count(co(s, d), CO),
-    "local_triangle_count_weighted": lambda s, d: ch.local_triangle_count(co(s, d), CO, weighted=True),
-    "edge_triangle_count": lambda s, d: ch.edge_triangle_count(co(s, d), CO),
+    "local_triangle_count": lambda s, d: ch.local_triangle_count(co_kept(s, d), CO),
+    "local_triangle_count_weighted": lambda s, d: ch.local_triangle_count(co_kept(s, d), CO, weighted=True),
+    "edge_triangle_count": lambda s, d: ch.edge_triangle_count(co_kept(s, d), CO),
     "wedge_count": lambda s, d: tr.wedge_count(co_freq(s, d), CP),
     "common_neighbors": common_neighbors,
     "directed_triangle_count": lambda s, d: ch.directed_triangle_count(hand(s, d), HAND),
@@ -292,7 +297,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cbs_estimate_uncorrected": lambda s, d: rounded(es.cbs_estimate(hand_seeds(s, d, False), HAND, HAND_SAMPLE, SLICES, correct=False), "estimate"),
     "cbs_directed_estimate": lambda s, d: rounded(es.cbs_directed_estimate(hand_seeds(s, d), HAND, HAND_SAMPLE, SLICES), "estimate"),
     # replication and scoring
-    "replicate": lambda s, d: co_seeds(s, d, 10).groupBy("seed").agg(F.count(F.lit(1)).alias("edges")),
+    "replicate": lambda s, d: co_seeds(s, d, 10).groupBy("seed").agg(F.count(F.lit(1)).alias("edges"), F.sum("t").alias("times"), F.sum(F.col("eid") % 65536).alias("ids")),
     "relative_error": lambda s, d: rounded(errors(s, d), "error"),
     "error_by_run": lambda s, d: rounded(sc.error_by_run(errors(s, d)), "avg_error", "max_error"),
     "error_summary": lambda s, d: rounded(sc.error_summary(sc.error_by_run(errors(s, d))), "avg_error", "max_error"),
