@@ -160,7 +160,7 @@ class Lattice:
         known = max((k for k in (len(token), 2, 3, 4, 5, 6) if token[:k] in self.begun and k <= len(token)), default=0)
         states: dict[tuple[int, int], _Paths] = self.begun[token[:known]] if known else {(0, 0): [(0.0, "")]}
         lm, best = self.lm, self.best
-        if len(self.begun) > 20_000:
+        if len(self.begun) > 2_000:
             self.begun.clear()
         for k in range(known, len(token)):
             after: dict[tuple[int, int], _Paths] = self.any_letter(states) if token[k] in WILD else {}
@@ -287,18 +287,19 @@ class Restored:
         plain = Words([(t or "").lower().encode("utf-8", "replace") for t in texts])
         data, start, end = plain.data, plain.start, plain.end
         kind = byte_kinds(data)
-        letter, place = kind == _LETTER, np.arange(len(data))
-        first = np.minimum.accumulate(np.where(kind != _PLAIN, place, len(data))[::-1])[::-1]
-        last = np.maximum.accumulate(np.where((kind != _PLAIN) & (kind != _FINAL), place, -1))
+        whole = np.int32 if len(data) < 1 << 31 else np.int64
+        letter, place = kind == _LETTER, np.arange(len(data), dtype=whole)
+        first = np.minimum.accumulate(np.where(kind != _PLAIN, place, whole(len(data)))[::-1])[::-1]
+        last = np.maximum.accumulate(np.where((kind != _PLAIN) & (kind != _FINAL), place, whole(-1)))
         lo, hi = first[start], np.minimum(last[end - 1] + 1, end)
-        inside = np.concatenate([[0], np.cumsum(letter)])
+        inside = np.concatenate([np.zeros(1, whole), np.cumsum(letter, dtype=whole)])
         same = np.zeros(len(data), bool)
         for n in (1, 2):  # bytes of a letter
             long = letter & ((data < 128) if n == 1 else (data >= 0xC0))
             back = [np.concatenate([np.zeros(n * k, np.uint8), data])[: len(data)] for k in (1, 2)]
             equal = (data == back[0]) & (data == back[1])
             same |= long & equal & (np.concatenate([equal[1:], [False]]) if n == 2 else True)
-        runs = np.concatenate([[0], np.cumsum(same)])
+        runs = np.concatenate([np.zeros(1, whole), np.cumsum(same, dtype=whole)])
         low, high = np.minimum(lo, end), np.maximum(hi, start)
         has = (low < high) & (inside[np.maximum(low, high)] > inside[low])
         odd = has & ((inside[np.maximum(low, high)] - inside[low] < high - low) | (runs[np.maximum(low, high)] > runs[low]))
@@ -323,7 +324,7 @@ class Restored:
     @staticmethod
     def _spaced(words: Words, lm: np.ndarray, known: dict[str, list[str]]) -> list[tuple[int, str]]:
         """Readings of runs of three and more one-character words."""
-        characters = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
+        characters = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80, dtype=np.int32 if len(words.data) < 1 << 31 else np.int64)])
         one = characters[words.end] - characters[words.start] == 1
         edge = np.diff(np.concatenate([[False], one, [False]]).astype(np.int8))
         out = []
@@ -356,7 +357,7 @@ class Restored:
 
 def _restored_batches(batches: Iterator[pa.RecordBatch], lm: np.ndarray, column: str) -> Iterator[tuple[pa.RecordBatch, Restored]]:
     known: dict[str, list[str]] = {}
-    for batch in slices(batches, column):
+    for batch in slices(batches, column, 1 << 20):  # the arrays of words take many times as much
         if len(known) > 200_000:
             known.clear()
         yield batch, Restored(batch.column(batch.schema.get_field_index(column)).to_pylist(), lm, known)
