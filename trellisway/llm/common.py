@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,6 +170,13 @@ def member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[at] == values
 
 
+def release_memory() -> None:
+    """Give back what freed arrays still hold: workers live on beside the JVM and other workers of their executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc; other allocators do it by themselves
+        trim(0)
+
+
 def slices(batches, column: str | int, most_bytes: int = 1 << 22):
     """Record batches cut so that `column`, of strings or bytes, has about `most_bytes` in each; no memory follows a batch's size."""
     import pyarrow.compute as pc
@@ -180,3 +190,4 @@ def slices(batches, column: str | int, most_bytes: int = 1 << 22):
             end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, side="right")))
             yield batch.slice(at, end - at)
             at = end
+        release_memory()

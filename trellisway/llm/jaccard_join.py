@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trellisway.llm.common import WORD_BASES, Words, batch_of, checkpointed, dealt, discard, inverse, member, mix64, powers, shuffle_width, slices, text_bytes, unique_counts
+from trellisway.llm.common import WORD_BASES, Words, batch_of, checkpointed, dealt, discard, inverse, member, mix64, no_clash, powers, release_memory, shuffle_width, slices, text_bytes, unique_counts
 
 _RANGES = 32
 _MOST_DF = 65_535
@@ -117,6 +117,7 @@ def _representatives(mine: pa.Table, homes: pa.Table, size: int) -> tuple[np.nda
 
 def _frequencies(table: pa.Table) -> pa.Table:
     """In a bucket: the document frequency of each hash; batches hear of those of two and more."""
+    release_memory()
     sent = [np.frombuffer(x, np.uint32) for x in table["hashes"].to_pylist()]
     every = np.concatenate(sent)
     times = np.concatenate([np.frombuffer(x, np.uint16) for x in table["times"].to_pylist()]).astype(np.int64)
@@ -143,6 +144,7 @@ def indexed_classes(rows: DataFrame, homes: DataFrame, size: int, percent: int,
     that they have alone, the others (by hash), their part of the prefix with places, and their counts in ranges of hashes."""
 
     def send(mine: pa.Table, home: pa.Table) -> pa.Table:
+        release_memory()
         if not len(mine) or not len(home):
             return _MESSAGE_ARROW.empty_table()
         _, token, _, _ = _representatives(mine, home, size)
@@ -156,6 +158,7 @@ def indexed_classes(rows: DataFrame, homes: DataFrame, size: int, percent: int,
     kinds = [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())])), pa.list_(pa.int32())]
 
     def index(mine: pa.Table, told: pa.Table) -> pa.Table:
+        release_memory()
         home = told.filter(pc.is_valid(told["digest"])) if len(told) else told
         said = told.filter(pc.is_null(told["digest"])) if len(told) else told
         if not len(mine) or not len(home):
@@ -301,7 +304,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 0 < percent <= 100:
         raise ValueError("percent must be in 1 to 100")
     width = shuffle_width(docs.sparkSession)
-    batches, buckets = 2 * width, max(1, width // 2)
+    batches, buckets = 4 * width, max(1, width // 2)
     every = checkpointed(sketches(docs, id_col, text_col, batches))
     classes = every.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least"), F.min("batch").alias("batch"))
     rows = docs.select(batch_of(F.col(id_col), F.col(text_col), batches=batches).alias("batch"), F.col(text_col).alias("body"))
@@ -324,6 +327,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """`docs` with one row of each near-duplicate class, that with the smallest id; rows without words stay.
 
     Rows that are equal in id and text count as one and leave one row."""
+    no_clash(docs, ["_row_key", "_kept_key"])
     near = near_duplicates(docs, id_col, text_col, size, percent)
     firsts = near.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")).select(F.col("first.key").alias("_kept_key"))
     kept = firsts.unionByName(near.where("component IS NULL").select(F.col("key").alias("_kept_key"))).distinct()

@@ -23,7 +23,7 @@ from trellisway.llm.warc import archive_folder, read_archives, revisit_types, wr
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring_dedup(read(spark, sf_dir, "documents"), window=35)
+    out = substring_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
     return out.select("doc_id", F.col("dedup_n_words").alias("n_words"), F.col("dedup_n_removed").alias("n_removed"), F.col("dedup_kept_sha256").alias("kept_sha256"))
 
 

@@ -13,7 +13,8 @@ three rounds over batches of texts (a batch is a hash of the row, dealt once and
    the text.
 
 Bounds: a group is one batch of texts or one bucket of distinct hashes; both shrink as
-`spark.sql.shuffle.partitions` grows. A single text is never split.
+`spark.sql.shuffle.partitions` grows. A single text is never split. Batches send a message to
+each bucket, so messages number what a shuffle of that width has blocks.
 
 Defined results: a null text has no words and keeps its null; a null or repeated id is
 only carried along; two rows that are equal in id and text are two texts, so each repeats
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trellisway.llm.common import Words, batch_of, dealt, member, shuffle_width, text_bytes, unique_counts
+from trellisway.llm.common import Words, batch_of, dealt, member, no_clash, release_memory, shuffle_width, text_bytes, unique_counts
 
 _MESSAGE = "bucket int, batch int, hashes binary, more binary, grid binary"
 _NOTE = "batch int, kind int, bucket int, hashes binary"
@@ -78,6 +79,7 @@ def _meet(wide: bool):
     kind = np.uint64 if wide else np.uint32
 
     def meet(table: pa.Table) -> pa.Table:
+        release_memory()
         sent = [np.frombuffer(x, kind) for x in table["hashes"].to_pylist()]
         more = [_bits(x, len(s)) for x, s in zip(table["more"].to_pylist(), sent, strict=True)]
         distinct, times = unique_counts(np.concatenate(sent))
@@ -168,32 +170,33 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if window < 2:
         raise ValueError("window must be at least 2")
     added = [f"{prefix}{x}" for x in ("n_words", "n_removed", "kept_sha256", "spans", *["text"] * new_text)]
-    if clash := {x.lower() for x in added} & {x.lower() for x in docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} are there already; choose another prefix")
+    no_clash(docs, added)
     block = (window + 1) // 2
     width = shuffle_width(docs.sparkSession)
-    batches, buckets = 2 * width, max(1, width // 2)  # their product is the number of messages
-    rows = docs.select(
-        batch_of(F.col(id_col), F.col(text_col), batches=batches).alias("batch"), F.col(text_col).alias("body"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
-    )
+    batches, buckets = 4 * width, max(1, width // 2)  # their product is the number of messages
+    others = [f for f in docs.schema if f.name != text_col]  # the text goes along once, the other columns beside it
+    rows = docs.select(batch_of(F.col(id_col), F.col(text_col), batches=batches).alias("batch"), F.col(text_col).alias("body"), F.struct(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(others)]).alias("others"))
 
     def anchors(table: pa.Table) -> pa.Table:
+        release_memory()
         words = Words(text_bytes(table["body"]))
         at, hashes = words.windows(block)
         return _send(table["batch"][0].as_py(), hashes, _grid(words, at, block), buckets)
 
     def extensions(mine: pa.Table, notes: pa.Table) -> pa.Table:
+        release_memory()
         if not len(notes) or not len(mine):
             return _MESSAGE_ARROW.empty_table()
         words = Words(text_bytes(mine["body"]))
         _, hashes, others = _candidates(words, _hit_blocks(words, block, notes, buckets), window, block)
         return _send_wide(mine["batch"][0].as_py(), hashes, others, buckets)
 
-    names = [f.name for f in docs.schema]
+    names, beside = docs.columns, [f.name for f in others]
     kinds = [T.LongType(), T.LongType(), T.StringType(), T.ArrayType(T.ArrayType(T.LongType())), T.StringType()]
     out_schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in docs.schema], *[T.StructField(n, k) for n, k in zip(added, kinds, strict=False)]])
 
     def cut(mine: pa.Table, notes: pa.Table) -> pa.Table:
+        release_memory()
         bodies = text_bytes(mine["body"]) if len(mine) else []
         words = Words(bodies)
         gone = repeated_spans(words, notes, window, block, buckets)
@@ -210,7 +213,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = [pa.array(words.counts(), pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int64())))]
         if new_text:
             more.append(pa.array(texts, pa.binary()).cast(pa.string()))
-        return pa.table([*fields(mine["whole"]), *more], names=[*names, *added])
+        column = dict(zip(beside, fields(mine["others"]), strict=True)) | {text_col: mine["body"]}
+        return pa.table([*[column[n] for n in names], *more], names=[*names, *added])
 
     first = rows.groupBy("batch").applyInArrow(anchors, _MESSAGE)
     hits = first.groupBy("bucket").applyInArrow(_meet(False), _NOTE)
@@ -242,6 +246,6 @@ def _send_wide(batch: int, hashes: np.ndarray, others: np.ndarray, buckets: int)
     )
 
 
-def fields(whole: pa.ChunkedArray) -> list[pa.Array]:
+def fields(column: pa.ChunkedArray) -> list[pa.Array]:
     """The columns of a struct column."""
-    return (pa.concat_arrays(whole.chunks) if whole.num_chunks else pa.array([], whole.type)).flatten()
+    return (pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)).flatten()
