@@ -276,7 +276,8 @@ def class_components(classes: DataFrame, percent: int) -> DataFrame | None:
     own_share = (F.col("alone") / F.col("n")).alias("share")
     heads = lists.groupBy("token").agg(F.min(F.struct(own_share, "cid", "n", "pos")).alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", F.col("h.cid").alias("head"), F.col("h.n").alias("head_n"), F.col("h.pos").alias("head_pos"))
     listed = checkpointed(lists.join(heads, "token").where("cid <> head"))
-    stars = checkpointed(verified_links(_pairs(listed.where(_passes("n", "pos", "head_n", "head_pos", percent)), "cid", "head"), classes, percent))
+    tried = checkpointed(_pairs(listed.where(_passes("n", "pos", "head_n", "head_pos", percent)), "cid", "head"))
+    stars = checkpointed(verified_links(tried, classes, percent))
     found = connected_components(stars)
     # a head has met its whole list, whatever came of it; the others are left
     left = listed.select("token", "cid", "n", "pos")
@@ -293,8 +294,8 @@ def class_components(classes: DataFrame, percent: int) -> DataFrame | None:
     y = active.select("token", F.expr(band("n")).alias("band"), *[F.col(c).alias(f"y_{c}") for c in ("cid", "n", "pos", "alone", "ranges", "component", "out")])
     apart = F.expr(f"x_component <> y_component AND (NOT y_out OR x_cid < y_cid) AND {_passes('x_n', 'x_pos', 'y_n', 'y_pos', percent)} AND {_suffix_passes('x_', 'y_', percent)}")
     met = x.join(y, (x["token"] == y["token"]) & (x["band"] == y["band"]) & apart)
-    more = checkpointed(verified_links(_pairs(met, "x_cid", "y_cid"), classes, percent))
-    discard(listed, named, active)
+    more = checkpointed(verified_links(_pairs(met, "x_cid", "y_cid").join(tried, ["a", "b"], "left_anti"), classes, percent))
+    discard(listed, tried, named, active)
     return connected_components(stars.unionByName(more)) if more.limit(1).count() else found
 
 
