@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trellisway.llm.bpe import decoded, encoded
 from trellisway.llm.common import read
 from trellisway.llm.decontamination import overlaps
 from trellisway.llm.jaccard_join import near_duplicates
@@ -283,6 +284,14 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10
 """
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = encoded(read(spark, sf_dir, "documents").select("doc_id", "text"), path, packed=True).drop("text")
+    return decoded(ids, path).select("doc_id", F.col("bpe_n_tokens").alias("n_tokens"), F.sha2("bpe_ids", 256).alias("ids_sha256"), F.sha2(F.col("bpe_text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_rendezvous_shards": op2_rendezvous_shards,
@@ -294,6 +303,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_license_scan": op9_license_scan,
     "op10_decontamination": op10_decontamination,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
