@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -9,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from trellisway.llm import bpe
+from trellisway.llm import bpe, phrases
 from trellisway.llm.queries import QUERIES
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -100,3 +102,55 @@ def test_op11_is_the_library_on_the_smallest_tables(spark):
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         want.append((r.doc_id, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(library.decode(ids, skip_special_tokens=False).encode())))
     assert sorted(tuple(r) for r in QUERIES["op11_byte_bpe"](spark, DATA).collect()) == sorted(want)
+
+
+# ---------------------------------------------------------------- collocations
+
+
+def plain_collocations(rows, longest, least, most, covered):
+    """By their definition, in plain Python."""
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    f, total = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(lower)):
+            w = re.findall("[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            f.update((lang, tuple(w[i : i + m])) for m in range(1, longest + 1) for i in range(len(w) - m + 1))
+    whole = {k: a for k, a in f.items() if a >= least and len(k[1]) > 1}
+    out = []
+    for (lang, w), a in whole.items():
+        if any(100 * b >= covered * a for (x, v), b in whole.items() if x == lang and len(v) > len(w) and any(v[i : i + len(w)] == w for i in range(len(v) - len(w) + 1))):
+            continue
+        score, _, left, right = min((2000000 * a // (f[lang, w[:k]] + f[lang, w[k:]]), k, f[lang, w[:k]], f[lang, w[k:]]) for k in range(1, len(w)))
+        out.append((lang, -score, -a, " ".join(w).encode(), left, right))
+    ranked = [(lang, [x for x in sorted(out) if x[0] == lang][:most]) for lang in {x[0] for x in out}]
+    return sorted((lang, k, x[3].decode(), -x[2], x[4], x[5], total[lang], -x[1]) for lang, best in ranked for k, x in enumerate(best, 1))
+
+
+def speech(seed, n):
+    rng = random.Random(seed)
+    words = [*"abcdefg", "É", "new", "York", "NEW", "york", "the", "\U0001f642", "word" * 30]
+    sentence = lambda: rng.choice([" ", "  ", "\t"]).join(rng.choice(["new York city", "the a b", rng.choice(words), rng.choice(words)]) for _ in range(rng.randrange(9)))
+    return [(rng.choice(["en", "en", "en", None, "und", "de"]), rng.choice([".", "\n", "!", ", ", "\x0b"]).join(sentence() for _ in range(rng.randrange(5)))) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("bits", "most"), [(64, 2000), (64, 5), (9, 2000)])
+def test_collocations_are_those_of_the_definition(spark, monkeypatch, bits, most):
+    """With fingerprints of nine bits nearly all stand for several phrases, which are told apart by their text."""
+    monkeypatch.setattr(phrases, "_BATCH", 3000)
+    rows = [*speech(6, 250), ("en", None), ("en", ""), ("fr", " .\n"), *[("en", "To be or not to be; To be")] * 40, ("long", "x y " * 3000)]
+    df = spark.createDataFrame([(1, *r, "n") for r in rows], "phrase int, lang string, text string, Key string").repartition(4)
+    got = sorted(tuple(r) for r in phrases.collocations(df, longest=4, least=20, most=most, bits=bits).collect())
+    assert got == plain_collocations(rows, 4, 20, most, 80) and len(got) > 10
+
+
+def test_collocations_with_small_tables_blocks_and_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "MOST_BITS", 64)
+    monkeypatch.setattr(phrases, "BLOCK", 3)
+    rows = speech(8, 120)
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    want = plain_collocations(rows, 3, 10, 100, 50)
+    for bits in (64, 5):
+        assert sorted(tuple(r) for r in phrases.collocations(df, 3, 10, 100, 50, bits=bits).collect()) == want
+    assert phrases.collocations(df.limit(0)).collect() == [] and phrases.collocations(df, least=10**6).collect() == []

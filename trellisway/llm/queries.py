@@ -16,6 +16,7 @@ from trellisway.llm.jaccard_join import near_duplicates
 from trellisway.llm.licenses import known_texts, license_scan
 from trellisway.llm.neighbours import nearest
 from trellisway.llm.packing import packed, token_pieces
+from trellisway.llm.phrases import collocations
 from trellisway.llm.sharding import with_shards, with_slots
 from trellisway.llm.substring_dedup import substring_dedup
 from trellisway.llm.toxicity import score, train
@@ -292,6 +293,40 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded(ids, path).select("doc_id", F.col("bpe_n_tokens").alias("n_tokens"), F.sha2("bpe_ids", 256).alias("ids_sha256"), F.sha2(F.col("bpe_text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"), longest=4, least=30, most=2000, covered=80)
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), total AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+), grams AS (
+  SELECT lang, m AS size, array_to_string(w[i : i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, range(1, 5) x(m) WHERE len(w) >= m)
+), f AS (
+  SELECT lang, size, phrase, count(*) AS a, string_split(phrase, ' ') AS w FROM grams GROUP BY ALL HAVING count(*) >= 30
+), cuts AS (
+  SELECT f.lang, f.phrase, f.a, k, l.a AS l, r.a AS r, ((2000000::HUGEINT * f.a) // (l.a + r.a))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM f WHERE size > 1) f
+  JOIN f l ON l.lang = f.lang AND l.phrase = array_to_string(f.w[1 : k], ' ') JOIN f r ON r.lang = f.lang AND r.phrase = array_to_string(f.w[k + 1 :], ' ')
+), low AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, phrase, max(a) AS longer
+  FROM (SELECT lang, a, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, size - m + 2)) AS i FROM f, range(2, 4) x(m) WHERE size > m))
+  GROUP BY lang, phrase
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+  FROM low LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_rendezvous_shards": op2_rendezvous_shards,
@@ -304,6 +339,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_decontamination": op10_decontamination,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -315,4 +351,5 @@ ORACLES: dict[str, str] = {
     "op8_nearest": OP8_SQL,
     "op9_license_scan": _op9_sql(),
     "op10_decontamination": OP10_SQL,
+    "op12_collocations": OP12_SQL,
 }
