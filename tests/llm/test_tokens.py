@@ -4,16 +4,19 @@ import hashlib
 import random
 import re
 from collections import Counter
+from itertools import accumulate
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
+from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from trellisway.llm import bpe, phrases
+from trellisway.llm import alignment, bpe, phrases
 from trellisway.llm.queries import QUERIES
 
+PIECE = public_tokenizers.path("piece_bpe_32k.model")
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 DATA = "/root/testdata/sf0.001"
 ODD = [
@@ -154,3 +157,85 @@ def test_collocations_with_small_tables_blocks_and_no_rows(spark, monkeypatch):
     for bits in (64, 5):
         assert sorted(tuple(r) for r in phrases.collocations(df, 3, 10, 100, 50, bits=bits).collect()) == want
     assert phrases.collocations(df.limit(0)).collect() == [] and phrases.collocations(df, least=10**6).collect() == []
+
+
+# ---------------------------------------------------------------- alignment
+
+
+@pytest.mark.parametrize("work", [1, 2, 3, 7, 1000])
+def test_pieces_of_the_merge_path_give_what_the_whole_gives(work):
+    rng = random.Random(work)
+    for n in (1, 2, 5, 40):
+        a, b = (np.array(sorted({*rng.sample(range(1, 2 * n), rng.randrange(n)), 2 * n})) for _ in range(2))
+        i, j = alignment.merge_path(a, b, work)
+        merged = sorted([(x, 0) for x in a.tolist()] + [(x, 1) for x in b.tolist()])
+        assert (i + j).tolist() == [*range(0, len(merged), work), len(merged)]
+        assert all(sum(side == 0 for _, side in merged[:d]) == x for d, x in zip((i + j).tolist(), i.tolist(), strict=True))
+        found = alignment.links_and_groups(a, b, work)
+        spans = lambda ends: list(zip([0, *ends.tolist()], ends.tolist(), strict=False))
+        links = [(x, y) for x, (s, e) in enumerate(spans(a)) for y, (u, v) in enumerate(spans(b)) if s < v and u < e]
+        assert sorted(zip(found[0].tolist(), found[1].tolist(), strict=True)) == links
+        assert list(zip(found[2].tolist(), found[3].tolist(), strict=True)) == [(a.tolist().index(x), b.tolist().index(x)) for x in sorted({*a.tolist()} & {*b.tolist()})]
+
+
+def plain_alignment(texts):
+    """Token by token with the libraries; (n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each text."""
+    a_library, b_library, signs = Tokenizer.from_file(BYTE), SentencePieceProcessor(model_file=PIECE), bpe.byte_signs()
+    a_library.encode_special_tokens = True
+    b_bytes = lambda k: bytes([int(b_library.id_to_piece(k)[3:5], 16)]) if b_library.is_byte(k) else b_library.id_to_piece(k).replace("▁", " ").encode()
+    out, linked, holding = [], [], Counter()
+    for t in texts:
+        data = f" {t or ''}".encode()
+        a, b = a_library.encode(data.decode(), add_special_tokens=False).ids, b_library.encode(t or "")
+        sides = [[bytes(signs[c] for c in a_library.id_to_token(k)) for k in a], [b_bytes(k) for k in b]]
+        if not t or any(b"".join(x) != data for x in sides):
+            a, b, sides = [], [], [[], []]
+        ends = [list(accumulate(map(len, x))) for x in sides]
+        spans = [list(zip([0, *e], e, strict=False)) for e in ends]
+        links = [(a[x], b[y]) for x, (s, e) in enumerate(spans[0]) for y, (u, v) in enumerate(spans[1]) if s < v and u < e]
+        cuts = sorted({*ends[0]} & {*ends[1]})
+        side = lambda ids, e, low, high: ",".join(str(k) for k, x in zip(ids, e, strict=True) if low < x <= high)
+        groups = ";".join(f"{side(a, ends[0], low, high)}|{side(b, ends[1], low, high)}" for low, high in zip([0, *cuts], cuts, strict=False))
+        linked.append(links)
+        holding.update(set(links))
+        out.append((len(a), len(b), len(cuts), len(links), hashlib.sha256(groups.encode()).hexdigest() if a else ""))
+    best = {}
+    for (x, _), n in holding.items():
+        best[x] = max(n, best.get(x, 0))
+    return [(*r[:4], sum(holding[k] == best[k[0]] for k in links), sum(holding[k] for k in links), r[4]) for r, links in zip(out, linked, strict=True)]
+
+
+@pytest.mark.parametrize("sent", [1 << 21, 0])
+def test_alignment_is_that_of_single_tokens(spark, monkeypatch, sent):
+    monkeypatch.setattr(alignment, "MOST_SENT", sent)
+    monkeypatch.setattr(alignment, "PIECE", 5)
+    texts = [*odd_texts(150), *["The quick brown fox, naïvely"] * 30, "it's a ▁ sign", "x " * 400, "tail "]
+    got = {r.doc_id: r for r in alignment.aligned(docs(spark, texts, ", N_a string").repartition(3), BYTE, PIECE).collect()}
+    names = [f"align_{c}" for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")]
+    assert [tuple(got[k][c] for c in names) for k in range(len(texts))] == plain_alignment(texts)
+    assert got[0].N_a == "x" and "text" not in got[0]
+
+
+def test_pieces_are_encoded_as_the_library_does(monkeypatch):
+    library, own = SentencePieceProcessor(model_file=PIECE), alignment.PieceBpe(PIECE)
+    texts = [t or "" for t in odd_texts(3000)]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [library.encode(t) for t in texts]
+        monkeypatch.setattr(bpe, "_LONG", 16)
+        monkeypatch.setattr(bpe, "REMEMBERED", 40)
+
+
+def test_alignment_of_no_rows_and_clashes(spark):
+    assert alignment.aligned(docs(spark, []), BYTE, PIECE).collect() == []
+    with pytest.raises(ValueError):
+        alignment.aligned(spark.createDataFrame([("", 1)], "text string, Align_Row int"), BYTE, PIECE)
+
+
+@pytest.mark.skipif(not Path(DATA).is_dir(), reason="no test tables here")
+def test_op13_is_the_plain_version_on_the_smallest_tables(spark, tmp_path):
+    rows = [r for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect() if len(r.text or "") < 3000]
+    folder = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(rows).write.parquet(folder)
+    got = {r.doc_id: r for r in QUERIES["op13_tokenizer_alignment"](spark, folder.rsplit("/", 1)[0]).collect()}
+    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert [tuple(got[r.doc_id][c] for c in names) for r in rows] == plain_alignment([r.text for r in rows])

@@ -186,10 +186,60 @@ class MergeTree:
         return ids.reshape(len(at), width)[kept], kept.sum(1)
 
 
-class ByteBpe:
+class WordWise:
+    """Encodes texts word by word and remembers words. A vocabulary says what the words are and what they merge to."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, bytes] = {}
+
+    def words(self, text: str) -> Iterator[list[str]]:
+        """The words of a text, in lists of bounded length."""
+        raise NotImplementedError
+
+    def learn(self, words: set[str]) -> None:
+        """Add the ids of these words to `known`, as little-endian unsigned 32-bit numbers."""
+        raise NotImplementedError
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers; the words of about a slice are held at a time."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            for words in self.words(text):
+                held.append((i, words))
+                size += len(words)
+                if size >= _LONG:
+                    self._join(held, out)
+                    held, size = [], 0
+        self._join(held, out)
+        return [b"".join(parts) for parts in out]
+
+    def _join(self, held: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+        every = set().union(*(words for _, words in held))
+        new = every - self.known.keys()
+        if len(self.known) + len(new) > REMEMBERED:  # too many: forget those of earlier texts
+            self.known.clear()
+            new = every
+        if new:
+            self.learn(new)
+        known = self.known.__getitem__
+        for i, words in held:
+            out[i].append(b"".join(map(known, words)))
+
+
+def found_words(pattern: regex.Pattern, text: str, at: int, end: int) -> Iterator[list[str]]:
+    if end - at < _LONG:
+        yield pattern.findall(text, at, end)
+    else:
+        yield from map(list, batched((x.group() for x in pattern.finditer(text, at, end)), _LONG // 8))
+
+
+class ByteBpe(WordWise):
     """A byte-level vocabulary of a JSON file. `special`: whether the strings of special tokens in a text are these tokens."""
 
     def __init__(self, path: str, special: bool = True):
+        super().__init__()
         with open(path, encoding="utf-8") as file:
             held = json.load(file)
         ids, signs = held["model"]["vocab"], byte_signs()
@@ -205,25 +255,17 @@ class ByteBpe:
         self.pattern = regex.compile(WORDS)
         #: Leftmost first, and of those at one place the longest.
         self.apart = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.known: dict[str, bytes] = {}
 
     def words(self, text: str) -> Iterator[list[str]]:
-        """The words of a text, in lists of bounded length; special tokens are words of their own."""
+        """Special tokens are words of their own."""
         at = 0
         for m in [*self.apart.finditer(text), None] if self.apart is not None else [None]:
-            end = len(text) if m is None else m.start()
-            if end - at < _LONG:
-                yield self.pattern.findall(text, at, end)
-            else:
-                yield from map(list, batched((x.group() for x in self.pattern.finditer(text, at, end)), _LONG // 8))
+            yield from found_words(self.pattern, text, at, len(text) if m is None else m.start())
             if m is not None:
                 yield [m.group()]
                 at = m.end()
 
     def learn(self, words: set[str]) -> None:
-        """Remember what these words merge to; before there are too many words, forget the others."""
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
         known, short, datas = self.known, [], []
         for w in words:
             if w in self.special:
@@ -236,29 +278,6 @@ class ByteBpe:
         ids = np.array(self.of_byte, np.int64)[np.frombuffer(b"".join(datas), np.uint8)]
         known.update(zip(short, self.merge.forest(ids, np.fromiter(map(len, datas), np.int64, len(datas))), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers; the words of about a slice are held at a time."""
-        out: list[list[bytes]] = [[] for _ in texts]
-        held: list[tuple[int, list[str]]] = []
-        size = 0
-        for i, text in enumerate(texts):
-            for words in self.words(text):
-                held.append((i, words))
-                size += len(words)
-                if size >= _LONG:
-                    self._join(held, out)
-                    held, size = [], 0
-        self._join(held, out)
-        return [b"".join(parts) for parts in out]
-
-    def _join(self, held: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
-        every = set().union(*(words for _, words in held))
-        if new := every - self.known.keys():
-            self.learn(every if len(self.known) + len(new) > REMEMBERED else new)
-        known = self.known.__getitem__
-        for i, words in held:
-            out[i].append(b"".join(map(known, words)))
-
     def decode(self, ids: bytes) -> str:
         """The text of ids; those that the vocabulary has not are left out."""
         pieces, known = self.bytes, len(self.bytes)

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trellisway.llm.alignment import aligned
 from trellisway.llm.bpe import decoded, encoded
 from trellisway.llm.common import read
 from trellisway.llm.decontamination import overlaps
@@ -327,6 +328,13 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang)
 """
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return aligned(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), prefix="")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_rendezvous_shards": op2_rendezvous_shards,
@@ -340,6 +348,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "op11_byte_bpe": op11_byte_bpe,
     "op12_collocations": op12_collocations,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLES: dict[str, str] = {
