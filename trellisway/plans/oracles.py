@@ -258,15 +258,20 @@ def _ten_runs(estimates: str) -> str:
 ), {_RUNS} SELECT round(avg(avg_error), 6) AS avg_error, round(avg(max_error), 6) AS max_error, count(*) AS runs FROM runs"""
 
 
-def _late(wait: int) -> str:
-    """Counts of the edges that are not too late, at the checkpoints that are over when the stream ends."""
-    return f"""WITH {_HAND_PLAIN.replace("e AS (", "every AS (")}, filed AS (
+def _kept_late(wait: int) -> str:
+    """e: the edges that are not too late."""
+    return f"""{_HAND_PLAIN.replace("e AS (", "every AS (")}, filed AS (
   SELECT *, (t // 86400 + CASE WHEN eid % 11 = 0 THEN 4 WHEN eid % 7 = 0 THEN 1 ELSE 0 END) // 5 AS file FROM every
 ), marks AS (
   SELECT file, max(max(t)) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM filed GROUP BY file
 ), e AS (
   SELECT eid, t, s, d FROM filed JOIN marks USING (file) WHERE mark IS NULL OR t >= mark - {wait}
-), {_points(HAND.step)}, {_window(HAND)}, {_FREQ}, {_TRI}
+)"""
+
+
+def _late(wait: int) -> str:
+    """Counts of these edges at the checkpoints that are over when the stream ends."""
+    return f"""WITH {_kept_late(wait)}, {_points(HAND.step)}, {_window(HAND)}, {_FREQ}, {_TRI}
 SELECT bucket, cp_t, coalesce(n, 0)::BIGINT AS triangles FROM c LEFT JOIN (SELECT cp, sum(w) AS n FROM tri GROUP BY cp) USING (cp) WHERE cp_t < (SELECT max(t) FROM e) - {wait}"""
 
 
@@ -274,6 +279,9 @@ _HAND_PLAIN_STATES = _states(_HAND_PLAIN, HAND, HAND_SAMPLE)
 _HAND_SWTC = f"""WITH {_HAND_PLAIN_STATES}, {_CO_SAMPLE_TRI} SELECT seed, cp, bucket, coalesce(w / p, 0) AS estimate
 FROM c CROSS JOIN (SELECT DISTINCT seed FROM se) LEFT JOIN pz USING (seed, cp) LEFT JOIN (SELECT seed, cp, sum(w)::DOUBLE AS w FROM tri GROUP BY ALL) USING (seed, cp)"""
 
+_LATE_SWTC = f"""WITH {_states(_kept_late(2 * 86400), HAND, HAND_SAMPLE)}, {_CO_SAMPLE_TRI} SELECT seed, bucket, coalesce(w / p, 0) AS estimate
+FROM (SELECT * FROM c WHERE cp_t < (SELECT max(t) FROM e) - {2 * 86400}) CROSS JOIN (SELECT DISTINCT seed FROM se) LEFT JOIN pz USING (seed, cp) LEFT JOIN (SELECT seed, cp, sum(w)::DOUBLE AS w FROM tri GROUP BY ALL) USING (seed, cp)"""
+
 
 def _cbs(correct: bool) -> str:
     """Arrivals by definition; the uncorrected sum needs no chances of expiries. Those are taken before the arrival's own
@@ -338,6 +346,8 @@ FROM runs CROSS JOIN range(7) x(type) LEFT JOIN plus USING (seed, cp, type) LEFT
 ORACLES: dict[str, str] = {
     "read_edges": f"WITH {_CO_RAW} SELECT s, d, t, count(*) AS n FROM co_raw GROUP BY ALL",
     "read_edges_directed": f"WITH {_HAND_RAW} SELECT s, d, t, bi, count(*) AS n FROM hand_raw GROUP BY ALL",
+    "read_edges_arrival": f"WITH {_CO_RAW} SELECT row_number() OVER (ORDER BY t, eid) - 1 AS eid, t, s, d FROM co_raw",
+    "triangle_count_from_text": f"WITH {_CO_WIN}, {_FREQ}, {_TRI} SELECT cp, coalesce(sum(w), 0)::BIGINT AS triangles FROM (SELECT cp FROM c) LEFT JOIN tri USING (cp) GROUP BY cp",
     "count_series": f"""SELECT * FROM (WITH {_CO_WIN}, {_FREQ}, {_TRI} SELECT 'golden' AS method, -1 AS type, 0 AS seed, cp, coalesce(sum(w), 0)::DOUBLE AS count FROM c LEFT JOIN tri USING (cp) GROUP BY cp)
 UNION ALL SELECT * FROM (WITH {_HAND_WIN}, {_FREQ_BI}, {_TYPED} SELECT 'golden_directed', 1, 0, cp, count(w)::DOUBLE FROM c LEFT JOIN (SELECT * FROM (SELECT cp, type, a, b, c, w FROM tri) WHERE type = 1) USING (cp) GROUP BY cp)""",
     "adjacency_lists": f"""WITH {_HAND}, adj AS (SELECT s AS node, CASE WHEN bi THEN 'bi' ELSE 'out' END AS dir, d AS nbr FROM e UNION SELECT d, CASE WHEN bi THEN 'bi' ELSE 'in' END, s FROM e)
@@ -428,6 +438,9 @@ SELECT type, round(avg(avg_error), 6) AS avg_error, round(avg(max_error), 6) AS
     "stream_exact_counts": f"""WITH {_HAND_PLAIN}, {_points(HAND.step)}, {_window(HAND)}, {_FREQ}, {_TRI}
 SELECT bucket, cp_t, coalesce(n, 0)::BIGINT AS triangles FROM c LEFT JOIN (SELECT cp, sum(w) AS n FROM tri GROUP BY cp) USING (cp)""",
     "stream_late_counts": _late(2 * 86400),
+    "stream_late_swtc_estimate": f"SELECT seed, bucket, round(estimate, 6) AS estimate FROM ({_LATE_SWTC})",
+    "stream_text_counts": f"""WITH {_HAND_PLAIN}, {_points(HAND.step)}, {_window(HAND)}, {_FREQ}, {_TRI}
+SELECT bucket, cp_t, coalesce(n, 0)::BIGINT AS triangles FROM c LEFT JOIN (SELECT cp, sum(w) AS n FROM tri GROUP BY cp) USING (cp)""",
     "stream_swtc_estimate": f"SELECT seed, bucket, round(estimate, 6) AS estimate FROM ({_HAND_SWTC})",
     "stream_priority_sample": f"""WITH {_HAND_PLAIN}, se AS (SELECT *, 0 AS seed FROM e), {_slots(HAND_SAMPLE)}, now AS (SELECT max(t) AS t FROM e), ab AS (
   SELECT grp, slot, any_value(now.t) AS cp_t,

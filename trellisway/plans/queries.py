@@ -17,7 +17,7 @@ from trellisway.operators import scoring as sc
 from trellisway.operators import triangles as tr
 from trellisway.operators import window as wd
 from trellisway.sources import edges as src
-from trellisway.streaming import jobs
+from trellisway.streaming import batches, deltas, jobs
 
 CO = pr.WindowSpec(360, 36)  # days
 HAND = pr.WindowSpec(432_000, 43_200)  # seconds
@@ -74,19 +74,26 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def read_edges(spark: SparkSession, d: str) -> DataFrame:
-    folder = jobs.new_folder(spark, "edges")
+    folder = batches.new_folder(spark, "edges")
     src.write_edges(src.copurchase_edges(spark, d), folder)
     return src.read_edges(spark, folder).groupBy("s", "d", "t").agg(F.count(F.lit(1)).alias("n"))
 
 
+def co_from_text(spark: SparkSession, d: str) -> DataFrame:
+    """The edges as lines in order of arrival, read back and numbered."""
+    folder = batches.new_folder(spark, "edges")
+    src.write_edges(src.copurchase_edges(spark, d), folder)
+    return src.read_edges(spark, folder)
+
+
 def read_edges_directed(spark: SparkSession, d: str) -> DataFrame:
-    folder = jobs.new_folder(spark, "edges")
+    folder = batches.new_folder(spark, "edges")
     src.handoff_edges(spark, d).select("s", "d", "t", "bi").write.parquet(folder)
     return src.read_edges(spark, folder, directed=True, format="parquet").groupBy("s", "d", "t", "bi").agg(F.count(F.lit(1)).alias("n"))
 
 
 def count_series(spark: SparkSession, d: str) -> DataFrame:
-    folder = jobs.new_folder(spark, "counts")
+    folder = batches.new_folder(spark, "counts")
     exact = golden(spark, d)
     src.write_counts(exact.select(F.lit("golden").alias("method"), F.lit(-1).alias("type"), F.lit(0).alias("seed"), "cp", F.col("triangles").alias("count")), folder)
     typed = ch.directed_triangle_count(hand(spark, d), HAND)
@@ -181,7 +188,7 @@ def _written_in_order(files: list[DataFrame], folder: str) -> None:
 
 def _stream(spark: SparkSession, edges: DataFrame, files: int = 4) -> DataFrame:
     """Edges in order of arrival, in files of equal spans of time."""
-    folder = jobs.new_folder(spark, "source")
+    folder = batches.new_folder(spark, "source")
     low, high = edges.agg(F.min("t"), F.max("t")).first()
     ends = [low + (high + 1 - low) * k // files for k in range(files + 1)] if low is not None else [0, 0]
     _written_in_order([edges.where((F.col("t") >= a) & (F.col("t") < b)) for a, b in zip(ends, ends[1:], strict=False)], folder)
@@ -189,25 +196,48 @@ def _stream(spark: SparkSession, edges: DataFrame, files: int = 4) -> DataFrame:
 
 
 def stream_exact_counts(spark: SparkSession, d: str) -> DataFrame:
-    folder = jobs.new_folder(spark, "exact")
-    jobs.stream_exact_counts(_stream(spark, hand_undirected(spark, d)), HAND, folder).awaitTermination()
+    folder = batches.new_folder(spark, "exact")
+    deltas.stream_exact_counts(_stream(spark, hand_undirected(spark, d)), HAND, folder).awaitTermination()
     return spark.read.parquet(f"{folder}/counts").select("bucket", "cp_t", "triangles")
 
 
-def stream_late_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Every seventh edge comes a day late and every eleventh four days; two days are waited for."""
+def _late_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Every seventh edge comes a day late and every eleventh four days."""
     edges = hand_undirected(spark, d).select("eid", "t", "s", "d")
     days = edges.withColumn("day", F.expr(f"t div {DAY} + CASE WHEN eid % 11 = 0 THEN 4 WHEN eid % 7 = 0 THEN 1 ELSE 0 END"))
     days = stored(days.withColumn("file", F.expr("day div 5")))
     files = [r["file"] for r in days.select("file").distinct().orderBy("file").collect()]  # some files of the stand-in
-    source, folder = jobs.new_folder(spark, "source"), jobs.new_folder(spark, "late")
+    source = batches.new_folder(spark, "source")
     _written_in_order([days.where(F.col("file") == k).drop("day", "file") for k in files], source)
-    jobs.stream_exact_counts(jobs.read_stream(spark, source), HAND, folder, late=2 * DAY).awaitTermination()
+    return jobs.read_stream(spark, source)
+
+
+def stream_late_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Two days are waited for."""
+    folder = batches.new_folder(spark, "late")
+    deltas.stream_exact_counts(_late_stream(spark, d), HAND, folder, late=2 * DAY, sum_up_after=3).awaitTermination()
+    return spark.read.parquet(f"{folder}/counts").select("bucket", "cp_t", "triangles")
+
+
+def stream_late_swtc_estimate(spark: SparkSession, d: str) -> DataFrame:
+    folder = batches.new_folder(spark, "late")
+    jobs.stream_swtc_estimate(_late_stream(spark, d), HAND, HAND_SAMPLE, SEEDS, folder, late=2 * DAY).awaitTermination()
+    return rounded(spark.read.parquet(f"{folder}/estimates").select("seed", "bucket", "estimate"), "estimate")
+
+
+def stream_text_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Lines `s d l t` in files that arrive, numbered by the stream as they come."""
+    edges = stored(hand_undirected(spark, d))
+    source, folder = batches.new_folder(spark, "lines"), batches.new_folder(spark, "counts")
+    low, high = edges.agg(F.min("t"), F.max("t")).first()
+    for k in range(3):  # files of the stand-in, oldest first
+        src.write_edges(edges.where(F.expr(f"least((t - {low or 0}) * 3 div {max(1, (high or 0) - (low or 0))}, 2) = {k}")), source, mode="append")
+    deltas.stream_exact_counts(src.read_edge_stream(spark, source), HAND, folder).awaitTermination()
     return spark.read.parquet(f"{folder}/counts").select("bucket", "cp_t", "triangles")
 
 
 def stream_swtc_estimate(spark: SparkSession, d: str) -> DataFrame:
-    folder = jobs.new_folder(spark, "swtc")
+    folder = batches.new_folder(spark, "swtc")
     jobs.stream_swtc_estimate(_stream(spark, hand_undirected(spark, d)), HAND, HAND_SAMPLE, SEEDS, folder).awaitTermination()
     return rounded(spark.read.parquet(f"{folder}/estimates").select("seed", "bucket", "estimate"), "estimate")
 
@@ -235,6 +265,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # sources and preparation
     "read_edges": read_edges,
     "read_edges_directed": read_edges_directed,
+    "read_edges_arrival": lambda s, d: co_from_text(s, d).select("eid", "t", "s", "d"),
+    "triangle_count_from_text": lambda s, d: ch.triangle_count(pr.prepared(co_from_text(s, d)), CO, weighted=True),
     "count_series": count_series,
     "adjacency_lists": adjacency_lists,
     "drop_self_loops": lambda s, d: pr.drop_self_loops(src.copurchase_edges(s, d)),
@@ -307,7 +339,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # streams
     "stream_exact_counts": stream_exact_counts,
     "stream_late_counts": stream_late_counts,
+    "stream_text_counts": stream_text_counts,
     "stream_swtc_estimate": stream_swtc_estimate,
+    "stream_late_swtc_estimate": stream_late_swtc_estimate,
     "stream_priority_sample": stream_priority_sample,
     "stream_bernoulli": stream_bernoulli,
     "stream_window_stats": stream_window_stats,

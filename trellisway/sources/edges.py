@@ -10,24 +10,53 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trellisway.functions.materialize import stored
+
 TEXT_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("s", "d", "l", "t")])
 COUNT_SCHEMA = "method string, type int, seed int, cp long, count double"
 
 
 def read_edges(spark: SparkSession, path: str, directed: bool = False, format: str = "text") -> DataFrame:
-    """(s, d, t[, bi]) from space-separated lines `s d l t` (l is not used) or from Parquet; bi is false unless the data has it."""
+    """(eid, s, d, t[, bi]) from space-separated lines `s d l t` (l is not used) or from Parquet; bi is false unless the data has it.
+
+    eid is that of the data if it has one, else the place in the order of the files' names and of the rows in them, from 0
+    on without gaps; then the rows are stored as a table while the plan is made. Lines that aren't numbers are no edges."""
     if format == "text":
         edges = spark.read.schema(TEXT_SCHEMA).option("sep", " ").csv(path)
     else:
         edges = spark.read.format(format).load(path)
-    if not directed:
-        return edges.select("s", "d", "t")
-    return edges.select("s", "d", "t", (F.col("bi") if "bi" in edges.columns else F.lit(False)).alias("bi"))
+    columns = ["s", "d", "t", *["bi"] * (directed and "bi" in edges.columns)]
+    rows = edges.select("eid", *columns) if "eid" in edges.columns else numbered(edges.select(*columns, *PLACE).dropna(subset=["s", "d", "t"]))
+    return rows.withColumn("bi", F.lit(False)) if directed and "bi" not in columns else rows
+
+
+#: Where a row of a file source comes from: its file, and the part of it that a task reads in one go.
+PLACE = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+
+
+def numbered(rows: DataFrame, first: int = 0) -> DataFrame:
+    """Adds eid to rows that have their PLACE, which goes: dense numbers from `first` on, in the order of files and rows.
+
+    A part of a file is read by one task in its order, so parts are counted, the counts are summed up over the table of
+    parts, and inside its part a row is numbered by its task. No row is sorted or moved but with its part's number."""
+    table = stored(rows.withColumn("_row", F.monotonically_increasing_id()))
+    parts = table.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("n"), F.min("_row").alias("begin"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = stored(parts.select("_file", "_block", (before - F.col("begin") + first).alias("offset")))
+    kept = [c for c in rows.columns if c not in ("_file", "_block")]
+    return table.join(offsets, ["_file", "_block"]).select((F.col("_row") + F.col("offset")).alias("eid"), *kept)
+
+
+def read_edge_stream(spark: SparkSession, path: str) -> DataFrame:
+    """(s, d, t) and the place of each line `s d l t` of files that arrive in a folder, a file a batch; jobs number them."""
+    lines = spark.readStream.schema(TEXT_SCHEMA).option("sep", " ").option("maxFilesPerTrigger", 1).csv(path)
+    return lines.select("s", "d", "t", *PLACE).dropna(subset=["s", "d", "t"])
 
 
-def write_edges(edges: DataFrame, path: str) -> None:
-    """Lines `s d l t` with 0 for l."""
-    edges.select("s", "d", F.lit(0).alias("l"), "t").write.option("sep", " ").csv(path)
+def write_edges(edges: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Lines `s d l t` with 0 for l, in order of arrival over the files' names if the edges have an eid."""
+    rows = edges.orderBy("t", "eid") if "eid" in edges.columns else edges
+    rows.select("s", "d", F.lit(0).alias("l"), "t").write.mode(mode).option("sep", " ").csv(path)
 
 
 def write_counts(counts: DataFrame, path: str, mode: str = "append") -> None:

@@ -1,30 +1,21 @@
-"""Structured Streaming forms. Edges come in order of arrival, or late by up to a stated time; later ones are dropped.
-
-The counts are queries of micro-batches over a table of bounded size (the window's edges, or the sample's places), which
-each batch writes anew; a batch reads what the one before wrote and overwrites only its own, so it may run again."""
+"""Streams whose state is a sample: stateless, keyed, and as tables of micro-batches in order of arrival."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from trellisway.functions.materialize import drop_folder, shared_folder
+from trellisway.functions.materialize import drop_folder, stored
 from trellisway.operators.estimators import swtc_from_states
 from trellisway.operators.prepare import WindowSpec, checkpoints
 from trellisway.operators.sampling import SampleSpec, assign_slots, bernoulli_edges, replicate, slice_of, slice_start_sql, states_at
-from trellisway.operators.triangles import triangle_count
-from trellisway.operators.window import edge_frequencies, window_edges
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from trellisway.streaming.batches import keep_row, kept_row, new_folder, run_in_order
 
 
 def read_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,73 +84,35 @@ def sample_from_states(states: DataFrame, now: int, spec: SampleSpec) -> DataFra
     return tops.withColumn("edge", valid).where("edge IS NOT NULL").select("grp", "slot", "edge.t", "edge.eid", "edge.s", "edge.d")
 
 
-def _newest(held: DataFrame | None) -> int:
-    top = None if held is None else held.agg(F.max("t")).first()[0]
-    return -1 if top is None else top
-
-
-def _open_points(edges: DataFrame, step: int, done: int, closed: int | None) -> DataFrame:
-    """The checkpoints of buckets after `done`, of which the first arrival is before `closed` if that is given."""
-    points = checkpoints(edges, step).where(F.col("bucket") > done)
-    return points if closed is None else points.where(F.col("cp_t") < closed)
-
-
-def stream_exact_counts(stream: DataFrame, spec: WindowSpec, folder: str, late: int | None = None):
-    """Starts a query that keeps the window's edges as a table and gives the weighted count at each checkpoint that a batch
-    reaches, to `folder`/counts as (bucket, cp_t, cp_eid, triangles).
-
-    Without `late` the stream has to be in order. With it, edges may be late by so much time against the newest edge of
-    earlier batches; later ones are dropped, and a checkpoint is given once nothing before it can come any more."""
-
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        edges = batch.select("eid", "t", "s", "d")
-        old = spark.read.schema(edges.schema).parquet(f"{folder}/window/{number - 1}") if number else None
-        mark = _newest(old)
-        if late is not None:
-            edges = edges.where(F.col("t") >= mark - late)
-        # buckets up to this one have been given: without `late` that of the newest edge, else the last that was closed
-        done = -1 if mark < 0 else mark // spec.step if late is None else _last_given(spark, f"{folder}/counts", number)
-        edges = edges if old is None else old.unionByName(edges)
-        newest = _newest(edges)
-        points = _open_points(edges, spec.step, done, None if late is None else newest - late)
-        counts = triangle_count(edge_frequencies(window_edges(edges, spec).join(points.select("cp"), "cp", "left_semi"), ["cp"]), ["cp"], weighted=True)
-        out = points.join(counts, "cp", "left").select("bucket", "cp_t", "cp_eid", F.coalesce("triangles", F.lit(0).cast("long")).alias("triangles"))
-        out.write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
-        edges.where(F.col("t") >= newest - spec.window - spec.step - (late or 0)).write.mode("overwrite").parquet(f"{folder}/window/{number}")
-        drop_folder(spark, f"{folder}/window/{number - 2}")
-
-    return _run_batches(stream, step, folder)
-
-
-def _last_given(spark: SparkSession, path: str, number: int) -> int:
-    """The last bucket of the batches before this one; -1 for none."""
-    given = spark.read.schema("bucket long, batch int").parquet(path).where(F.col("batch") < number) if number else None
-    top = None if given is None else given.agg(F.max("bucket")).first()[0]
-    return -1 if top is None else top
+_LAST = "bucket long, t long"
+_PLACE = ["seed", "grp", "slot"]
+_TOPS = ["slice", "priority", "t", "eid", "s", "d"]
 
 
-def _run_batches(stream: DataFrame, step, folder: str):
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+def new_points(edges: DataFrame, step: int, given: int) -> DataFrame:
+    """The checkpoints of buckets after `given`; edges before these are left out."""
+    return checkpoints(edges.where(F.expr(f"t div {step} > {given}")), step)
 
 
-def stream_swtc_estimate(stream: DataFrame, wspec: WindowSpec, spec: SampleSpec, seeds: int, folder: str):
+def stream_swtc_estimate(stream: DataFrame, wspec: WindowSpec, spec: SampleSpec, seeds: int, folder: str, late: int | None = None) -> StreamingQuery:
     """Starts a query that keeps the sample alone, at most two edges for each place and seed, and gives the estimate at each
-    checkpoint that a batch reaches, to `folder`/estimates as (seed, bucket, estimate). The stream has to be in order."""
+    checkpoint that a batch reaches, to `folder`/estimates as (seed, bucket, estimate). Order and lateness are those of
+    run_in_order: edges that may still be overtaken are held back, and a checkpoint is given once it can't change."""
 
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        slotted = assign_slots(replicate(batch.select("eid", "t", "s", "d"), seeds), spec).select("seed", "grp", "slot", "slice", "priority", "t", "eid", "s", "d")
+    def step(spark: SparkSession, edges: DataFrame, number: int) -> None:
+        last = kept_row(spark, f"{folder}/last", _LAST, number) or (-1, 0)
+        slotted = assign_slots(replicate(edges, seeds), spec).select(*_PLACE, *_TOPS)
         held = spark.read.schema(slotted.schema).parquet(f"{folder}/sample/{number - 1}") if number else None
-        points = _open_points(batch.select("t", "eid"), wspec.step, _last_given(spark, f"{folder}/estimates", number), None)
-        rows = slotted if held is None else held.unionByName(slotted)
+        points = stored(new_points(edges, wspec.step, last[0]))
+        rows = stored(slotted if held is None else held.unionByName(slotted))
         every = points.crossJoin(F.broadcast(spark.range(seeds).select(F.col("id").cast("int").alias("seed"))))
         found = swtc_from_states(states_at(rows, points, wspec, spec, ["s", "d"]), every, spec)
         found.join(points.select("cp", "bucket"), "cp").select("seed", "bucket", "estimate").write.mode("overwrite").parquet(f"{folder}/estimates/batch={number}")
-        place = ["seed", "grp", "slot"]
-        tops = rows.groupBy(*place, "slice").agg(F.max(F.struct("priority", "t", "eid", "s", "d")).alias("top"))
-        current = slice_of(f"{max(_newest(batch), _newest(held))}", "grp", spec)
-        tops.where(F.col("slice") >= current - 1).select(*place, "slice", "top.*").write.mode("overwrite").parquet(f"{folder}/sample/{number}")
+        top = points.agg(F.max("bucket")).first()[0]
+        newest = max(rows.agg(F.max("t")).first()[0] or 0, last[1])
+        tops = rows.groupBy(*_PLACE, "slice").agg(F.max(F.struct(*_TOPS[1:])).alias("top")).select(*_PLACE, "slice", "top.*")
+        tops.where(F.col("slice") >= slice_of(f"{newest}", "grp", spec) - 1).write.mode("overwrite").parquet(f"{folder}/sample/{number}")
         drop_folder(spark, f"{folder}/sample/{number - 2}")
+        keep_row(spark, f"{folder}/last", _LAST, number, (last[0] if top is None else top, newest))
 
-    return _run_batches(stream, step, folder)
+    return run_in_order(stream, step, folder, late)
