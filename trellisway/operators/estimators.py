@@ -15,7 +15,7 @@ from trellisway.functions.mix import rho_sql
 from trellisway.operators.changes import triangle_count as triangle_count_by_changes
 from trellisway.operators.directed import directed_triangle_count
 from trellisway.operators.prepare import WindowSpec, checkpoints
-from trellisway.operators.sampling import SampleSpec, assign_slots, bernoulli_edges, chunk_length, edge_cardinality_estimate, first_arrivals, group_estimate_sql, priority_sample_at, sample_lifetimes, slice_of, slice_start_sql, slot_states
+from trellisway.operators.sampling import PLACE, SampleSpec, assign_slots, bernoulli_edges, chunk_length, dated_records, edge_cardinality_estimate, first_arrivals, first_of_times, group_estimate_sql, lives_of, priority_sample_at, records_of, slice_of, slice_start_sql, slot_states
 from trellisway.operators.triangles import local_triangle_count, triangle_count
 from trellisway.operators.window import edge_frequencies
 
@@ -99,7 +99,7 @@ def slice_index(time: str, length: int):
     return F.expr(f"cast(ceil({time} / {length}D) AS bigint) - 1")
 
 
-def _now_index(time: str, length: int):
+def now_index(time: str, length: int):
     return F.greatest(slice_index(time, length), F.lit(0).cast("long"))
 
 
@@ -146,15 +146,15 @@ def arrival_triangles(edges: DataFrame, lives: DataFrame, window: int, directed:
     return found.select("seed", "at", "type", F.least("t", "f_life_t", "g_life_t").alias("oldest"))
 
 
-def expired_triangles(lives: DataFrame, window: int, directed: bool = False) -> DataFrame:
-    """(seed, at, t, eid, type): a row for each triangle of an expiring sampled edge with two that are still valid; a
+def expired_triangles(lives: DataFrame, window: int, directed: bool = False, since: str = "true") -> DataFrame:
+    """(seed, at, t, eid, type): of expiries `at` that the SQL condition `since` holds for, a row for each triangle of an expiring sampled edge with two that are still valid; a
     triangle whose edges expire on one arrival is that of its oldest edge."""
-    gone = _points(lives.where("expired").withColumn("at", F.col("end")).select("seed", "s", "d", *["bi"] * directed, "t", "eid", "at"), directed)
+    gone = _points(lives.where("expired").withColumn("at", F.col("end")).select("seed", "s", "d", *["bi"] * directed, "t", "eid", "at").where(since), directed)
     still = "{f}_start < at AND ({f}_end IS NULL OR {f}_end > at OR ({f}_end = at AND (NOT {f}_expired OR struct({f}_life_t, {f}_life_eid) > struct(t, eid))))"
     return _closed(gone, lives, window, directed, still).select("seed", "at", "t", "eid", "type")
 
 
-def _life_events(edges: DataFrame, lives: DataFrame, spec: SampleSpec) -> DataFrame:
+def life_events(dated: DataFrame, times: DataFrame, lives: DataFrame, spec: SampleSpec) -> DataFrame:
     """What changes the state of the groups: (seed, at, kind, by, grp, valid, q, occ) with changes of the three numbers.
 
     Order inside an arrival: kind 0 expiries, by (t, eid) of the edge; 1 slices of groups; 2 the insertion."""
@@ -162,31 +162,25 @@ def _life_events(edges: DataFrame, lives: DataFrame, spec: SampleSpec) -> DataFr
     zero = F.lit(0).cast("long")
     begun = lives.select("seed", F.col("start").alias("at"), F.when(F.col("promoted"), 1).otherwise(2).alias("kind"), none.alias("by"), "grp", F.lit(1).cast("long").alias("valid"))
     ended = lives.where("end IS NOT NULL").select("seed", F.col("end").alias("at"), F.when(F.col("expired"), 0).otherwise(2).alias("kind"), F.when(F.col("expired"), F.struct("t", "eid")).otherwise(none).alias("by"), "grp", F.lit(-1).cast("long").alias("valid"))
-    states = _occupancy_events(edges, spec).select("seed", "at", "kind", none.alias("by"), "grp", zero.alias("valid"), "q", "occ")
+    states = _occupancy_events(dated, times, spec).select("seed", "at", "kind", none.alias("by"), "grp", zero.alias("valid"), "q", "occ")
     lived = begun.unionByName(ended).withColumns({"q": F.lit(0.0), "occ": zero})
     return lived.unionByName(states)
 
 
-def _occupancy_events(edges: DataFrame, spec: SampleSpec) -> DataFrame:
+def _occupancy_events(dated: DataFrame, times: DataFrame, spec: SampleSpec) -> DataFrame:
     """(seed, at, kind, grp, q, occ): changes of a place's part of q (1 while empty, else 2^-rho of its highest priority)
     and of its being occupied."""
-    place = ["seed", "grp", "slot"]
-    slotted = stored(assign_slots(edges, spec).select(*place, "slice", "priority", "t", "eid"))
-    tops = slotted.groupBy(*place, "slice").agg(F.max("priority").alias("top"))
-    times = edges.groupBy("t").agg(F.min("eid").alias("eid"))
-    begin = lambda n: F.expr(f"{slice_start_sql('grp', spec)} + {spec.window} * (slice + {n})")
-    rows = tops.withColumns({"x1": begin(1), "x2": begin(2)})
-    found = stored(first_arrivals(times, rows.select(F.col("x1").alias("x")).unionByName(rows.select(F.col("x2").alias("x"))), chunk_length(spec.window)))
-    rows = rows.join(found.select(F.col("x").alias("x1"), F.col("at").alias("at1")), "x1").join(found.select(F.col("x").alias("x2"), F.col("at").alias("at2")), "x2")
+    place = PLACE[:-1]
+    tops = dated.where("next_record IS NULL").select(*PLACE, F.col("priority").alias("top"), F.col("switch").alias("at1"))
+    rows = tops.withColumn("x2", F.expr(f"{slice_start_sql('grp', spec)} + {spec.window} * (slice + 2)"))
+    found = stored(first_arrivals(times, rows.select(F.col("x2").alias("x")), chunk_length(spec.window)))
+    rows = rows.join(found.select(F.col("x").alias("x2"), F.col("at").alias("at2")), "x2")
     after = tops.select(*place, (F.col("slice") - 1).alias("slice"), F.lit(True).alias("followed"))
-    rows = rows.join(after, [*place, "slice"], "left")
+    rows = rows.join(after, PLACE, "left")
     # at the switch to the next slice the maximum becomes A; if that slice stays empty, the place is empty from the one after
     moved = rows.where("at1 IS NOT NULL").select(*place, F.col("at1").alias("at"), F.lit(1).alias("kind"), F.when(slice_of("at1.t", "grp", spec) == F.col("slice") + 1, F.col("top")).alias("value"))
     emptied = rows.where("followed IS NULL AND at2 IS NOT NULL AND at2 > at1").select(*place, F.col("at2").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("value"))
-    before = tops.select(*place, (F.col("slice") + 1).alias("slice"), F.col("top").alias("top_before"))
-    running = F.max("priority").over(Window.partitionBy(*place, "slice").orderBy("t", "eid").rowsBetween(Window.unboundedPreceding, 0))
-    raised = slotted.withColumn("high", running).where("priority = high").join(before, [*place, "slice"], "left").where("top_before IS NULL OR priority >= top_before")
-    raised = raised.select(*place, F.struct("t", "eid").alias("at"), F.lit(2).alias("kind"), F.col("priority").alias("value"))
+    raised = dated.where("top_before IS NULL OR priority >= top_before").select(*place, F.col("arrival").alias("at"), F.lit(2).alias("kind"), F.col("priority").alias("value"))
     events = moved.unionByName(emptied).unionByName(raised)
     order = Window.partitionBy(*place).orderBy("at", "kind")
     part = F.coalesce(F.expr(f"pow(2D, -{rho_sql('value')})"), F.lit(1.0))
@@ -198,16 +192,26 @@ def _occupancy_events(edges: DataFrame, spec: SampleSpec) -> DataFrame:
 def pair_probability(edges: DataFrame, lives: DataFrame, spec: SampleSpec) -> DataFrame:
     """(seed, at, kind, t, eid, n, edges, inc, exp): after each arrival's insertion (kind 3) and each expiry of a sampled
     edge (kind 0; t and eid are the edge's), the sample's size, the estimated edges, and the chances of a pair and a triple.
+    Stores tables."""
+    times = first_of_times(edges)
+    dated = stored(dated_records(records_of(assign_slots(edges, spec), []), times, spec, []))
+    return chances(edges, life_events(dated, times, lives, spec), spec)
 
-    Changes are summed inside chunks of a part of a window's length and then carried over chunk totals, so nothing is
-    ordered over the whole stream at once."""
-    events = _life_events(edges, lives, spec)
+
+def chances(edges: DataFrame, events: DataFrame, spec: SampleSpec) -> DataFrame:
+    """As pair_probability, from the events of the groups' states.
+
+    Rows are dealt to ranges of about equal numbers of rows in their order, summed inside these and then carried over the
+    ranges' totals: nothing is ordered over the whole stream, and a burst of edges at one time is many ranges."""
     asked = edges.select("seed", F.struct("t", "eid").alias("at"), F.lit(3).alias("kind"), F.struct(F.lit(-1).cast("long").alias("t"), F.lit(-1).cast("long").alias("eid")).alias("by"))
-    log = events.unionByName(asked, allowMissingColumns=True).withColumn("chunk", F.expr(f"at.t div {chunk_length(spec.window)}"))
+    log = events.unionByName(asked, allowMissingColumns=True)
     numbers = [(g, c) for g in range(spec.groups) for c in ("valid", "q", "occ")]
     per = {f"{c}_{g}": F.coalesce(F.sum(F.when(F.col("grp") == g, F.col(c))), F.lit(0)) for g, c in numbers}
     # rows of one place in the order change together, so they are added up before the running sums
-    steps = stored(log.groupBy("seed", "chunk", "at", "kind", "by").agg(*[v.alias(k) for k, v in per.items()]))
+    order = ["seed", "at", "kind", "by"]
+    summed = log.groupBy(*order).agg(*[v.alias(k) for k, v in per.items()])
+    ranges = 2 * int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = stored(summed.repartitionByRange(ranges, *order).withColumn("chunk", F.spark_partition_id()))
     inside = Window.partitionBy("seed", "chunk").orderBy("at", "kind", "by").rowsBetween(Window.unboundedPreceding, 0)
     summed = steps.select("seed", "chunk", "at", "kind", "by", *[F.sum(k).over(inside).alias(k) for k in per])
     totals = steps.groupBy("seed", "chunk").agg(*[F.sum(k).alias(k) for k in per])
@@ -222,10 +226,11 @@ def pair_probability(edges: DataFrame, lives: DataFrame, spec: SampleSpec) -> Da
     return sized.withColumn("inc", pair).withColumn("exp", F.when((F.col("n") > 2) & (F.col("edges") > 2), F.col("inc") * (F.col("n") - 2) / (F.col("edges") - 2)))
 
 
-def _sliced(added: DataFrame, taken: DataFrame | None, edges: DataFrame, wspec: WindowSpec, length: int, slices: int, types: list[int]) -> DataFrame:
-    """(seed, cp, type, estimate): the last slices of `added` (seed, at, type, oldest, w) less what `taken` (seed, at, type,
-    w) took in the current one. Rows are summed by slice and step before they meet the checkpoints."""
-    graphs = _graphs(edges, wspec.step).withColumns({"now": _now_index("cp_t", length), "point": F.struct(F.col("cp_t").alias("t"), F.col("cp_eid").alias("eid"))})
+def sliced(added: DataFrame, taken: DataFrame | None, graphs: DataFrame, wspec: WindowSpec, length: int, slices: int, types: list[int], before: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(seed, cp, type, estimate) at each of `graphs` (seed, cp, bucket, cp_t, cp_eid): the last slices of `added` (seed, at,
+    type, oldest, w) less what `taken` (seed, at, type, w) took in the current one. Rows are summed by slice and step before
+    they meet the checkpoints. `before` are the counters so far: (seed, type, slice, w) and (seed, type, now, w)."""
+    graphs = graphs.withColumns({"now": now_index("cp_t", length), "point": F.struct(F.col("cp_t").alias("t"), F.col("cp_eid").alias("eid"))})
     points = graphs.select("bucket", "point").distinct()
 
     def visible(rows: DataFrame) -> DataFrame:
@@ -233,6 +238,8 @@ def _sliced(added: DataFrame, taken: DataFrame | None, edges: DataFrame, wspec:
         return own.withColumn("visible", F.when(F.col("at") <= F.col("point"), F.col("bucket")).otherwise(F.col("bucket") + 1))
 
     kept = visible(added).withColumn("slice", slice_index("oldest", length)).groupBy("seed", "type", "slice", "visible").agg(F.sum("w").alias("w"))
+    earlier = lambda k: before[k].withColumn("visible", F.lit(-1).cast("long"))
+    kept = kept if before is None else kept.unionByName(earlier(0))
     at = graphs.select("seed", "cp", F.col("bucket").alias("cp_bucket"), "now")
     in_slices = at.withColumn("slice", F.explode(F.sequence(F.col("now") - slices, F.col("now"))))
     gained = in_slices.join(kept, ["seed", "slice"]).where("visible <= cp_bucket").groupBy("seed", "cp", "type").agg(F.sum("w").alias("gained"))
@@ -240,29 +247,41 @@ def _sliced(added: DataFrame, taken: DataFrame | None, edges: DataFrame, wspec:
     out = every.join(gained, ["seed", "cp", "type"], "left")
     value = F.coalesce("gained", F.lit(0.0))
     if taken is not None:
-        lost = visible(taken).withColumn("now", _now_index("at.t", length)).groupBy("seed", "type", "now", "visible").agg(F.sum("w").alias("w"))
+        lost = visible(taken).withColumn("now", now_index("at.t", length)).groupBy("seed", "type", "now", "visible").agg(F.sum("w").alias("w"))
+        lost = lost if before is None else lost.unionByName(earlier(1))
         lost = at.join(lost, ["seed", "now"]).where("visible <= cp_bucket").groupBy("seed", "cp", "type").agg(F.sum("w").alias("lost"))
         out = out.join(lost, ["seed", "cp", "type"], "left")
         value = value - F.coalesce("lost", F.lit(0.0))
     return out.select("seed", "cp", "type", value.alias("estimate"))
 
 
+def weighed_arrivals(edges: DataFrame, lives: DataFrame, sized: DataFrame, window: int, directed: bool, types: list[int]) -> DataFrame:
+    """(seed, at, type, oldest, w): triangles by the arrival that closes them and their oldest time, 1 / inc each."""
+    come = arrival_triangles(edges, lives, window, directed).where(F.col("type").isin(types)).groupBy("seed", "at", "type", "oldest").agg(F.count(F.lit(1)).alias("k"))
+    return come.join(sized.where("kind = 3").select("seed", "at", "inc"), ["seed", "at"]).select("seed", "at", "type", "oldest", F.coalesce(F.col("k") / F.col("inc"), F.lit(0.0)).alias("w"))
+
+
+def weighed_expiries(lives: DataFrame, sized: DataFrame, window: int, length: int, directed: bool, types: list[int], since: str = "true") -> DataFrame:
+    """(seed, at, type, w): triangles of expiring edges that the last slices still hold, 1 / exp each; of the expiries
+    `at` which the SQL condition `since` holds."""
+    boundary = now_index("at.t", length) * length
+    gone = expired_triangles(lives, window, directed, since).where(F.col("type").isin(types)).where(F.col("t") > boundary - window).groupBy("seed", "at", "t", "eid", "type").agg(F.count(F.lit(1)).alias("k"))
+    return gone.join(sized.where("kind = 0").select("seed", "at", "t", "eid", "exp"), ["seed", "at", "t", "eid"]).select("seed", "at", "type", F.coalesce(F.col("k") / F.col("exp"), F.lit(0.0)).alias("w"))
+
+
 def cbs_directed_estimate(edges: DataFrame, wspec: WindowSpec, spec: SampleSpec, slices: int = 10, correct: bool = True, directed: bool = True, types: list[int] | None = None) -> DataFrame:
     """(seed, cp, type, estimate): triangles counted as they arrive, 1 / inc each, in the slice of their oldest edge; less
-    1 / exp for triangles of the current slice's expiries, unless `correct` is off."""
+    1 / exp for triangles of the current slice's expiries, unless `correct` is off. Stores tables."""
     types = types or (list(CLOSINGS) if directed else [-1])
-    length = wspec.window // slices
+    length, keep = wspec.window // slices, ["s", "d", *["bi"] * directed]
     edges = stored(edges)
-    lives = stored(sample_lifetimes(edges, spec, ["s", "d", *["bi"] * directed]))
-    chances = stored(pair_probability(edges, lives, spec))
-    come = arrival_triangles(edges, lives, wspec.window, directed).where(F.col("type").isin(types)).groupBy("seed", "at", "type", "oldest").agg(F.count(F.lit(1)).alias("k"))
-    added = come.join(chances.where("kind = 3").select("seed", "at", "inc"), ["seed", "at"]).withColumn("w", F.coalesce(F.col("k") / F.col("inc"), F.lit(0.0)))
-    taken = None
-    if correct:
-        boundary = _now_index("at.t", length) * length
-        gone = expired_triangles(lives, wspec.window, directed).where(F.col("type").isin(types)).where(F.col("t") > boundary - wspec.window).groupBy("seed", "at", "t", "eid", "type").agg(F.count(F.lit(1)).alias("k"))
-        taken = gone.join(chances.where("kind = 0").select("seed", "at", "t", "eid", "exp"), ["seed", "at", "t", "eid"]).withColumn("w", F.coalesce(F.col("k") / F.col("exp"), F.lit(0.0)))
-    return _sliced(stored(added), taken if taken is None else stored(taken), edges, wspec, length, slices, types)
+    times = first_of_times(edges)
+    dated = stored(dated_records(records_of(assign_slots(edges, spec), keep), times, spec, keep))
+    lives = stored(lives_of(dated, spec, keep))
+    sized = stored(chances(edges, life_events(dated, times, lives, spec), spec))
+    added = stored(weighed_arrivals(edges, lives, sized, wspec.window, directed, types))
+    taken = stored(weighed_expiries(lives, sized, wspec.window, length, directed, types)) if correct else None
+    return sliced(added, taken, _graphs(edges, wspec.step), wspec, length, slices, types)
 
 
 def cbs_estimate(edges: DataFrame, wspec: WindowSpec, spec: SampleSpec, slices: int = 10, correct: bool = True) -> DataFrame:
@@ -275,7 +294,7 @@ def fixed_p_sliced_estimate(edges: DataFrame, wspec: WindowSpec, p: float, slice
     themselves, to the slice of the older of the two sampled edges; every expiry takes 1 / p^3; never below 0."""
     length = wspec.window // slices
     kept = bernoulli_edges(edges, p)
-    times = edges.groupBy("t").agg(F.min("eid").alias("eid"))
+    times = first_of_times(edges)
     asked = kept.select((F.col("t") + wspec.window + 1).alias("x"))
     ends = first_arrivals(times, asked, chunk_length(wspec.window))
     lives = kept.withColumn("x", F.col("t") + wspec.window + 1).join(ends, "x").withColumns({"start": F.struct("t", "eid"), "end": F.col("at"), "expired": F.col("at").isNotNull()}).drop("x", "at")
@@ -283,5 +302,5 @@ def fixed_p_sliced_estimate(edges: DataFrame, wspec: WindowSpec, p: float, slice
     come = _closed(points, lives, wspec.window, False, "{f}_start < at AND ({f}_end IS NULL OR {f}_end > at)")
     added = come.select("seed", "at", "type", F.least("f_life_t", "g_life_t").alias("oldest"), F.lit(1 / p**2).alias("w"))
     taken = expired_triangles(lives, wspec.window).select("seed", "at", "type", F.lit(1 / p**3).alias("w"))
-    out = _sliced(added, taken, edges, wspec, length, slices, [-1])
+    out = sliced(added, taken, _graphs(edges, wspec.step), wspec, length, slices, [-1])
     return out.select("seed", "cp", F.greatest("estimate", F.lit(0.0)).alias("estimate"))

@@ -142,30 +142,69 @@ def first_arrivals(times: DataFrame, asked: DataFrame, chunk: int) -> DataFrame:
     return inside.join(later, "chunk").select(F.col("pos").alias("x"), F.coalesce("near", "later").alias("at"))
 
 
-def sample_lifetimes(edges: DataFrame, spec: SampleSpec, keep: list[str] | None = None) -> DataFrame:
-    """(seed, grp, slot, slice, priority, t, eid, ..., start, end, expired): when each edge that is ever valid is so.
+PLACE = ["seed", "grp", "slot", "slice"]
 
-    start and end are arrivals (struct t, eid), the end excluded; end is null while it lasts; expired tells ends by time
-    from replacements. A record is an edge with no higher priority before it in its place and slice."""
-    keep = ["s", "d"] if keep is None else keep
-    slotted = assign_slots(edges, spec).withColumn("arrival", F.struct("t", "eid"))
-    here = ["seed", "grp", "slot", "slice"]
-    order = Window.partitionBy(*here).orderBy("t", "eid")
-    records = slotted.withColumn("before", F.max("priority").over(order.rowsBetween(Window.unboundedPreceding, -1))).where("before IS NULL OR priority >= before")
-    records = stored(records.withColumn("next_record", F.lead("arrival").over(order)).select(*here, "priority", "t", "eid", *keep, "arrival", "next_record"))
-    tops = records.where("next_record IS NULL").select("seed", "grp", "slot", (F.col("slice") + 1).alias("slice"), F.col("priority").alias("top_before"))
+
+def records_of(slotted: DataFrame, keep: list[str]) -> DataFrame:
+    """The edges with no higher priority before them in their place and slice."""
+    order = Window.partitionBy(*PLACE).orderBy("t", "eid").rowsBetween(Window.unboundedPreceding, -1)
+    return slotted.withColumn("before", F.max("priority").over(order)).where("before IS NULL OR priority >= before").select(*PLACE, "priority", "t", "eid", *keep)
+
+
+#: What is known of a record for good once it is: the highest priority of the slice before, and the arrivals at which the
+#: next slice began and at which the record was out of the window.
+KNOWN = "top_before long, switch struct<t: bigint, eid: bigint>, expiry struct<t: bigint, eid: bigint>"
+
+
+def dated_records(records: DataFrame, times: DataFrame, spec: SampleSpec, keep: list[str], earlier: DataFrame | None = None) -> DataFrame:
+    """Records with arrival, next_record (in place and slice), beaten_at (by one of the next slice) and KNOWN; all but
+    top_before are arrivals (struct t, eid), null if there is none so far. Stores tables.
+
+    times: (t, eid) of the first arrival of each time. Of a stream these and `records` may be those since some moment, if
+    `earlier` has, with KNOWN, the records of the slices that were the last two of their groups then."""
+    columns = [*PLACE, "priority", "t", "eid", *keep]
+    rows = records.select(*columns, *[F.lit(None).cast(k.split(" ", 1)[1].strip()).alias(k.split(" ", 1)[0]) for k in ("top_before long", *_STRUCTS)])
+    if earlier is not None:
+        # what is a record among its own may be below one of before
+        top = earlier.groupBy(*PLACE).agg(F.max("priority").alias("old"))
+        rows = rows.join(top, PLACE, "left").where("old IS NULL OR priority >= old").drop("old").unionByName(earlier.select(*rows.columns))
+    order = Window.partitionBy(*PLACE).orderBy("t", "eid")
+    rows = stored(rows.withColumn("arrival", F.struct("t", "eid")).withColumn("next_record", F.lead("arrival").over(order)))
+    place = PLACE[:-1]
+    tops = rows.where("next_record IS NULL").select(*place, (F.col("slice") + 1).alias("slice"), F.col("priority").alias("top"))
     # records of the next slice are what can replace: of them, the first with at least the own priority
-    following = records.select("seed", "grp", "slot", (F.col("slice") - 1).alias("slice"), F.col("priority").alias("next_priority"), F.col("arrival").alias("next_arrival"))
-    beaten = records.select(*here, "priority", "arrival").join(following, here).where("next_priority >= priority").groupBy(*here, "arrival").agg(F.min("next_arrival").alias("beaten_at"))
-    times = edges.groupBy("t").agg(F.min("eid").alias("eid"))
-    switch_at = F.expr(f"{slice_start_sql('grp', spec)} + {spec.window} * (slice + 1)")
-    rows = records.join(tops, here, "left").join(beaten, [*here, "arrival"], "left").withColumns({"switch_x": switch_at, "expire_x": F.col("t") + spec.window + 1})
-    asked = records.select(switch_at.alias("x")).unionByName(records.select((F.col("t") + spec.window + 1).alias("x")))
+    following = rows.select(*place, (F.col("slice") - 1).alias("slice"), F.col("priority").alias("next_priority"), F.col("arrival").alias("next_arrival"))
+    beaten = rows.select(*PLACE, "priority", "arrival").join(following, PLACE).where("next_priority >= priority").groupBy(*PLACE, "arrival").agg(F.min("next_arrival").alias("beaten_at"))
+    switch_x, expire_x = F.expr(f"{slice_start_sql('grp', spec)} + {spec.window} * (slice + 1)"), F.col("t") + spec.window + 1
+    asked = rows.where("switch IS NULL").select(switch_x.alias("x")).unionByName(rows.where("expiry IS NULL").select(expire_x.alias("x")))
     found = stored(first_arrivals(times, asked, chunk_length(spec.window)))
-    rows = rows.join(found.select(F.col("x").alias("switch_x"), F.col("at").alias("switch")), "switch_x").join(found.select(F.col("x").alias("expire_x"), F.col("at").alias("expiry")), "expire_x")
+    of = lambda x, at: found.select(F.col("x").alias(x), F.col("at").alias(at))
+    rows = rows.withColumns({"switch_x": switch_x, "expire_x": expire_x}).join(tops, PLACE, "left").join(beaten, [*PLACE, "arrival"], "left").join(of("switch_x", "new_switch"), "switch_x", "left").join(of("expire_x", "new_expiry"), "expire_x", "left")
+    return rows.select(*columns, "arrival", "next_record", "beaten_at", F.coalesce("top_before", "top").alias("top_before"), F.coalesce("switch", "new_switch").alias("switch"), F.coalesce("expiry", "new_expiry").alias("expiry"))
+
+
+_STRUCTS = [f"{c} struct<t: bigint, eid: bigint>" for c in ("switch", "expiry")]
+
+
+def lives_of(dated: DataFrame, spec: SampleSpec, keep: list[str]) -> DataFrame:
+    """As sample_lifetimes, of dated records."""
     own = F.col("top_before").isNull() | (F.col("priority") >= F.col("top_before"))
     promoted = F.col("next_record").isNull() & F.col("switch").isNotNull() & (F.col("t") >= F.col("switch")["t"] - spec.window)
     start = F.when(own, F.col("arrival")).when(promoted, F.col("switch"))
     end = F.least("next_record", "beaten_at", "expiry")
-    out = rows.withColumns({"start": start, "end": end}).where(F.col("start").isNotNull() & (F.col("end").isNull() | (F.col("end") > F.col("start"))))
-    return out.withColumns({"expired": F.coalesce(F.col("expiry") <= F.col("end"), F.lit(False)), "promoted": ~own}).select(*here, "priority", "t", "eid", *keep, "start", "end", "expired", "promoted")
+    out = dated.withColumns({"start": start, "end": end}).where(F.col("start").isNotNull() & (F.col("end").isNull() | (F.col("end") > F.col("start"))))
+    return out.withColumns({"expired": F.coalesce(F.col("expiry") <= F.col("end"), F.lit(False)), "promoted": ~own}).select(*PLACE, "priority", "t", "eid", *keep, "start", "end", "expired", "promoted")
+
+
+def first_of_times(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("t").agg(F.min("eid").alias("eid"))
+
+
+def sample_lifetimes(edges: DataFrame, spec: SampleSpec, keep: list[str] | None = None) -> DataFrame:
+    """(seed, grp, slot, slice, priority, t, eid, ..., start, end, expired): when each edge that is ever valid is so.
+
+    start and end are arrivals (struct t, eid), the end excluded; end is null while it lasts; expired tells ends by time
+    from replacements. A record is an edge with no higher priority before it in its place and slice. Stores tables."""
+    keep = ["s", "d"] if keep is None else keep
+    records = records_of(assign_slots(edges, spec), keep)
+    return lives_of(dated_records(records, first_of_times(edges), spec, keep), spec, keep)

@@ -438,6 +438,7 @@ SELECT type, round(avg(avg_error), 6) AS avg_error, round(avg(max_error), 6) AS
     "stream_exact_counts": f"""WITH {_HAND_PLAIN}, {_points(HAND.step)}, {_window(HAND)}, {_FREQ}, {_TRI}
 SELECT bucket, cp_t, coalesce(n, 0)::BIGINT AS triangles FROM c LEFT JOIN (SELECT cp, sum(w) AS n FROM tri GROUP BY cp) USING (cp)""",
     "stream_late_counts": _late(2 * 86400),
+    "stream_cbs_estimate": _cbs(True).replace("SELECT seed, cp, round(", "SELECT seed, bucket, round(").replace("SELECT seed, cp, cp_t, cp_eid, greatest", "SELECT seed, bucket, cp, cp_t, cp_eid, greatest"),
     "stream_late_swtc_estimate": f"SELECT seed, bucket, round(estimate, 6) AS estimate FROM ({_LATE_SWTC})",
     "stream_text_counts": f"""WITH {_HAND_PLAIN}, {_points(HAND.step)}, {_window(HAND)}, {_FREQ}, {_TRI}
 SELECT bucket, cp_t, coalesce(n, 0)::BIGINT AS triangles FROM c LEFT JOIN (SELECT cp, sum(w) AS n FROM tri GROUP BY cp) USING (cp)""",

@@ -242,6 +242,12 @@ def stream_swtc_estimate(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spark.read.parquet(f"{folder}/estimates").select("seed", "bucket", "estimate"), "estimate")
 
 
+def stream_cbs_estimate(spark: SparkSession, d: str) -> DataFrame:
+    folder = batches.new_folder(spark, "cbs")
+    jobs.stream_cbs_estimate(_stream(spark, hand_undirected(spark, d)), HAND, HAND_SAMPLE, SEEDS, folder, SLICES).awaitTermination()
+    return rounded(spark.read.parquet(f"{folder}/estimates").select("seed", "bucket", "estimate"), "estimate")
+
+
 def stream_priority_sample(spark: SparkSession, d: str) -> DataFrame:
     edges = hand_undirected(spark, d).select("eid", "t", "s", "d")
     states = jobs.run_through(jobs.stream_priority_sample(_stream(spark, edges), HAND_SAMPLE, 0), spark)
@@ -341,6 +347,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_late_counts": stream_late_counts,
     "stream_text_counts": stream_text_counts,
     "stream_swtc_estimate": stream_swtc_estimate,
+    "stream_cbs_estimate": stream_cbs_estimate,
     "stream_late_swtc_estimate": stream_late_swtc_estimate,
     "stream_priority_sample": stream_priority_sample,
     "stream_bernoulli": stream_bernoulli,

@@ -12,9 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trellisway.functions.materialize import drop_folder, stored
-from trellisway.operators.estimators import swtc_from_states
+from trellisway.operators.estimators import chances, life_events, now_index, slice_index, sliced, swtc_from_states, weighed_arrivals, weighed_expiries
 from trellisway.operators.prepare import WindowSpec, checkpoints
-from trellisway.operators.sampling import SampleSpec, assign_slots, bernoulli_edges, replicate, slice_of, slice_start_sql, states_at
+from trellisway.operators.sampling import KNOWN, SampleSpec, assign_slots, bernoulli_edges, dated_records, first_of_times, lives_of, records_of, replicate, slice_of, slice_start_sql, states_at
 from trellisway.streaming.batches import keep_row, kept_row, new_folder, run_in_order
 
 
@@ -116,3 +116,54 @@ def stream_swtc_estimate(stream: DataFrame, wspec: WindowSpec, spec: SampleSpec,
         keep_row(spark, f"{folder}/last", _LAST, number, (last[0] if top is None else top, newest))
 
     return run_in_order(stream, step, folder, late)
+
+
+_TOTALS = "seed int, grp long, valid long, q double, occ long"
+_SLICES = "seed int, type int, slice long, w double"
+_EXPIRED = "seed int, type int, now long, w double"
+_RECORD = "seed int, grp long, slot long, slice long, priority long, t long, eid long, s long, d long, " + KNOWN
+
+
+def stream_cbs_estimate(stream: DataFrame, wspec: WindowSpec, spec: SampleSpec, seeds: int, folder: str, slices: int = 10, late: int | None = None) -> StreamingQuery:
+    """Starts a query that counts triangles as edges arrive and gives the estimate at each checkpoint that a batch reaches,
+    to `folder`/estimates as (seed, bucket, estimate). Order and lateness are those of run_in_order.
+
+    Between batches there are the records of each place's last two slices, from which the lives of sampled edges go on; the
+    groups' totals (valid places, their part of q, occupied places); and for each seed a ring of slices + 1 counters of
+    triangles by their oldest edge and the counter of what the current slice's expiries took. The batch's events are summed
+    on from the totals, so its work follows its own edges and the sample."""
+    length, keep = wspec.window // slices, ["s", "d"]
+    tables = {"records": _RECORD, "totals": _TOTALS, "slices": _SLICES, "expired": _EXPIRED}
+
+    def step(spark: SparkSession, edges: DataFrame, number: int) -> None:
+        before = {k: spark.read.schema(v).parquet(f"{folder}/{k}/{number - 1}") if number else spark.createDataFrame([], v) for k, v in tables.items()}
+        bucket, top_t, top_eid = kept_row(spark, f"{folder}/last", "bucket long, t long, eid long", number) or (-1, -1, -1)
+        seeded = stored(replicate(edges, seeds))
+        now = max((top_t, top_eid), tuple(seeded.agg(F.max(F.struct("t", "eid"))).first()[0] or (-1, -1)))
+        times = first_of_times(edges)
+        dated = stored(dated_records(records_of(assign_slots(seeded, spec), keep), times, spec, keep, before["records"]))
+        lives = stored(lives_of(dated, spec, keep))
+        since = f"at > struct({top_t}L, {top_eid}L)"
+        # what earlier batches have counted is in the totals, which come first of all
+        events = stored(life_events(dated, times, lives, spec).where(since))
+        start = F.struct(F.lit(-2).cast("long").alias("t"), F.lit(-2).cast("long").alias("eid"))
+        carried = before["totals"].select("seed", start.alias("at"), F.lit(1).alias("kind"), start.alias("by"), "grp", "valid", "q", "occ")
+        sized = stored(chances(seeded, events.unionByName(carried), spec))
+        added = stored(weighed_arrivals(seeded, lives, sized, wspec.window, False, [-1]))
+        taken = stored(weighed_expiries(lives, sized, wspec.window, length, False, [-1], since))
+        points = stored(new_points(edges, wspec.step, bucket))
+        graphs = points.crossJoin(F.broadcast(spark.range(seeds).select(F.col("id").cast("int").alias("seed"))))
+        found = sliced(added, taken, graphs, wspec, length, slices, [-1], (before["slices"], before["expired"]))
+        found.join(points.select("cp", "bucket"), "cp").select("seed", "bucket", "estimate").write.mode("overwrite").parquet(f"{folder}/estimates/batch={number}")
+        totals = events.select("seed", "grp", "valid", "q", "occ").unionByName(before["totals"]).groupBy("seed", "grp").agg(F.sum("valid").alias("valid"), F.sum("q").alias("q"), F.sum("occ").alias("occ"))
+        index = now_index(f"{now[0]}L", length)
+        ring = added.select("seed", "type", slice_index("oldest", length).alias("slice"), "w").unionByName(before["slices"]).where(F.col("slice") >= index - slices).groupBy("seed", "type", "slice").agg(F.sum("w").alias("w"))
+        out = taken.select("seed", "type", now_index("at.t", length).alias("now"), "w").unionByName(before["expired"]).where(F.col("now") >= index).groupBy("seed", "type", "now").agg(F.sum("w").alias("w"))
+        last_two = dated.where(F.col("slice") >= slice_of(f"{now[0]}L", "grp", spec) - 1) if now[0] >= 0 else dated
+        for name, rows in {"records": last_two, "totals": totals, "slices": ring, "expired": out}.items():
+            rows.select(*before[name].columns).write.mode("overwrite").parquet(f"{folder}/{name}/{number}")
+            drop_folder(spark, f"{folder}/{name}/{number - 2}")
+        top = points.agg(F.max("bucket")).first()[0]
+        keep_row(spark, f"{folder}/last", "bucket long, t long, eid long", number, (bucket if top is None else top, *now))
+
+    return run_in_order(stream, step, folder, late)
