@@ -20,12 +20,13 @@ an added name raises.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ from trellisway.llm.common import checkpointed, no_clash, slices
 PIECE = 1 << 16
 #: Pairs of ids of which the counts may be sent to all tasks.
 MOST_SENT = 1 << 21
+#: Bytes of texts that are looked at together.
+_BATCH = 1 << 21
 #: Bits of an id in a pair.
 _ID = 20
 
@@ -57,7 +60,7 @@ class PieceBpe(WordWise):
         self.mark = np.array([self.library.piece_to_id(_MARK)], "<u4").tobytes()
         #: Where no piece has a mark behind another sign, merges don't cross from a word into the marks of the next one.
         self.apart = not any(_MARK in x.lstrip(_MARK) for x in names)
-        self.pattern = regex.compile(f"[{_MARK} ]+[^{_MARK} ]*")
+        self.pattern = re.compile(f"[{_MARK} ]+[^{_MARK} ]*")
 
     def words(self, text: str) -> Iterator[list[str]]:
         if text:
@@ -66,8 +69,10 @@ class PieceBpe(WordWise):
 
     def learn(self, words: set[str]) -> None:
         listed = [w for w in words if len(w) > 1]
-        for w, ids in zip(listed, self.library.encode([w[1:] for w in listed], num_threads=1), strict=True):
-            self.known[w] = np.array(ids, "<u4").tobytes()
+        found = self.library.encode([w[1:] for w in listed], num_threads=1)
+        data = np.array([k for ids in found for k in ids], "<u4").tobytes()
+        ends = [4 * n for n in accumulate(map(len, found))]
+        self.known.update((w, data[x:y]) for w, x, y in zip(listed, [0, *ends], ends, strict=False))
         self.known.update((w, self.mark) for w in words if len(w) == 1)
 
 
@@ -118,8 +123,31 @@ def links_and_groups(a: np.ndarray, b: np.ndarray, work: int = PIECE) -> tuple[n
 
 
 def _written(tokens: list[bytes]) -> list[bytes]:
-    """An id before a comma, and before what closes its side of a group."""
-    return [b"%d%s" % (k, sign) for k in range(len(tokens)) for sign in (b",", b"\0")]
+    """An id before a comma, before the bar and before a semicolon."""
+    return [b"%d%s" % (k, sign) for k in range(len(tokens)) for sign in (b",", b"|", b";")]
+
+
+class _Joined:
+    """The bytes of tokens, one after another, to be looked up for many ids at once."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.start = np.cumsum(self.length) - self.length
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        length = self.length[ids]
+        skipped = np.repeat(self.start[ids] - (np.cumsum(length) - length), length)
+        return self.data[skipped + np.arange(len(skipped))]
+
+
+_joined: dict[int, _Joined] = {}
+
+
+def _tokens(of: ByteBpe | PieceBpe) -> _Joined:
+    if id(of) not in _joined:
+        _joined[id(of)] = _Joined(of.bytes)
+    return _joined[id(of)]
 
 
 class Aligned:
@@ -127,17 +155,25 @@ class Aligned:
 
     def __init__(self, texts: list[str], byte_level: ByteBpe, of_pieces: PieceBpe, work: int = PIECE):
         whole = [" " + t if t else "" for t in texts]
-        ids = [[np.frombuffer(x, "<u4").astype(np.int64) for x in side] for side in (byte_level.encode(whole), of_pieces.encode(texts))]
-        lengths = [np.fromiter(map(len, v.bytes), np.int64, len(v.bytes)) for v in (byte_level, of_pieces)]
-        none = np.zeros(0, np.int64)
-        for k, text in enumerate(whole):
-            data = text.encode()
-            a, b = ids[0][k], ids[1][k]
-            same = lengths[0][a].sum() == len(data) and b"".join([of_pieces.bytes[x] for x in b.tolist()]) == data
-            if not same or not data:
-                ids[0][k] = ids[1][k] = none
-        self.counts = [np.fromiter(map(len, side), np.int64, len(side)) for side in ids]
-        self.ids = [np.concatenate([none, *side]) for side in ids]
+        sides = [byte_level.encode(whole), of_pieces.encode(texts)]
+        counts = [np.fromiter(map(len, side), np.int64, len(side)) // 4 for side in sides]
+        ids = [np.frombuffer(b"".join(side), "<u4").astype(np.int64) for side in sides]
+        datas = [t.encode() for t in whole]
+        sizes = np.fromiter(map(len, datas), np.int64, len(datas))
+        tokens = [_tokens(v) for v in (byte_level, of_pieces)]
+        number = np.arange(len(texts))
+        kept = sizes > 0
+        for x in (0, 1):
+            kept &= np.bincount(np.repeat(number, counts[x]), tokens[x].length[ids[x]], len(texts)) == sizes
+        # of equal length; then also of equal bytes
+        data = np.frombuffer(b"".join(d for d, keep in zip(datas, kept.tolist(), strict=True) if keep), np.uint8)
+        of_byte = np.repeat(number[kept], sizes[kept])
+        for x in (0, 1):
+            kept[of_byte[tokens[x].of(ids[x][np.repeat(kept, counts[x])]) != data]] = False
+            data, of_byte = data[kept[of_byte]], of_byte[kept[of_byte]]
+        self.ids = [ids[x][np.repeat(kept, counts[x])] for x in (0, 1)]
+        self.counts = [np.where(kept, c, 0) for c in counts]
+        lengths = [t.length for t in tokens]
         ends = [np.cumsum(lengths[x][self.ids[x]]) for x in (0, 1)]
         a, b, last_a, last_b = links_and_groups(*ends, work)
         self.doc = np.repeat(np.arange(len(texts)), self.counts[0])
@@ -154,16 +190,12 @@ class Aligned:
         place_a = np.arange(len(self.ids[0])) + np.repeat(np.cumsum(count_b) - count_b, count_a)
         place_b = np.arange(len(self.ids[1])) + np.repeat(np.cumsum(count_a), count_b)
         code = np.empty(len(place_a) + len(place_b), np.int64)
-        ends_a, ends_b = np.zeros(len(place_a), np.int64), np.zeros(len(place_b), np.int64)
-        ends_a[last_a], ends_b[last_b] = 1, 1
-        code[place_a], code[place_b] = 2 * self.ids[0] + ends_a, 2 * self.ids[1] + ends_b
+        sign_a, sign_b = np.zeros(len(place_a), np.int64), np.zeros(len(place_b), np.int64)
+        sign_a[last_a], sign_b[last_b] = 1, 2
+        code[place_a], code[place_b] = 3 * self.ids[0] + sign_a, 3 * self.ids[1] + sign_b
         upto = np.concatenate([[0], np.cumsum(self.counts[0] + self.counts[1])]).tolist()
-        return [hashlib.sha256(self._text(code[x:y], written)).hexdigest() if x < y else "" for x, y in zip(upto[:-1], upto[1:], strict=True)]
-
-    @staticmethod
-    def _text(code: np.ndarray, written: list[bytes]) -> bytes:
-        sides = b"".join([written[k] for k in code.tolist()]).split(b"\0")[:-1]
-        return b";".join([b"%b|%b" % x for x in zip(sides[::2], sides[1::2], strict=True)])
+        text = lambda x, y: b"".join([written[k] for k in code[x:y].tolist()])[:-1]
+        return [hashlib.sha256(text(x, y)).hexdigest() if x < y else "" for x, y in zip(upto[:-1], upto[1:], strict=True)]
 
 
 def aligned(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text", prefix: str = "align_") -> DataFrame:
@@ -181,7 +213,7 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text"
         byte_level, of_pieces = vocabulary(byte_path, False), pieces(piece_path)
         written = _written(max(byte_level.bytes, of_pieces.bytes, key=len))
         row = (TaskContext.get() or TaskContext()).partitionId() << 33
-        for part in slices(batches, text):
+        for part in slices(batches, text, _BATCH):
             found = Aligned([t or "" for t in part.column(text).to_pylist()], byte_level, of_pieces)
             pair, times = np.unique(found.pair, return_counts=True)
             upto = np.searchsorted(pair >> (2 * _ID), np.arange(len(part) + 1))

@@ -18,6 +18,7 @@ import json
 from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import batched
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ _NONE = 1 << 62
 _PLACE = (1 << 32) - 1
 
 #: How many distinct words a worker remembers before it forgets those of earlier texts.
-REMEMBERED = 1 << 19
+REMEMBERED = 3 << 17
 #: Words of more bytes are merged by themselves: trees of one width stand side by side.
 _ONE_BY_ONE = 256
 #: Characters or words that are looked at in one go.
@@ -228,7 +229,7 @@ class WordWise:
             out[i].append(b"".join(map(known, words)))
 
 
-def found_words(pattern: regex.Pattern, text: str, at: int, end: int) -> Iterator[list[str]]:
+def found_words(pattern: Any, text: str, at: int, end: int) -> Iterator[list[str]]:
     if end - at < _LONG:
         yield pattern.findall(text, at, end)
     else:
