@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trellisway.functions.materialize import stored
 from trellisway.operators import directed as dg
 from trellisway.operators.prepare import WindowSpec, checkpoints
-from trellisway.operators.triangles import triangles
+from trellisway.operators.triangles import neighbours_of_both, triangles
 from trellisway.operators.window import seen_from
 
 _SPAN = ["cp_from", "cp_to"]
@@ -42,14 +42,18 @@ def pair_spans(edges: DataFrame, points: DataFrame, spec: WindowSpec, by: list[s
     by = by or []
     numbers = _relations() if directed else _plain()
     rows = edges.select(*by, F.greatest("s", "d").alias("s"), F.least("s", "d").alias("d"), *[v.alias(k) for k, v in numbers.items()], F.struct("t", "eid").alias("arrival"))
-    alive = seen_from(rows, edges if times is None else times, points, spec, "arrival", "arrival.t")
+    # a join for each corner and side follows, so the spans are made once
+    return stored(spans_of(seen_from(rows, edges if times is None else times, points, spec, "arrival", "arrival.t"), by, list(numbers)))
+
+
+def spans_of(alive: DataFrame, by: list[str], numbers: list[str]) -> DataFrame:
+    """(by..., s, d, numbers..., cp_from, cp_to): spans in which the sums of the numbers of a pair's rows are constant and not all 0."""
     sign = F.explode(_both_ends(F.lit(1))).alias("x")
     summed = alive.select(*by, "s", "d", *numbers, sign).groupBy(*by, "s", "d", F.col("x.cp").alias("cp")).agg(*[F.sum(F.col(k) * F.col("x.by")).alias(k) for k in numbers])
     changed = summed.where(" OR ".join(f"{k} <> 0" for k in numbers))
     order = Window.partitionBy(*by, "s", "d").orderBy("cp")
     spans = changed.select(*by, "s", "d", F.col("cp").alias("cp_from"), (F.lead("cp").over(order) - 1).alias("cp_to"), *[F.sum(k).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(k) for k in numbers])
-    # a join for each corner and side follows, so the spans are made once
-    return stored(spans.where(" + ".join(numbers) + " > 0"))
+    return spans.where(" + ".join(numbers) + " > 0")
 
 
 def edge_frequencies(edges: DataFrame, spec: WindowSpec, directed: bool = False) -> DataFrame:
@@ -85,6 +89,36 @@ def _node_changes(spans: DataFrame) -> DataFrame:
     return nodes.select("node", F.explode(_both_ends(F.lit(1).cast("long"))).alias("x")).groupBy("node", F.col("x.cp").alias("cp")).agg(F.sum("x.by").alias("there")).where("there <> 0")
 
 
+def wedge_count(edges: DataFrame, spec: WindowSpec) -> DataFrame:
+    """(cp, wedges): paths of length two over distinct neighbours, by what each change of a node's degree adds."""
+    points = checkpoints(edges, spec.step)
+    order = Window.partitionBy("node").orderBy("cp")
+    degree = F.sum("there").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    now = _node_changes(pair_spans(edges, points, spec)).withColumn("degree", degree).withColumn("now", F.expr("degree * (degree - 1) div 2"))
+    changes = now.withColumn("by", F.col("now") - F.coalesce(F.lag("now").over(order), F.lit(0).cast("long"))).groupBy("cp").agg(F.sum("by").alias("wedges"))
+    return _at_points(changes, points.select("cp"), [], ["wedges"])
+
+
+def common_neighbors(edges: DataFrame, spec: WindowSpec, pairs: DataFrame | None = None) -> DataFrame:
+    """(cp, x, y, common, weighted, nodes) of the asked pairs (x, y, cp_from, cp_to) at each of their checkpoints, by default
+    of every pair of the window: neighbours of both, the sum of products of frequencies, and the sorted list.
+
+    Neighbours meet over spans, from the end with fewer of them; only what is found is copied to the checkpoints."""
+    spans = pair_spans(edges, checkpoints(edges, spec.step), spec)
+    asked = (spans.select(F.col("s").alias("x"), F.col("d").alias("y"), *_SPAN) if pairs is None else pairs.select("x", "y", *_SPAN)).distinct()
+    length = spec.window // spec.step + 2
+    chunk = F.explode(F.sequence(F.expr(f"cp_from div {length}"), F.expr(f"cp_to div {length}"))).alias("chunk")
+    lives = F.struct(*_SPAN)
+    met = neighbours_of_both(spans.select(chunk, "s", "d", "f", lives.alias("span")), asked.select(chunk, "x", "y", lives.alias("asked")), ["chunk"], ["span"])
+    begin, end = (pick("asked.cp_" + c, f"x_span.cp_{c}", f"y_span.cp_{c}") for pick, c in ((F.greatest, "from"), (F.least, "to")))
+    # what lies in two chunks belongs to the one in which it begins
+    found = met.withColumns({"cp_from": begin, "cp_to": end}).where(f"cp_from <= cp_to AND chunk = cp_from div {length}")
+    every = F.explode(F.sequence("cp_from", "cp_to")).alias("cp")
+    none = asked.select(every, "x", "y", F.lit(None).cast("long").alias("z"), F.lit(0).cast("long").alias("w"))
+    rows = found.select(every, "x", "y", "z", (F.col("f_x") * F.col("f_y")).alias("w")).unionByName(none)
+    return rows.groupBy("cp", "x", "y").agg(F.count("z").alias("common"), F.sum("w").alias("weighted"), F.sort_array(F.collect_list("z")).alias("nodes"))
+
+
 def triangle_spans(spans: DataFrame, spec: WindowSpec, by: list[str], keep: list[str]) -> DataFrame:
     """(by..., a, b, c, ab, ac, bc, cp_from, cp_to): each triangle of pairs over each span of constant numbers, once."""
     length = spec.window // spec.step + 2
@@ -180,3 +214,13 @@ def directed_local_count(edges: DataFrame, spec: WindowSpec, weighted: bool = Fa
     each = found.select("type", F.explode("nodes").alias("node"), F.col("weighted" if weighted else "n").alias("w"), *_SPAN)
     nodes = spans.select(F.explode(F.array("s", "d")).alias("node"), *_SPAN)
     return _with_presence(each, nodes.withColumn("type", F.explode(F.array(*[F.lit(k) for k in types]))), ["type", "node"])
+
+
+def local_count_a(edges: DataFrame, spec: WindowSpec, weighted: bool = False) -> DataFrame:
+    """directed_local_count of type A."""
+    return directed_local_count(edges, spec, weighted, [0])
+
+
+def local_count_b(edges: DataFrame, spec: WindowSpec, weighted: bool = False) -> DataFrame:
+    """directed_local_count of type B."""
+    return directed_local_count(edges, spec, weighted, [1])

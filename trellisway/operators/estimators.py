@@ -113,6 +113,21 @@ def _neighbour_lives(lives: DataFrame, window: int, directed: bool) -> DataFrame
     return lives.withColumn("e", F.explode(ends)).select("seed", "e.node", "e.other", kind.alias("dir"), F.col("t").alias("life_t"), F.col("eid").alias("life_eid"), "start", "end", "expired", F.explode(chunks).alias("chunk"))
 
 
+#: Paths through one node, in a chunk, that a task goes through.
+PATHS = 1 << 20
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The equi-join of both sides. Keys with more than `most` pairs of rows are split: each of their left rows has one of
+    several salts, and their right rows are copied to all of these; rows of other keys are not touched."""
+    count = lambda df, n: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+    salts = F.least(F.ceil(F.col("_l") * F.col("_r") / most), "_l").cast("int")
+    hot = count(left, "_l").join(count(right, "_r"), keys).where(F.col("_l") * F.col("_r") > most).select(*keys, salts.alias("_salts"))
+    given = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("_salts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
+    return left.join(hot, keys, "left").withColumn("_salt", given).drop("_salts").join(right.join(hot, keys, "left").withColumn("_salt", every).drop("_salts"), [*keys, "_salt"]).drop("_salt")
+
+
 def _closed(points: DataFrame, lives: DataFrame, window: int, directed: bool, valid: str) -> DataFrame:
     """Pairs of neighbours of both ends of a point (seed, s, d, bi, at, ...) with the same other end, both valid at the
     point by the SQL condition `valid` on {f}: as f_* and g_* columns, and the type that they close."""
@@ -125,7 +140,7 @@ def _closed(points: DataFrame, lives: DataFrame, window: int, directed: bool, va
     asked = points.withColumn("chunk", F.expr(f"at.t div {window}")).join(at("s"), ["seed", "chunk", "s"]).join(at("d"), ["seed", "chunk", "d"])
     turned = F.col("degree_d") < F.col("degree_s")
     asked = asked.withColumns({"near": F.when(turned, F.col("d")).otherwise(F.col("s")), "far": F.when(turned, F.col("s")).otherwise(F.col("d")), "turned": turned})
-    one = asked.join(side("p", "near"), ["seed", "chunk", "near"]).where(F.expr(valid.format(f="p")))
+    one = salted_join(asked, side("p", "near"), ["seed", "chunk", "near"], PATHS).where(F.expr(valid.format(f="p")))
     two = one.join(side("q", "far"), ["seed", "chunk", "far", "other"]).where(F.expr(valid.format(f="q")))
     two = two.withColumns({f"{x}_{n}": F.when(F.col("turned"), F.col(f"{no}_{n}")).otherwise(F.col(f"{yes}_{n}")) for x, yes, no in (("f", "p", "q"), ("g", "q", "p")) for n in kept})
     if not directed:

@@ -63,12 +63,27 @@ def wedge_count(frequencies: DataFrame, by: list[str]) -> DataFrame:
     return degrees(frequencies, by).groupBy(*by).agg(F.sum(F.expr("degree * (degree - 1) div 2")).alias("wedges"))
 
 
+def neighbours_of_both(pairs: DataFrame, asked: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
+    """The rows of `asked` (by..., x, y, ...) with each neighbour z that both have, its frequencies f_x and f_y, and the kept
+    columns of both pairs as x_* and y_*. The end with fewer neighbours is gone through, the other looked up by z."""
+    values = ["f", *keep]
+    either = pairs.select(*by, F.col("s").alias("node"), F.col("d").alias("z"), *values).unionByName(pairs.select(*by, F.col("d").alias("node"), F.col("s").alias("z"), *values))
+    degree = either.groupBy(*by, "node").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda c: degree.select(*by, F.col("node").alias(c), F.col("n").alias(f"_n_{c}"))
+    turned = F.col("_n_y") < F.col("_n_x")
+    sized = asked.join(of("x"), [*by, "x"]).join(of("y"), [*by, "y"]).withColumns({"_turned": turned, "_near": F.when(turned, F.col("y")).otherwise(F.col("x")), "_far": F.when(turned, F.col("x")).otherwise(F.col("y"))})
+    side = lambda p, c: either.select(*by, F.col("node").alias(c), "z", *[F.col(v).alias(f"_{p}_{v}") for v in values])
+    met = sized.join(side("p", "_near"), [*by, "_near"]).join(side("q", "_far"), [*by, "_far", "z"])
+    pick = lambda v, x, y: F.when(F.col("_turned"), F.col(f"_{x}_{v}")).otherwise(F.col(f"_{y}_{v}"))
+    out = {f"{'f_' if v == 'f' else ''}{c}{'' if v == 'f' else '_' + v}": pick(v, *("qp" if c == "x" else "pq")) for v in values for c in "xy"}
+    return met.select(*asked.columns, "z", *[v.alias(k) for k, v in out.items()])
+
+
 def common_neighbors(frequencies: DataFrame, pairs: DataFrame, by: list[str]) -> DataFrame:
     """(by..., x, y, common, weighted, nodes) of the asked pairs (by..., x, y): neighbours of both, how many, the sum of
     products of frequencies, and the sorted list. Pairs without any have zeros and an empty list."""
-    either = frequencies.select(*by, F.col("s").alias("node"), F.col("d").alias("z"), "f").unionByName(frequencies.select(*by, F.col("d").alias("node"), F.col("s").alias("z"), "f"))
-    of = lambda c: either.select(*by, F.col("node").alias(c), "z", F.col("f").alias(f"f_{c}"))
     asked = pairs.select(*by, "x", "y").distinct()
-    met = asked.join(of("x"), [*by, "x"]).join(of("y"), [*by, "y", "z"])
-    none = asked.select(*by, "x", "y", F.lit(None).cast("long").alias("z"), F.lit(0).cast("long").alias("f_x"), F.lit(0).cast("long").alias("f_y"))
+    zero = F.lit(0).cast("long")
+    met = neighbours_of_both(frequencies, asked, by, []).select(*by, "x", "y", "z", "f_x", "f_y")
+    none = asked.select(*by, "x", "y", F.lit(None).cast("long").alias("z"), zero.alias("f_x"), zero.alias("f_y"))
     return met.unionByName(none).groupBy(*by, "x", "y").agg(F.count("z").alias("common"), F.sum(F.col("f_x") * F.col("f_y")).alias("weighted"), F.sort_array(F.collect_list("z")).alias("nodes"))

@@ -343,6 +343,15 @@ SELECT seed, cp, type::INT AS type, round(coalesce(plus.n, 0) - coalesce(minus.n
 FROM runs CROSS JOIN range(7) x(type) LEFT JOIN plus USING (seed, cp, type) LEFT JOIN minus USING (seed, cp, type)"""
 
 
+#: fr: how often each pair is in the window of the last edge at or before each asked time.
+_MOMENTS_AT = f"""{_HAND_PLAIN}, asks AS (
+  SELECT DISTINCT CASE WHEN eid % 200 = 0 THEN -eid ELSE t + eid * 12345 END AS asked FROM e WHERE eid % 50 = 0
+), c AS (
+  SELECT asked, asked AS cp, max(e.t) AS now FROM asks LEFT JOIN e ON e.t <= asked GROUP BY asked
+), fr AS (
+  SELECT cp, s, d, count(*) AS f FROM c JOIN e ON e.t <= now AND e.t >= now - {HAND.window} GROUP BY ALL
+)"""
+
 ORACLES: dict[str, str] = {
     "read_edges": f"WITH {_CO_RAW} SELECT s, d, t, count(*) AS n FROM co_raw GROUP BY ALL",
     "read_edges_directed": f"WITH {_HAND_RAW} SELECT s, d, t, bi, count(*) AS n FROM hand_raw GROUP BY ALL",
@@ -382,6 +391,10 @@ FROM (SELECT cp, unnest([a, b, c]) AS node, {w} AS w FROM tri UNION ALL SELECT c
     "edge_triangle_count": f"""WITH {_CO_WIN}, {_FREQ}, {_TRI} SELECT cp, p[1] AS s, p[2] AS d, sum(w)::BIGINT AS triangles
 FROM (SELECT cp, unnest([[a, b], [a, c], [b, c]]) AS p, 1 AS w FROM tri UNION ALL SELECT cp, [s, d], 0 FROM fr) GROUP BY ALL""",
     "wedge_count": f"WITH {_CO_WIN}, {_FREQ} SELECT cp, sum(n * (n - 1) // 2)::BIGINT AS wedges FROM (SELECT cp, node, count(*) AS n FROM (SELECT cp, unnest([s, d]) AS node FROM fr) GROUP BY ALL) GROUP BY cp",
+    "counts_at_moments": f"""WITH {_MOMENTS_AT}, {_TRI}
+SELECT asked, any_value(now) AS t, coalesce(any_value(instances), 0)::BIGINT AS instances, coalesce(any_value(pairs), 0)::BIGINT AS distinct_edges, coalesce(sum(w), 0)::BIGINT AS triangles
+FROM c LEFT JOIN (SELECT cp, sum(f) AS instances, count(*) AS pairs FROM fr GROUP BY cp) USING (cp) LEFT JOIN (SELECT cp, sum(w) AS w FROM tri GROUP BY cp) USING (cp) GROUP BY asked""",
+    "pairs_at_moments": f"WITH {_MOMENTS_AT} SELECT cp AS asked, s, d, f FROM fr",
     "common_neighbors": f"""WITH {_CO_WIN}, {_FREQ}, nb AS (SELECT cp, s AS node, d AS z, f FROM fr UNION ALL SELECT cp, d, s, f FROM fr)
 SELECT q.cp, q.s AS x, q.d AS y, count(b.z) AS common, coalesce(sum(a.f * b.f), 0)::BIGINT AS weighted, coalesce(string_agg(b.z::VARCHAR, ',' ORDER BY b.z), '') AS nodes
 FROM fr q LEFT JOIN (nb a JOIN nb b ON a.cp = b.cp AND a.z = b.z) ON a.cp = q.cp AND a.node = q.s AND b.node = q.d GROUP BY ALL""",

@@ -11,10 +11,10 @@ from trellisway.functions.materialize import stored
 from trellisway.operators import changes as ch
 from trellisway.operators import directed as dg
 from trellisway.operators import estimators as es
+from trellisway.operators import moments as mo
 from trellisway.operators import prepare as pr
 from trellisway.operators import sampling as sm
 from trellisway.operators import scoring as sc
-from trellisway.operators import triangles as tr
 from trellisway.operators import window as wd
 from trellisway.sources import edges as src
 from trellisway.streaming import batches, deltas, jobs
@@ -107,11 +107,30 @@ def adjacency_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def common_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    freq = co_freq(spark, d)
-    out = tr.common_neighbors(freq, freq.select("cp", F.col("s").alias("x"), F.col("d").alias("y")), CP)
+    out = ch.common_neighbors(co_kept(spark, d), CO)
     return out.select("cp", "x", "y", "common", "weighted", F.concat_ws(",", F.transform("nodes", lambda v: v.cast("string"))).alias("nodes"))
 
 
+MOMENT = 12_345  # seconds
+
+
+def _asked(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """The log of the edges' window, and times at which no edge need arrive, some before the first and after the last one."""
+    edges = stored(hand_undirected(spark, d))
+    path = batches.new_folder(spark, "moments")
+    mo.write_moments(edges, HAND.window, path)
+    at = F.when(F.col("eid") % 200 == 0, -F.col("eid")).otherwise(F.col("t") + F.col("eid") * MOMENT)
+    return path, edges.where("eid % 50 = 0").select(at.alias("asked")).distinct()
+
+
+def counts_at_moments(spark: SparkSession, d: str) -> DataFrame:
+    return mo.counts_at(*_asked(spark, d))
+
+
+def pairs_at_moments(spark: SparkSession, d: str) -> DataFrame:
+    return mo.pairs_at(*_asked(spark, d))
+
+
 def window_spec(spark: SparkSession, d: str) -> DataFrame:
     edges = co(spark, d)
     unit = pr.mean_time_span(edges)
@@ -300,16 +319,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "local_triangle_count": lambda s, d: ch.local_triangle_count(co_kept(s, d), CO),
     "local_triangle_count_weighted": lambda s, d: ch.local_triangle_count(co_kept(s, d), CO, weighted=True),
     "edge_triangle_count": lambda s, d: ch.edge_triangle_count(co_kept(s, d), CO),
-    "wedge_count": lambda s, d: tr.wedge_count(co_freq(s, d), CP),
+    "wedge_count": lambda s, d: ch.wedge_count(co_kept(s, d), CO),
+    "counts_at_moments": counts_at_moments,
+    "pairs_at_moments": pairs_at_moments,
     "common_neighbors": common_neighbors,
     "directed_triangle_count": lambda s, d: ch.directed_triangle_count(hand(s, d), HAND),
     "directed_triangle_count_weighted": lambda s, d: ch.directed_triangle_count(hand(s, d), HAND, weighted=True),
     "directed_local_count": lambda s, d: ch.directed_local_count(hand(s, d), HAND),
     "directed_local_count_weighted": lambda s, d: ch.directed_local_count(hand(s, d), HAND, weighted=True),
-    "local_count_a": lambda s, d: dg.local_count_a(hand_freq(s, d), CP),
-    "local_count_a_weighted": lambda s, d: dg.local_count_a(hand_freq(s, d), CP, weighted=True),
-    "local_count_b": lambda s, d: dg.local_count_b(hand_freq(s, d), CP),
-    "local_count_b_weighted": lambda s, d: dg.local_count_b(hand_freq(s, d), CP, weighted=True),
+    "local_count_a": lambda s, d: ch.local_count_a(hand(s, d), HAND),
+    "local_count_a_weighted": lambda s, d: ch.local_count_a(hand(s, d), HAND, weighted=True),
+    "local_count_b": lambda s, d: ch.local_count_b(hand(s, d), HAND),
+    "local_count_b_weighted": lambda s, d: ch.local_count_b(hand(s, d), HAND, weighted=True),
     "triangle_census": lambda s, d: ch.triangle_census(hand(s, d), HAND),
     # samples
     "bernoulli_edges": lambda s, d: sm.bernoulli_edges(co_seeds(s, d), P).select("seed", "eid", "t", "s", "d"),
