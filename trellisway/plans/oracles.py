@@ -425,6 +425,7 @@ FROM (SELECT seed, cp, unnest([a, b, c]) AS node, w FROM tri UNION ALL SELECT se
 FROM c CROSS JOIN (SELECT DISTINCT seed FROM se) LEFT JOIN pz USING (seed, cp) LEFT JOIN (SELECT seed, cp, sum(w)::DOUBLE AS w FROM tri WHERE a = 1 OR b = 1 OR c = 1 GROUP BY ALL) USING (seed, cp)""",
     "slice_index": f"WITH {_CO} SELECT eid, ceil(t / {CO.window // SLICES}.0)::BIGINT - 1 AS slice FROM e",
     "sample_lifetimes": f"""WITH {_lives(_HAND_PLAIN, HAND_SAMPLE)} SELECT seed, grp, slot, priority, t, eid, begun[1] AS start_t, begun[2] AS start_eid, ended[1] AS end_t, ended[2] AS end_eid, expired FROM life""",
+    "stream_sample_lifetimes": f"""WITH {_lives(_HAND_PLAIN, HAND_SAMPLE)} SELECT seed, grp, slot, priority, t, eid, begun[1] AS start_t, begun[2] AS start_eid, ended[1] AS end_t, ended[2] AS end_eid, expired FROM life""",
     "arrival_triangles": f"WITH {_lives(_HAND_PLAIN, HAND_SAMPLE)}, {_ARRIVAL} SELECT seed, t, eid, oldest, count(*) AS triangles FROM arr GROUP BY ALL",
     "expired_triangles": f"WITH {_lives(_HAND_PLAIN, HAND_SAMPLE)}, {_ENDS}, {_GONE} SELECT seed, t, eid, ended[1] AS at_t, ended[2] AS at_eid, count(*) AS triangles FROM gone GROUP BY ALL",
     "pair_probability": f"{_CHANCES} SELECT seed, t, eid, n, round(edges, 6) AS edges, round(inc, 6) AS inc FROM chance",

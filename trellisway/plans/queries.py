@@ -18,6 +18,7 @@ from trellisway.operators import scoring as sc
 from trellisway.operators import window as wd
 from trellisway.sources import edges as src
 from trellisway.streaming import batches, deltas, jobs
+from trellisway.streaming import lives as lv
 
 CO = pr.WindowSpec(360, 36)  # days
 HAND = pr.WindowSpec(432_000, 43_200)  # seconds
@@ -273,15 +274,28 @@ def stream_priority_sample(spark: SparkSession, d: str) -> DataFrame:
     return jobs.sample_from_states(states, edges.agg(F.max("t")).first()[0] or 0, HAND_SAMPLE)
 
 
+def stream_sample_lifetimes(spark: SparkSession, d: str) -> DataFrame:
+    """Lives from a stream's events; a row of the far future lets all timers run out."""
+    edges = stored(hand_undirected(spark, d).select("eid", "t", "s", "d"))
+    stream = _stream(spark, edges.unionByName(_far_future(edges)), files=12)
+    events = jobs.run_through(lv.stream_life_events(stream, HAND_SAMPLE, SEEDS), spark, conf=lv.STORE)
+    lives = lv.lives_of_events(events, edges, HAND_SAMPLE)
+    return lives.select("seed", "grp", "slot", "priority", "t", "eid", F.col("start.t").alias("start_t"), F.col("start.eid").alias("start_eid"), F.col("end.t").alias("end_t"), F.col("end.eid").alias("end_eid"), "expired")
+
+
 def stream_bernoulli(spark: SparkSession, d: str) -> DataFrame:
     return jobs.run_through(jobs.stream_bernoulli(_stream(spark, hand_undirected(spark, d)), P, 0), spark).select("eid", "t", "s", "d")
 
 
+def _far_future(edges: DataFrame) -> DataFrame:
+    """A row after all windows of these edges."""
+    return edges.agg((F.max("t") + 10 * HAND.window).alias("t")).select(F.lit(-1).cast("long").alias("eid"), "t", F.lit(-1).cast("long").alias("s"), F.lit(-1).cast("long").alias("d"))
+
+
 def stream_window_stats(spark: SparkSession, d: str) -> DataFrame:
     """Windows that the last watermark has closed; a row of the far future closes the others."""
     edges = hand_undirected(spark, d).select("eid", "t", "s", "d")
-    last = edges.agg((F.max("t") + 10 * HAND.window).alias("t")).select(F.lit(-1).cast("long").alias("eid"), "t", F.lit(-1).cast("long").alias("s"), F.lit(-1).cast("long").alias("d"))
-    stream = _stream(spark, edges.unionByName(last), files=12).withColumn("ts", F.timestamp_seconds("t"))
+    stream = _stream(spark, edges.unionByName(_far_future(edges)), files=12).withColumn("ts", F.timestamp_seconds("t"))
     out = jobs.run_through(jobs.stream_window_stats(stream, "5 days", "12 hours", "1 hour"), spark)
     return out.select(F.unix_timestamp("from_ts").alias("from_t"), F.unix_timestamp("to_ts").alias("to_t"), "instances")
 
@@ -371,6 +385,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_cbs_estimate": stream_cbs_estimate,
     "stream_late_swtc_estimate": stream_late_swtc_estimate,
     "stream_priority_sample": stream_priority_sample,
+    "stream_sample_lifetimes": stream_sample_lifetimes,
     "stream_bernoulli": stream_bernoulli,
     "stream_window_stats": stream_window_stats,
 }

@@ -22,10 +22,15 @@ def read_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def run_through(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
-    """All rows that a stream gives for what its source holds now, through files."""
+def run_through(stream: DataFrame, spark: SparkSession, mode: str = "append", conf: dict[str, str] | None = None) -> DataFrame:
+    """All rows that a stream gives for what its source holds now, through files. `conf` holds for this query alone."""
     folder = new_folder(spark, "stream")
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    for k, v in before.items():  # a started query has its own copy
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
