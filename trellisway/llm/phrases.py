@@ -34,7 +34,7 @@ from trellisway.llm.common import WORD_BASES, checkpointed, discard, inverse, me
 MOST_BITS = 1 << 27
 BLOCK = 1 << 20
 #: Bytes of texts whose phrases are looked at together.
-_BATCH = 1 << 23
+_BATCH = 1 << 21
 
 _CUT = np.zeros(256, bool)
 _CUT[[10, 11, 12, 13, *b".,;:!?"]] = True
@@ -55,8 +55,8 @@ class Phrases:
         self.data = _LOWER[np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n", np.uint8)]
         edge = np.diff(np.concatenate([[True], _APART[self.data]]).astype(np.int8))
         self.start, self.end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        self.piece = np.cumsum(_CUT[self.data], dtype=np.int64)[self.start]
-        self.doc = np.searchsorted(np.cumsum([len(t or b"") + 1 for t in texts]), self.start, side="right")
+        self.piece = np.searchsorted(np.flatnonzero(_CUT[self.data]), self.start).astype(np.int32)
+        self.doc = np.searchsorted(np.cumsum([len(t or b"") + 1 for t in texts]), self.start, side="right").astype(np.int32)
         self.hash = spellings(self.data, self.start, self.end)
         known = {x: _language(x) for x in set(languages)}
         self.language = np.array([known[x] for x in languages], np.uint64)[self.doc] if languages else np.zeros(0, np.uint64)
