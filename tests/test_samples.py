@@ -16,7 +16,6 @@ from trellisway.operators import scoring as sc
 from trellisway.operators import triangles as tr
 from trellisway.operators import window as wd
 from trellisway.sources import edges as src
-from trellisway.streaming import jobs
 
 W, STEP = 40, 10
 SPEC = sm.SampleSpec(W, 3, 8)
@@ -186,19 +185,6 @@ def test_scores(spark):
     assert (round(run.avg_error, 9), run.max_error, run.undefined) == (0.175, 0.25, 1)
 
 
-def test_stream_equals_batch(spark, stream):
-    edges = stream.select("eid", "t", "s", "d")
-    folder = jobs.new_folder(spark, "source")
-    last = edges.agg(F.max("t")).first()[0]
-    for k in range(3):
-        edges.where(F.expr(f"least(t * 3 div {last}, 2) = {k}")).coalesce(1).write.mode("append").parquet(folder)
-    out = jobs.new_folder(spark, "exact")
-    jobs.stream_exact_counts(jobs.read_stream(spark, folder), WSPEC, out).awaitTermination()
-    points = pr.checkpoints(edges, STEP)
-    exact = points.join(tr.triangle_count(wd.edge_frequencies(wd.window_edges(edges, WSPEC), ["cp"]), ["cp"], True, points), "cp")
-    assert {(r.bucket, r.triangles) for r in spark.read.parquet(f"{out}/counts").collect()} == {(r.bucket, r.triangles) for r in exact.collect()}
-
-
 def test_arrival_ids_differ_at_any_number_of_copies(spark, tmp_path):
     lines = [(ok, line, 10 * line + k, date(1995, 1, 2)) for ok in (1, 2, 9000) for line, n in ((1, 1), (2, 40), (3, 1), (9, 2), (10, 1)) for k in range(n)]
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")

@@ -26,12 +26,12 @@ def read_edges(spark: SparkSession, path: str, directed: bool = False, format: s
     else:
         edges = spark.read.format(format).load(path)
     columns = ["s", "d", "t", *["bi"] * (directed and "bi" in edges.columns)]
-    rows = edges.select("eid", *columns) if "eid" in edges.columns else numbered(edges.select(*columns, *PLACE).dropna(subset=["s", "d", "t"]))
+    rows = edges.select("eid", *columns) if "eid" in edges.columns else numbered(edges.selectExpr(*columns, *PLACE).dropna(subset=["s", "d", "t"]))
     return rows.withColumn("bi", F.lit(False)) if directed and "bi" not in columns else rows
 
 
 #: Where a row of a file source comes from: its file, and the part of it that a task reads in one go.
-PLACE = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+PLACE = ["_metadata.file_path AS _file", "_metadata.file_block_start AS _block"]
 
 
 def numbered(rows: DataFrame, first: int = 0) -> DataFrame:
@@ -50,7 +50,7 @@ def numbered(rows: DataFrame, first: int = 0) -> DataFrame:
 def read_edge_stream(spark: SparkSession, path: str) -> DataFrame:
     """(s, d, t) and the place of each line `s d l t` of files that arrive in a folder, a file a batch; jobs number them."""
     lines = spark.readStream.schema(TEXT_SCHEMA).option("sep", " ").option("maxFilesPerTrigger", 1).csv(path)
-    return lines.select("s", "d", "t", *PLACE).dropna(subset=["s", "d", "t"])
+    return lines.selectExpr("s", "d", "t", *PLACE).dropna(subset=["s", "d", "t"])
 
 
 def write_edges(edges: DataFrame, path: str, mode: str = "errorifexists") -> None:

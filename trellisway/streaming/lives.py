@@ -118,7 +118,8 @@ class _Lives(StatefulProcessor):
         yield from self._moved(key, move)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1
+        # all that is due, not only this timer: one that is set for a time gone by waits for the next batch
+        now = timerValues.getCurrentWatermarkInMs() // 1000 - 1
         yield from self._moved(key, lambda place: place.until(now))
 
     def close(self) -> None:
