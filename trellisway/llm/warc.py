@@ -121,17 +121,26 @@ def write_archives(rows: DataFrame, path: str, segment_bytes: int = 1 << 18, chu
     lines.option("compression", "none").option("maxRecordsPerFile", records_per_file).text(path)
 
 
+_PIECE = 1 << 14
+
+
 def _inflated(data: bytes) -> Iterator[bytes]:
     """The content of gzip members that follow one another, or of a plain file, in pieces."""
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    while data:
-        member = zlib.decompressobj(31)
-        yield member.decompress(data, 1 << 22)
-        while not member.eof and member.unconsumed_tail:
-            yield member.decompress(member.unconsumed_tail, 1 << 22)
-        data = member.unused_data
+    at, member = 0, zlib.decompressobj(31)
+    while at < len(data):
+        # a bounded piece at a time: what a member leaves of it is copied, and not all that follows in the file
+        piece = data[at : at + _PIECE]
+        at += len(piece)
+        while piece:
+            yield member.decompress(piece, 1 << 22)
+            while not member.eof and member.unconsumed_tail:
+                yield member.decompress(member.unconsumed_tail, 1 << 22)
+            piece = b""
+            if member.eof:
+                piece, member = member.unused_data, zlib.decompressobj(31)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
