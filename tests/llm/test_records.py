@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -173,3 +174,15 @@ def test_pipeline_stages(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, folder).collect()
     assert {r.doc_id for r in packed} == set(after["decontamination"])
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, folder).collect()) == Counter(r.doc_id for r in packed)
+
+
+def test_members_are_read_in_time_in_proportion_to_their_number():
+    """Twice the members of a file take about twice the time, however much follows each of them."""
+
+    def seconds(n):
+        data = b"".join(warc.member(r) for k in range(n) for r in warc.records(str(k), "u", bytes(random.Random(k).randbytes(20_000)), "response", None, f"<r{k}>", 1 << 18, 1 << 13, "d"))
+        began = time.process_time()
+        assert sum(1 for _ in warc.parse(data)) == n
+        return time.process_time() - began
+
+    assert min(seconds(4000) for _ in range(2)) < 3.2 * max(0.05, min(seconds(2000) for _ in range(3)))

@@ -210,6 +210,41 @@ def test_restoring_obfuscated_words():
     assert set(spaced.hashes[0][spaced.doc == 4]) & set(spaced.hashes[0][spaced.doc == 0])
 
 
+def test_words_spelled_out_one_after_another():
+    clean = "you are a stupid idiot and a pathetic moron the worthless scum is trash " * 40
+    codes = np.array([tx._ID.get(c, 0) for c in clean])
+    counts = np.zeros((tx.K,) * 3)
+    np.add.at(counts, (codes[:-2], codes[1:-1], codes[2:]), 1)
+    lm = tx.language_model(counts)
+    hashes = lambda text: set(tx.Restored([text], lm, {}).hashes[0].tolist())
+    for text in ("y o u i d i o t", "y.o.u.i.d.i.o.t", "y-o-u-1-d-1-0-t", "a s t u p i d i d i o t", "you-1d10t", " ".join("youare" * 20 + "youidiot" + "youare" * 20)):
+        assert hashes("idiot") <= hashes(f"so {text} yes"), text
+    assert hashes("stupid") <= hashes("a s t u p i d i d i o t")
+
+
+def test_search_with_boundaries_equals_all_paths():
+    rng, gen = random.Random(19), np.random.default_rng(19)
+    lm = tx.language_model(gen.integers(0, 50, (tx.K,) * 3) * (gen.random((tx.K,) * 3) < 0.1))
+    for _ in range(80):
+        token = "".join(rng.choice("abl1.- ") for _ in range(rng.randrange(1, 7))) + rng.choice("ab3")
+        every = [("", 0, 0, 0.0)]
+        for k in range(len(token)):
+            step = []
+            for text, a, b, s in every:
+                for x, cost in tx.choices(token, k, True):
+                    if x == " " and b == 0:
+                        continue
+                    i = tx._ID.get(x, 0)
+                    step.append((text + x, b, i, s + cost + float(lm[a, b, i])) if x else (text, a, b, s + cost))
+            every = step
+        paths = defaultdict(lambda: -np.inf)
+        for text, a, b, s in every:
+            paths[text] = max(paths[text], s + (float(lm[a, b, 0]) if b or not a else 0.0))
+        sought = [t for _, t in sorted(((s, t) for t, s in paths.items()), key=lambda p: -p[0]) if t][:3]
+        got = tx.restore(token, lm, apart=True)
+        assert np.allclose([paths[t] for t in got], [paths[t] for t in sought]), (token, got, sought)
+
+
 def test_every_sign_of_the_channel_makes_a_token_suspicious():
     clean = "you are a stupid idiot and a loser with an ass the worthless scum is trash él es añññejo " * 40
     codes = np.array([tx._ID.get(c, 0) for c in clean])
@@ -261,6 +296,7 @@ def plain_score(text, model):
         run = "".join(run) if one else ""
         if len(run) >= 3:
             found += [x for part in dict.fromkeys((run, run[1:], run[:-1])) if tx._PIECES.search(part) for x in tx.restore(part, model["lm"])]
+            found += tx.words_apart(" ".join(run), model["lm"])
     weights = [best(w) for w in found]
     return 1 / (1 + np.exp(-np.clip(np.array([max(weights, default=0.0), np.log1p(sum(weights)), 1]) @ model["fit"], -30, 30)))
 

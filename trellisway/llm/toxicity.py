@@ -3,7 +3,8 @@
 A character language model (trigrams, counted over every document) and a channel of
 leetspeak, separators and repeated letters give each suspicious token a lattice of
 spellings; Viterbi search with a few best strings for each state restores it, in overlapping
-pieces where a token is longer than any word. The restored text's words and word beginnings are scored with weights learned from labels.
+pieces where a token is longer than any word. Separators, and the spaces of words that are spelled
+out, may also be boundaries of words, as the model sees fit. The restored text's words and word beginnings are scored with weights learned from labels.
 
 Rounds, each a scan of the texts without a shuffle of them:
 1. trigram counts of all texts (a table bounded by the alphabet cubed);
@@ -50,7 +51,7 @@ _ID = {c: i for i, c in enumerate(LETTERS, 1)}
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "gq", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "¢": "c", "§": "s", "µ": "u"}
 WILD = "*#"
 SEPARATORS = ".-_~*'`,:;=^​­"
-SUBSTITUTED, DELETED, COLLAPSED, ANY = -1.0, -0.7, -0.5, -3.5
+SUBSTITUTED, DELETED, COLLAPSED, ANY, APART = -1.0, -0.7, -0.5, -3.5, -1.5
 
 _CHANNEL = frozenset("".join(LEET) + WILD + SEPARATORS)
 
@@ -122,8 +123,9 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- the lattice
 
 
-def choices(token: str, k: int) -> list[tuple[str, float]]:
-    """What the character may have been, with the channel's cost; '' for nothing."""
+def choices(token: str, k: int, apart: bool = False) -> list[tuple[str, float]]:
+    """What the character may have been, with the channel's cost; '' for nothing. With `apart` a separator, or a space of
+    words that were spelled out, may also have been the boundary of two words, ' '."""
     c = token[k]
     if c in _ID:
         out = [(c, 0.0)]
@@ -135,6 +137,8 @@ def choices(token: str, k: int) -> list[tuple[str, float]]:
         out += [(x, ANY) for x in LETTERS[:26]]
     if c in SEPARATORS or not out:
         out.append(("", DELETED))
+        if apart:
+            out.append((" ", APART))
     elif k and token[k - 1] == c:
         out.append(("", COLLAPSED))
     return out
@@ -147,8 +151,8 @@ class Lattice:
     """Viterbi search under one language model. Beginnings of tokens and runs of one wild sign at their ends are kept, as
     many tokens have them in common."""
 
-    def __init__(self, lm: np.ndarray, best: int):
-        self.lm, self.best = lm, best
+    def __init__(self, lm: np.ndarray, best: int, apart: bool = False):
+        self.lm, self.best, self.apart = lm, best, apart
         self.begun: dict[str, dict[tuple[int, int], _Paths]] = {}
         self.ended: dict[tuple[str, int, int, int], _Paths] = {}
         scores = np.full((K, K, best), -np.inf)
@@ -165,11 +169,12 @@ class Lattice:
         for k in range(known, len(token)):
             after: dict[tuple[int, int], _Paths] = self.any_letter(states) if token[k] in WILD else {}
             for (a, b), paths in states.items():
-                for x, cost in choices(token, k):
-                    if cost == ANY:
+                for x, cost in choices(token, k, self.apart):
+                    if cost == ANY or (x == " " and b == 0):  # no word between two boundaries
                         continue
-                    key = (b, _ID[x]) if x else (a, b)
-                    step = cost + (float(lm[a, b, _ID[x]]) if x else 0.0)
+                    i = _ID.get(x, 0)
+                    key = (b, i) if x else (a, b)
+                    step = cost + (float(lm[a, b, i]) if x else 0.0)
                     after.setdefault(key, []).extend((s + step, text + x) for s, text in paths)
             states = {key: [(s, t) for t, s in sorted(dict((t, s) for s, t in sorted(paths)).items(), key=lambda p: (-p[1], p[0]))[:best]] if len(paths) > 1 else paths for key, paths in after.items()}
             if k < 6 and token[0] in WILD:
@@ -228,18 +233,24 @@ class Lattice:
         if head != token:
             ends = [(s + e, t + x) for (a, b), paths in states.items() for e, x in self.ends(token[-1], len(token) - len(head), a, b) for s, t in paths]
         else:
-            ends = [(s + float(self.lm[a, b, 0]), t) for (a, b), paths in states.items() for s, t in paths]
+            ends = [(s + (float(self.lm[a, b, 0]) if b or not a else 0.0), t) for (a, b), paths in states.items() for s, t in paths]
         return list(dict.fromkeys(t for _, t in sorted(ends, key=lambda p: (-p[0], p[1])) if t))[: self.best]
 
 
 _LATTICES: list[Lattice] = []
 
 
-def restore(token: str, lm: np.ndarray, best: int = 3) -> list[str]:
-    """The likeliest spellings of an obfuscated token, best first."""
+def restore(token: str, lm: np.ndarray, best: int = 3, apart: bool = False) -> list[str]:
+    """The likeliest spellings of an obfuscated token, best first; with `apart` of the words that it may be, by spaces."""
     if not _LATTICES or _LATTICES[0].lm is not lm or _LATTICES[0].best != best:
-        _LATTICES[:] = [Lattice(lm, best)]
-    return _LATTICES[0].restore(token)
+        _LATTICES[:] = [Lattice(lm, best), Lattice(lm, best, True)]
+    return _LATTICES[apart].restore(token)
+
+
+def words_apart(token: str, lm: np.ndarray) -> list[str]:
+    """The words, if more than one, of the likeliest readings of a token in which separators or spaces may part words."""
+    found = [t.split() for t in restore(token, lm, apart=True)] if _PIECES.search(token) else []
+    return list(dict.fromkeys(w for words in found if len(words) > 1 for w in words if len(w) > 2))
 
 
 _STRIPPED = "".join(c for c in SEPARATORS if c not in WILD)
@@ -265,6 +276,8 @@ def readings(token: str, lm: np.ndarray) -> list[str]:
         if _PIECES.search(part):
             for spelling in dict.fromkeys((part, part if part[-1] in _ID else part[:-1], part.rstrip(_STRIPPED + "!"), part.strip(_STRIPPED + "!(|"))):  # signs that may be punctuation
                 out += restore(spelling, lm)
+            if any(c in SEPARATORS for c in part):
+                out += words_apart(part, lm)
     return list(dict.fromkeys(out))
 
 
@@ -338,6 +351,10 @@ class Restored:
                     if token not in known:
                         known[token] = restore(token, lm) if _PIECES.search(token) else []
                     out += [(d, x) for x in known[token]]
+                for token in pieces(" ".join(run)):  # several words that were spelled out one after another
+                    if token not in known:
+                        known[token] = words_apart(token.strip(), lm)
+                    out += [(d, x) for x in known[token]]
         return out
 
     def statistics(self, features: np.ndarray, weights: np.ndarray) -> np.ndarray:
