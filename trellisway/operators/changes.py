@@ -4,7 +4,10 @@ No edge is copied to the checkpoints that see it. A pair's number of instances i
 spans of checkpoints; three pairs' spans that overlap make a triangle over the overlap, found
 once; and a count is a running sum of what comes and goes. A span is no longer than an edge's
 life, so the join looks inside chunks of that many checkpoints, each span being in two at most.
-Inside a chunk pairs are turned from the end with fewer spans, so hubs make few paths."""
+Inside a chunk pairs are turned from the end with fewer spans, so hubs make few paths.
+
+Spans and the table of steps are stored while a plan is made: calling a function of this module runs jobs. Inside
+materialize.temporary_tables() they go at its end."""
 
 from __future__ import annotations
 
@@ -148,7 +151,7 @@ def triangle_count(edges: DataFrame, spec: WindowSpec, weighted: bool = False, b
     changes = found.select(*by, F.explode(_both_ends(_weight(weighted))).alias("x")).groupBy(*by, "x.cp").agg(F.sum("x.by").alias("triangles"))
     every = points.select("cp")
     if by:
-        every = every.crossJoin(F.broadcast(edges.select(*by).distinct()))
+        every = every.crossJoin(edges.select(*by).distinct())
     return _at_points(changes, every, by, ["triangles"])
 
 
