@@ -38,6 +38,8 @@ _PLACE = (1 << 32) - 1
 REMEMBERED = 3 << 17
 #: Words of more bytes are merged by themselves: trees of one width stand side by side.
 _ONE_BY_ONE = 256
+#: Bytes of texts of which the words are held together.
+_BATCH = 1 << 21
 #: Characters or words that are looked at in one go.
 _LONG = 1 << 20
 
@@ -300,7 +302,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", prefix: str = "bpe_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path, special)
-        for part in slices(batches, text):
+        for part in slices(batches, text, _BATCH):
             ids = bpe.encode([t or "" for t in part.column(text).to_pylist()])
             counts = np.array([len(x) // 4 for x in ids], np.int64)
             if packed:
