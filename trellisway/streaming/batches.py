@@ -29,11 +29,6 @@ def write_part(df: DataFrame, path: str, *parts: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
-def _last(spark: SparkSession, path: str, schema: str, number: int):
-    """The one row that a batch has left, or null before the first."""
-    return spark.read.schema(schema).parquet(f"{path}/{number}").first() if number >= 0 else None
-
-
 def keep_row(spark: SparkSession, path: str, schema: str, number: int, row: tuple) -> None:
     """The state of a batch that is a row; that of the batch before stays for a second run, older ones go."""
     spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/{number}")
@@ -41,7 +36,8 @@ def keep_row(spark: SparkSession, path: str, schema: str, number: int, row: tupl
 
 
 def kept_row(spark: SparkSession, path: str, schema: str, number: int):
-    return _last(spark, path, schema, number - 1)
+    """The row that the batch before has left; null before the first."""
+    return spark.read.schema(schema).parquet(f"{path}/{number - 1}").first() if number else None
 
 
 def run_in_order(stream: DataFrame, step: Callable[[SparkSession, DataFrame, int], None], folder: str, late: int | None = None) -> StreamingQuery:
