@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trellisway.llm.common import Words, mix64, no_clash, slices, spellings
+from trellisway.llm.common import Words, mix64, no_clash, release_memory, slices, spellings
 
 # The letters of the model, after the boundary, which is 0.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâäçèéêëíîïñóôöùúûüœæ"
@@ -164,8 +164,10 @@ class Lattice:
         known = max((k for k in (len(token), 2, 3, 4, 5, 6) if token[:k] in self.begun and k <= len(token)), default=0)
         states: dict[tuple[int, int], _Paths] = self.begun[token[:known]] if known else {(0, 0): [(0.0, "")]}
         lm, best = self.lm, self.best
-        if len(self.begun) > 2_000:
+        if len(self.begun) > 500:
             self.begun.clear()
+        if len(self.ended) > 20_000:
+            self.ended.clear()
         for k in range(known, len(token)):
             after: dict[tuple[int, int], _Paths] = self.any_letter(states) if token[k] in WILD else {}
             for (a, b), paths in states.items():
@@ -375,9 +377,13 @@ class Restored:
 def _restored_batches(batches: Iterator[pa.RecordBatch], lm: np.ndarray, column: str) -> Iterator[tuple[pa.RecordBatch, Restored]]:
     known: dict[str, list[str]] = {}
     for batch in slices(batches, column, 1 << 20):  # the arrays of words take many times as much
-        if len(known) > 200_000:
+        if len(known) > 50_000:
             known.clear()
         yield batch, Restored(batch.column(batch.schema.get_field_index(column)).to_pylist(), lm, known)
+    # workers live on, beside those of later stages
+    known.clear()
+    _LATTICES.clear()
+    release_memory()
 
 
 # ---------------------------------------------------------------- learning and scoring
