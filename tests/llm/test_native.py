@@ -10,8 +10,10 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from tests.compare import differs
 from trellisway.llm import decontamination as dc
 from trellisway.llm import licenses as lc
+from trellisway.llm import queries
 from trellisway.llm import sharding as sh
 from trellisway.llm import url_filters as uf
 
@@ -95,9 +97,10 @@ def _plain_overlaps(docs, items):
         v = (item or "").lower().split()
         for d, text in docs:
             w = (text or "").lower().split()
-            ends = [q for p in range(len(v) - 12) for q in range(len(w) - 12) if sum(a == b for a, b in zip(v[p : p + 13], w[q : q + 13], strict=True)) >= 11]
+            n, kept = (13, 11) if len(v) >= 13 else (len(v), len(v))  # short items are held whole
+            ends = [q for p in range(len(v) - n + 1) for q in range(len(w) - n + 1) if n and sum(a == b for a, b in zip(v[p : p + n], w[q : q + n], strict=True)) >= kept]
             if ends:
-                out[d, i] = (min(ends), max(ends) + 13)
+                out[d, i] = (min(ends), max(ends) + n)
     return out
 
 
@@ -105,7 +108,7 @@ def _plain_overlaps(docs, items):
 def test_decontamination_is_that_of_brute_force(spark, bound):
     rng = random.Random(2)
     words = [f"w{k}" for k in range(40)]
-    items = [(k, " ".join(rng.choices(words, k=rng.randrange(10, 40)))) for k in range(12)] + [(20, None), (21, ""), (22, "w1 " * 12)]
+    items = [(k, " ".join(rng.choices(words, k=rng.randrange(10, 40)))) for k in range(12)] + [(20, None), (21, ""), (22, "w1 " * 12), (23, "w3"), (24, "W4 w5"), (25, "w4\tw5"), (26, " \n ")]
     docs = []
     for k in range(60):
         w = rng.choices(words, k=rng.randrange(0, 60))
@@ -114,7 +117,7 @@ def test_decontamination_is_that_of_brute_force(spark, bound):
             part[rng.randrange(len(part))] = "changed"
         at = rng.randrange(len(w) + 1)
         docs.append((k, " \n".join(w[:at] + part + w[at:]).upper() if k % 3 else " ".join(w)))
-    docs += [(100, None), (101, ""), (102, " ".join(words * 40) + " " + items[0][1] + " " + " ".join(words * 40))]
+    docs += [(103, "w1 " * 13), (104, "w1 " * 11), (105, "w3"), (106, "w5 w4"), (107, "w4 w5"), (100, None), (101, ""), (102, " ".join(words * 40) + " " + items[0][1] + " " + " ".join(words * 40))]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"item": F.lit(0), "words": F.lit("x"), "seed": F.lit(1)})
     b = spark.createDataFrame(items, "item_id long, text string")
     expected = _plain_overlaps(docs, items)
@@ -127,6 +130,30 @@ def test_decontamination_is_that_of_brute_force(spark, bound):
     assert dc.overlaps(d.limit(0), b).count() == 0 and dc.decontaminated(d, b.limit(0)).count() == len(docs)
 
 
+@pytest.mark.parametrize("bound", [200_000, 0])
+@pytest.mark.parametrize("chunk", [1, 512])
+def test_short_items_are_held_whole(spark, bound, chunk):
+    rng = random.Random(5)
+    items = [(k, " ".join(rng.choices("abc", k=k))) for k in range(1, 16)] + [(1, "a b")]  # an id may have two texts
+    docs = [(k, " ".join(rng.choices("abc", k=rng.randrange(0, 80))) + " " + items[k % 15][1]) for k in range(40)]
+    expected = {}
+    for (doc, item), (lo, hi) in [x for row in items for x in _plain_overlaps(docs, [row]).items()]:
+        a, b = expected.get((doc, item), (lo, hi))
+        expected[doc, item] = (min(a, lo), max(b, hi))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.id, r.item): (r.first_word, r.end_word) for r in dc.overlaps(d, b, broadcast_rows=bound, chunk_words=chunk).collect()}
+    assert got == expected and {i for _, i in got} == set(range(1, 16))
+
+
+def test_the_sql_finds_short_items_too(spark, tmp_path):
+    rng = random.Random(9)
+    items = [(k, " ".join(rng.choices("abcd", k=k))) for k in range(16)] + [(20, None), (21, " ")]
+    docs = [(k, " ".join(rng.choices("abcd", k=rng.randrange(0, 50)))) for k in range(30)] + [(90, None), (91, ""), (92, "A\nb")]
+    for name, rows, schema in (("benchmark", items, "item_id long, text string"), ("documents", docs, "doc_id long, text string")):
+        spark.createDataFrame(rows, schema).toPandas().to_parquet(tmp_path / f"{name}.parquet")
+    assert differs(spark, queries.op10_decontamination, queries.OP10_SQL, str(tmp_path)) is None
+
+
 def test_seeds_are_shuffled_without_words(spark, capsys):
     text = " ".join(f"t{k}" for k in range(20))
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")

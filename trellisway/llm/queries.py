@@ -195,10 +195,18 @@ WITH item AS (
 ), places AS (
   SELECT doc_id, item_id, v, w, diagonal, unnest(range(greatest(0, -diagonal), least(len(v), len(w) - diagonal) - 12)) AS a
   FROM diagonals JOIN item USING (item_id) JOIN doc USING (doc_id)
+), brief AS (
+  SELECT item_id, len(v) AS n, array_to_string(v, ' ') AS run FROM item WHERE len(v) BETWEEN 1 AND 12
+), held AS (
+  SELECT doc_id, item_id, i AS first_word, i + n AS end_word
+  FROM (SELECT doc_id, i, n, array_to_string(w[i + 1 : i + n], ' ') AS run FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM doc, (SELECT DISTINCT n FROM brief))) JOIN brief USING (n, run)
+  UNION ALL
+  SELECT doc_id, item_id, a + diagonal, a + diagonal + 13
+  FROM places
+  WHERE list_sum(list_transform(range(13), lambda k: (v[a + k + 1] = w[a + diagonal + k + 1])::INT)) >= 11
 )
-SELECT doc_id, item_id, min(a + diagonal)::BIGINT AS first_word, max(a + diagonal + 13)::BIGINT AS end_word
-FROM places
-WHERE list_sum(list_transform(range(13), lambda k: (v[a + k + 1] = w[a + diagonal + k + 1])::INT)) >= 11
+SELECT doc_id, item_id, min(first_word)::BIGINT AS first_word, max(end_word)::BIGINT AS end_word
+FROM held
 GROUP BY doc_id, item_id
 """
 
