@@ -110,6 +110,17 @@ def test_neighbours_are_those_of_brute_force(spark, groups, block):
     assert nn.nearest(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+@pytest.mark.parametrize("dim", [1, 7, 64, 65, 200])
+def test_inner_products_from_packed_bits(dim):
+    rng = np.random.default_rng(dim)
+    for query in (rng.standard_normal(dim), np.zeros(dim), np.full(dim, -3.0), np.eye(dim)[0]):
+        signs = rng.standard_normal((50, dim)) > 0
+        codes = nn.bit_words(np.packbits(signs, axis=1))
+        got, rounded = nn.bit_products(codes, np.bitwise_count(codes).sum(0, dtype=np.int64), query)
+        assert np.abs(got - (signs * 2.0 - 1) @ query).max() <= rounded + 1e-9
+        assert rounded <= dim * (query.max() - query.min()) / 510 + 1e-9
+
+
 def plain_cut(rows, window=35):
     """The words that stay, of each text that keeps some or had none."""
     words = {d: (t or "").split() for d, t in rows}

@@ -2,11 +2,14 @@
 
 Index: a vector less the mean of all vectors is scaled to length 1 and rotated at random;
 its code is the signs of the rotated parts, with two scalars: the length, and the inner
-product of code and vector. Search: the code's inner product with a rotated query, divided
-by the second scalar, estimates the true one; the error is within `error_factor` times
-sqrt((1 - f^2) / f^2 / (D - 1)) but with a small probability. All candidates whose lower
-bound of the distance is not beyond the k-th exact distance found are reranked with the
-original vectors in double precision, so ties at the border are all compared.
+product of code and vector. Search: a rotated query is rounded to 256 levels, whose bits are
+laid out in eight planes of one bit a part, so the code's inner product with it is counted
+from packed bits: ones that code and plane share. Divided by the second scalar it estimates
+the true one; the error is within `error_factor` times sqrt((1 - f^2) / f^2 / (D - 1)), but
+with a small probability, and what rounding took, which is known. The likeliest `tries` times
+k candidates are compared first; then all candidates whose lower bound of the distance is
+not beyond the k-th exact distance found are reranked with the original vectors in double
+precision, so ties at the border are all compared.
 
 Work: rows are dealt into groups of at most about `group_rows`, queries into blocks of about
 `block_queries`; each pair of group and block is a task of bounded memory that gives k rows
@@ -96,10 +99,32 @@ def exact_distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.sqrt(np.add.accumulate((rows - query) ** 2, axis=1)[:, -1])
 
 
-def _search(ids, x, code, length, fit, query_ids, q, centre, k: int, error_factor: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def bit_words(packed: np.ndarray) -> np.ndarray:
+    """Rows of packed bits as 64-bit words: (word, row), filled up with zeros."""
+    full = np.zeros((len(packed), -(-packed.shape[1] // 8) * 8), np.uint8)
+    full[:, : packed.shape[1]] = packed
+    return np.ascontiguousarray(full.view(np.uint64).T)
+
+
+def bit_products(codes: np.ndarray, ones: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, float]:
+    """Inner products of signs, as `bit_words` with the number of ones of each, and a query rounded to 256 levels; and
+    how far rounding can move one."""
+    low = query.min()
+    step = (query.max() - low) / 255 or 1.0
+    level = np.rint((query - low) / step).astype(np.uint8)
+    planes = bit_words(np.packbits(level[None, :] >> np.arange(8, dtype=np.uint8)[:, None] & 1, axis=1))
+    shared = np.zeros(codes.shape[1], np.int64)
+    for plane in range(8):
+        for word in range(len(codes)):
+            shared += np.bitwise_count(codes[word] & planes[word, plane]).astype(np.int64) << plane
+    return low * (2 * ones - len(query)) + step * (2 * shared - level.sum(dtype=np.int64)), float(np.abs(query - low - step * level).sum())
+
+
+def _search(ids, x, code, length, fit, query_ids, q, centre, k: int, error_factor: float, tries: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query id, ids, distances) of the k nearest among these rows, ties to smaller ids."""
     dim = x.shape[1]
-    signs = (np.unpackbits(code, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(math.sqrt(dim))
+    codes = bit_words(code)
+    ones = np.bitwise_count(codes).sum(0, dtype=np.int64)
     safe = np.where(fit > 0, fit, 1)
     error = error_factor * np.sqrt(np.maximum(1 - safe**2, 0) / safe**2 / max(dim - 1, 1)) + 1e-5
     turn = rotation(dim).T
@@ -107,24 +132,26 @@ def _search(ids, x, code, length, fit, query_ids, q, centre, k: int, error_facto
         moved = q[at : at + 64] - centre
         lengths = np.sqrt((moved * moved).sum(1))
         turned = (moved / np.where(lengths > 0, lengths, 1)[:, None]) @ turn
-        inner = (signs @ turned.T.astype(np.float32)) / safe[:, None]
         for j in range(len(moved)):
+            product, rounded = bit_products(codes, ones, turned[j])
+            inner, wide = product / safe / math.sqrt(dim), error + rounded / safe / math.sqrt(dim)
             own = ids == query_ids[at + j]
             base, scale = length**2 + lengths[j] ** 2, 2 * length * lengths[j]
-            guess = np.where(own, np.inf, base - scale * inner[:, j])
+            guess = np.where(own, np.inf, base - scale * inner)
             n = min(k, int((~own).sum()))
             if not n:
                 continue
-            first = np.argpartition(guess, n - 1)[:n]
-            worst = exact_distances(x[first], q[at + j]).max()
-            near = np.flatnonzero(~own & (base - scale * (inner[:, j] + error) <= worst**2 * (1 + 1e-9)))
+            most = min(n * tries, int((~own).sum()))
+            first = np.argpartition(guess, most - 1)[:most]
+            worst = np.partition(exact_distances(x[first], q[at + j]), n - 1)[n - 1]
+            near = np.flatnonzero(~own & (base - scale * (inner + wide) <= worst**2 * (1 + 1e-9)))
             near = np.union1d(near, first)
             d = exact_distances(x[near], q[at + j])
             order = np.lexsort((ids[near], d))[:n]
             yield query_ids[at + j], ids[near][order], d[order]
 
 
-def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, group_rows: int = 65_536, block_queries: int = 16_384, error_factor: float = 4.0) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, group_rows: int = 65_536, block_queries: int = 16_384, error_factor: float = 4.0, tries: int = 32) -> DataFrame:
     """(query_id, rank, id, score): the k nearest of each row for which `queries` holds, by Euclidean distance."""
     rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.size(vector_col).alias("dim"), F.col(vector_col).alias("vector"), queries.alias("asks"))
     n, asked = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
@@ -143,7 +170,7 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query_id", "id", "score"])
         dim = mine["dim"][0].as_py()
         code = np.frombuffer(b"".join(mine["code"].to_pylist()), np.uint8).reshape(len(mine), -1)
-        found = list(_search(mine["id"].to_numpy(), _matrix(mine["vector"], dim), code, mine["length"].to_numpy(), mine["fit"].to_numpy(), questions["id"].to_numpy(), _matrix(questions["vector"], dim), centre[dim], k, error_factor))
+        found = list(_search(mine["id"].to_numpy(), _matrix(mine["vector"], dim), code, mine["length"].to_numpy(), mine["fit"].to_numpy(), questions["id"].to_numpy(), _matrix(questions["vector"], dim), centre[dim], k, error_factor, tries))
         who = np.concatenate([np.full(len(i), q) for q, i, _ in found]) if found else np.zeros(0, np.int64)
         return pa.table([pa.array(who, pa.int64()), pa.array(np.concatenate([i for _, i, _ in found]) if found else [], pa.int64()), pa.array(np.concatenate([d for _, _, d in found]) if found else [], pa.float64())], names=["query_id", "id", "score"])
 
