@@ -15,9 +15,8 @@ Work: rows are dealt into groups of at most about `group_rows`, queries into blo
 `block_queries`; each pair of group and block is a task of bounded memory that gives k rows
 a query at most. This compares all rows with a stated query set; every row is indexed.
 Vectors go along with their codes: with bounds wide enough to miss next to nothing, some
-half of all rows are reranked for a query of 64 dimensions (with the k-th bound in place of
-the k-th distance, nine tenths), so fetching survivors by id would move far more than a
-copy of each vector to each block of queries.
+four tenths of all rows are reranked for a query of 64 dimensions, so fetching survivors by
+id would move far more than a copy of each vector to each block of queries.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite parts, and
 rows with a null id, take no part; vectors of other dimension than a query are no
