@@ -38,3 +38,17 @@ def test_pairs_of_an_order_stay_in_its_task(spark):
     """Lines are shuffled by their order; pairs are not."""
     plan = copurchase_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert all(f"hashpartitioning({c}" not in plan for c in ("la", "lb")) and plan.count("Exchange hashpartitioning") <= 2, plan
+
+
+def test_common_neighbours_go_to_checkpoints_last(spark):
+    """Pairs meet their triangles' nodes as spans; checkpoints come after the last shuffle, and no neighbour is a row for each pair."""
+    rows = spark.createDataFrame([(i, i, i % 5 + 6, i % 6) for i in range(60)], "eid long, t long, s long, d long")
+    plan = ch.common_neighbors(rows, WindowSpec(20, 2))._jdf.queryExecution().executedPlan().toString()
+    assert "_near" not in plan and "explode(sequence(start" in plan.split("Exchange")[0], plan
+
+
+def test_what_is_asked_twice_is_found_once(spark):
+    rows = spark.createDataFrame([(i, i, *((3, 1), (2, 1), (3, 2))[i % 3]) for i in range(60)], "eid long, t long, s long, d long")
+    asked = lambda *spans: spark.createDataFrame([(2, 3, *p) for p in spans], "x long, y long, cp_from long, cp_to long")
+    once, twice = (sorted(map(tuple, ch.common_neighbors(rows, WindowSpec(20, 2), asked(*p)).collect())) for p in ([(3, 30)], [(3, 9), (5, 12), (6, 7), (12, 30)]))
+    assert once == twice and [r[0] for r in once] == list(range(3, 31)) and all(r[5] == [1] for r in once if r[3])
