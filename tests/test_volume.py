@@ -6,7 +6,8 @@ import random
 import pytest
 
 from trellisway.operators import changes as ch
-from trellisway.operators.prepare import WindowSpec
+from trellisway.operators import sampling as sm
+from trellisway.operators.prepare import WindowSpec, checkpoints
 from trellisway.operators.triangles import meeting_nodes
 from trellisway.sources.edges import copurchase_edges
 
@@ -52,3 +53,36 @@ def test_what_is_asked_twice_is_found_once(spark):
     asked = lambda *spans: spark.createDataFrame([(2, 3, *p) for p in spans], "x long, y long, cp_from long, cp_to long")
     once, twice = (sorted(map(tuple, ch.common_neighbors(rows, WindowSpec(20, 2), asked(*p)).collect())) for p in ([(3, 30)], [(3, 9), (5, 12), (6, 7), (12, 30)]))
     assert once == twice and [r[0] for r in once] == list(range(3, 31)) and all(r[5] == [1] for r in once if r[3])
+
+
+def test_an_order_s_pairs_are_sorted_once(spark):
+    plan = copurchase_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert sum("Sort [" in line and "lb" in line for line in plan.splitlines()) == 1, plan
+
+
+def test_draws_are_not_made_again_and_few_edges_are_sorted(spark):
+    """No filter asks for nulls by working out draws; checkpoints are found by hash, and only edges at their group's bound are sorted."""
+    rows = spark.createDataFrame([(k, k % 100, k % 9 + 10, k % 10) for k in range(400)], "eid long, t long, s long, d long")
+    states = sm.slot_states(sm.replicate(rows, 2), WindowSpec(40, 10), sm.SampleSpec(40, 3, 8))
+    plan = states._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("48271" in line for line in plan.splitlines() if "Filter" in line), plan
+    assert ">= least" in plan, plan
+    firsts = checkpoints(rows, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "functions=[partial_min(eid" in firsts and firsts.count("HashAggregate") == 2, firsts
+
+
+def test_tops_with_equal_priorities(spark):
+    """Draws of two values, so most places have ties: the later arrival is the top."""
+    spec, step, draw = sm.SampleSpec(40, 2, 3), 10, random.Random(5)
+    edges = [(k, draw.randrange(100), draw.randrange(2), draw.randrange(2), draw.randrange(3)) for k in range(300)]
+    slotted = spark.createDataFrame([(0, k, t, p, g, x, (t - (g - 2) * 20) // 40, k, -k) for k, t, p, g, x in edges], "seed int, eid long, t long, priority long, grp long, slot long, slice long, s long, d long")
+    points = checkpoints(slotted, step)
+    want = set()
+    for c in points.collect():
+        for g, x in itertools.product(range(2), range(3)):
+            now = (c.cp_t - (g - 2) * 20) // 40
+            top = lambda n: max([(p, t, k) for k, t, p, gg, xx in edges if (gg, xx) == (g, x) and (t - (g - 2) * 20) // 40 == n and (t, k) <= (c.cp_t, c.cp_eid)], default=None)  # noqa: E731, B023
+            if top(now) or top(now - 1):
+                want.add((c.cp, g, x, top(now - 1), top(now)))
+    got = {(r.cp, r.grp, r.slot, r.a and tuple(r.a)[:3], r.b and tuple(r.b)[:3]) for r in sm.slots_at(slotted, points, spec, step, ["s", "d"]).collect()}
+    assert got == want and len(want) > 40
