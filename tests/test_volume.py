@@ -6,6 +6,7 @@ import random
 import pytest
 
 from trellisway.operators import changes as ch
+from trellisway.operators import estimators as es
 from trellisway.operators import sampling as sm
 from trellisway.operators.prepare import WindowSpec, checkpoints
 from trellisway.operators.triangles import meeting_nodes
@@ -86,3 +87,9 @@ def test_tops_with_equal_priorities(spark):
                 want.add((c.cp, g, x, top(now - 1), top(now)))
     got = {(r.cp, r.grp, r.slot, r.a and tuple(r.a)[:3], r.b and tuple(r.b)[:3]) for r in sm.slots_at(slotted, points, spec, step, ["s", "d"]).collect()}
     assert got == want and len(want) > 40
+
+
+def test_an_estimate_finds_its_checkpoints_once(spark):
+    rows = spark.createDataFrame([(k, k % 100, k % 9 + 10, k % 10) for k in range(400)], "eid long, t long, s long, d long")
+    plan = es.swtc_estimate(sm.replicate(rows, 2), WindowSpec(40, 10), sm.SampleSpec(40, 3, 8))._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(struct" not in plan and "min(eid" not in plan, plan
