@@ -8,9 +8,9 @@ import pytest
 from trellisway.operators import changes as ch
 from trellisway.operators import estimators as es
 from trellisway.operators import sampling as sm
-from trellisway.operators.prepare import WindowSpec, checkpoints
+from trellisway.operators.prepare import WindowSpec, checkpoints, prepared
 from trellisway.operators.triangles import meeting_nodes
-from trellisway.sources.edges import copurchase_edges
+from trellisway.sources.edges import copurchase_edges, copurchase_parts
 
 
 def _brute(pairs):
@@ -93,3 +93,49 @@ def test_an_estimate_finds_its_checkpoints_once(spark):
     rows = spark.createDataFrame([(k, k % 100, k % 9 + 10, k % 10) for k in range(400)], "eid long, t long, s long, d long")
     plan = es.swtc_estimate(sm.replicate(rows, 2), WindowSpec(40, 10), sm.SampleSpec(40, 3, 8))._jdf.queryExecution().optimizedPlan().toString()
     assert "min(struct" not in plan and "min(eid" not in plan, plan
+
+
+def test_lines_are_read_for_tables_alone(spark):
+    """Edges and their first time come from tables; no plan makes pairs of lines anew, and plain orders' pairs are not sorted."""
+    edges = prepared(copurchase_edges(spark, "/root/testdata/sf0.001"))
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "_origin" not in plan, plan
+    plain, odd = copurchase_parts(spark, "/root/testdata/sf0.001")
+    executed = plain._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in executed and "Exchange" not in executed, executed
+
+
+def test_places_of_equal_lines(spark, tmp_path):
+    """Copies are numbered by time and both parts, also where lines of one number have equal times and parts."""
+    draw = random.Random(3)
+    lines = [(k, draw.randrange(1, 4), draw.choice([None, 1, 2, 3]), draw.choice([None, *range(3)])) for k in range(60) for _ in range(draw.randrange(1, 12))]
+    rows = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, day int")
+    rows.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "date_add(DATE '1995-01-01', day) AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    key = lambda p: [(v is not None, v or 0) for v in p]
+    want = set()
+    for k in range(60):
+        own = [x[1:] for x in lines if x[0] == k]
+        for la, lb in itertools.combinations((1, 2, 3), 2):
+            pairs = sorted(((a[2], a[1], b[1]) for a in own for b in own if (a[0], b[0]) == (la, lb)), key=key)
+            want |= {(((k * 8 + la) * 8 + lb) * 32 + i, *p) for i, p in enumerate(pairs, 1)}
+    plain, odd = copurchase_parts(spark, str(tmp_path))
+    got = [tuple(r) for r in plain.unionByName(odd).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and plain.count() > odd.count() > 0
+
+
+def test_bounds_come_from_few_edges(spark):
+    """Places of many edges: an eighth of these give the bound, which leaves the same tops."""
+    spec, step, draw = sm.SampleSpec(40, 2, 2), 40, random.Random(8)
+    edges = [(k, k // 40, draw.randrange(200), draw.randrange(2), draw.randrange(2)) for k in range(4000)]
+    slotted = spark.createDataFrame([(0, k, t, p, g, x, (t - (g - 2) * 20) // 40, k, -k) for k, t, p, g, x in edges], "seed int, eid long, t long, priority long, grp long, slot long, slice long, s long, d long")
+    points = checkpoints(slotted, step)
+    want = set()
+    for c in points.collect():
+        for g, x in itertools.product(range(2), range(2)):
+            now = (c.cp_t - (g - 2) * 20) // 40
+            top = lambda n: max([(p, t, k) for k, t, p, gg, xx in edges if (gg, xx) == (g, x) and (t - (g - 2) * 20) // 40 == n and (t, k) <= (c.cp_t, c.cp_eid)], default=None)  # noqa: E731, B023
+            want.add((c.cp, g, x, top(now - 1), top(now)))
+    states = sm.slots_at(slotted, points, spec, step, ["s", "d"])
+    assert {(r.cp, r.grp, r.slot, r.a and tuple(r.a)[:3], r.b and tuple(r.b)[:3]) for r in states.collect()} == want
+    plan = states._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan and "places" in plan, plan
