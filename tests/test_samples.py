@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trellisway.functions.mix import MODULUS
+from trellisway.operators import changes as ch
 from trellisway.operators import estimators as es
 from trellisway.operators import prepare as pr
 from trellisway.operators import sampling as sm
@@ -166,6 +167,16 @@ def test_a_sure_sample_gives_the_exact_count(stream):
     assert {r.cp: r.estimate for r in es.fixed_p_estimate(stream, WSPEC, 1.0).collect()} == {k: float(v) for k, v in exact.items()}
 
 
+def test_samples_and_the_exact_count_share_their_triangles(stream):
+    """Estimates of several seeds and the exact count, from triangles that are found once."""
+    exact = {r.cp: r.triangles for r in ch.triangle_count(stream, WSPEC, weighted=True).collect()}
+    want = {(r.seed, r.cp): (r.estimate, exact[r.cp]) for r in es.fixed_p_estimate(sm.replicate(stream, 3), WSPEC, 0.7).collect()}
+    both = es.fixed_p_and_exact(stream, WSPEC, 0.7, 3)
+    assert {(r.seed, r.cp): (r.estimate, r.triangles) for r in both.collect()} == want and any(e for e, _ in want.values())
+    # a seed of which no edge is sampled has estimates too
+    assert {(r.seed, r.estimate) for r in es.fixed_p_and_exact(stream, WSPEC, 1e-9, 2).collect()} == {(0, 0.0), (1, 0.0)}
+
+
 def test_estimates_are_near_the_exact_count_on_average(spark):
     rng = random.Random(5)
     rows = [(k, k // 4, rng.randrange(18), rng.randrange(18)) for k in range(900)]

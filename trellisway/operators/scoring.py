@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 def relative_error(estimates: DataFrame, exact: DataFrame, keys: list[str], skip: int = 0) -> DataFrame:
     """(seed, keys..., error): |estimate - exact| / exact at each checkpoint after the first `skip`; null where the exact
     count is 0. `exact` has the keys and `triangles`; checkpoints are matched by number, not by place."""
-    joined = estimates.join(exact.select(*keys, "triangles"), keys).where(F.col("cp") > skip)
+    return errors_of(estimates.join(exact.select(*keys, "triangles"), keys), keys, skip)
+
+
+def errors_of(matched: DataFrame, keys: list[str], skip: int = 0) -> DataFrame:
+    """As relative_error, of rows (seed, keys..., estimate, triangles) that have their exact count."""
     gold = F.col("triangles").cast("double")
-    return joined.select("seed", *keys, F.when(gold != 0, F.abs(F.col("estimate") - gold) / gold).alias("error"))
+    return matched.where(F.col("cp") > skip).select("seed", *keys, F.when(gold != 0, F.abs(F.col("estimate") - gold) / gold).alias("error"))
 
 
 def error_by_run(errors: DataFrame, by: list[str] | None = None) -> DataFrame:
