@@ -4,10 +4,13 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from trellisway.operators import changes as ch
 from trellisway.operators import estimators as es
 from trellisway.operators import sampling as sm
+from trellisway.operators import triangles as tr
+from trellisway.operators import window as wd
 from trellisway.operators.prepare import WindowSpec, checkpoints, prepared
 from trellisway.operators.triangles import meeting_nodes
 from trellisway.sources.edges import copurchase_edges, copurchase_parts
@@ -139,3 +142,29 @@ def test_bounds_come_from_few_edges(spark):
     assert {(r.cp, r.grp, r.slot, r.a and tuple(r.a)[:3], r.b and tuple(r.b)[:3]) for r in states.collect()} == want
     plan = states._jdf.queryExecution().optimizedPlan().toString()
     assert "xxhash64" in plan and "places" in plan, plan
+
+
+def test_ends_of_equal_bits_make_no_triangle(spark):
+    """Paths tell far ends apart by 16 bits; what only looks like a pair is no triangle."""
+    bits = spark.range(10, 4000).selectExpr("id", "shiftright(xxhash64(id), 48) AS bits")
+    like = bits.groupBy("bits").agg(F.min("id").alias("one"), F.max("id").alias("two")).where("one < two").first()
+    rows = lambda pairs: spark.createDataFrame([(k, t, a, b) for t in (0, 2, 4, 6) for k, (a, b) in enumerate(pairs, 10 * t)], "eid long, t long, s long, d long")
+    count = lambda *pairs: {r.triangles for r in ch.triangle_count(rows(pairs), WindowSpec(20, 2)).collect()}
+    path = [(2, 1), (like.one, 1), (like.two, 2)]
+    assert count(*path) == {0}
+    assert max(count(*path, (like.one, 2))) == 1
+    near = meeting_nodes(spark.createDataFrame([(0, *p) for p in path], "g int, s long, d long"), ["g"], spark.createDataFrame([], "g int, node long, n long"))
+    assert [tuple(r) for r in near.select("a", "b", "c").collect()] == [(1, 2, like.two)]
+
+
+def test_pairs_and_their_triangles_are_shuffled_once(spark):
+    """Counts of pairs are made where spans and triangles have come to; they equal those of each window's graph."""
+    draw = random.Random(4)
+    rows = spark.createDataFrame([(k, k // 3, a, b) for k, (a, b) in enumerate((draw.randrange(4, 12), draw.randrange(4)) if k % 2 else (draw.randrange(2, 4), draw.randrange(2)) for k in range(240))], "eid long, t long, s long, d long")
+    spec = WindowSpec(20, 4)
+    counts = ch.edge_triangle_count(rows, spec)
+    want = tr.edge_triangle_count(wd.edge_frequencies(wd.window_edges(rows, spec), ["cp"]), ["cp"])
+    key = lambda df: sorted(tuple(r) for r in df.select("cp", "s", "d", "triangles").collect())
+    assert key(counts) == key(want) and any(r[3] > 1 for r in key(want))
+    last = counts._jdf.queryExecution().executedPlan().toString().split("Union")[0]
+    assert last.count("Exchange") == 1, last
