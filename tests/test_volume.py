@@ -168,3 +168,10 @@ def test_pairs_and_their_triangles_are_shuffled_once(spark):
     assert key(counts) == key(want) and any(r[3] > 1 for r in key(want))
     last = counts._jdf.queryExecution().executedPlan().toString().split("Union")[0]
     assert last.count("Exchange") == 1, last
+
+
+def test_neighbours_are_shuffled_as_plain_rows(spark):
+    """No list is made before the last shuffle."""
+    rows = spark.createDataFrame([(i, i, i % 5 + 6, i % 6) for i in range(60)], "eid long, t long, s long, d long")
+    plan = ch.common_neighbors(rows, WindowSpec(20, 2))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan.split("Exchange", 1)[1], plan
