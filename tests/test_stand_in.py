@@ -1,10 +1,12 @@
 """The files that stand for a stream: made by many tasks, read in order."""
 
 import contextlib
+from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from trellisway.functions.materialize import shared_folder
 from trellisway.plans import queries
 from trellisway.sources import edges
 from trellisway.streaming import batches
@@ -53,3 +55,12 @@ def test_batches_of_lines_do_not_grow_in_number(spark, monkeypatch):
     with contextlib.suppress(AnalysisException):  # no counts are written
         queries.stream_text_counts(spark, "/root/testdata/sf0.001")
     assert ran == [0, 1, 2]
+
+
+def test_lines_go_once_they_are_numbered(spark):
+    """Of what edges from text are made of, only tables stay that are read."""
+    shared = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(shared.iterdir())
+    found = queries.co_from_text(spark, "/root/testdata/sf0.001")
+    assert {p.name for p in set(shared.iterdir()) - before} == {f.rsplit("/", 2)[1] for f in found.inputFiles()}
+    assert found.count() == edges.copurchase_edges(spark, "/root/testdata/sf0.001").count()
